@@ -5,9 +5,10 @@ Each shard s has for key k the draw u(k, s) in (0, 1), from the first 52 bits of
 list of shards alone decide: a new shard takes from every other only the rows on which it scores best, and moves none
 between the old ones.
 
-Scale: the choice is a map-side expression of a few dozen bytes of key. Slots within a shard are numbered without
-gathering the shard: rows carry one of ``buckets`` equal parts of their own, each (shard, bucket) is numbered by itself,
-and the counts of shards x buckets, a few thousand rows at any input size, give the offsets.
+Scale: the choice is a map-side expression of a few dozen bytes of key. Slots follow the key's order
+within a shard without gathering the shard: quantiles of the key cut its range into ``buckets`` parts, each (shard,
+bucket) is numbered by itself, and the counts of shards x buckets, a few thousand rows at any input size, give the
+offsets. A key so frequent that it is a quantile has parts of its own, dealt round.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vantrail.llm.common import checkpointed, text_or_empty, utf8
 
@@ -38,15 +40,22 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["shard"]
 
 
-def slots(rows: DataFrame, shard: str = "shard", buckets: int = 64) -> DataFrame:
-    """``rows`` with ``slot``: a number within the shard, gapless from 0, in no stated order. The rows are checkpointed
-    first, so the bucket of a row stays what it was when a lost executor makes a stage run again."""
-    rows = checkpointed(rows.withColumn("__bucket", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")))
-    counts = rows.groupBy(shard, "__bucket").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(shard, "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
-    numbered = rows.withColumn("__at", F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(F.lit(0))))
-    return numbered.join(counts, [shard, "__bucket"]).withColumn("slot", (F.col("__before") + F.col("__at") - 1).cast("bigint")).drop("__bucket", "__before", "__at")
+def slots(rows: DataFrame, key: str, shard: str = "shard", buckets: int = 64) -> DataFrame:
+    """``rows`` with ``slot``: a number within the shard, gapless from 0, in the order of ``key``, nulls first; rows
+    with the same key follow in any order. A key that is no number is ordered by its hash. The rows are checkpointed
+    first, so a row's part stays what it was when a lost executor makes a stage run again."""
+    order = F.col(key) if isinstance(rows.schema[key].dataType, T.IntegralType) else F.xxhash64(F.col(key))
+    rows = checkpointed(rows.withColumn("__key", F.when(F.col(key).isNotNull(), order)).withColumn("__deal", F.monotonically_increasing_id() % 16))
+    cuts = rows.agg(F.percentile_approx("__key", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0]  # at most buckets - 1 numbers
+    cuts = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts or []))]).cast("array<bigint>")
+    below, at_cut = F.size(F.filter(cuts, lambda c: c < F.col("__key"))), F.array_contains(cuts, F.col("__key"))
+    part = F.when(F.col("__key").isNull(), F.col("__deal") - 16).when(at_cut, 17 * below + 1 + F.col("__deal")).otherwise(17 * below)
+    rows = rows.withColumn("__part", part.cast("int")).drop("__deal")
+    counts = rows.groupBy(shard, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(shard, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = rows.withColumn("__at", F.row_number().over(Window.partitionBy(shard, "__part").orderBy("__key")))
+    return numbered.join(counts, [shard, "__part"]).withColumn("slot", (F.col("__before") + F.col("__at") - 1).cast("bigint")).drop("__part", "__before", "__at", "__key")
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float], grown_weight: float = 1.0, key: str = "doc_id", text: str = "text", buckets: int = 64) -> DataFrame:
@@ -61,4 +70,4 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown_weight: flo
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), [*weights, grown_weight]).alias("grown_shard"),
     )
-    return slots(placed, "shard", buckets).select(key, "size", "text_crc32", "shard", "slot", "grown_shard")
+    return slots(placed, key, "shard", buckets).select(key, "size", "text_crc32", "shard", "slot", "grown_shard")

@@ -37,7 +37,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     cells = 1 << bits
     width = np.maximum((hi - lo) / cells, 1e-9)
     cell = np.clip(np.floor((vectors - lo) / width), 0, cells - 1)
-    low, high = np.minimum(lo + cell * width, vectors.max(initial=0) + 0 * lo), np.maximum(lo + (cell + 1) * width, lo)
+    low = lo + cell * width
+    high = low + width
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
     slack = 1e-9 * (1 + np.abs(queries) @ np.maximum(np.abs(lo), np.abs(hi)))[:, None] + 1e-6
     upper = plus @ high.T + minus @ low.T + slack
@@ -69,7 +70,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str =
     """(query_id, rank, key, score): each query row's k largest integer inner products over all rows but its own.
 
     ``vector`` is an array of whole numbers stored as bigint or double. Rows whose vector or key is null take no part. Of a key
-    on several rows each row is a candidate for other queries, and none for a query of the same key. With fewer
+    on several rows each row is a candidate for other queries, and none for its own; as a query the least vector counts. With fewer
     candidates a query has fewer rows; with none, no row. No rows give no rows.
     """
     workers_import(vectors.sparkSession)
@@ -79,8 +80,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str =
     n_v, n_q = max(1, -(-n_rows // block)), max(1, -(-n_queries // block))
     edges = rows.select("dim", F.posexplode("v").alias("d", "x")).groupBy("dim", "d").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("d", "lo", "hi"))).alias("edges"))
     number = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40))
-    side = rows.where("q").select("dim", F.pmod(number, F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).cast("bigint").alias("vb"), F.lit(True).alias("q"), "id", "v")
-    base = rows.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint").alias("qb"), F.pmod(F.monotonically_increasing_id() % F.lit(1 << 33) + F.monotonically_increasing_id() / F.lit(1 << 33), F.lit(n_v)).cast("bigint").alias("vb"), F.lit(False).alias("q"), "id", "v")
+    asks = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    side = asks.select("dim", F.pmod(number, F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_v - 1).cast("bigint"))).alias("vb"), F.lit(True).alias("q"), "id", "v")
+    base = rows.select("dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("qb"), F.pmod(F.monotonically_increasing_id(), F.lit(n_v)).alias("vb"), F.lit(False).alias("q"), "id", "v")
     dealt = side.unionByName(base).join(F.broadcast(edges), "dim", "left")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
