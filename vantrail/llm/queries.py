@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantrail.llm import bpe, exactdup, packing, sharding, sstable, topk, transducer
+from vantrail.llm import bpe, exactdup, neardup, packing, sharding, sstable, topk, transducer
 from vantrail.llm.common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").where(topk.finite("embedding"))
     whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double"))).alias("v"))
@@ -58,7 +62,7 @@ def op9_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op3_shard, op4_bpe, op6_topk, op7_count, op8_exact_dedup, op9_tables)}
+    return {f.__name__: f for f in (op1_pack, op3_shard, op4_bpe, op5_near_dedup, op6_topk, op7_count, op8_exact_dedup, op9_tables)}
 
 
 def oracle_sql() -> dict[str, str]:
