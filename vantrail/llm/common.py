@@ -54,3 +54,24 @@ def text_or_empty(column: str = "text") -> Column:
 
 def utf8(column: Column) -> Column:
     return column.cast("binary")
+
+
+#: Rows of the table of hash buckets that tells which rows need an exact look.
+MARKS = 1 << 18
+
+
+def drop_marked(rows: DataFrame, dropped: DataFrame, repeated: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` without those whose identity ``names`` is in ``dropped``, and with one each of those in ``repeated``.
+
+    Identities are hashed to MARKS buckets, and the buckets in question, MARKS rows at most, are broadcast. Rows in other
+    buckets pass where they are; only rows in these move to the exact comparison.
+    """
+    bucket = F.pmod(F.xxhash64(*names), F.lit(MARKS))
+    marks = F.broadcast(dropped.select(*names).unionByName(repeated.select(*names)).select(bucket.alias("__mark")).distinct())
+    clear = rows.join(marks, bucket == F.col("__mark"), "left_anti")
+    asked = rows.join(marks, bucket == F.col("__mark"), "left_semi")
+    gone = dropped.select(*[F.col(n).alias(f"{n}_gone") for n in names]).distinct()
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_gone"))
+    return clear.unionByName(asked.join(gone, same, "left_anti").dropDuplicates(names)).drop(*names)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantrail.llm.common import ASCII_SPACE, checkpointed, text_or_empty, utf8
+from vantrail.llm.common import ASCII_SPACE, checkpointed, drop_marked, text_or_empty, utf8
 
 #: Counters of each Misra-Gries summary, and summaries, each of the rows of some map tasks.
 TRACKED, SUMMARIES = 1024, 16
@@ -21,9 +21,9 @@ TRACKED, SUMMARIES = 1024, 16
 SHARE = 1024
 
 
-def digested(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``text_sha256``, lowercase hexadecimal."""
-    return docs.withColumn("text_sha256", F.sha2(utf8(F.regexp_replace(text_or_empty(text), ASCII_SPACE, " ")), 256))
+def digested(docs: DataFrame, text: str = "text", out: str = "text_sha256") -> DataFrame:
+    """``docs`` with ``out``, lowercase hexadecimal."""
+    return docs.withColumn(out, F.sha2(utf8(F.regexp_replace(text_or_empty(text), ASCII_SPACE, " ")), 256))
 
 
 def frequent(rows: DataFrame, digest: str = "text_sha256") -> DataFrame:
@@ -42,7 +42,7 @@ def exact_dedup(rows: DataFrame, key: str = "doc_id", digest: str = "text_sha256
     """(key, keep_id, group_size, kept, digest) for every row; of equal digests the smallest key stays.
 
     A null key comes after all others and is kept only where its group has no other key. Of repeated rows with the key
-    that stays, each says kept; ``exact_dedup_rows`` keeps just one. No rows give no rows.
+    that stays, each says kept, and ``exact_dedup_rows`` keeps one. No rows give no rows.
     """
     rows = checkpointed(rows.select(key, digest))
     heavy = checkpointed(
@@ -58,12 +58,9 @@ def exact_dedup(rows: DataFrame, key: str = "doc_id", digest: str = "text_sha256
 def exact_dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; of rows repeated under the key that stays, one.
 
-    Rows are numbered once, and that number is the key of the decision, ordered after the caller's key; so exactly one
-    row of a group stays. Only digests and keys are compared; the texts stay where they are and meet their verdict in
-    one join.
+    Keys and digests are compared first; then texts are read once more, and only rows in doubt move.
     """
-    numbered = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
-    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__row").alias("r"))
-    marks = exact_dedup(digested(numbered, text).select(order.alias("__order"), F.col("text_sha256").alias("__digest")), "__order", "__digest")
-    kept = marks.where("kept").select(F.col("__order.r").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    marks = checkpointed(exact_dedup(digested(docs.select(key, text), text), key).select(F.col(key).alias("__k"), F.col("text_sha256").alias("__d"), "kept"))
+    repeated = marks.where("kept").groupBy("__k", "__d").count().where("count > 1")
+    named = digested(docs.withColumn("__k", F.col(key)), text, "__d")
+    return drop_marked(named, marks.where("not kept"), repeated, ["__k", "__d"])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import checkpointed, workers_import
+from vantrail.llm.common import MARKS, checkpointed, drop_marked, workers_import
 
 #: Sketch size, words of a shingle, similarity in hundredths.
 K, WORDS, PERCENT = 64, 5, 75
@@ -83,9 +83,9 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, k: int = K, words: int = WORDS) -> DataFrame:
-    """(key, n, set_key, sketch): size and digest of the set (digest null if empty), and its k smallest hashes."""
+    """(key, h, n, set_key, sketch): a hash of the text, size and digest of the set (digest null if empty), and its k smallest hashes."""
     workers_import(docs.sparkSession)
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -94,9 +94,9 @@ def sketches(docs: DataFrame, key: str, text: str, k: int = K, words: int = WORD
                 batch = whole.slice(lo, 512)
                 sets = shingler.sets(batch.column(1).to_pylist())
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([s[:k] for s in sets])], names=[key, "n", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([s[:k] for s in sets])], names=[key, "h", "n", "set_key", "sketch"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, F.xxhash64(text).alias("h")).mapInArrow(run, schema)
 
 
 def full_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -174,7 +174,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     null and its rows are kept. Repeated rows share their component and each says kept. No rows give no rows. Other
     columns are not read.
     """
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = _grouped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), k, words, percent)
+    component = F.when(F.col("group").isNull(), F.col("key")).otherwise(F.col("least"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
+    """(key, h, n, group, least) for every row (key, text): the component, null for an empty set, and its smallest key."""
     rows = checkpointed(sketches(docs, "key", "text", k, words))
     nodes = rows.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("key").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -201,10 +207,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     named = nodes.select("set_key", "node", "doc").join(labels, "node", "left")
     smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc").alias("least"))
-    named = named.join(smallest, "root", "left").select("set_key", F.coalesce("least", "doc").alias("found"))
-    out = rows.select("key", "n", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("key")).otherwise(F.col("found"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    named = named.join(smallest, "root", "left").select("set_key", F.coalesce("root", "node").alias("group"), F.coalesce("least", "doc").alias("least"))
+    return rows.select("key", "h", "n", "set_key").join(named, "set_key", "left").select("key", "h", "n", "group", "least")
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
@@ -220,7 +224,10 @@ def _pairs(entries: DataFrame) -> DataFrame:
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, set_key, text) of the wanted nodes, one row each; a key on several rows can give one of another text,
     which its digest shows later, so all distinct texts of such a key come along."""
-    who = wanted.join(nodes.select("node", "doc", "set_key"), "node")
+    who = checkpointed(wanted.join(nodes.select("node", "doc", "set_key"), "node"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    marks = F.broadcast(who.select(bucket("doc").alias("mark")).distinct())  # MARKS rows at most: other rows never move
+    docs = docs.join(marks, bucket("key") == F.col("mark"), "left_semi")
     found = who.join(docs, who["doc"].eqNullSafe(docs["key"])).select("node", "set_key", "text", F.xxhash64("text").alias("h"))
     return found.groupBy("node", "h").agg(F.first("set_key").alias("set_key"), F.first("text").alias("text"))
 
@@ -249,10 +256,15 @@ def _able(rest: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percen
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, all columns as they were: the row of the smallest key, and
-    of several such rows the first. Rows are numbered once and decided by that number."""
-    numbered = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
-    marks = near_duplicates(numbered.select("__row", text), "__row", text, k, words, percent)
-    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__row").alias("r"))
-    first = numbered.select("__row", order.alias("o")).join(marks.select("__row", "component_id"), "__row").groupBy("component_id").agg(F.min("o").alias("o"))
-    return numbered.join(first.select(F.col("o.r").alias("__row")), "__row", "left_semi").drop("__row")
+    """The rows of ``docs`` that stay, one of each component, all columns as they were: the row of the smallest key, null
+    last, and of several such rows the one whose text has the smallest hash. Rows without words all stay.
+
+    Only keys and hashes of texts decide; then texts are read once more, and only rows in doubt move.
+    """
+    rows = checkpointed(_grouped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), k, words, percent).where(F.col("group").isNotNull()).select(F.col("key").alias("__k"), F.col("h").alias("__h"), "group"))
+    order = F.struct(F.col("__k").isNull().alias("none"), F.col("__k").alias("k"), F.col("__h").alias("h"))
+    same = rows.groupBy("group", "__k", "__h").agg(F.count("*").alias("m"))
+    first = same.groupBy("group").agg(F.min(order).alias("o"))
+    judged = checkpointed(same.join(first, "group").select("__k", "__h", "m", ((order["h"] == F.col("o.h")) & order["k"].eqNullSafe(F.col("o.k"))).alias("stays")))
+    named = docs.withColumns({"__k": F.col(key), "__h": F.xxhash64(text)})
+    return drop_marked(named, judged.where("not stays"), judged.where("stays and m > 1"), ["__k", "__h"])

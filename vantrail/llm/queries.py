@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantrail.llm import bpe, exactdup, neardup, packing, sharding, sstable, topk, transducer
+from vantrail.llm import bpe, exactdup, linedup, neardup, packing, quality, sharding, sstable, topk, transducer
 from vantrail.llm.common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +20,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, host=F.col("source"), path=F.col("lang"))
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"), [1.0] * 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -61,8 +66,12 @@ def op9_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op3_shard, op4_bpe, op5_near_dedup, op6_topk, op7_count, op8_exact_dedup, op9_tables)}
+    return {f.__name__: f for f in (op1_pack, op2_quality, op3_shard, op4_bpe, op5_near_dedup, op6_topk, op7_count, op8_exact_dedup, op9_tables, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
