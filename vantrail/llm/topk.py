@@ -1,10 +1,9 @@
 """Exact top-k inner products with vector-approximation files.
 
 Each dimension's range over all vectors is cut into 2^bits equal cells, and a vector's approximation is its cell in each
-dimension. Cells bound a query's inner product from both sides: positive query components take the cell's upper edge for
-the upper bound and its lower edge for the lower bound, negative ones the reverse. Of a block of vectors a task scans
-the approximations only; those whose upper bound reaches the k-th largest lower bound are survivors. Exact vectors are
-then read in order of their bound, best first, until the k-th exact score is at least the next bound.
+dimension. Cells bound a query's inner product from above: positive query components take the cell's upper edge for
+the bound, negative ones its lower edge. Of a block of vectors a task scans the approximations only; exact vectors are
+then read in order of their bound, best first, until the k-th exact score is above the next bound.
 
 Scale: queries x vectors are dealt as blocks, and a task holds one block of each. Every vector is compared with every
 query, as exactness asks; what travels onward is k rows a query and block. Vectors are compared within one dimension.
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 
 from vantrail.llm.common import checkpointed, workers_import
 
-#: Rows read exactly for a query at a time.
-STEP = 64
+#: Rows read exactly for a query at first.
+STEP = 48
 
 
 def finite(vector: str) -> Column:
@@ -31,42 +30,50 @@ def finite(vector: str) -> Column:
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, bits: int) -> list[tuple[int, int, int]]:
     """(query position, id, score) of the k best vectors of a block for each query, ties to the smaller id."""
-    n = len(ids)
     order = np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
     cells = 1 << bits
     width = np.maximum((hi - lo) / cells, 1e-9)
     cell = np.clip(np.floor((vectors - lo) / width), 0, cells - 1)
     low = lo + cell * width
-    high = low + width
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    slack = 1e-9 * (1 + np.abs(queries) @ np.maximum(np.abs(lo), np.abs(hi)))[:, None] + 1e-6
-    upper = plus @ high.T + minus @ low.T + slack
-    lower = plus @ low.T + minus @ high.T - slack
-    own = query_ids[:, None] == ids[None, :]
-    upper[own] = -np.inf
-    lower[own] = -np.inf
-    m = min(k, n)
-    bar = -np.partition(-lower, m - 1, axis=1)[:, m - 1]  # the m-th largest lower bound
-    whole = vectors.astype(np.int64) if np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * vectors.shape[1] >= 2**52 else vectors
-    out = []
-    for q in range(len(queries)):
-        alive = np.nonzero((upper[q] >= bar[q]) & (upper[q] > -np.inf))[0]
+    slack = 1e-9 * (1 + np.abs(queries) @ np.maximum(np.abs(lo), np.abs(hi))) + 1e-6
+    upper = queries @ low.T  # the lower edges, and a cell's width more where the query is positive
+    upper += (plus @ width + slack)[:, None]
+    upper[query_ids[:, None] == ids[None, :]] = -np.inf
+    exact = np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * vectors.shape[1] < 2**52
+    whole, queries = (vectors, queries) if exact else (vectors.astype(np.int64), queries.astype(np.int64))
+    out: list[tuple[int, int, int]] = []
+    n, first = len(ids), max(STEP, 2 * k)
+    if n > first:  # the best bounds of all queries together; most queries are certain after these
+        best = np.argpartition(-upper, first, axis=1)[:, : first + 1]
+        bound = np.take_along_axis(upper, best, axis=1)
+        rest, best = bound[:, first], best[:, :first]
+        score = np.einsum("qcd,qd->qc", whole[best], queries)
+        score = np.where(bound[:, :first] > -np.inf, score, np.iinfo(np.int64).min if not exact else -np.inf)
+        ranked = np.lexsort((best, -score), axis=1)[:, :k]
+        top, where = np.take_along_axis(score, ranked, axis=1), np.take_along_axis(best, ranked, axis=1)
+        certain = (top[:, k - 1] > rest) & (bound[:, :first] > -np.inf).all(axis=1)
+        for q in np.nonzero(certain)[0]:
+            out += [(int(q), int(i), int(s)) for i, s in zip(ids[where[q]], top[q], strict=True)]
+        open_ = np.nonzero(~certain)[0]
+    else:
+        open_ = np.arange(len(queries))
+    for q in open_:
+        alive = np.nonzero(upper[q] > -np.inf)[0]
         alive = alive[np.argsort(-upper[q, alive], kind="stable")]  # best bound first, then the smaller id
-        query = queries[q].astype(whole.dtype)
-        best_s, best_i = np.empty(0, dtype=whole.dtype), np.empty(0, dtype=np.int64)
-        for at in range(0, len(alive), STEP):
-            if len(best_s) >= k and best_s[k - 1] > upper[q, alive[at]]:
-                break
-            read = alive[at : at + STEP]
-            best_s, best_i = np.concatenate([best_s, whole[read] @ query]), np.concatenate([best_i, ids[read]])
-            top = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[top], best_i[top]
-        out += [(q, int(i), int(s)) for i, s in zip(best_i, best_s, strict=True)]
+        best_s, best_i, at, step = np.empty(0, dtype=whole.dtype), np.empty(0, dtype=np.int64), 0, first
+        while at < len(alive) and not (len(best_s) >= k and best_s[k - 1] > upper[q, alive[at]]):
+            read = alive[at : at + step]
+            at, step = at + step, 2 * step
+            best_s, best_i = np.concatenate([best_s, whole[read] @ queries[q]]), np.concatenate([best_i, ids[read]])
+            ranked = np.lexsort((best_i, -best_s))[:k]
+            best_s, best_i = best_s[ranked], best_i[ranked]
+        out += [(int(q), int(i), int(s)) for i, s in zip(best_i, best_s, strict=True)]
     return out
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "v", key: str = "vec_id", bits: int = 5, block: int = 1024) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "v", key: str = "vec_id", bits: int = 7, block: int = 2048) -> DataFrame:
     """(query_id, rank, key, score): each query row's k largest integer inner products over all rows but its own.
 
     ``vector`` is an array of whole numbers stored as bigint or double. Rows whose vector or key is null take no part. Of a key
