@@ -10,10 +10,11 @@
 3. Candidates. A list of up to ``SMALL`` nodes gives its pairs. A longer one links each node with the list's hub, the
    node whose values are the most shared: in a group of edited copies that is the text they were made from. Estimates
    from the union sketch drop unlikely pairs, and exact Jaccard on the full sets confirms the rest.
-4. The rest of the long lists. Where a list still spans several components, its nodes are compared by an exact bound: a
-   node's shingles that no other such node has can be in no intersection, so a node with too many of them has no
-   partner at all. Pairs between different components among the nodes that remain go through the same estimate and
-   verification. So no list is capped and no link between components is lost.
+4. The rest of the long lists. While lists span several components, rounds link each of their nodes with one drawn anew for
+   the list, until a round merges nothing. Then an exact bound: shingles that no node outside its component has can be
+   in no intersection, so a node with too many of them has no partner elsewhere. All pairs between components among the
+   nodes that remain go through the same estimate and verification. So no list is capped and no link between components
+   is lost.
 5. Components by contraction; every node hooks to its smallest neighbour, and edges are relabelled until none is left.
 
 Scale: what is shuffled is a few dozen sketch values a document and the full sets of documents that have a candidate.
@@ -197,13 +198,7 @@ def _grouped(docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
     links = _verified(pairs.unionByName(star).distinct(), nodes, docs, k, words, percent)
     labels = components(links)
 
-    long_ = listed.where(F.col("m") > SMALL).select("value", "node").join(labels, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")).join(nodes.select("node", "n"), "node")
-    spans = long_.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least")).where("r0 <> r1")
-    rest = checkpointed(long_.join(spans.select("value", "least"), "value"))
-    if not rest.isEmpty():
-        able = _able(rest, nodes, docs, words, percent)
-        more = _pairs(rest.join(able, "node", "left_semi").select("value", "node", "root"))
-        labels = components(links.unionByName(_verified(more.distinct(), nodes, docs, k, words, percent)))
+    labels = _rest(listed.where(F.col("m") > SMALL).select("value", "node"), links, labels, nodes, docs, k, words, percent)
 
     named = nodes.select("set_key", "node", "doc").join(labels, "node", "left")
     smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc").alias("least"))
@@ -232,27 +227,73 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.groupBy("node", "h").agg(F.first("set_key").alias("set_key"), F.first("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
-    """The pairs that the estimate lets pass and exact similarity on the full sets confirms."""
-    sk = nodes.select("node", "sketch")
+def _likely_pairs(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
+    sk = sketches.select("node", "sketch")
     seen = pairs.join(sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    seen = checkpointed(seen.where(likely(F.col("sa"), F.col("sb"), k)).select("a", "b"))
-    wanted = seen.select(F.col("a").alias("node")).unionByName(seen.select(F.col("b").alias("node"))).distinct()
-    sets = full_sets(_texts(wanted, nodes, docs), words)
-    both = seen.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    return seen.where(likely(F.col("sa"), F.col("sb"), k)).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets (node, hashes) are similar enough."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return checkpointed(both.where((100 + percent) * shared >= percent * (F.size("ha") + F.size("hb"))).select("a", "b"))
 
 
-def _able(rest: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The nodes of unresolved lists that can have a partner: with u shingles of its own and n in all, a node meets a set of
-    m in n - u shingles at most, and needs percent (n + m) / (100 + percent); m is at least the least size in its lists."""
-    wanted = rest.groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
-    sets = full_sets(_texts(wanted.select("node"), nodes, docs), words)
-    alone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("u"))
-    known = wanted.join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
+    """The pairs that the estimate lets pass and exact similarity on the full sets confirms."""
+    seen = checkpointed(_likely_pairs(pairs, nodes, k))
+    wanted = seen.select(F.col("a").alias("node")).unionByName(seen.select(F.col("b").alias("node"))).distinct()
+    return _confirmed(seen, full_sets(_texts(wanted, nodes, docs), words), percent)
+
+
+def _spanning(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(value, node, root) of the lists that span several components."""
+    now = entries.join(labels, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+    open_ = now.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    return now.join(open_.select("value"), "value")
+
+
+def _rest(entries: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
+    """The components once no list hides a link. Rounds link each node of a spanning list with a node drawn for that list and
+    round, as long as that merges components; then all pairs between components that an exact bound leaves are compared."""
+    rest = checkpointed(_spanning(entries, labels))
+    if rest.isEmpty():
+        return labels
+    who = checkpointed(rest.select("node").distinct())
+    sketch = checkpointed(nodes.select("node", "sketch").join(who, "node", "left_semi"))
+    sets = checkpointed(full_sets(_texts(who, nodes, docs), words))
+    turn = 0
+    while True:
+        drawn = rest.groupBy("value").agg(F.max(F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("of"))).alias("d")).select("value", "d.pivot", "d.of")
+        pairs = rest.join(drawn, "value").where(F.col("root") != F.col("of")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        found = _confirmed(_likely_pairs(pairs, sketch, k), sets, percent)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+        rest = checkpointed(_spanning(rest.select("value", "node"), labels))
+        turn += 1
+    able = _able(rest, sets, percent)
+    left = _pairs(checkpointed(rest.join(able, "node", "left_semi")).select("value", "node", "root")).distinct()
+    found = _confirmed(_likely_pairs(left, sketch, k), sets, percent)
+    return labels if found.isEmpty() else components(links.unionByName(found))
+
+
+def _able(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes that can have a partner in another component: with u shingles that no node outside its component has and n in all, a
+    node meets such a set of m in n - u shingles at most, and needs percent (n + m) / (100 + percent) of them; m is at least
+    percent n / 100 and the least size among its lists."""
+    roots = rest.select("node", "root").distinct()
+    sized = sets.join(roots, "node").withColumn("n", F.size("hashes"))
+    least = rest.join(sized.select("node", "n"), "node").groupBy("value").agg(F.min("n").alias("least"))
+    least = rest.join(least, "value").groupBy("node").agg(F.min("least").alias("least"))
+    spread = sized.select("node", "root", F.explode("hashes").alias("h"))
+    own = spread.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 = r1").select("h")
+    alone = spread.select("node", "h").join(own, "h").groupBy("node").agg(F.count("*").alias("u"))
+    known = sized.select("node", "n").join(least, "node").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    return checkpointed(known.where((100 + percent) * (F.col("n") - F.col("u")) >= percent * (F.col("n") + partner)).select("node"))
+    return known.where((100 + percent) * (F.col("n") - F.col("u")) >= percent * (F.col("n") + partner)).select("node")
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
