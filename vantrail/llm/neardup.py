@@ -38,6 +38,8 @@ from vantrail.llm.common import MARKS, checkpointed, drop_marked, workers_import
 K, WORDS, PERCENT = 64, 5, 75
 #: Longest list whose pairs are all candidates; documents from which a value counts as frequent; frequent values kept.
 SMALL, FREQUENT, COMMON = 16, 16, 100_000
+#: Rounds of drawn links; they only save comparisons, since all that remains is compared after them.
+ROUNDS = 2
 _U = np.uint64
 #: Odd multipliers of the words of a shingle, from the golden ratio.
 _MULTIPLIERS = [_U(0x9E3779B97F4A7C15 * (2 * i + 3) % (1 << 64) | 1) for i in range(64)]
@@ -148,22 +150,22 @@ def likely(a: Column, b: Column, k: int = K) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the nodes of the links (a, b): root is the smallest node of the component."""
     edges = checkpointed(links.select("a", "b").where("a <> b").distinct())
-    labels = None
+    steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
-        over = hooks.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        hooks = checkpointed(hooks.join(over, "p").select(F.col("a").alias("from"), F.col("q").alias("to")))  # every p hooks too
-        if labels is None:
-            labels = hooks.select(F.col("from").alias("node"), F.col("to").alias("root"))
-        else:
-            labels = checkpointed(labels.join(hooks, labels["root"] == hooks["from"], "left").select("node", F.coalesce("to", "root").alias("root")))
+        hooks = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
+        over = hooks.select(F.col("a").alias("p"), F.col("p").alias("to"))
+        hooks = checkpointed(hooks.join(over, "p").select(F.col("a").alias("from"), "to"))  # every p hooks too
+        steps.append(hooks)
         moved = edges.join(hooks, edges["a"] == hooks["from"]).select(F.col("to").alias("a"), "b")
         moved = moved.join(hooks, moved["b"] == hooks["from"]).select("a", F.col("to").alias("b"))
         edges = checkpointed(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if labels is None:
-        labels = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    labels = steps[0].select(F.col("from").alias("node"), F.col("to").alias("root"))
+    for hooks in steps[1:]:
+        labels = labels.join(hooks, labels["root"] == hooks["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
+    return checkpointed(labels)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -256,15 +258,14 @@ def _spanning(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _rest(entries: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
     """The components once no list hides a link. Rounds link each node of a spanning list with a node drawn for that list and
-    round, as long as that merges components; then all pairs between components that an exact bound leaves are compared."""
+    round; then all pairs between components that an exact bound leaves are compared."""
     rest = checkpointed(_spanning(entries, labels))
     if rest.isEmpty():
         return labels
     who = checkpointed(rest.select("node").distinct())
     sketch = checkpointed(nodes.select("node", "sketch").join(who, "node", "left_semi"))
     sets = checkpointed(full_sets(_texts(who, nodes, docs), words))
-    turn = 0
-    while True:
+    for turn in range(ROUNDS):
         drawn = rest.groupBy("value").agg(F.max(F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("of"))).alias("d")).select("value", "d.pivot", "d.of")
         pairs = rest.join(drawn, "value").where(F.col("root") != F.col("of")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = _confirmed(_likely_pairs(pairs, sketch, k), sets, percent)
@@ -273,7 +274,6 @@ def _rest(entries: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFr
         links = links.unionByName(found)
         labels = components(links)
         rest = checkpointed(_spanning(rest.select("value", "node"), labels))
-        turn += 1
     able = _able(rest, sets, percent)
     left = _pairs(checkpointed(rest.join(able, "node", "left_semi")).select("value", "node", "root")).distinct()
     found = _confirmed(_likely_pairs(left, sketch, k), sets, percent)
