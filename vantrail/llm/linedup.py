@@ -21,24 +21,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantrail.llm.common import ASCII_SPACE, MARKS, checkpointed, text_or_empty, utf8
+from vantrail.llm.common import MARKS, checkpointed, text_or_empty, utf8
 from vantrail.llm.neardup import components
 
 THRESHOLD, MIN_CHARS = 2, 16
 #: Letters frequent in many languages, six bits each.
-LETTERS, LETTER_BITS = "eantiorsdl", 6
+LETTERS, LETTER_BITS = "eantio", 6
+#: White space that is not one space already; plain lines have none, and nothing is replaced in them.
+_ODD_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def segment(length: Column, number: int, threshold: int) -> tuple[Column, Column]:
     """Start, from 1, and length of a segment, numbered from 1: the first are the shorter ones."""
     parts = threshold + 1
-    base = F.floor(length / parts)
-    short = parts - length % parts
+    over = length % parts
+    base = ((length - over) / parts).cast("int")
+    short = parts - over
     return (number - 1) * base + F.greatest(F.lit(number - 1) - short, F.lit(0)) + 1, base + F.when(F.lit(number) > short, 1).otherwise(0)
 
 
-def segment_keys(line: Column, length: Column, threshold: int) -> tuple[Column, Column]:
-    """Arrays of the hashes a line writes and of those it probes."""
+def segment_keys(line: Column, length: Column, threshold: int) -> tuple[list[Column], list[Column]]:
+    """The hashes a line writes and those it probes; a probe that does not fit is null."""
 
     def key(of: Column, number: int, start: Column, size: Column) -> Column:
         return F.xxhash64(of, F.lit(number), line.substr(start.cast("int"), size.cast("int")))
@@ -55,15 +58,15 @@ def segment_keys(line: Column, length: Column, threshold: int) -> tuple[Column,
             for move in range(max(-left, delta - right), min(left, delta + right) + 1):
                 at = start + move
                 probes.append(F.when((of >= threshold + 1) & (at >= 1) & (at + size - 1 <= length), key(of, number, at, size)))
-    return F.array(*writes), F.array_distinct(F.filter(F.array(*probes), lambda k: k.isNotNull()))
+    return writes, probes
 
 
-def letter_counts(line: Column) -> Column:
+def letter_counts(line: Column, length: Column) -> Column:
     """Counts of the letters, each up to 63, in one bigint."""
     packed = F.lit(0).cast("bigint")
     most = (1 << LETTER_BITS) - 1
     for i, c in enumerate(LETTERS):
-        packed = packed.bitwiseOR(F.shiftleft(F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(most)).cast("bigint"), i * LETTER_BITS))
+        packed = packed.bitwiseOR(F.shiftleft(F.least(length - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(most)).cast("bigint"), i * LETTER_BITS))
     return packed
 
 
@@ -157,24 +160,24 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(key, line_no, line, digest, h): lines between newlines, numbered from 0, white space runs as one space, ends
     trimmed; digest is the MD5 of a line and h 64 bits of it. A null text is one empty line."""
     parts = docs.select(F.col(key).alias("key"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "raw"))
-    line = F.trim(F.regexp_replace("raw", ASCII_SPACE, " "))
+    line = F.trim(F.regexp_replace("raw", _ODD_SPACE, " "))
     return parts.select("key", "line_no", line.alias("line")).withColumn("digest", F.md5(utf8(F.col("line")))).withColumn("h", F.xxhash64("digest"))
 
 
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b): digests of all pairs of different lines within the threshold, a before b."""
-    long_ = lines.where(F.length("line") >= max(min_chars, threshold + 1))
-    writes, probes = segment_keys(F.col("line"), F.length("line"), threshold)
-    coded = long_.select("digest", "h", writes.alias("writes"), probes.alias("probes"), letter_counts(F.col("line")).alias("letters"))
-    coded = checkpointed(coded.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("h", "writes", "probes", "letters")]).drop("digest"))
-    written = coded.select(F.explode("writes").alias("k"), F.col("h").alias("hw"), F.col("letters").alias("lw"))
-    probing = coded.select(F.explode("probes").alias("k"), F.col("h").alias("hp"), F.col("letters").alias("lp"))
+    long_ = lines.withColumn("size", F.length("line")).where(F.col("size") >= max(min_chars, threshold + 1))
+    writes, probes = segment_keys(F.col("line"), F.col("size"), threshold)
+    numbers = {"h": F.col("h"), "letters": letter_counts(F.col("line"), F.col("size"))} | {f"w{i}": w for i, w in enumerate(writes)} | {f"p{i}": p for i, p in enumerate(probes)}
+    coded = long_.select("digest", *[c.alias(n) for n, c in numbers.items()]).groupBy("digest").agg(*[F.min(n).alias(n) for n in numbers])  # equal in all copies; numbers only, so summed by hash
+    written = coded.select(F.explode(F.array(*[F.col(f"w{i}") for i in range(len(writes))])).alias("k"), F.col("h").alias("hw"), F.col("letters").alias("lw"))
+    probing = coded.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(probes))])).alias("k"), F.col("h").alias("hp"), F.col("letters").alias("lp")).where(F.col("k").isNotNull())
     near = (F.col("hw") != F.col("hp")) & (letters_apart(F.col("lw"), F.col("lp")) <= 2 * threshold)
     pairs = written.join(probing, (written["k"] == probing["k"]) & near).select(F.least("hw", "hp").alias("ha"), F.greatest("hw", "hp").alias("hb"))
     pairs = checkpointed(pairs.distinct())
     wanted = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h"))).distinct()
     marks = wanted.select(F.pmod("h", F.lit(MARKS)).alias("mark")).distinct()  # MARKS rows at most
-    texts = long_.join(F.broadcast(marks), F.pmod("h", F.lit(MARKS)) == F.col("mark"), "left_semi").join(wanted, "h", "left_semi").groupBy("h", "digest").agg(F.first("line").alias("line"))
+    texts = long_.select("h", "digest", "line").join(F.broadcast(marks), F.pmod("h", F.lit(MARKS)) == F.col("mark"), "left_semi").join(wanted, "h", "left_semi").groupBy("h", "digest").agg(F.first("line").alias("line"))
     of = lambda s: texts.select(F.col("h").alias("h" + s), F.col("digest").alias("d" + s), F.col("line").alias("line" + s))
     both = pairs.join(of("a"), "ha").join(of("b"), "hb")
     longer = F.length("linea") >= F.length("lineb")
@@ -198,13 +201,14 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     degree = links.select(F.col("a").alias("d")).unionByName(links.select(F.col("b").alias("d"))).groupBy("d").agg(F.count("*").alias("n_links"))
     labels = components(links).select(F.col("node").alias("digest"), "root")
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("line_no").alias("line_no"))
-    filled = lines.where("line <> ''").select("key", "line_no", "digest")
+    lines = checkpointed(lines.select("key", "line_no", F.when(F.col("line") != "", F.col("digest")).alias("digest")))
+    filled = lines.where(F.col("digest").isNotNull())
     known = filled.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n_copies"))
     known = known.join(labels, "digest", "left").join(degree.withColumnRenamed("d", "digest"), "digest", "left").select("digest", "first", "n_copies", "n_links", F.coalesce("root", "digest").alias("class_id"))
     known = checkpointed(known)
     linked = known.where(F.col("n_links").isNotNull()).groupBy("class_id").agg(F.min("first").alias("least"))
     known = known.join(linked, "class_id", "left").select("digest", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("least", "first").alias("stays"))
-    out = lines.select("key", "line_no", F.when(F.col("line") != "", F.col("digest")).alias("digest")).join(known, "digest", "left")
+    out = lines.join(known, "digest", "left")
     own = F.col("class_id").isNull()
     keep_id, keep_line = F.when(own, F.col("key")).otherwise(F.col("stays.key")), F.when(own, F.col("line_no")).otherwise(F.col("stays.line_no"))
     return out.select(F.col("key").alias(key), "line_no", "class_id", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), keep_id.alias("keep_id"), keep_line.alias("keep_line"), (F.col("key").eqNullSafe(keep_id) & (F.col("line_no") == keep_line)).alias("kept"))
