@@ -192,7 +192,7 @@ def frozen_mask(t, lat, lon, baro, bad, diameter: float, span: float, flat: floa
                 break
             lo_lat, hi_lat, lo_lon, hi_lon, j = a, b, c, d, j + 1
         if t[j] - t[i] >= span:
-            same = np.all(lat[i : j + 1] == lat[i]) and np.all(lon[i : j + 1] == lon[i])
+            same = _longest_identical(t[i : j + 1], lat[i : j + 1], lon[i : j + 1]) >= span
             end = max(1, min(5, (j - i + 1) // 2))
             still = baro is not None and abs(np.median(baro[i : i + end]) - np.median(baro[j + 1 - end : j + 1])) < flat
             if same or still or (baro is None and bad[i : j + 1].all()):
@@ -203,6 +203,14 @@ def frozen_mask(t, lat, lon, baro, bad, diameter: float, span: float, flat: floa
     return out
 
 
+def _longest_identical(t, lat, lon) -> float:
+    """Seconds of the longest run of identical coordinates."""
+    new = np.concatenate([[True], (lat[1:] != lat[:-1]) | (lon[1:] != lon[:-1])])
+    first = np.nonzero(new)[0]
+    last = np.concatenate([first[1:] - 1, [len(t) - 1]])
+    return float((t[last] - t[first]).max())
+
+
 def identical_runs(fixes: DataFrame, least_s: float = 0.0) -> DataFrame:
     """(flight, run, first_fix, n, span_s) of maximal stretches of more than one fix with identical coordinates."""
     w = by_flight("fix_no")

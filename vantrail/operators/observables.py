@@ -69,10 +69,10 @@ def isotropy(points: DataFrame, time: str, x: str = "east_m", y: str = "north_m"
     return points.groupBy(time).agg(F.count("*").alias("n"), (F.avg(F.col(x) * F.col(x)) / F.nullif(F.avg(F.col(y) * F.col(y)), F.lit(0.0))).alias("ratio"))
 
 
-def ks_distance(samples: DataFrame, value: str, side: str) -> DataFrame:
+def ks_distance(samples: DataFrame, value: str, side: Column) -> DataFrame:
     """(ks): the greatest gap between the distributions of the rows where ``side`` holds and the others. Values are counted first, so
     the running sums see distinct values only."""
-    counts = samples.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.col(side).cast("bigint")).alias("a"), F.sum((~F.col(side)).cast("bigint")).alias("b"))
+    counts = samples.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(side.cast("bigint")).alias("a"), F.sum((~side).cast("bigint")).alias("b"))
     upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(F.lit(1))
     gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(every) - F.sum("b").over(upto) / F.sum("b").over(every))

@@ -176,6 +176,11 @@ def savgol(values: np.ndarray, dt: float, window: int, order: int = 3) -> np.nda
     return out
 
 
-@pandas_udf("array<array<double>>")
-def savgol_arrays(values: pd.Series, dt: pd.Series, window: pd.Series) -> pd.Series:
-    return pd.Series([[list(map(float, row)) for row in savgol(np.asarray(v, dtype=float), float(d), int(w))] for v, d, w in zip(values, dt, window, strict=True)])
+def savgol_column(values: Column, dt: Column, window: Column) -> Column:
+    """[position, velocity, acceleration] of an array column under any odd window, in Arrow batches."""
+
+    @pandas_udf("array<array<double>>")
+    def run(series: pd.Series, step: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([[list(map(float, row)) for row in savgol(np.asarray(v, dtype=float), float(d), int(w))] for v, d, w in zip(series, step, width, strict=True)])
+
+    return run(values, dt, window)
