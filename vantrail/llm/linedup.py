@@ -168,10 +168,10 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     """(a, b): digests of all pairs of different lines within the threshold, a before b."""
     long_ = lines.withColumn("size", F.length("line")).where(F.col("size") >= max(min_chars, threshold + 1))
     writes, probes = segment_keys(F.col("line"), F.col("size"), threshold)
-    numbers = {"h": F.col("h"), "letters": letter_counts(F.col("line"), F.col("size"))} | {f"w{i}": w for i, w in enumerate(writes)} | {f"p{i}": p for i, p in enumerate(probes)}
-    coded = long_.select("digest", *[c.alias(n) for n, c in numbers.items()]).groupBy("digest").agg(*[F.min(n).alias(n) for n in numbers])  # equal in all copies; numbers only, so summed by hash
-    written = coded.select(F.explode(F.array(*[F.col(f"w{i}") for i in range(len(writes))])).alias("k"), F.col("h").alias("hw"), F.col("letters").alias("lw"))
-    probing = coded.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(probes))])).alias("k"), F.col("h").alias("hp"), F.col("letters").alias("lp")).where(F.col("k").isNotNull())
+    # one row a line for both sides of the join: they share the exchange, so lines are cut and hashed once
+    coded = long_.select("digest", F.struct("h", letter_counts(F.col("line"), F.col("size")).alias("letters"), F.array(*writes).alias("writes"), F.array(*probes).alias("probes")).alias("c")).groupBy("digest").agg(F.first("c").alias("c"))
+    written = coded.select(F.explode("c.writes").alias("k"), F.col("c.h").alias("hw"), F.col("c.letters").alias("lw"))
+    probing = coded.select(F.explode("c.probes").alias("k"), F.col("c.h").alias("hp"), F.col("c.letters").alias("lp")).where(F.col("k").isNotNull())
     near = (F.col("hw") != F.col("hp")) & (letters_apart(F.col("lw"), F.col("lp")) <= 2 * threshold)
     pairs = written.join(probing, (written["k"] == probing["k"]) & near).select(F.least("hw", "hp").alias("ha"), F.greatest("hw", "hp").alias("hb"))
     pairs = checkpointed(pairs.distinct())
