@@ -11,10 +11,10 @@
    node whose values are the most shared: in a group of edited copies that is the text they were made from. Estimates
    from the union sketch drop unlikely pairs, and exact Jaccard on the full sets confirms the rest.
 4. The rest of the long lists. While lists span several components, rounds link each of their nodes with one drawn anew for
-   the list, until a round merges nothing. Then an exact bound: shingles that no node outside its component has can be
-   in no intersection, so a node with too many of them has no partner elsewhere. All pairs between components among the
-   nodes that remain go through the same estimate and verification. So no list is capped and no link between components
-   is lost.
+   the list, until a round merges nothing. Then the full
+   sets of the nodes in question are ordered by how rare their shingles are among them; pairs of different components
+   that share one of their first, few by an exact bound, go through the same estimate and verification. So no list is
+   capped and no link between components is lost.
 5. Components by contraction; every node hooks to its smallest neighbour, and edges are relabelled until none is left.
 
 Scale: what is shuffled is a few dozen sketch values a document and the full sets of documents that have a candidate.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,26 +274,26 @@ def _rest(entries: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFr
         links = links.unionByName(found)
         labels = components(links)
         rest = checkpointed(_spanning(rest.select("value", "node"), labels))
-    able = _able(rest, sets, percent)
-    left = _pairs(checkpointed(rest.join(able, "node", "left_semi")).select("value", "node", "root")).distinct()
+    left = _prefix_pairs(rest, sets, percent)
     found = _confirmed(_likely_pairs(left, sketch, k), sets, percent)
     return labels if found.isEmpty() else components(links.unionByName(found))
 
 
-def _able(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The nodes that can have a partner in another component: with u shingles that no node outside its component has and n in all, a
-    node meets such a set of m in n - u shingles at most, and needs percent (n + m) / (100 + percent) of them; m is at least
-    percent n / 100 and the least size among its lists."""
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs between components of these nodes that can be similar, by the rarest shingles of their full sets. A set of n and a
+    partner of m or more share at least o = percent (n + m) / (100 + percent) shingles, so under one order, rarest among
+    these nodes first, their first n - o + 1 meet; m is at least percent n / 100 and the least size in the node's lists."""
     roots = rest.select("node", "root").distinct()
     sized = sets.join(roots, "node").withColumn("n", F.size("hashes"))
     least = rest.join(sized.select("node", "n"), "node").groupBy("value").agg(F.min("n").alias("least"))
     least = rest.join(least, "value").groupBy("node").agg(F.min("least").alias("least"))
-    spread = sized.select("node", "root", F.explode("hashes").alias("h"))
-    own = spread.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 = r1").select("h")
-    alone = spread.select("node", "h").join(own, "h").groupBy("node").agg(F.count("*").alias("u"))
-    known = sized.select("node", "n").join(least, "node").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    return known.where((100 + percent) * (F.col("n") - F.col("u")) >= percent * (F.col("n") + partner)).select("node")
+    first = F.col("n") - F.ceil(percent * (F.col("n") + partner) / (100 + percent)) + 1
+    spread = sized.join(least, "node").select("node", "root", first.alias("first"), F.explode("hashes").alias("value"))
+    held = spread.groupBy("value").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("m", "value"))
+    ranked = spread.join(held, "value").withColumn("rank", rank).where((F.col("rank") <= F.col("first")) & (F.col("r0") != F.col("r1")))
+    return _pairs(checkpointed(ranked.select("value", "node", "root"))).distinct()
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
