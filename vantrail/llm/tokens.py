@@ -18,7 +18,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries after which a worker's table starts anew.
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 200_000
 #: Characters of text whose new pre-tokens are encoded together.
 CHUNK_CHARS = 1_000_000
 
