@@ -29,7 +29,7 @@ BYTE_LEVEL_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{
 
 #: The letters, numbers and white space up to U+00FF. Texts of these alone take a faster matcher.
 _NARROW = {r"\p{L}": r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
-#: Characters whose class is the same in every Unicode version from 6 on; a normalising vocabulary sends other texts to the library whole.
+#: Characters whose class is the same in every Unicode version from 6 on; texts with others are split by the library, or sent to it whole where it normalises.
 _SETTLED = regex.compile("[^\u0000-\u036f\u0400-\u04ff\u2000-\u203f\u4e00-\u9fa5]")
 
 
@@ -67,15 +67,23 @@ class Vocabulary:
             self.byte_level = False
         else:
             raise ValueError(f"unsupported split in {path}")
-        self.pattern, self.narrow = regex.compile(split), narrow(split)
+        self.pattern, self.narrow, self._split = regex.compile(split), narrow(split), None
 
     def split(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.pattern.findall(text)
+            return self._library_split(text) if self.byte_level and _SETTLED.search(text) else self.pattern.findall(text)
         return self.narrow.findall(text)
 
+    def _library_split(self, text: str) -> list[str]:
+        """The library's own split, where a character's class depends on the Unicode version."""
+        if self._split is None:
+            from tokenizers import Tokenizer
+
+            self._split = Tokenizer.from_file(self.path).pre_tokenizer.pre_tokenize_str
+        return [text[a:b] for _, (a, b) in self._split(text)]
+
     def segments(self, text: str) -> list[str]:
         """The text cut at special strings, which are kept as segments of their own."""
         if self._cut is None or not self._cut.search(text):
