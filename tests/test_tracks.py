@@ -216,6 +216,41 @@ def test_cleaning_plan_keeps_a_clean_flight(spark):
     assert grid.k == 0 and not grid.interpolated
 
 
+def long_flight():
+    return [(i, 45 + 0.00012 * i, 5 + 0.0005 * math.sin(i / 60), 1000 + 500 * math.sin(i / 300)) for i in range(3600)]
+
+
+@pytest.mark.parametrize("source", ["baro", "gnss"])
+def test_cleaning_plan_nulls_an_altitude_spike_and_smooths(spark, source):
+    rows = long_flight()
+    table = fixes(spark, rows).withColumn("gnss_alt", F.col("gnss_alt") + F.when(F.col("fix_no") == 1001, 300).otherwise(0))
+    if source == "gnss":
+        table = table.withColumn("baro_alt", F.lit(0.0))
+    else:
+        table = table.withColumn("baro_alt", F.col("gnss_alt") - 50)
+    done = clean_tracks(table, LIMITS)
+    flight = done.flights.first()
+    assert flight.alt_source == source and flight.reason is None and flight.nulled_alt >= 1
+    grid = done.fixes.orderBy("k").toPandas()
+    want = 1000 + 500 * np.sin(grid["grid_t"] / 300) + (50 if source == "gnss" else 0)
+    assert np.abs(grid["alt"] - want).max() < 1
+    assert grid.loc[grid["grid_t"] == 1000, "interpolated"].all() and not grid.loc[grid["grid_t"] == 900, "interpolated"].any()
+    speed = 500 / 300 * np.cos(grid["grid_t"] / 300)
+    assert np.abs(grid["alt_vel"] - speed).max() < 0.2 and np.abs(grid["north_m_vel"] - 0.00012 * 111195).max() < 0.1
+    assert grid[[f"{v}_{d}" for v in ("east_m", "north_m", "alt") for d in ("pos", "vel", "acc")]].notna().all().all()
+
+
+@pytest.mark.parametrize(("bad", "reason"), [(200, None), (500, "removed_fraction")])
+def test_integrity_gate_counts_airborne_removals(spark, bad, reason):
+    rows = long_flight()
+    for i in range(100, 100 + 6 * bad, 6):
+        rows[i] = (rows[i][0], rows[i][1] + 0.01, *rows[i][2:])
+    parked = [(t - 3000, rows[0][1], rows[0][2], rows[0][3]) for t in range(2990)]  # frozen, before take-off, so never counted
+    flight = clean_tracks(fixes(spark, parked + rows), LIMITS).flights.first()
+    assert flight.reason == reason and flight.removed_spike + flight.removed_block == bad
+    assert flight.removed_frozen == 0 and abs(flight.n_airborne - 3600) <= 2
+
+
 def test_gap_split_and_fill(spark):
     for hole, segments in ((8, 1), (25, 2)):
         rows = [r for i, r in enumerate(circle(400)) if not 200 < i < 200 + hole]

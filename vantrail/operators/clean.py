@@ -27,10 +27,11 @@ def altitude_source(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     return fixes.withColumn("alt_source", source).withColumn("alt", F.when(F.col("alt_source") == "baro", F.col("baro_alt")).otherwise(F.col("gnss_alt")))
 
 
-def merge_duplicates(fixes: DataFrame) -> DataFrame:
-    """One fix a second: the centroid of the positions, the mean of the altitudes that are there (a choice of ours), valid if all are."""
+def merge_duplicates(fixes: DataFrame, counters: tuple[str, ...] = ()) -> DataFrame:
+    """One fix a second: the centroid of the positions, the mean of the altitudes that are there (a choice of ours), valid if all are.
+    Running counters of removals keep their last value."""
     there = lambda c: F.coalesce(F.avg(F.when(F.col(c) != 0, F.col(c))), F.lit(0.0))
-    merged = fixes.groupBy(*KEYS, "t").agg(F.min("fix_no").alias("fix_no"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("valid").alias("valid"), there("baro_alt").alias("baro_alt"), there("gnss_alt").alias("gnss_alt"), F.count("*").alias("n_merged"))
+    merged = fixes.groupBy(*KEYS, "t").agg(F.min("fix_no").alias("fix_no"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("valid").alias("valid"), there("baro_alt").alias("baro_alt"), there("gnss_alt").alias("gnss_alt"), F.count("*").alias("n_merged"), *[F.max(c).alias(c) for c in counters])
     return merged
 
 
@@ -88,7 +89,7 @@ def hampel(fixes: DataFrame, limits: Thresholds, half_window: float | None = Non
 
 
 def hampel_altitude(fixes: DataFrame, limits: Thresholds, column: str = "baro_alt", half_window: float | None = None) -> DataFrame:
-    """Fixes with alt_hampel: the same test on one altitude column; here the flag alone nulls the altitude, later."""
+    """Fixes with alt_hampel: the same test on one altitude column; the flag alone nulls the altitude, in altitude_outliers."""
     f = limits.fix_level
     half = int(f.hampel_half_window_s if half_window is None else half_window)
     w = by_flight().orderBy("t").rangeBetween(-half, half)
@@ -230,6 +231,14 @@ def bad_altitudes(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     return fixes.withColumn("alt_reason", F.when(outside, "band").when(steep, "steep")).withColumn("alt", F.when(F.col("alt_reason").isNull(), F.col("alt")))
 
 
+def altitude_outliers(fixes: DataFrame, limits: Thresholds) -> DataFrame:
+    """Fixes with alt nulled where the altitude Hampel test flags the adopted channel; positions stay. Needs alt and alt_reason, so that
+    values outside the bounds do not enter the medians."""
+    flagged = F.coalesce(F.col("alt_hampel"), F.lit(False))
+    seen = hampel_altitude(fixes, limits, "alt").withColumn("alt_reason", F.coalesce("alt_reason", F.when(flagged, "hampel")))
+    return seen.withColumn("alt", F.when(~flagged, F.col("alt"))).drop("n_near", "alt_resid_m", "alt_mad_m", "alt_hampel")
+
+
 def trim_window(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     """(flight, t_on, t_off, reason): from the first start to the last end of a run faster than v_on that lasts long enough;
     no such run is a reason to discard."""
@@ -257,10 +266,29 @@ def interior_ground(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     return runs.where(F.col("alt_range") <= tr.ground_alt_m).select(*KEYS, "t0", "t1", kind.alias("kind"))
 
 
+def removed(fixes: DataFrame, gone: Column, counter: str) -> DataFrame:
+    """``fixes`` without those that are gone; those that stay carry in ``counter`` how many of the flight have gone before them."""
+    upto = by_flight("fix_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return fixes.withColumn(counter, F.sum(gone.cast("bigint")).over(upto)).where(~gone)
+
+
+def airborne_counts(fixes: DataFrame, counters: tuple[str, ...]) -> DataFrame:
+    """Trimmed fixes, each counter now what its rule removed between the flight's first and last, with nulled_alt, and n_airborne, the
+    fixes there were before removal."""
+    w = by_flight()
+    counts = {c: F.max(c).over(w) - F.min(c).over(w) for c in counters}
+    nulled = F.sum(F.col("alt_reason").isNotNull().cast("bigint")).over(w)
+    return fixes.withColumns({"n_airborne": F.count("*").over(w) + sum(counts.values(), F.lit(0)), "nulled_alt": nulled, **counts})
+
+
+def removal_passes(removed: Column, n: Column, limits: Thresholds) -> Column:
+    return removed / n <= limits.fix_level.removed_fraction_max
+
+
 def removal_counts(fixes: DataFrame, reason: str, limits: Thresholds) -> DataFrame:
     """(flight, n, removed, passes, one count a reason): the gate on the share a flight loses."""
     counts = fixes.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum(F.col(reason).isNotNull().cast("bigint")).alias("removed"))
-    return counts.withColumn("passes", F.col("removed") / F.col("n") <= limits.fix_level.removed_fraction_max)
+    return counts.withColumn("passes", removal_passes(F.col("removed"), F.col("n"), limits))
 
 
 def ground_overlap(phases: DataFrame, suspects: DataFrame) -> DataFrame:

@@ -82,8 +82,9 @@ def linear_grid(rows: DataFrame, keys: list[str], values: list[str], dt: Column,
 
 def native_grid(fixes: DataFrame, limits: Thresholds | None = None) -> DataFrame:
     """(segment, k, grid_t, east_m, north_m, alt, interpolated) on each segment's native grid: shape-preserving cubic Hermite for the
-    positions, linear for the altitude; measured where a fix lies within half a step. Needs segment_id, dt_s, east_m, north_m, alt."""
-    del limits
+    positions, linear for the altitude; measured where a fix lies within half a step. With ``limits`` null altitudes are filled from the
+    nearest ones before and after where these are no further apart than the gap bound, and marked interpolated. Needs segment_id,
+    dt_s, east_m, north_m, alt."""
     w = Window.partitionBy(*SEGMENT).orderBy("t")
     rows = fixes
     h, h_before = F.lead("t").over(w) - F.col("t"), F.col("t") - F.lag("t").over(w)
@@ -101,7 +102,11 @@ def native_grid(fixes: DataFrame, limits: Thresholds | None = None) -> DataFrame
         slope = F.when(db.isNull() & d.isNull(), 0.0).when(db.isNull(), first).when(d.isNull(), last).otherwise(inner)
         rows = rows.withColumn(f"{v}_m", slope)
     values = ["east_m", "north_m", "alt", "east_m_m", "north_m_m"]
-    spans = _intervals(rows.select(*SEGMENT, "t", "dt_s", *values), SEGMENT, values, F.col("dt_s"), True)
+    own = ["alt_t", "alt_a", "alt_b", "t_a", "t_b"]
+    before, after = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("alt_t", F.when(F.col("alt").isNotNull(), F.col("t")))
+    rows = rows.withColumns({"alt_a": F.last("alt", True).over(before), "t_a": F.last("alt_t", True).over(before), "alt_b": F.first("alt", True).over(after), "t_b": F.first("alt_t", True).over(after)})
+    spans = _intervals(rows.select(*SEGMENT, "t", "dt_s", *values, *own), SEGMENT, values, F.col("dt_s"), True)
     grid = spans.where(F.col("k1") >= F.col("k0")).withColumn("k", F.explode(F.sequence("k0", "k1")))
     t = F.col("t0") + F.col("k") * F.col("step")
     wide = F.col("t_next") - F.col("t")
@@ -114,7 +119,13 @@ def native_grid(fixes: DataFrame, limits: Thresholds | None = None) -> DataFrame
 
     linear = F.col("alt") + F.coalesce(u * (F.col("alt_next") - F.col("alt")), F.lit(0.0))
     far = F.least(t - F.col("t"), F.coalesce(F.col("t_next") - t, t - F.col("t")))
-    return grid.select(*SEGMENT, "k", t.alias("grid_t"), "dt_s", hermite("east_m").alias("east_m"), hermite("north_m").alias("north_m"), linear.alias("alt"), (far > F.col("step") / 2).alias("interpolated"))
+    filled = far > F.col("step") / 2
+    if limits is not None:
+        over = F.col("alt_a") + (t - F.col("t_a")) / (F.col("t_b") - F.col("t_a")) * (F.col("alt_b") - F.col("alt_a"))
+        short = F.col("t_b") - F.col("t_a") <= gap_bound(F.col("dt_s"), limits)
+        nearest = F.when(F.col("t_next") - t < t - F.col("t"), F.col("alt_next")).otherwise(F.col("alt"))
+        linear, filled = F.coalesce(F.when(t == F.col("t_a"), F.col("alt_a")), F.when(short, over), linear), filled | nearest.isNull()
+    return grid.select(*SEGMENT, "k", t.alias("grid_t"), "dt_s", hermite("east_m").alias("east_m"), hermite("north_m").alias("north_m"), linear.alias("alt"), filled.alias("interpolated"))
 
 
 def _end_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
@@ -176,11 +187,27 @@ def savgol(values: np.ndarray, dt: float, window: int, order: int = 3) -> np.nda
     return out
 
 
-def savgol_column(values: Column, dt: Column, window: Column) -> Column:
+def savgol_column(values: Column, dt: Column, window: Column, order: int = 3) -> Column:
     """[position, velocity, acceleration] of an array column under any odd window, in Arrow batches."""
 
     @pandas_udf("array<array<double>>")
     def run(series: pd.Series, step: pd.Series, width: pd.Series) -> pd.Series:
-        return pd.Series([[list(map(float, row)) for row in savgol(np.asarray(v, dtype=float), float(d), int(w))] for v, d, w in zip(series, step, width, strict=True)])
+        return pd.Series([[list(map(float, row)) for row in savgol(np.asarray(v, dtype=float), float(d), int(w), order)] for v, d, w in zip(series, step, width, strict=True)])
 
     return run(values, dt, window)
+
+
+def smooth(grid: DataFrame, limits: Thresholds, values: tuple[str, ...] = ("east_m", "north_m", "alt")) -> DataFrame:
+    """The grid with position, velocity and acceleration of each value ({value}_pos, _vel, _acc), smoothed within each segment; the window
+    is the smoothing time in grid steps, odd, and at least window_min. Null where a window meets a null or does not fit."""
+    s = limits.smoothing
+    n = F.ceil(s.tau_s / F.col("dt_s"))
+    window = F.greatest(n + F.when(n % 2 == 0, 1).otherwise(0), F.lit(s.window_min))
+    others = [c for c in grid.columns if c not in SEGMENT and c not in ("k", "dt_s")]
+    rows = grid.groupBy(*SEGMENT).agg(F.max("dt_s").alias("dt_s"), F.array_sort(F.collect_list(F.struct("k", *others))).alias("rows"))
+    rows = rows.withColumns({f"{v}_all": savgol_column(F.col(f"rows.{v}"), F.col("dt_s"), window, s.polyorder) for v in values})
+    rows = rows.select(*SEGMENT, "dt_s", *[f"{v}_all" for v in values], F.posexplode("rows").alias("i", "row"))
+    at = lambda v, d: F.get(F.get(F.col(f"{v}_all"), F.lit(d)), F.col("i"))
+    smoothed = [F.when(~F.isnan(at(v, d)), at(v, d)).alias(f"{v}_{name}") for v in values for d, name in enumerate(("pos", "vel", "acc"))]
+    kept = [F.col("dt_s") if c == "dt_s" else F.col(f"row.{c}").alias(c) for c in grid.columns if c not in SEGMENT]
+    return rows.select(*SEGMENT, *kept, *smoothed)

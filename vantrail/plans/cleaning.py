@@ -1,5 +1,6 @@
-"""The seven-stage cleaning plan: clock, duplicates, spikes, frozen fixes, altitudes, trimming, flight cuts; then segments and
-grids. Every stage is a function from DataFrame to DataFrame; nothing is collected."""
+"""The seven-stage cleaning plan: altitude channel, fixes (clock, duplicates, spikes, frozen fixes, altitudes), trimming, flight cuts
+with the integrity gate, local frame, segments and native grids, smoothing with derivatives. Every stage is a function from
+DataFrame to DataFrame; nothing is collected."""
 
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ from vantrail.operators import census, clean, resample
 from vantrail.sources.tracks import by_flight
 
 KEYS = ["source", "flight_id"]
+#: Running counts of the fixes that a rule has removed.
+COUNTERS = ("removed_clock", "removed_spike", "removed_block", "removed_frozen")
 
 
 class Cleaned(NamedTuple):
@@ -23,34 +26,39 @@ class Cleaned(NamedTuple):
 
 
 def clean_tracks(fixes: DataFrame, limits: Thresholds, interpolate: bool = True) -> Cleaned:
-    """``fixes`` on native grids, one row a segment, and one row a flight with the reason it was cut, if it was."""
+    """``fixes`` on native grids, smoothed, one row a segment, and one row a flight with the reason it was cut, if it was, and what each
+    rule removed or nulled of its airborne fixes. Without ``interpolate`` the fixes of the segments as they are."""
     raw = fixes.groupBy(*KEYS).agg(F.count("*").alias("n_raw"))
-    fixes = clean.repair_clock(fixes).where("kept").drop("kept")
-    fixes = clean.merge_duplicates(fixes).drop("n_merged")
+    fixes = clean.removed(clean.repair_clock(fixes), ~F.col("kept"), "removed_clock").drop("kept")
+    fixes = clean.merge_duplicates(fixes, ("removed_clock",)).drop("n_merged")
     fixes = clean.altitude_source(clean.hampel(fixes, limits), limits)
-    fixes = clean.impossible(fixes, limits).where("not spike").drop("spike", "hampel", "resid_m", "mad_m", "n_near", "v_in", "v_out")
-    fixes = clean.remove_blocks(fixes, limits).where("kept").drop("kept")
+    fixes = clean.removed(clean.impossible(fixes, limits), F.col("spike"), "removed_spike").drop("spike", "hampel", "resid_m", "mad_m", "n_near", "v_in", "v_out")
+    fixes = clean.removed(clean.remove_blocks(fixes, limits), ~F.col("kept"), "removed_block").drop("kept")
     fixes = clean.frozen_runs(fixes, limits)
     after = F.lag("frozen").over(by_flight("fix_no"))
-    fixes = fixes.withColumn("split_before", F.col("split_before") | (F.coalesce(after, F.lit(False)) & ~F.col("frozen"))).where("not frozen").drop("frozen")
-    fixes = clean.bad_altitudes(fixes, limits)
+    fixes = fixes.withColumn("split_before", F.col("split_before") | (F.coalesce(after, F.lit(False)) & ~F.col("frozen")))
+    fixes = clean.removed(fixes, F.col("frozen"), "removed_frozen").drop("frozen")
+    fixes = clean.altitude_outliers(clean.bad_altitudes(fixes, limits), limits)
     window = clean.trim_window(fixes, limits)
     ground = clean.interior_ground(fixes, limits).where("kind = 'ground'").groupBy(*KEYS).agg(F.collect_list(F.struct("t0", "t1")).alias("ground"))
     fixes = fixes.join(window, KEYS).join(ground, KEYS, "left").where(F.col("reason").isNull() & F.col("t").between(F.col("t_on"), F.col("t_off")))
+    fixes = clean.airborne_counts(fixes, COUNTERS)
     inside = F.coalesce(F.exists("ground", lambda g: (F.col("t") > g["t0"]) & (F.col("t") < g["t1"])), F.lit(False))
     landed = F.coalesce(F.exists("ground", lambda g: F.col("t") == g["t1"]), F.lit(False))
     fixes = fixes.withColumn("split_before", F.col("split_before") | landed).where(~inside).drop("ground", "t_on", "t_off", "reason")
     w = by_flight("fix_no")
     step = great_circle_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    flights = fixes.withColumn("step", step).groupBy(*KEYS).agg(F.count("*").alias("n_clean"), (F.max("t") - F.min("t")).alias("duration_s"), (F.sum("step") / 1000).alias("path_km"), (F.max("alt") - F.min("alt")).alias("alt_range_m"), F.first("alt_source").alias("alt_source"))
+    flights = fixes.withColumn("step", step).groupBy(*KEYS).agg(F.count("*").alias("n_clean"), (F.max("t") - F.min("t")).alias("duration_s"), (F.sum("step") / 1000).alias("path_km"), (F.max("alt") - F.min("alt")).alias("alt_range_m"), F.first("alt_source").alias("alt_source"), *[F.first(c).alias(c) for c in ("n_airborne", *COUNTERS, "nulled_alt")])
     flights = raw.join(flights, KEYS, "left").join(window.select(*KEYS, "reason"), KEYS, "left")
     cut = census.flight_reason(F.col("duration_s"), F.col("path_km"), F.col("alt_range_m"), limits)
-    flights = flights.withColumn("reason", F.coalesce("reason", cut))
+    changed = sum((F.col(c) for c in COUNTERS), F.col("nulled_alt"))
+    rebuilt = F.when(~clean.removal_passes(changed, F.col("n_airborne"), limits), "removed_fraction")
+    flights = flights.withColumn("reason", F.coalesce("reason", rebuilt, cut))
     kept = fixes.join(flights.where(F.col("reason").isNull()).select(*KEYS), KEYS, "left_semi")
     placed = resample.with_segments(resample.with_enu(kept), limits, "split_before")
     segments = resample.segment_table(placed, limits)
     good = placed.join(segments.where("passes").select(*resample.SEGMENT), resample.SEGMENT, "left_semi")
-    return Cleaned(resample.native_grid(good) if interpolate else good, segments, flights)
+    return Cleaned(resample.smooth(resample.native_grid(good, limits), limits) if interpolate else good, segments, flights)
 
 
 def write_cleaned(cleaned: Cleaned, root: str) -> None:
