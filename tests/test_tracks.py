@@ -197,6 +197,15 @@ def test_blocks_and_discontinuity(spark):
     assert found.where("not kept").count() == 0 and [r.fix_no for r in found.where("split_before").collect()] == [61]
 
 
+@pytest.mark.parametrize(("step", "seconds", "goes"), [(1, 50, True), (1, 60, True), (1, 70, False), (4, 60, True), (4, 100, False)])
+def test_block_bound_is_in_seconds(spark, step, seconds, goes):
+    rows = [(t, a + (0.1 if 200 <= t <= 200 + seconds else 0), o, b) for t, a, o, b in circle(600)[::step]]
+    found = clean.remove_blocks(fixes(spark, rows), LIMITS)
+    gone = [r.t for r in found.where("not kept").orderBy("t").collect()]
+    assert gone == ([r[0] for r in rows if 200 <= r[0] <= 200 + seconds] if goes else [])
+    assert [r.t for r in found.where("split_before").orderBy("t").collect()] == ([] if goes else [200, 200 + seconds + step])
+
+
 @pytest.mark.parametrize(("flat", "jitter", "frozen"), [(True, 0.0, True), (False, 0.00001, False), (False, 0.0, True)])
 def test_frozen_needs_a_witness(spark, flat, jitter, frozen):
     rows = circle(300)

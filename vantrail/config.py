@@ -23,6 +23,8 @@ class FixLevel:
     frozen_span_s: float = 60.0
     frozen_baro_m: float = 5.0
     removed_fraction_max: float = 0.10
+    # Our choice: the rules speak of a bounded block and give no number.
+    block_max_s: float = 60.0
 
 
 @dataclass(frozen=True)

@@ -112,9 +112,9 @@ def impossible(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     return steps.withColumn("spike", F.coalesce(F.col("hampel") & (F.col("v_in") > speed_bound(limits)) & (F.col("v_out") > speed_bound(limits)), F.lit(False))).drop("dt", "step_m", "dz")
 
 
-def remove_blocks(fixes: DataFrame, limits: Thresholds, longest: int = 30) -> DataFrame:
+def remove_blocks(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     """Fixes with ``kept`` and ``split_before``: a burst of impossible fixes goes as the smallest block whose ends join at a possible
-    speed; where no block of up to ``longest`` fixes does, the track is split and nothing goes. Flights without an
+    speed; where no block that lasts up to block_max_s does, the track is split and nothing goes. Flights without an
     impossible step do not enter Python."""
     w = by_flight("fix_no")
     steps = with_steps(fixes)
@@ -125,7 +125,7 @@ def remove_blocks(fixes: DataFrame, limits: Thresholds, longest: int = 30) -> Da
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("fix_no", kind="stable")
-        keep, split = smallest_blocks(group["t"].to_numpy(), group["lat"].to_numpy(), group["lon"].to_numpy(), bounds.get(group["source"].iloc[0], np.inf), longest)
+        keep, split = smallest_blocks(group["t"].to_numpy(), group["lat"].to_numpy(), group["lon"].to_numpy(), bounds.get(group["source"].iloc[0], np.inf), limits.fix_level.block_max_s)
         return group.assign(kept=keep, split_before=split)
 
     del w
@@ -140,7 +140,7 @@ def _distance(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return float(2 * EARTH_RADIUS_M * np.arcsin(min(1.0, np.sqrt(a))))
 
 
-def smallest_blocks(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, bound: float, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def smallest_blocks(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, bound: float, longest: float) -> tuple[np.ndarray, np.ndarray]:
     keep, split = np.ones(len(t), dtype=bool), np.zeros(len(t), dtype=bool)
     anchor, i = 0, 1
     while i < len(t):
@@ -148,7 +148,11 @@ def smallest_blocks(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, bound: floa
         if dt <= 0 or _distance(lat[anchor], lon[anchor], lat[i], lon[i]) <= bound * dt:
             anchor, i = i, i + 1
             continue
-        for j in range(i + 1, min(len(t), i + longest + 1)):
+        for j in range(i + 1, len(t)):
+            if t[j - 1] - t[i] > longest:
+                split[i] = True
+                anchor, i = i, i + 1
+                break
             gap = t[j] - t[anchor]
             if gap > 0 and _distance(lat[anchor], lon[anchor], lat[j], lon[j]) <= bound * gap:
                 keep[i:j] = False
