@@ -153,3 +153,11 @@ def test_table_lookup(spark, docs):
     found = {r.doc_id: r.ids for r in sstable.lookup(spark, manifest, spark.createDataFrame([(3,), (77,), (10**9,)], "doc_id long")).collect()}
     want = expected(docs, BYTE)
     assert {k: np.frombuffer(v, "<u4").tolist() for k, v in found.items()} == {k: [*want[k], 0] for k in (3, 77)}
+
+
+def test_ids_beyond_two_bytes(spark):
+    with pytest.raises(ValueError):
+        sstable.Writer(2).add(sstable.encode_key(1), np.array([70_000], dtype="<u4").tobytes())
+    df = spark.createDataFrame([(1, "some words"), (2, "")], "doc_id long, text string")
+    back = sstable.read_tables(sstable.write_tables(df, BYTE, sstable.scratch_folder(spark), end_id=70_000)).collect()
+    assert [np.frombuffer(r.ids, "<u4")[-1] for r in back] == [70_000, 70_000]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vantrail.llm.common import checkpoint_dir, checkpointed, workers_import
-from vantrail.llm.tokens import library_encoder
+from vantrail.llm.tokens import library_encoder, vocabulary
 
 #: Fixed values of the format.
 MAGIC, FOOTER, BITS, PROBES = b"VTSST001", struct.Struct("<QQQQQQII8s"), 10, 7
@@ -102,7 +102,10 @@ class Writer:
             raise ValueError("keys out of order")
         n = len(ids) // 4
         if self.id_bytes == 2:
-            ids = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
+            wide = np.frombuffer(ids, dtype="<u4")
+            if n and wide.max() > 0xFFFF:
+                raise ValueError("an id does not fit 2 bytes")
+            ids = wide.astype("<u2").tobytes()
         shared = len(os.path.commonprefix([self.last, key])) if self.block_entries else 0
         if not self.block_entries:
             self.block_first = key
@@ -208,13 +211,17 @@ def open_table(uri: str) -> Table:
     return Table(read, source.size())
 
 
-def write_tables(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, id_bytes: int = 2, docs_per_shard: int = 4096) -> DataFrame:
+def write_tables(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, id_bytes: int | None = None, docs_per_shard: int = 4096) -> DataFrame:
     """Encode all documents and write them to ``folder`` in ascending key order; the manifest, one row a file, which is
     also the order of the files: (shard, part, uri, first, last, entries, n_ids).
 
     A null text is empty and holds ``end_id`` only; null keys come first. Rows of one key stay side by side and may
-    fill several shards, so no key makes a shard large. No rows give no files.
+    fill several shards, so no key makes a shard large. No rows give no files. Without ``id_bytes`` ids take 2 bytes where
+    the vocabulary's largest and ``end_id`` fit, else 4.
     """
+    if id_bytes is None:
+        known = vocabulary(tokenizer)
+        id_bytes = 2 if max(end_id, *known.vocab.values(), *known.special.values()) <= 0xFFFF else 4
     spark = docs.sparkSession
     workers_import(spark)
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
