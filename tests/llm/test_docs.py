@@ -278,3 +278,13 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[3][1](spark, at, DATA)
     assert {r.doc_id for r in packed.collect()} == left
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == left
+
+
+def test_near_dedup_at_other_similarities(spark):
+    assert (neardup.least_shared(75, 64), neardup.least_shared(50, 64), neardup.least_shared(75, 16)) == (28, 11, 2)
+    with pytest.raises(ValueError):
+        neardup.least_shared(10, 64)
+    word = lambda *of: "w" + "x".join(map(str, of))
+    rows = [(2 * p + side, " ".join([word(p, i) for i in range(200)] + [word(p, side, i) for i in range(100)])) for p in range(60) for side in (0, 1)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=50).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}

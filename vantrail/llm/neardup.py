@@ -5,8 +5,8 @@
 2. Inverted lists. Two sets of Jaccard similarity t share about t k sketch values. Under any fixed order of values, two
    sketches of size s that share c values share one among the first s - c + 1 of each. The order puts values that few
    documents hold first (the most frequent ones are counted, all others come by hash), so passages that many documents
-   share seldom make a list. c is 7/16 of the sketch, more than five standard deviations below what similarity 3/4
-   gives at k = 64.
+   share seldom make a list. c is a share of the sketch that a pair of the asked similarity falls below with a
+   probability of at most ``LOSS``: 28 of 64 at similarity 3/4.
 3. Candidates. A list of up to ``SMALL`` nodes gives its pairs. A longer one links each node with the list's hub, the
    node whose values are the most shared: in a group of edited copies that is the text they were made from. Estimates
    from the union sketch drop unlikely pairs, and exact Jaccard on the full sets confirms the rest.
@@ -24,6 +24,7 @@ The only thing that reaches the driver is the table of the ``COMMON`` most frequ
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from vantrail.llm.common import MARKS, checkpointed, drop_marked, workers_import
 
 #: Sketch size, words of a shingle, similarity in hundredths.
 K, WORDS, PERCENT = 64, 5, 75
+#: Most that the estimate may lose of the pairs whose similarity is exactly the asked one.
+LOSS = 3e-8
 #: Longest list whose pairs are all candidates; documents from which a value counts as frequent; frequent values kept.
 SMALL, FREQUENT, COMMON = 16, 16, 100_000
 #: Rounds of drawn links; they only save comparisons, since all that remains is compared after them.
@@ -117,7 +120,19 @@ def full_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.select("node", "set_key", "text").mapInArrow(run, "node long, hashes array<long>")
 
 
-def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def least_shared(percent: int, k: int) -> int:
+    """The most values c such that a pair at the asked similarity shares fewer than c of the k smallest of its union with a probability
+    of at most LOSS. An error where that is none, since sketches then find no pairs without loss."""
+    p, below, c = percent / 100, 0.0, 0
+    while c < k * p and below + comb(k, c) * p**c * (1 - p) ** (k - c) <= LOSS:
+        below += comb(k, c) * p**c * (1 - p) ** (k - c)
+        c += 1
+    if c < 1:
+        raise ValueError(f"sketches of {k} values do not find pairs of {percent} hundredths; take more values")
+    return c
+
+
+def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, c: int) -> DataFrame:
     """(value, node, shared): the first values of each sketch in the fixed order; shared sums how many hold its values."""
     values, held = common
 
@@ -133,7 +148,7 @@ def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
                 freq = np.where(values[at] == flat, held[at], 0)
             order = np.lexsort((flat, freq, row))
             rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            first = order[rank < (sizes - (7 * sizes + 15) // 16 + 1)[row]]
+            first = order[rank < (sizes - (c * sizes + k - 1) // k + 1)[row]]
             shared = np.bincount(row, weights=freq, minlength=len(sizes)).astype(np.int64)
             node = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(flat[first]), pa.array(node[row[first]]), pa.array(shared[row[first]])], names=["value", "node", "shared"])
@@ -141,10 +156,10 @@ def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     return nodes.select("node", "sketch").mapInArrow(run, "value long, node long, shared long")
 
 
-def likely(a: Column, b: Column, k: int = K) -> Column:
-    """Whether the similarity estimated from the union sketch is at least 7/16."""
+def likely(a: Column, b: Column, k: int, c: int) -> Column:
+    """Whether the similarity estimated from the union sketch is at least c of k."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    return 16 * F.size(F.array_intersect(union, F.array_intersect(a, b))) >= 7 * F.size(union)
+    return k * F.size(F.array_intersect(union, F.array_intersect(a, b))) >= c * F.size(union)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,7 +205,7 @@ def _grouped(docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
 
     counted = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("m"))
     top = counted.where(F.col("m") >= FREQUENT).orderBy(F.desc("m"), "value").limit(COMMON).toPandas().sort_values("value")  # COMMON rows at most
-    entries = prefixes(nodes, (top["value"].to_numpy(np.int64), top["m"].to_numpy(np.int64)))
+    entries = prefixes(nodes, (top["value"].to_numpy(np.int64), top["m"].to_numpy(np.int64)), k, least_shared(percent, k))
     lists = entries.groupBy("value").agg(F.count("*").alias("m"), F.max(F.struct("shared", (-F.col("node")).alias("minus"))).alias("hub")).where("m > 1")
     listed = checkpointed(entries.join(lists.select("value", "m", (-F.col("hub.minus")).alias("hub")), "value").select("value", "node", "m", "hub"))
 
@@ -229,10 +244,10 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.groupBy("node", "h").agg(F.first("set_key").alias("set_key"), F.first("text").alias("text"))
 
 
-def _likely_pairs(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
+def _likely_pairs(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     sk = sketches.select("node", "sketch")
     seen = pairs.join(sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return seen.where(likely(F.col("sa"), F.col("sb"), k)).select("a", "b")
+    return seen.where(likely(F.col("sa"), F.col("sb"), k, least_shared(percent, k))).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -244,7 +259,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
     """The pairs that the estimate lets pass and exact similarity on the full sets confirms."""
-    seen = checkpointed(_likely_pairs(pairs, nodes, k))
+    seen = checkpointed(_likely_pairs(pairs, nodes, k, percent))
     wanted = seen.select(F.col("a").alias("node")).unionByName(seen.select(F.col("b").alias("node"))).distinct()
     return _confirmed(seen, full_sets(_texts(wanted, nodes, docs), words), percent)
 
@@ -268,14 +283,14 @@ def _rest(entries: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFr
     for turn in range(ROUNDS):
         drawn = rest.groupBy("value").agg(F.max(F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("of"))).alias("d")).select("value", "d.pivot", "d.of")
         pairs = rest.join(drawn, "value").where(F.col("root") != F.col("of")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = _confirmed(_likely_pairs(pairs, sketch, k), sets, percent)
+        found = _confirmed(_likely_pairs(pairs, sketch, k, percent), sets, percent)
         if found.isEmpty():
             break
         links = links.unionByName(found)
         labels = components(links)
         rest = checkpointed(_spanning(rest.select("value", "node"), labels))
     left = _prefix_pairs(rest, sets, percent)
-    found = _confirmed(_likely_pairs(left, sketch, k), sets, percent)
+    found = _confirmed(_likely_pairs(left, sketch, k, percent), sets, percent)
     return labels if found.isEmpty() else components(links.unionByName(found))
 
 
