@@ -288,3 +288,9 @@ def test_near_dedup_at_other_similarities(spark):
     rows = [(2 * p + side, " ".join([word(p, i) for i in range(200)] + [word(p, side, i) for i in range(100)])) for p in range(60) for side in (0, 1)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=50).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_one_set_a_node_where_texts_of_a_key_differ(spark):
+    docs = spark.createDataFrame([(1, "One two three four five six"), (1, "one  TWO three four five six")], "key long, text string")
+    nodes = neardup.sketches(docs, "key", "text").groupBy("set_key").agg(F.min("key").alias("doc")).withColumn("node", F.lit(0).cast("long"))
+    assert nodes.count() == 1 and [len(r.hashes) for r in neardup.node_sets(nodes.select("node"), nodes, docs, 5).collect()] == [2]

@@ -244,6 +244,11 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.groupBy("node", "h").agg(F.first("set_key").alias("set_key"), F.first("text").alias("text"))
 
 
+def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of the wanted nodes, one row each, also where texts of one key differ and their sets do not."""
+    return full_sets(_texts(wanted, nodes, docs), words).dropDuplicates(["node"])
+
+
 def _likely_pairs(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     sk = sketches.select("node", "sketch")
     seen = pairs.join(sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -279,7 +284,7 @@ def _rest(entries: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFr
         return labels
     who = checkpointed(rest.select("node").distinct())
     sketch = checkpointed(nodes.select("node", "sketch").join(who, "node", "left_semi"))
-    sets = checkpointed(full_sets(_texts(who, nodes, docs), words))
+    sets = checkpointed(node_sets(who, nodes, docs, words))
     for turn in range(ROUNDS):
         drawn = rest.groupBy("value").agg(F.max(F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("of"))).alias("d")).select("value", "d.pivot", "d.of")
         pairs = rest.join(drawn, "value").where(F.col("root") != F.col("of")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
