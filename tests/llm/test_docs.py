@@ -73,9 +73,9 @@ def test_near_duplicates_on_the_table(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op5_near_dedup(spark, DATA).collect()} == near_brute(rows)
 
 
-def test_near_duplicates_without_rounds(spark, copies, monkeypatch):
+def test_near_duplicates_in_blocks(spark, copies, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 2)
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     got = neardup.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c, _) in near_brute(copies).items()}
 
@@ -291,6 +291,52 @@ def test_near_dedup_at_other_similarities(spark):
 
 
 def test_one_set_a_node_where_texts_of_a_key_differ(spark):
-    docs = spark.createDataFrame([(1, "One two three four five six"), (1, "one  TWO three four five six")], "key long, text string")
-    nodes = neardup.sketches(docs, "key", "text").groupBy("set_key").agg(F.min("key").alias("doc")).withColumn("node", F.lit(0).cast("long"))
-    assert nodes.count() == 1 and [len(r.hashes) for r in neardup.node_sets(nodes.select("node"), nodes, docs, 5).collect()] == [2]
+    docs = spark.createDataFrame([(1, "One two three four five six"), (1, "one  TWO three four five six"), (1, "another text of the same key")] * 3, "key long, text string")
+    nodes = neardup.nodes_of(neardup.sketches(docs, "key", "text"))
+    assert sorted(len(r.hashes) for r in neardup.node_sets(nodes.select("node"), nodes, docs, 5).collect()) == [2, 2]
+
+
+def test_word_hashes_in_windows(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Ab", "ab", "é", "\t", "x" * 90, "\n\x0b", "中文"]) for _ in range(rng.randrange(0, 60))) for _ in range(80)]
+    texts += ["", "y" * 700, " "]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+    flat = np.frombuffer(b"".join(data), dtype=np.uint8)
+    whole, at = neardup.word_hashes(flat, offsets)
+    words = [w for d in data for w in d.lower().split()]
+    assert len(whole) == len(words) == at[-1] and len(set(words)) == len(set(whole.tolist())) == len(set(zip(words, whole.tolist(), strict=True)))
+    assert np.diff(at).tolist() == [len(d.split()) for d in data]
+    monkeypatch.setattr(neardup, "WINDOW", 128)
+    assert (neardup.word_hashes(flat, offsets)[0] == whole).all()
+    assert [len(s) for s in neardup.shingle_sets(flat, offsets)] == [len(shingles(t)) for t in texts]
+
+
+def test_common_counts_and_estimate():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120))) for _ in range(40)]
+    row = np.repeat(np.arange(40), [len(s) for s in sets])
+    got = neardup.common_counts(np.concatenate(sets), row, 40)
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (np.triu(got, 1) == np.triu(want, 1)).all() and (got == got.T).all()
+    sketch = np.full((40, 16), np.iinfo(np.int64).max)
+    for i, s in enumerate(sets):
+        sketch[i, : min(16, len(s))] = s[:16]
+    a, b = np.triu_indices(40, 1)
+    sure = neardup.estimated(sketch, a, b, 16, 3)
+    for i, j, yes in zip(a, b, sure, strict=True):
+        union = np.union1d(sets[i][:16], sets[j][:16])[:16]
+        shared = np.intersect1d(np.intersect1d(sets[i][:16], sets[j][:16]), union)
+        assert yes == (16 * len(shared) >= 3 * len(union))
+
+
+def test_kept_rows_beyond_the_broadcast(spark, odd_docs, monkeypatch):
+    from vantrail.llm import common
+
+    rows = spark.createDataFrame([(3, None), (3, None), (1, "a b c d e"), (2, "a b c d e"), (2, "A b c d e"), (1, "a b c d e")], "doc_id long, text string")
+    for marks in (1 << 18, 0):
+        monkeypatch.setattr(common, "MARKS", marks)
+        monkeypatch.setattr(neardup, "MARKS", marks)
+        assert Counter((r.doc_id, r.text) for r in neardup.kept_rows(rows).collect()) == Counter([(3, None), (3, None), (1, "a b c d e")])
+        assert Counter((r.doc_id, r.text) for r in exactdup.exact_dedup_rows(rows).collect()) == Counter([(3, None), (1, "a b c d e"), (2, "A b c d e")])
+        assert Counter(r.doc_id for r in neardup.kept_rows(odd_docs).collect()) == Counter([1, 3, 4, 5, None, 8, 9, 10])

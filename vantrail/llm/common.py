@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-#: The ASCII white space of the text contracts, and Unicode White_Space.
+#: Fixed value: the ASCII white space of the text contracts.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
-UNICODE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,14 +35,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vantrail-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so a lost executor costs a re-read and nothing more."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table in the shared folder and read back: lineage is cut, so a lost executor costs a re-read and nothing more,
+    later reads take the columns they need, and the planner knows the size (a plan of many checkpoints multiplies sizes it can
+    only guess). The tables stay until ``clear_scratch``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``checkpointed`` wrote in this application; DataFrames that read them can't be used after it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def workers_import(spark: SparkSession) -> None:
@@ -56,22 +73,42 @@ def utf8(column: Column) -> Column:
     return column.cast("binary")
 
 
-#: Rows of the table of hash buckets that tells which rows need an exact look.
+#: Rows that are broadcast at most; beyond them the same join shuffles.
 MARKS = 1 << 18
 
 
 def drop_marked(rows: DataFrame, dropped: DataFrame, repeated: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` without those whose identity ``names`` is in ``dropped``, and with one each of those in ``repeated``.
+    """``rows`` without those whose identity ``names`` is in ``dropped``, and with one each of those in ``repeated``; no identity is in both.
 
-    Identities are hashed to MARKS buckets, and the buckets in question, MARKS rows at most, are broadcast. Rows in other
-    buckets pass where they are; only rows in these move to the exact comparison.
+    Up to MARKS identities are broadcast and rows stay where they are; beyond that rows and identities meet in a shuffle.
     """
-    bucket = F.pmod(F.xxhash64(*names), F.lit(MARKS))
-    marks = F.broadcast(dropped.select(*names).unionByName(repeated.select(*names)).select(bucket.alias("__mark")).distinct())
-    clear = rows.join(marks, bucket == F.col("__mark"), "left_anti")
-    asked = rows.join(marks, bucket == F.col("__mark"), "left_semi")
-    gone = dropped.select(*[F.col(n).alias(f"{n}_gone") for n in names]).distinct()
-    same = F.lit(True)
+    acts = dropped.select(*names, F.lit(True).alias("__gone")).unionByName(repeated.select(*names, F.lit(False).alias("__gone"))).distinct()
+    acts = checkpointed(acts.select(*[F.col(n).alias(f"{n}_of") for n in names], "__gone"))
+    count, once = acts.count(), not acts.where("not __gone").isEmpty()
+    same = F.xxhash64(*names) == F.xxhash64(*[f"{n}_of" for n in names])
     for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"{n}_gone"))
-    return clear.unionByName(asked.join(gone, same, "left_anti").dropDuplicates(names)).drop(*names)
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_of"))
+    marked = rows.join(F.broadcast(acts) if count <= MARKS else acts, same, "left").drop(*[f"{n}_of" for n in names])
+    clear = marked.where(F.col("__gone").isNull()).drop("__gone")
+    if once:
+        clear = clear.unionByName(marked.where("not __gone").drop("__gone").dropDuplicates(names))
+    return clear.drop(*names)
+
+
+#: Bytes of text a worker takes apart at once; one longer text is taken alone.
+SLICE = 1 << 22
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches in slices of at most SLICE bytes of text or one row, with the UTF-8 bytes of the texts and their offsets. A null text is empty."""
+    for batch in batches:
+        texts = batch.column(column)
+        wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+        _, where, data = texts.buffers()
+        at = np.frombuffer(where, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        bytes_ = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, "right")) - 1)
+            yield batch.slice(lo, hi - lo), bytes_[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+            lo = hi

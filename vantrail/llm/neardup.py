@@ -10,15 +10,18 @@
 3. Candidates. A list of up to ``SMALL`` nodes gives its pairs. A longer one links each node with the list's hub, the
    node whose values are the most shared: in a group of edited copies that is the text they were made from. Estimates
    from the union sketch drop unlikely pairs, and exact Jaccard on the full sets confirms the rest.
-4. The rest of the long lists. While lists span several components, rounds link each of their nodes with one drawn anew for
-   the list, until a round merges nothing. Then the full
-   sets of the nodes in question are ordered by how rare their shingles are among them; pairs of different components
-   that share one of their first, few by an exact bound, go through the same estimate and verification. So no list is
-   capped and no link between components is lost.
-5. Components by contraction; every node hooks to its smallest neighbour, and edges are relabelled until none is left.
-
-Scale: what is shuffled is a few dozen sketch values a document and the full sets of documents that have a candidate.
-The only thing that reaches the driver is the table of the ``COMMON`` most frequent values.
+4. The rest of the long lists. Lists with one hub hold much the same nodes and make one family. Its nodes fall into those
+   that link with the hub, which need no comparison with each other, and the rest. Both are dealt by hash into blocks of
+   at most about ``BLOCK`` nodes and ``BLOCK_HASHES`` shingles, and every pair of blocks that holds a node of the rest
+   is one unit of work: overlaps of the sketches, the estimate, exact Jaccard, and of the links it finds a spanning
+   forest leaves the unit. So no list is capped, no link between components is lost, and no pair becomes a row.
+5. Components by contraction, once, over all links; every node hooks to its smallest neighbour, and edges are relabelled
+   until none is left.
+
+Scale: what is shuffled is a few dozen sketch values a document and the full sets of documents that have a candidate; a
+node of a family's rest goes to as many units as the family has blocks. A family whose copies mostly do not link with
+their hub is compared in full, the square of its number, in units of bounded size. The only thing that reaches the
+driver is the table of the ``COMMON`` most frequent values.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import MARKS, checkpointed, drop_marked, workers_import
+from vantrail.llm.common import MARKS, checkpointed, drop_marked, text_slices, workers_import
 
 #: Sketch size, words of a shingle, similarity in hundredths.
 K, WORDS, PERCENT = 64, 5, 75
@@ -41,12 +44,13 @@ K, WORDS, PERCENT = 64, 5, 75
 LOSS = 3e-8
 #: Longest list whose pairs are all candidates; documents from which a value counts as frequent; frequent values kept.
 SMALL, FREQUENT, COMMON = 16, 16, 100_000
-#: Rounds of drawn links; they only save comparisons, since all that remains is compared after them.
-ROUNDS = 2
+#: Nodes and shingles of a block, about.
+BLOCK, BLOCK_HASHES = 512, 1 << 17
+#: Bytes hashed at once, columns of a product, pairs estimated at once.
+WINDOW, COLUMNS, ESTIMATED = 1 << 18, 2048, 8192
 _U = np.uint64
-#: Odd multipliers of the words of a shingle, from the golden ratio.
-_MULTIPLIERS = [_U(0x9E3779B97F4A7C15 * (2 * i + 3) % (1 << 64) | 1) for i in range(64)]
-_WORD_TABLE = 1_000_000
+#: The base of a word's hash, which has an inverse.
+_BASE = 0xD1342543DE82EF95
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -55,33 +59,68 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> _U(31))) >> _U(1)
 
 
-class Shingler:
-    """Sets of shingle hashes, ascending. Words are maximal runs without ASCII white space, A-Z in lower case."""
-
-    def __init__(self, words: int = WORDS):
-        self.n, self.table = words, {}
-
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.table) > _WORD_TABLE:
-            self.table.clear()
-        split = [(t or "").encode().lower().split() for t in texts]
-        table, hashed = self.table, xxhash.xxh3_64_intdigest
-        for w in set().union(*split).difference(table) if split else ():
-            table[w] = hashed(w)
-        counts = [len(s) for s in split]
-        flat = np.fromiter((table[w] for s in split for w in s), dtype=np.uint64, count=sum(counts))
-        rolled = np.zeros(max(0, len(flat) - self.n + 1), dtype=np.uint64)
-        for i in range(self.n):
-            rolled += flat[i : i + len(rolled)] * _MULTIPLIERS[i]
-        rolled = _mix(rolled)
-        out, at = [], 0
-        for s, n in zip(split, counts, strict=True):
-            if n >= self.n:
-                out.append(np.unique(rolled[at : at + n - self.n + 1]).astype(np.int64))
-            else:
-                out.append(np.array([hashed(b" ".join(s), seed=n) >> 1] if s else [], dtype=np.int64))
-            at += n
-        return out
+#: Odd multipliers of the words of a shingle, without a simple relation between them.
+_MULTIPLIERS = list(_mix(np.arange(1, 65, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1))
+
+
+def _byte_values() -> np.ndarray:
+    """A value for each byte: zero for ASCII white space, that of the small letter for A-Z."""
+    values = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
+    values[65:91] = values[97:123]
+    values[[0x20, *range(0x09, 0x0E)]] = 0
+    return values
+
+
+_VALUES = _byte_values()
+_SPACE = _VALUES == 0
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(WINDOW, _BASE), _powers(WINDOW, pow(_BASE, -1, 1 << 64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the texts, whose UTF-8 bytes lie between the offsets, and where each text's words begin. Words are
+    maximal runs without ASCII white space, A-Z in lower case; a word's hash is a polynomial in its bytes' values."""
+    word = ~_SPACE[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[begins] = word[begins]
+    starts = np.flatnonzero(first)
+    out, at = np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        lo = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, lo + WINDOW, "right")) - 1) if len(data) - lo > WINDOW else len(starts)
+        chunk = _VALUES[data[lo : starts[to] if to < len(starts) else len(data)]]
+        own = starts[at:to] - lo
+        powers, inverses = (_POWERS, _INVERSES) if len(chunk) <= WINDOW else (_powers(len(chunk), _BASE), _powers(len(chunk), pow(_BASE, -1, 1 << 64)))
+        out[at:to] = np.add.reduceat(chunk * powers[: len(chunk)], own) * inverses[own]
+        at = to
+    return _mix(out), np.searchsorted(starts, offsets)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+    """For each text its distinct shingle hashes, ascending; of fewer words the whole sequence is one, of none nothing."""
+    hashed, at = word_hashes(data, offsets)
+    rolled = np.zeros(max(0, len(hashed) - words + 1), dtype=np.uint64)
+    for i in range(words):
+        rolled += hashed[i : i + len(rolled)] * _MULTIPLIERS[i]
+    rolled = _mix(rolled).astype(np.int64)
+    out = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if hi - lo >= words:
+            own = np.sort(rolled[lo : hi - words + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            short = (hashed[lo:hi] * np.array(_MULTIPLIERS[: hi - lo], dtype=np.uint64)).sum(dtype=np.uint64, keepdims=True)
+            out.append(_mix(short ^ _U(hi - lo)).astype(np.int64) if hi > lo else np.empty(0, np.int64))
+    return out
 
 
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
@@ -94,28 +133,22 @@ def sketches(docs: DataFrame, key: str, text: str, k: int = K, words: int = WORD
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                sets = shingler.sets(batch.column(1).to_pylist())
-                digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([s[:k] for s in sets])], names=[key, "h", "n", "set_key", "sketch"])
+        for batch, data, offsets in text_slices(batches, 1):
+            sets = shingle_sets(data, offsets, words)
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([s[:k] for s in sets])], names=[key, "h", "n", "set_key", "sketch"])
 
     return docs.select(key, text, F.xxhash64(text).alias("h")).mapInArrow(run, schema)
 
 
 def full_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, set_key, hashes) of rows (node, set_key, text): the whole set, kept only where its digest is the node's."""
+    """(node, hashes) of rows (node, set_key, text): the whole set, kept only where its digest is the node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                sets = shingler.sets(batch.column(2).to_pylist())
-                same = [i for i, (s, d) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == d]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same, pa.int32())), _lists([sets[i] for i in same])], names=["node", "hashes"])
+        for batch, data, offsets in text_slices(batches, 2):
+            sets = shingle_sets(data, offsets, words)
+            same = [i for i, (s, d) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == d]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same, pa.int32())), _lists([sets[i] for i in same])], names=["node", "hashes"])
 
     return rows.select("node", "set_key", "text").mapInArrow(run, "node long, hashes array<long>")
 
@@ -200,59 +233,70 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def _grouped(docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
     """(key, h, n, group, least) for every row (key, text): the component, null for an empty set, and its smallest key."""
     rows = checkpointed(sketches(docs, "key", "text", k, words))
-    nodes = rows.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("key").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = nodes_of(rows)
+    links = _links(nodes, docs, k, words, percent)
+    labels = components(links)
+    named = nodes.select("set_key", "node", "least").join(labels, "node", "left")
+    smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("of_all"))
+    named = named.join(smallest, "root", "left").select("set_key", F.coalesce("root", "node").alias("group"), F.coalesce("of_all", "least").alias("least"))
+    return rows.select("key", "h", "n", "set_key").join(named, "set_key", "left").select("key", "h", "n", "group", "least")
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """(node, set_key, least, doc, h, n, sketch) of each distinct set: the smallest key, and key and text hash of one row that has it."""
+    one = F.min(F.struct(F.col("key").alias("doc"), "h"))
+    nodes = rows.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("key").alias("least"), one.alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    return checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "least", "one.doc", "one.h", "n", "sketch"))
+
 
+def _links(nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
+    """(a, b): links that connect all of each component."""
     counted = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("m"))
     top = counted.where(F.col("m") >= FREQUENT).orderBy(F.desc("m"), "value").limit(COMMON).toPandas().sort_values("value")  # COMMON rows at most
-    entries = prefixes(nodes, (top["value"].to_numpy(np.int64), top["m"].to_numpy(np.int64)), k, least_shared(percent, k))
-    lists = entries.groupBy("value").agg(F.count("*").alias("m"), F.max(F.struct("shared", (-F.col("node")).alias("minus"))).alias("hub")).where("m > 1")
-    listed = checkpointed(entries.join(lists.select("value", "m", (-F.col("hub.minus")).alias("hub")), "value").select("value", "node", "m", "hub"))
-
-    short = listed.where(F.col("m") <= SMALL).select("value", "node")
-    pairs = _pairs(short)
-    star = listed.where((F.col("m") > SMALL) & (F.col("node") != F.col("hub"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    links = _verified(pairs.unionByName(star).distinct(), nodes, docs, k, words, percent)
-    labels = components(links)
+    c = least_shared(percent, k)
+    entries = prefixes(nodes, (top["value"].to_numpy(np.int64), top["m"].to_numpy(np.int64)), k, c)
+    lists = entries.groupBy("value").agg(F.count("*").alias("m"), F.max("shared").alias("most")).where("m > 1")
+    listed = checkpointed(entries.join(lists, "value"))
+
+    pairs = _pairs(listed.where(F.col("m") <= SMALL).select("value", "node"))
+    long_ = listed.where(F.col("m") > SMALL)
+    hubs = long_.where("shared = most").groupBy("value").agg(F.min("node").alias("hub"))
+    family = checkpointed(long_.join(hubs, "value").select("hub", "node").distinct())
+    star = family.where("hub <> node").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    seen = checkpointed(_likely_pairs(pairs.unionByName(star).distinct(), nodes, k, c, percent))
+    wanted = seen.select(F.col("a").alias("node")).unionByName(seen.select(F.col("b").alias("node"))).distinct()
+    links = _confirmed(seen, node_sets(wanted, nodes, docs, words), percent)
 
-    labels = _rest(listed.where(F.col("m") > SMALL).select("value", "node"), links, labels, nodes, docs, k, words, percent)
-
-    named = nodes.select("set_key", "node", "doc").join(labels, "node", "left")
-    smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc").alias("least"))
-    named = named.join(smallest, "root", "left").select("set_key", F.coalesce("root", "node").alias("group"), F.coalesce("least", "doc").alias("least"))
-    return rows.select("key", "h", "n", "set_key").join(named, "set_key", "left").select("key", "h", "n", "group", "least")
+    known = links.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("hub"), F.col("a").alias("node")))
+    dealt = _dealt(family, known, nodes)
+    if dealt.isEmpty():
+        return links
+    sets = node_sets(dealt.select("node").distinct(), nodes, docs, words)
+    forest = dealt.join(sets, "node").groupBy("hub", "low", "high").applyInArrow(_unit(k, c, percent), "a long, b long")
+    return links.unionByName(checkpointed(forest))
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
-    """Pairs within a list; where components are known, only between different ones."""
-    names = [c for c in entries.columns if c != "value"]
-    left, right = (entries.select("value", *[F.col(c).alias(s + c) for c in names]) for s in "ab")
-    differ = F.col("anode") < F.col("bnode")
-    if "root" in names:
-        differ &= F.col("aroot") != F.col("broot")
-    return left.join(right, (left["value"] == right["value"]) & differ).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
-
-
-def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, set_key, text) of the wanted nodes, one row each; a key on several rows can give one of another text,
-    which its digest shows later, so all distinct texts of such a key come along."""
-    who = checkpointed(wanted.join(nodes.select("node", "doc", "set_key"), "node"))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
-    marks = F.broadcast(who.select(bucket("doc").alias("mark")).distinct())  # MARKS rows at most: other rows never move
-    docs = docs.join(marks, bucket("key") == F.col("mark"), "left_semi")
-    found = who.join(docs, who["doc"].eqNullSafe(docs["key"])).select("node", "set_key", "text", F.xxhash64("text").alias("h"))
-    return found.groupBy("node", "h").agg(F.first("set_key").alias("set_key"), F.first("text").alias("text"))
+    """Pairs within a list."""
+    left, right = (entries.select("value", F.col("node").alias(s)) for s in "ab")
+    return left.join(right, (left["value"] == right["value"]) & (F.col("a") < F.col("b"))).select("a", "b")
 
 
 def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of the wanted nodes, one row each, also where texts of one key differ and their sets do not."""
-    return full_sets(_texts(wanted, nodes, docs), words).dropDuplicates(["node"])
+    """(node, hashes) of the wanted nodes, one row each, from the row that stands for each. Up to MARKS of them are broadcast and no
+    text moves; beyond that texts and nodes meet in a shuffle."""
+    who = checkpointed(wanted.join(nodes.select("node", "doc", "h", "set_key"), "node"))
+    small = F.broadcast(who) if who.count() <= MARKS else who
+    docs = docs.select("key", "text", F.xxhash64("text").alias("th"))
+    found = docs.join(small, docs["key"].eqNullSafe(small["doc"]) & (docs["th"] == small["h"]))
+    return full_sets(found, words).dropDuplicates(["node"])
 
 
-def _likely_pairs(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    sk = sketches.select("node", "sketch")
-    seen = pairs.join(sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return seen.where(likely(F.col("sa"), F.col("sb"), k, least_shared(percent, k))).select("a", "b")
+def _likely_pairs(pairs: DataFrame, nodes: DataFrame, k: int, c: int, percent: int) -> DataFrame:
+    """The pairs whose sizes allow the similarity and whose estimate comes near it."""
+    of = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias("n" + s), F.col("sketch").alias("s" + s))
+    seen = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return seen.where(likely(F.col("sa"), F.col("sb"), k, c)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,65 +306,116 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checkpointed(both.where((100 + percent) * shared >= percent * (F.size("ha") + F.size("hb"))).select("a", "b"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
-    """The pairs that the estimate lets pass and exact similarity on the full sets confirms."""
-    seen = checkpointed(_likely_pairs(pairs, nodes, k, percent))
-    wanted = seen.select(F.col("a").alias("node")).unionByName(seen.select(F.col("b").alias("node"))).distinct()
-    return _confirmed(seen, full_sets(_texts(wanted, nodes, docs), words), percent)
-
-
-def _spanning(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(value, node, root) of the lists that span several components."""
-    now = entries.join(labels, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-    open_ = now.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    return now.join(open_.select("value"), "value")
-
-
-def _rest(entries: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int) -> DataFrame:
-    """The components once no list hides a link. Rounds link each node of a spanning list with a node drawn for that list and
-    round; then all pairs between components that an exact bound leaves are compared."""
-    rest = checkpointed(_spanning(entries, labels))
-    if rest.isEmpty():
-        return labels
-    who = checkpointed(rest.select("node").distinct())
-    sketch = checkpointed(nodes.select("node", "sketch").join(who, "node", "left_semi"))
-    sets = checkpointed(node_sets(who, nodes, docs, words))
-    for turn in range(ROUNDS):
-        drawn = rest.groupBy("value").agg(F.max(F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("of"))).alias("d")).select("value", "d.pivot", "d.of")
-        pairs = rest.join(drawn, "value").where(F.col("root") != F.col("of")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = _confirmed(_likely_pairs(pairs, sketch, k, percent), sets, percent)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        labels = components(links)
-        rest = checkpointed(_spanning(rest.select("value", "node"), labels))
-    left = _prefix_pairs(rest, sets, percent)
-    found = _confirmed(_likely_pairs(left, sketch, k, percent), sets, percent)
-    return labels if found.isEmpty() else components(links.unionByName(found))
-
-
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs between components of these nodes that can be similar, by the rarest shingles of their full sets. A set of n and a
-    partner of m or more share at least o = percent (n + m) / (100 + percent) shingles, so under one order, rarest among
-    these nodes first, their first n - o + 1 meet; m is at least percent n / 100 and the least size in the node's lists."""
-    roots = rest.select("node", "root").distinct()
-    sized = sets.join(roots, "node").withColumn("n", F.size("hashes"))
-    least = rest.join(sized.select("node", "n"), "node").groupBy("value").agg(F.min("n").alias("least"))
-    least = rest.join(least, "value").groupBy("node").agg(F.min("least").alias("least"))
-    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    first = F.col("n") - F.ceil(percent * (F.col("n") + partner) / (100 + percent)) + 1
-    spread = sized.join(least, "node").select("node", "root", first.alias("first"), F.explode("hashes").alias("value"))
-    held = spread.groupBy("value").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("m", "value"))
-    ranked = spread.join(held, "value").withColumn("rank", rank).where((F.col("rank") <= F.col("first")) & (F.col("r0") != F.col("r1")))
-    return _pairs(checkpointed(ranked.select("value", "node", "root"))).distinct()
+def _dealt(family: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(hub, low, high, block, node): each node of a family in every unit of its block. Blocks 0 to r - 1 hold the rest of a family, which
+    is not linked with the hub, and the blocks after these the others; a unit is two blocks, or one, with a block of the rest."""
+    own = family.join(links.select("hub", "node", F.lit(True).alias("linked")).distinct(), ["hub", "node"], "left")
+    own = own.select("hub", "node", (F.col("linked").isNull() & (F.col("hub") != F.col("node"))).alias("rest"))
+    sized = checkpointed(own.join(nodes.select("node", "n"), "node"))
+    need = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / BLOCK_HASHES))
+    blocks = sized.groupBy("hub").agg(need(F.col("rest")).alias("r"), need(~F.col("rest")).alias("o")).where("r > 0")
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("o")))
+    placed = sized.join(blocks, "hub").withColumn("block", at + F.when(F.col("rest"), F.lit(0)).otherwise(F.col("r")))
+    last = F.when(F.col("rest"), F.col("r") + F.col("o")).otherwise(F.col("r")) - 1
+    spread = placed.select("hub", "node", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other"))
+    return checkpointed(spread.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node"))
+
+
+def common_counts(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two of n rows share; a row holds a value once."""
+    _, column, held = np.unique(values, return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, many = row[order], held[column[order]]
+    for h in range(2, 9):  # few holders: their pairs
+        of = row[many == h].reshape(-1, h)
+        for i in range(h):
+            for j in range(i):
+                out += np.bincount(of[:, i] * n + of[:, j], minlength=n * n).reshape(n, n) if len(of) else 0
+    out += out.T
+    heavy = many > 8
+    place = np.cumsum(np.concatenate([[0], np.diff(column[order][heavy]) != 0])) if heavy.any() else np.empty(0, int)
+    row = row[heavy]
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        here = (place >= lo) & (place < lo + COLUMNS)
+        part = np.zeros((n, COLUMNS), dtype=np.float32)
+        part[row[here], place[here] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def estimated(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, c: int) -> np.ndarray:
+    """Whether the similarity that the union sketch of each pair gives is at least c of k; short sketches are filled with the largest int."""
+    out, none = np.empty(len(a), dtype=bool), np.iinfo(np.int64).max
+    for lo in range(0, len(a), ESTIMATED):
+        both = np.sort(np.concatenate([sketch[a[lo : lo + ESTIMATED]], sketch[b[lo : lo + ESTIMATED]]], axis=1), axis=1)
+        again = np.zeros(both.shape, dtype=bool)
+        again[:, 1:] = both[:, 1:] == both[:, :-1]
+        real = both != none
+        rank = np.cumsum(real & ~again, axis=1)
+        shared = (again & real & (rank <= k)).sum(axis=1)
+        out[lo : lo + ESTIMATED] = k * shared >= c * np.minimum(rank[:, -1], k)
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Of links between n rows as many as connect what they connect."""
+    linked = np.zeros((n, n), dtype=bool)
+    linked[a, b] = linked[b, a] = True
+    fresh, x, y = np.ones(n, dtype=bool), [], []
+    for root in range(n):
+        todo = [root] if fresh[root] else []
+        fresh[root] = False
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(linked[at] & fresh)
+            fresh[found] = False
+            todo += found.tolist()
+            x += [at] * len(found)
+            y += found.tolist()
+    return x, y
+
+
+def _unit(k: int, c: int, percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        node, block, lists = rows["node"].to_numpy(), rows["block"].to_numpy(), rows["hashes"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        n, size = len(node), lists.value_lengths().to_numpy().astype(np.int64)
+        flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(n), size)
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        first = rank < k
+        sketch = np.full((n, k), np.iinfo(np.int64).max)
+        sketch[row[first], rank[first]] = flat[first]
+        short = np.minimum(size, k)
+        overlap = common_counts(flat[first], row[first], n)
+        may = k * overlap >= c * np.minimum(k, short[:, None] + short[None, :] - overlap)
+        may &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+        low, high = int(rows["low"][0].as_py()), int(rows["high"][0].as_py())
+        may &= np.triu(np.ones((n, n), dtype=bool), 1) if low == high else ((block == low)[:, None] & (block == high)[None, :])
+        a, b = np.nonzero(may)
+        sure = estimated(sketch, a, b, k, c)
+        a, b = a[sure], b[sure]
+        x: list[int] = []
+        y: list[int] = []
+        if len(a):
+            used = np.zeros(n, dtype=bool)
+            used[a] = used[b] = True
+            take = used[row]
+            shared = common_counts(flat[take], row[take], n)[a, b]
+            yes = (100 + percent) * shared.astype(np.int64) >= percent * (size[a] + size[b])
+            x, y = _forest(a[yes], b[yes], n)
+        return pa.table({"a": pa.array(node[x], pa.int64()), "b": pa.array(node[y], pa.int64())})
+
+    return run
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, all columns as they were: the row of the smallest key, null
     last, and of several such rows the one whose text has the smallest hash. Rows without words all stay.
 
-    Only keys and hashes of texts decide; then texts are read once more, and only rows in doubt move.
+    Only keys and hashes of texts decide; then texts are read once more.
     """
     rows = checkpointed(_grouped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), k, words, percent).where(F.col("group").isNotNull()).select(F.col("key").alias("__k"), F.col("h").alias("__h"), "group"))
     order = F.struct(F.col("__k").isNull().alias("none"), F.col("__k").alias("k"), F.col("__h").alias("h"))
