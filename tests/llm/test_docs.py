@@ -243,19 +243,38 @@ def test_shrinkage(spark):
     rows = [("big", "p", 1.0)] * 90 + [("big", "p", 0.0)] * 10 + [("tiny", "q", 0.0)] + [("bad", "r", 0.0)] * 80 + [("bad", "r", 1.0)] * 20
     paths, hosts, share = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, good double"))
     h = {r.host: r.host_share for r in hosts.collect()}
+    counts = {"big": (90.0, 100), "tiny": (0.0, 1), "bad": (20.0, 100)}
+    mean = 110.5 / 202
+    assert abs(share - mean) < 1e-12
+    off = {k: g / n - mean for k, (g, n) in counts.items()}
+    spread = (sum(n * off[k] ** 2 for k, (_, n) in counts.items()) - 3 * mean * (1 - mean)) / sum(n - 1 for _, n in counts.values())
+    weight = min(max(mean * (1 - mean) / spread - 1, quality.LEAST_WEIGHT), quality.MOST_WEIGHT)
+    assert all(abs(h[k] - (g + weight * mean) / (n + weight)) < 1e-12 for k, (g, n) in counts.items())
+    p = {r.host: r.path_share for r in paths.collect()}
+    weights = {(p[k] * n - g) / (h[k] - p[k]) for k, (g, n) in counts.items() if abs(h[k] - p[k]) > 1e-9}
+    assert max(weights) - min(weights) < 1e-6 * max(weights)
     assert h["bad"] < h["tiny"] < h["big"] and abs(h["big"] - 0.9) < abs(h["tiny"] - 0.0) and h["tiny"] < share
 
 
-def test_quality_odd(spark, odd_docs, no_docs):
+def test_quality_odd(spark, odd_docs, no_docs, monkeypatch):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, None), (None, 1), (1, 1)], "doc_id long, quality int")
     host = F.col("source")
-    assert quality.classify(odd_docs, labels, host, F.col("lang"), carry=True).count() == odd_docs.count()
+    names = ["row", "host", "path", "evidence", "host_share", "path_share", *quality.FEATURES]
+    clashing = odd_docs.withColumns({c: F.lit("clash") for c in names})
+    for few in (1 << 18, 0):
+        monkeypatch.setattr(quality, "MARKS", few)
+        marked = quality.classify(clashing, labels, host, F.col("lang"))
+        assert marked.count() == odd_docs.count()
+        kept = quality.kept_rows(clashing, labels, host, F.col("lang"))
+        assert kept.columns == clashing.columns and {kept.first()[c] for c in names} == {"clash"}
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in marked.where("kept").collect())
+    assert quality.kept_rows(no_docs, labels, host, F.col("lang")).count() == 0
     none = quality.classify(odd_docs, labels.limit(0), host, F.col("lang")).collect()
     assert all(r.kept and abs(r.quality - 0.5) < 1e-9 for r in none)
     assert quality.classify(no_docs, labels, host, F.col("lang")).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path):
     docs = read_table(spark, DATA, "documents")
     at = docs
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
@@ -275,6 +294,8 @@ def test_pipeline_stages(spark, tmp_path):
             assert left == set(first.values())
         else:
             assert left == {i for i, (_, _, kept) in near_brute(rows).items() if kept}
+    for stage in (s for _, s in corpus_pipeline.STAGES[:3]):
+        assert stage(spark, odd_docs, DATA).columns == odd_docs.columns and stage(spark, no_docs, DATA).count() == 0
     packed = corpus_pipeline.STAGES[3][1](spark, at, DATA)
     assert {r.doc_id for r in packed.collect()} == left
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == left

@@ -57,8 +57,13 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch, which texts of any length fill fast.
+ARROW_BYTES = 8 << 20
+
+
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers import this package also when the driver found it through sys.path only."""
+    """Let Python workers import this package also when the driver found it through sys.path only, and bound the session's Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
@@ -73,6 +78,11 @@ def utf8(column: Column) -> Column:
     return column.cast("binary")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that names of an operator's own can't clash with them; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 #: Rows that are broadcast at most; beyond them the same join shuffles.
 MARKS = 1 << 18
 

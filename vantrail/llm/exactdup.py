@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantrail.llm.common import ASCII_SPACE, checkpointed, drop_marked, text_or_empty, utf8
+from vantrail.llm.common import ASCII_SPACE, checkpointed, drop_marked, text_or_empty, utf8, whole_row
 
 #: Counters of each Misra-Gries summary, and summaries, each of the rows of some map tasks.
 TRACKED, SUMMARIES = 1024, 16
@@ -58,9 +58,10 @@ def exact_dedup(rows: DataFrame, key: str = "doc_id", digest: str = "text_sha256
 def exact_dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; of rows repeated under the key that stays, one.
 
-    Keys and digests are compared first; then texts are read once more, and only rows in doubt move.
+    Keys and digests are compared first; then texts are read once more. No rows give no rows.
     """
-    marks = checkpointed(exact_dedup(digested(docs.select(key, text), text), key).select(F.col(key).alias("__k"), F.col("text_sha256").alias("__d"), "kept"))
-    repeated = marks.where("kept").groupBy("__k", "__d").count().where("count > 1")
-    named = digested(docs.withColumn("__k", F.col(key)), text, "__d")
-    return drop_marked(named, marks.where("not kept"), repeated, ["__k", "__d"])
+    named = digested(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), out="digest").select("key", "digest")
+    marks = checkpointed(exact_dedup(named, "key", "digest").select("key", "digest", "kept"))
+    repeated = marks.where("kept").groupBy("key", "digest").count().where("count > 1")
+    rows = digested(docs.select(whole_row(docs), F.col(key).alias("key"), F.col(text).alias("text")), out="digest").select("row", "key", "digest")
+    return drop_marked(rows, marks.where("not kept"), repeated, ["key", "digest"]).select("row.*")

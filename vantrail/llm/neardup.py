@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import MARKS, checkpointed, drop_marked, text_slices, workers_import
+from vantrail.llm.common import MARKS, checkpointed, drop_marked, text_slices, whole_row, workers_import
 
 #: Sketch size, words of a shingle, similarity in hundredths.
 K, WORDS, PERCENT = 64, 5, 75
@@ -415,12 +415,13 @@ def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """The rows of ``docs`` that stay, one of each component, all columns as they were: the row of the smallest key, null
     last, and of several such rows the one whose text has the smallest hash. Rows without words all stay.
 
-    Only keys and hashes of texts decide; then texts are read once more.
+    Only keys and hashes of texts decide; then texts are read once more. Other columns, whatever their names, are carried. No rows
+    give no rows.
     """
-    rows = checkpointed(_grouped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), k, words, percent).where(F.col("group").isNotNull()).select(F.col("key").alias("__k"), F.col("h").alias("__h"), "group"))
-    order = F.struct(F.col("__k").isNull().alias("none"), F.col("__k").alias("k"), F.col("__h").alias("h"))
-    same = rows.groupBy("group", "__k", "__h").agg(F.count("*").alias("m"))
+    rows = checkpointed(_grouped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), k, words, percent).where(F.col("group").isNotNull()).select("key", "h", "group"))
+    order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("h"))
+    same = rows.groupBy("group", "key", "h").agg(F.count("*").alias("m"))
     first = same.groupBy("group").agg(F.min(order).alias("o"))
-    judged = checkpointed(same.join(first, "group").select("__k", "__h", "m", ((order["h"] == F.col("o.h")) & order["k"].eqNullSafe(F.col("o.k"))).alias("stays")))
-    named = docs.withColumns({"__k": F.col(key), "__h": F.xxhash64(text)})
-    return drop_marked(named, judged.where("not stays"), judged.where("stays and m > 1"), ["__k", "__h"])
+    judged = checkpointed(same.join(first, "group").select("key", "h", "m", ((F.col("h") == F.col("o.h")) & F.col("key").eqNullSafe(F.col("o.key"))).alias("stays")))
+    named = docs.select(whole_row(docs), F.col(key).alias("key"), F.xxhash64(text).alias("h"))
+    return drop_marked(named, judged.where("not stays"), judged.where("stays and m > 1"), ["key", "h"]).select("row.*")

@@ -8,8 +8,12 @@ sites with few labels stay near their parent and sites with many speak for thems
 
 posterior log-odds = classifier log-odds - log-odds of its training sample + log-odds of the path's shrunk share.
 
+The site's host and path are columns that the caller names; the documents of the queries have no address, so there the
+host is the source and the path below it the language's part of that source.
+
 Scale: counts are grouped aggregations with partial sums over all labels, so a host with a third of the rows is summed
-where its rows lie; features are computed in one pass over whole texts, and of each document only numbers move.
+where its rows lie; features are computed in one pass over whole texts. Shares of up to MARKS sites are broadcast, and
+then no document moves; beyond that sites and documents meet in a shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import workers_import
+from vantrail.llm.common import MARKS, checkpointed, text_or_empty, text_slices, whole_row, workers_import
 
 #: Labelled rows the classifier is fitted on at most, chosen by a hash of their key.
 SAMPLE = 20_000
@@ -49,19 +53,17 @@ def features_of(text: str) -> tuple[float, ...]:
     return upper / n, symbol / n, sum(map(eq, words, words[1:])) / n, max(0.0, 1 - fresh), digit / n, sum(len(w) > _LONG for w in words) / n, float(np.log10(1 + n))
 
 
-def with_features(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with the features, and its text only where asked."""
+def with_features(docs: DataFrame) -> DataFrame:
+    """Rows with a column ``text`` and others of an operator's own: these others and the features."""
     workers_import(docs.sparkSession)
-    keep = [c for c in docs.columns if (c != text or keep_text) and c not in FEATURES]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    keep = [c for c in docs.columns if c != "text"]
+    docs = docs.select(*keep, text_or_empty())
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                found = np.array([features_of(t) for t in batch.column(len(keep)).to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(found[:, i].copy()) for i in range(len(FEATURES))]], names=[*keep, *FEATURES])
+        for batch, _, _ in text_slices(batches, len(keep)):
+            found = np.array([features_of(t) for t in batch.column(len(keep)).to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(found[:, i].copy()) for i in range(len(FEATURES))]], names=[*keep, *FEATURES])
 
     return docs.mapInArrow(run, schema)
 
@@ -115,32 +117,43 @@ def site_posteriors(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return paths.select("host", "path", ((F.col("good") + of_path * F.col("host_share")) / (F.col("n") + of_path)).alias("path_share")), hosts, share
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5, carry: bool = False) -> DataFrame:
-    """(key, evidence, host_share, path_share, quality, kept) for every row: the document's log-odds against its sample's, the
-    shrunk shares of its site, the posterior probability of good quality, and whether that reaches ``threshold``. With
-    ``carry`` all columns of ``docs`` come before these; columns of the same names are replaced.
-
-    ``labels`` has the key and 0/1 labels; null labels and keys are ignored, several labels of one key are averaged. A null text is
-    empty; null hosts and paths are sites like others; a site without labels takes its parent's share. Without any label
-    every probability is one half, and all are kept at the default threshold. Repeated rows repeat. No rows give none.
-    """
-    site = {"__host": F.coalesce(host.cast("string"), F.lit("")), "__path": F.coalesce(path.cast("string"), F.lit(""))}
-    all_ = docs.drop("evidence", "host_share", "path_share", "quality", "kept", *FEATURES).withColumns(site)
-    slim = all_.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("__host").alias("host"), F.col("__path").alias("path"))
+def _scored(docs: DataFrame, labels: DataFrame, key: str, label: str, sample: int) -> DataFrame:
+    """From rows (key, text, host, path, ...): all but the text, and evidence, host_share, path_share, quality."""
+    docs = docs.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("host", "path")})
+    slim = docs.select("key", "text", "host", "path")
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.avg(F.col(label).cast("double")).alias("good"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample)
     texts = slim.select("key", "text").join(F.broadcast(chosen), "key")  # ``sample`` keys
     rows = with_features(texts).groupBy("key").agg(*[F.min(c).alias(c) for c in ("good", *FEATURES)]).orderBy("key").toPandas()  # a row a key, numbers only
     beta, base = fit(rows[list(FEATURES)].to_numpy(float), (rows["good"] >= 0.5).to_numpy(float))
     paths, hosts, share = site_posteriors(slim.select("key", "host", "path").join(known, "key"))
-    paths = paths.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("path_share").alias("__ps"))
-    hosts = hosts.select(F.col("host").alias("__host"), F.col("host_share").alias("__hs"))
-    scored = with_features(all_ if carry else all_.select(F.col(f"`{key}`"), text, "__host", "__path"), text, keep_text=carry)
+    paths, hosts = checkpointed(paths), checkpointed(hosts)
+    bounded = lambda sites: F.broadcast(sites) if sites.count() <= MARKS else sites
     evidence = F.lit(float(beta[0]) - base)
     for i, f in enumerate(FEATURES):
         evidence = evidence + float(beta[1 + i]) * F.col(f) + float(beta[1 + len(FEATURES) + i]) * F.sqrt(f)
-    found = scored.withColumn("evidence", evidence).join(paths, ["__host", "__path"], "left").join(hosts, "__host", "left")
-    found = found.withColumn("host_share", F.coalesce("__hs", F.lit(share))).withColumn("path_share", F.coalesce("__ps", "host_share"))
-    found = found.withColumn("quality", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_share"))))))
-    columns = [F.col(f"`{c}`") for c in (docs.columns if carry else [key]) if c not in ("evidence", "host_share", "path_share", "quality", "kept")]
-    return found.select(*columns, "evidence", "host_share", "path_share", "quality", (F.col("quality") >= threshold).alias("kept"))
+    found = with_features(docs).withColumn("evidence", evidence).drop(*FEATURES)
+    found = found.join(bounded(paths), ["host", "path"], "left").join(bounded(hosts), "host", "left")
+    found = found.withColumn("host_share", F.coalesce("host_share", F.lit(share))).withColumn("path_share", F.coalesce("path_share", "host_share"))
+    return found.withColumn("quality", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_share"))))))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """(key, evidence, host_share, path_share, quality, kept) for every row: the document's log-odds against its sample's, the
+    shrunk shares of its site, the posterior probability of good quality, and whether that reaches ``threshold``.
+
+    ``labels`` has the key and 0/1 labels; null labels and keys are ignored, several labels of one key are averaged. A null text is
+    empty; null hosts and paths are sites like others; a site without labels takes its parent's share. Without any label
+    every probability is one half, and all are kept at the default threshold. Repeated rows repeat. No rows give none. Other
+    columns are not read.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), host.alias("host"), path.alias("path"))
+    found = _scored(rows, labels, key, label, sample)
+    return found.select(F.col("key").alias(key), "evidence", "host_share", "path_share", "quality", (F.col("quality") >= threshold).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, all columns as they were, whatever their names. Each row carries its own verdict, so
+    repeated and null keys do no harm, and texts move only where the sites are too many to broadcast."""
+    rows = docs.select(whole_row(docs), F.col(key).alias("key"), F.col(text).alias("text"), host.alias("host"), path.alias("path"))
+    return _scored(rows, labels, key, label, sample).where(F.col("quality") >= threshold).select("row.*")
