@@ -17,10 +17,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior probability of good quality is at least one half. Each row carries its own verdict, so
-    repeated and null keys do no harm."""
-    marked = quality.classify(docs, read_table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"), carry=True)
-    return marked.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose posterior probability of good quality is at least one half; columns of any name are carried."""
+    return quality.kept_rows(docs, read_table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
