@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import DATA
-from vantrail.llm import exactdup, linedup, neardup, quality, queries, sharding, topk
+from vantrail.llm import common, exactdup, linedup, neardup, quality, queries, sharding, topk
 from vantrail.llm.common import read_table
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -262,7 +262,7 @@ def test_quality_odd(spark, odd_docs, no_docs, monkeypatch):
     names = ["row", "host", "path", "evidence", "host_share", "path_share", *quality.FEATURES]
     clashing = odd_docs.withColumns({c: F.lit("clash") for c in names})
     for few in (1 << 18, 0):
-        monkeypatch.setattr(quality, "MARKS", few)
+        monkeypatch.setattr(common, "MARKS", few)
         marked = quality.classify(clashing, labels, host, F.col("lang"))
         assert marked.count() == odd_docs.count()
         kept = quality.kept_rows(clashing, labels, host, F.col("lang"))
@@ -352,12 +352,9 @@ def test_common_counts_and_estimate():
 
 
 def test_kept_rows_beyond_the_broadcast(spark, odd_docs, monkeypatch):
-    from vantrail.llm import common
-
     rows = spark.createDataFrame([(3, None), (3, None), (1, "a b c d e"), (2, "a b c d e"), (2, "A b c d e"), (1, "a b c d e")], "doc_id long, text string")
     for marks in (1 << 18, 0):
         monkeypatch.setattr(common, "MARKS", marks)
-        monkeypatch.setattr(neardup, "MARKS", marks)
         assert Counter((r.doc_id, r.text) for r in neardup.kept_rows(rows).collect()) == Counter([(3, None), (3, None), (1, "a b c d e")])
         assert Counter((r.doc_id, r.text) for r in exactdup.exact_dedup_rows(rows).collect()) == Counter([(3, None), (1, "a b c d e"), (2, "A b c d e")])
         assert Counter(r.doc_id for r in neardup.kept_rows(odd_docs).collect()) == Counter([1, 3, 4, 5, None, 8, 9, 10])

@@ -87,6 +87,11 @@ def whole_row(df: DataFrame) -> Column:
 MARKS = 1 << 18
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """A side of a join that is broadcast where it has at most MARKS rows; count a written table only."""
+    return F.broadcast(table) if table.count() <= MARKS else table
+
+
 def drop_marked(rows: DataFrame, dropped: DataFrame, repeated: DataFrame, names: list[str]) -> DataFrame:
     """``rows`` without those whose identity ``names`` is in ``dropped``, and with one each of those in ``repeated``; no identity is in both.
 
@@ -94,11 +99,11 @@ def drop_marked(rows: DataFrame, dropped: DataFrame, repeated: DataFrame, names:
     """
     acts = dropped.select(*names, F.lit(True).alias("__gone")).unionByName(repeated.select(*names, F.lit(False).alias("__gone"))).distinct()
     acts = checkpointed(acts.select(*[F.col(n).alias(f"{n}_of") for n in names], "__gone"))
-    count, once = acts.count(), not acts.where("not __gone").isEmpty()
+    once = not acts.where("not __gone").isEmpty()
     same = F.xxhash64(*names) == F.xxhash64(*[f"{n}_of" for n in names])
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"{n}_of"))
-    marked = rows.join(F.broadcast(acts) if count <= MARKS else acts, same, "left").drop(*[f"{n}_of" for n in names])
+    marked = rows.join(bounded(acts), same, "left").drop(*[f"{n}_of" for n in names])
     clear = marked.where(F.col("__gone").isNull()).drop("__gone")
     if once:
         clear = clear.unionByName(marked.where("not __gone").drop("__gone").dropDuplicates(names))

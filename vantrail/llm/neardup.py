@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import MARKS, checkpointed, drop_marked, text_slices, whole_row, workers_import
+from vantrail.llm.common import bounded, checkpointed, drop_marked, text_slices, whole_row, workers_import
 
 #: Sketch size, words of a shingle, similarity in hundredths.
 K, WORDS, PERCENT = 64, 5, 75
@@ -260,8 +260,8 @@ def _links(nodes: DataFrame, docs: DataFrame, k: int, words: int, percent: int)
 
     pairs = _pairs(listed.where(F.col("m") <= SMALL).select("value", "node"))
     long_ = listed.where(F.col("m") > SMALL)
-    hubs = long_.where("shared = most").groupBy("value").agg(F.min("node").alias("hub"))
-    family = checkpointed(long_.join(hubs, "value").select("hub", "node").distinct())
+    hubs = checkpointed(long_.where("shared = most").groupBy("value").agg(F.min("node").alias("hub")))
+    family = checkpointed(long_.join(bounded(hubs), "value").select("hub", "node").distinct())
     star = family.where("hub <> node").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     seen = checkpointed(_likely_pairs(pairs.unionByName(star).distinct(), nodes, k, c, percent))
     wanted = seen.select(F.col("a").alias("node")).unionByName(seen.select(F.col("b").alias("node"))).distinct()
@@ -286,7 +286,7 @@ def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     """(node, hashes) of the wanted nodes, one row each, from the row that stands for each. Up to MARKS of them are broadcast and no
     text moves; beyond that texts and nodes meet in a shuffle."""
     who = checkpointed(wanted.join(nodes.select("node", "doc", "h", "set_key"), "node"))
-    small = F.broadcast(who) if who.count() <= MARKS else who
+    small = bounded(who)
     docs = docs.select("key", "text", F.xxhash64("text").alias("th"))
     found = docs.join(small, docs["key"].eqNullSafe(small["doc"]) & (docs["th"] == small["h"]))
     return full_sets(found, words).dropDuplicates(["node"])

@@ -12,7 +12,7 @@ The site's host and path are columns that the caller names; the documents of the
 host is the source and the path below it the language's part of that source.
 
 Scale: counts are grouped aggregations with partial sums over all labels, so a host with a third of the rows is summed
-where its rows lie; features are computed in one pass over whole texts. Shares of up to MARKS sites are broadcast, and
+where its rows lie; features are computed in one pass over whole texts. Shares of few enough sites are broadcast, and
 then no document moves; beyond that sites and documents meet in a shuffle.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import MARKS, checkpointed, text_or_empty, text_slices, whole_row, workers_import
+from vantrail.llm.common import bounded, checkpointed, text_or_empty, text_slices, whole_row, workers_import
 
 #: Labelled rows the classifier is fitted on at most, chosen by a hash of their key.
 SAMPLE = 20_000
@@ -128,7 +128,6 @@ def _scored(docs: DataFrame, labels: DataFrame, key: str, label: str, sample: in
     beta, base = fit(rows[list(FEATURES)].to_numpy(float), (rows["good"] >= 0.5).to_numpy(float))
     paths, hosts, share = site_posteriors(slim.select("key", "host", "path").join(known, "key"))
     paths, hosts = checkpointed(paths), checkpointed(hosts)
-    bounded = lambda sites: F.broadcast(sites) if sites.count() <= MARKS else sites
     evidence = F.lit(float(beta[0]) - base)
     for i, f in enumerate(FEATURES):
         evidence = evidence + float(beta[1 + i]) * F.col(f) + float(beta[1 + len(FEATURES) + i]) * F.sqrt(f)
