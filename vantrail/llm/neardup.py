@@ -289,7 +289,7 @@ def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     small = bounded(who)
     docs = docs.select("key", "text", F.xxhash64("text").alias("th"))
     found = docs.join(small, docs["key"].eqNullSafe(small["doc"]) & (docs["th"] == small["h"]))
-    return full_sets(found, words).dropDuplicates(["node"])
+    return checkpointed(full_sets(found, words).dropDuplicates(["node"]))  # a table, so that joins with hot nodes can be split
 
 
 def _likely_pairs(pairs: DataFrame, nodes: DataFrame, k: int, c: int, percent: int) -> DataFrame:
