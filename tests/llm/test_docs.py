@@ -1,5 +1,6 @@
 """Deduplication, sharding, search, quality and the pipeline against brute force and by their laws."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -199,7 +200,9 @@ def test_banded_distance(spark):
         assert (r.d == want and r.c == want) if want <= 2 else (r.d > 2 and r.c > 2)
 
 
-def test_edit_links_brute(spark):
+@pytest.fixture(scope="module")
+def variants():
+    """Lines and what up to three edits make of them, short ones and ones of more than one byte a letter."""
     rng = random.Random(13)
     lines = set()
     for _ in range(12):
@@ -210,21 +213,88 @@ def test_edit_links_brute(spark):
                 i = rng.randrange(len(s) + 1)
                 s[i : i + rng.randrange(2)] = rng.choice(["", "x", "y"])
             lines.add(" ".join("".join(s).split()))
-    lines = sorted(lines)
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "doc_id long, text string")
-    named = {r.digest: r.line for r in linedup.lines_of(df).collect()}
-    got = {tuple(sorted((named[r.a], named[r.b]))) for r in linedup.edit_links(linedup.lines_of(df)).collect()}
-    assert got == {(a, b) for a in lines for b in lines if a < b and min(len(a), len(b)) >= 16 and distance(a, b) <= 2}
+    lines |= {"ab cd ef", "ab cd eg", "ab cd xy", "short", "shorn", "naïve café ça", "naive café ça", "naïve café çaé", "naïve çafé çaé"}
+    return sorted(lines)
+
+
+def reach(a, b):
+    return min(2, min(len(a), len(b)) // 8)
+
+
+def line_brute(rows):
+    """(key, line_no): every output column of the operator."""
+    lines = {(k, i): " ".join(x for x in SPACE.split(line) if x) for k, t in rows for i, line in enumerate((t or "").split("\n"))}
+    texts = sorted({s for s in lines.values() if s})
+    up = {s: s for s in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= reach(a, b):
+                up[find(a)] = find(b)
+    groups, copies = defaultdict(list), Counter(lines.values())
+    for place, s in lines.items():
+        if s:
+            groups[find(s)].append(place)
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    ids = {root: min(md5(lines[p]) for p in places) for root, places in groups.items()}
+    out = {}
+    for place, s in lines.items():
+        if not s:
+            out[place] = (None, 1, 1, *place, True)
+            continue
+        places = groups[find(s)]
+        first = min(places)
+        out[place] = (ids[find(s)], copies[s], len(places), *first, place == first)
+    return out
+
+
+def test_line_dedup_brute(spark, variants, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, "\n".join(rng.choice([*variants, "", " "]) for _ in range(rng.randrange(1, 9)))) for i in range(60)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for small, block in ((16, 128), (2, 4)):
+        monkeypatch.setattr(linedup, "SMALL", small)
+        monkeypatch.setattr(linedup, "BLOCK", block)
+        got = {(r.doc_id, r.line_no): (r.class_id, r.n_copies, r.class_size, r.keep_id, r.keep_line, r.kept) for r in linedup.line_dedup(df).collect()}
+        assert got == line_brute(rows)
+
+
+def test_line_dedup_on_the_table(spark):
+    rows = [(r.doc_id, r.text) for r in read_table(spark, DATA, "documents").collect()]
+    lengths = defaultdict(list)
+    got = {(r.doc_id, r.line_no): r for r in queries.op10_line_dedup(spark, DATA).collect()}
+    lines = {(k, i): " ".join(x for x in SPACE.split(line) if x) for k, t in rows for i, line in enumerate((t or "").split("\n"))}
+    assert set(got) == set(lines)
+    copies = Counter(lines.values())
+    assert all(got[p].n_copies == copies[s] for p, s in lines.items() if s)
+    for s in copies:
+        lengths[len(s)].append(s)
+    place = {s: p for p, s in lines.items()}
+    for n in lengths:  # every pair within reach whose ends or middles are equal, as edits of two leave a third unchanged
+        for a in lengths[n]:
+            for b in (x for d in range(3) for x in lengths.get(n + d, [])):
+                third = max(1, n // 3)
+                if a < b and n >= 8 and (a[:third] == b[:third] or a[-third:] == b[-third:]) and distance(a, b) <= reach(a, b):
+                    assert got[place[a]].class_id == got[place[b]].class_id
 
 
 def test_line_dedup(spark, odd_docs, no_docs):
     rows = [(1, "the first line of this text\n\nanother line that repeats\nshort"), (2, "the first line of thiz text\nanother  line that repeats \nshort"), (None, "short"), (3, None)]
     marks = linedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {(r.doc_id, r.line_no): (r.keep_id, r.keep_line, r.kept, r.n_links, r.n_copies) for r in marks.collect()}
-    assert got[(1, 0)] == (1, 0, True, 1, 1) and got[(2, 0)] == (1, 0, False, 1, 1) and got[(2, 1)] == (1, 2, False, 0, 2)
-    assert got[(1, 1)][2] and got[(3, 0)][2] and got[(None, 0)] == (1, 3, False, 0, 3)
+    got = {(r.doc_id, r.line_no): (r.keep_id, r.keep_line, r.kept, r.class_size, r.n_copies) for r in marks.collect()}
+    assert got[(1, 0)] == (1, 0, True, 2, 1) and got[(2, 0)] == (1, 0, False, 2, 1) and got[(2, 1)] == (1, 2, False, 2, 2)
+    assert got[(1, 1)][2] and got[(3, 0)][2] and got[(None, 0)] == (1, 3, False, 3, 3)
     left = {r.doc_id: r.text for r in linedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
     assert left[1] == rows[0][1] and left[2] == ""
+    twice = spark.createDataFrame([(1, "a b", "x"), (1, "c d", "y")], "doc_id long, text string, gone string")
+    two = linedup.deduplicated(twice, spark.createDataFrame([(1, 0, False)], "doc_id long, line_no int, kept boolean"))
+    assert two.columns == twice.columns and [r.gone for r in two.orderBy("gone").collect()] == ["x", "y"]
+    assert linedup.deduplicated(no_docs, linedup.line_dedup(no_docs)).count() == 0
     assert linedup.line_dedup(odd_docs).count() == sum((r.text or "").count("\n") + 1 for r in odd_docs.select("text").collect())
     assert linedup.line_dedup(no_docs).count() == 0
 
