@@ -118,7 +118,8 @@ def _banded(rows: Column, columns: Column, m: Column, n: Column, t: int) -> Colu
 
     def step(s: Column, j: Column) -> Column:
         moved = F.struct(F.shiftright(s["p"], 1).bitwiseOR(word(1 << (width - 1))).alias("p"), F.shiftright(s["q"], 1).alias("q"), matches(j).alias("e"), s["d"].alias("d"))
-        return _let(_let(_let(moved, diagonal), horizontal), vertical)
+        # a diagonal above 2 t leaves no cell of the band within t
+        return F.when(s["d"] > 2 * t, s).otherwise(_let(_let(_let(moved, diagonal), horizontal), vertical))
 
     def diagonal(x: Column) -> Column:
         p, q, e = x["p"], x["q"], x["e"]
@@ -174,25 +175,26 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     for c in "\t\x0b\x0c\r":
         odd = odd | F.col("raw").contains(c)
     line = F.trim(F.when(odd, F.regexp_replace("raw", _ODD_SPACE, " ")).otherwise(F.col("raw")))
-    return parts.select("key", "line_no", line.alias("line")).withColumn("digest", F.md5(utf8(F.col("line")))).withColumn("h", F.xxhash64("digest"))
+    return parts.select("key", "line_no", line.alias("line")).withColumn("digest", F.unhex(F.md5(utf8(F.col("line"))))).withColumn("h", F.xxhash64("digest"))
 
 
-def _entries(lines: DataFrame, threshold: int) -> DataFrame:
-    """(k, h, w) of the distinct lines: the keys each probes, and whether it writes them."""
-    wide = lines.select("h", F.encode("line", "UTF-32").alias("wide")).withColumn("size", (F.octet_length("wide") / 4).cast("int")).where(F.col("size") >= PER_EDIT)
+def keyed(lines: DataFrame, threshold: int) -> tuple[DataFrame, int, int]:
+    """``lines`` with the keys that each probes as columns k0, k1, ..., how many these are and how many, the first, it writes."""
+    wide = lines.withColumn("wide", F.encode("line", "UTF-32")).withColumn("size", (F.octet_length("wide") / 4).cast("int"))
     keys, written = segment_keys(F.col("wide"), F.col("size"), threshold)
-    # columns of hashes as grouping keys: no array is aggregated
-    coded = wide.select("h", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).distinct()
-    spread = coded.select("h", F.posexplode(F.array(*[f"k{i}" for i in range(len(keys))])).alias("i", "k")).where(F.col("k").isNotNull())
-    return spread.select("k", "h", (F.col("i") < written).alias("w"))
+    return wide.select(*lines.columns, *[k.alias(f"k{i}") for i, k in enumerate(keys)]), len(keys), written
 
 
-def edit_links(lines: DataFrame, read: Callable[[DataFrame], DataFrame], threshold: int = THRESHOLD) -> DataFrame:
+def edit_links(rows: DataFrame, keys: int, written: int, read: Callable[[DataFrame], DataFrame], threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): digests of lines, so that components of these edges are the components of all pairs of lines within reach of each
-    other. ``lines`` has (h, line); ``read`` gives (h, digest, line) of the rows of a table (h)."""
-    entries = _entries(lines, threshold)
-    lists = entries.groupBy("k").agg(F.count("*").alias("m"), F.min(F.when(F.col("w"), F.col("h"))).alias("hub")).where("m > 1 and hub is not null")
-    listed = checkpointed(entries.join(lists, "k"))
+    other. ``rows`` has (h, k0, k1, ...), a row for each copy of a line; ``read`` gives (h, digest, line) of the rows of a table (h)."""
+    spread = rows.select("h", F.posexplode(F.array(*[f"k{i}" for i in range(keys)])).alias("i", "k")).where(F.col("k").isNotNull())
+    entries = spread.select("k", "h", (F.col("i") < written).alias("w"))
+    lists = entries.groupBy("k").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.min(F.when(F.col("w"), F.col("h"))).alias("hub"))
+    lists = checkpointed(lists.where("least <> most and hub is not null").select("k", "hub"))  # few of all keys
+    shared = checkpointed(entries.join(bounded(lists), "k").distinct())
+    sizes = checkpointed(shared.groupBy("k").agg(F.count("*").alias("m")))
+    listed = checkpointed(shared.join(bounded(sizes), "k"))
     short, long_ = listed.where(F.col("m") <= SMALL), listed.where(F.col("m") > SMALL)
     writer, prober = short.where("w").select("k", F.col("h").alias("a")), short.select("k", F.col("h").alias("b"))
     pairs = writer.join(prober, "k").select("a", "b").unionByName(long_.select(F.col("hub").alias("a"), F.col("h").alias("b")))
@@ -207,8 +209,9 @@ def edit_links(lines: DataFrame, read: Callable[[DataFrame], DataFrame], thresho
     dealt = _dealt(family, known)
     if dealt.isEmpty():
         return links
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # units are few bytes and much work
     side = F.when(F.col("block") == F.col("low"), F.lit(0)).otherwise(1)
-    units = dealt.join(texts, "h").groupBy("k", "low", "high").agg(*[F.collect_list(F.when(side == i, F.struct("digest", "line", "size", "letters"))).alias(f"s{i}") for i in (0, 1)])
+    units = dealt.join(texts, "h").repartition(parts, "k", "low", "high").groupBy("k", "low", "high").agg(*[F.collect_list(F.when(side == i, F.struct("digest", "line", "size", "letters"))).alias(f"s{i}") for i in (0, 1)])
     units = units.select("s0", F.when(F.col("low") == F.col("high"), F.col("s0")).otherwise(F.col("s1")).alias("s1"))
     edges = units.select(F.explode(unit_edges(F.col("s0"), F.col("s1"), threshold)).alias("e")).select("e.a", "e.b")
     return links.unionByName(checkpointed(edges.distinct()))
@@ -269,7 +272,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = lines_of(docs, "key", "text")
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("line_no").alias("line_no"))
-    lines = checkpointed(found.select("key", "line_no", F.when(F.col("line") != "", F.col("digest")).alias("digest"), F.when(F.col("line") != "", F.col("h")).alias("h")))
+    lines, keys, written = keyed(found.withColumns({c: F.when(F.col("line") != "", F.col(c)) for c in ("digest", "h")}), threshold)
+    lines = checkpointed(lines.drop("line"))
     filled = lines.where(F.col("digest").isNotNull())
     known = checkpointed(filled.groupBy("digest", "h").agg(F.min(place).alias("first"), F.count("*").alias("n_copies")))
 
@@ -279,7 +283,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
         held = docs.join(holders, docs["key"].eqNullSafe(holders["of"]), "left_semi")
         return lines_of(held, "key", "text").join(bounded(hashes.select("h")), "h").select("h", "digest", "line").distinct()
 
-    labels = components(edit_links(found, read, threshold)).select(F.col("node").alias("digest"), "root")
+    labels = components(edit_links(filled, keys, written, read, threshold)).select(F.col("node").alias("digest"), "root")
     known = known.join(labels, "digest", "left").select("digest", "first", "n_copies", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "digest").alias("class_id"))
     known = checkpointed(known)
     classes = known.where("linked").groupBy("class_id").agg(F.min("first").alias("least"), F.sum("n_copies").alias("n"))
@@ -288,7 +292,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     own = F.col("class_id").isNull()
     keep_id, keep_line = F.when(own, F.col("key")).otherwise(F.col("stays.key")), F.when(own, F.col("line_no")).otherwise(F.col("stays.line_no"))
     one = lambda c: F.coalesce(c, F.lit(1)).alias(c)
-    return out.select(F.col("key").alias(key), "line_no", "class_id", one("n_copies"), one("class_size"), keep_id.alias("keep_id"), keep_line.alias("keep_line"), (F.col("key").eqNullSafe(keep_id) & (F.col("line_no") == keep_line)).alias("kept"))
+    return out.select(F.col("key").alias(key), "line_no", F.lower(F.hex("class_id")).alias("class_id"), one("n_copies"), one("class_size"), keep_id.alias("keep_id"), keep_line.alias("keep_line"), (F.col("key").eqNullSafe(keep_id) & (F.col("line_no") == keep_line)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
