@@ -142,8 +142,10 @@ def test_config(tmp_path, monkeypatch):
     assert list(load_archive(y).seasons) == [2000, 2001, 2002] and not load_archive(y).root.startswith("~")
     monkeypatch.setenv("VANTRAIL_DATA_ROOT", "/data")
     assert load_archive(y).path("raw/xml", "a") == "/data/raw/xml/a"
-    y.write_text("sampling: {gap_ratio: 7}\n")
-    assert load_thresholds(y).sampling.gap_ratio == 7
+    y.write_text("fix_level: {max_horizontal_speed_mps: {paragliders: 45.0, hang gliders: 55.0}, hampel_eps_min_m: 15.0}\nsavgol: {polyorder: 3, tau_c_vertical_gnss_s: 6.0}\n")
+    assert load_thresholds(y).savgol.tau_c_vertical_gnss_s == 6.0 and load_thresholds(y).fix_level.max_horizontal_speed_mps["paragliders"] == 45.0
+    y.write_text("sampling: {max_gap_factor: 7}\n")
+    assert load_thresholds(y).sampling.max_gap_factor == 7
     y.write_text("sampling: {nonsense: 7}\n")
     with pytest.raises(TypeError):
         load_thresholds(y)

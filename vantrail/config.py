@@ -8,60 +8,68 @@ from pathlib import Path
 from typing import Any
 
 
+# The groups, keys and published thresholds of the cleaning rules, as a threshold file names them. Fields that
+# are not published say so.
+
+
 @dataclass(frozen=True)
 class FixLevel:
-    # Published thresholds of the cleaning rules.
-    vxy_max_mps: dict[str, float] = field(default_factory=lambda: {"paragliders": 45.0, "hang gliders": 55.0})
-    vz_max_mps: float = 13.0
-    alt_min_m: float = -100.0
-    alt_max_m: float = 6000.0
-    hampel_half_window_s: float = 20.0
+    max_horizontal_speed_mps: dict[str, float] = field(default_factory=lambda: {"paragliders": 45.0, "hang gliders": 55.0})
+    max_vertical_speed_mps: float = 13.0
+    min_altitude_m: float = -100.0
+    max_altitude_m: float = 6000.0
+    hampel_window_s: float = 20.0
     hampel_k: float = 5.0
-    hampel_floor_m: float = 15.0
-    hampel_min_fixes: int = 5
-    frozen_diameter_m: float = 15.0
-    frozen_span_s: float = 60.0
-    frozen_baro_m: float = 5.0
-    removed_fraction_max: float = 0.10
+    hampel_eps_min_m: float = 15.0
+    hampel_min_window_fixes: int = 5
+    frozen_eps_m: float = 15.0
+    frozen_tau_s: float = 60.0
+    frozen_delta_z_m: float = 5.0
+    integrity_max_fraction: float = 0.10
     # Our choice: the rules speak of a bounded block and give no number.
     block_max_s: float = 60.0
 
 
 @dataclass(frozen=True)
 class AltChannel:
+    # Not a key of published files: the share of fixes from which a barometer counts as present.
     baro_present_frac: float = 0.5
-    baro_range_min_m: float = 30.0
+    baro_min_range_m: float = 30.0
 
 
 @dataclass(frozen=True)
 class FlightLevel:
-    duration_min_s: float = 2400.0
-    duration_max_s: float = 57600.0
-    path_min_km: float = 20.0
-    alt_range_min_m: float = 75.0
+    min_duration_s: float = 2400.0
+    max_duration_s: float = 57600.0
+    min_path_km: float = 20.0
+    min_alt_range_m: float = 75.0
 
 
 @dataclass(frozen=True)
 class Trimming:
-    v_on_mps: float = 5.0
-    hold_s: float = 30.0
-    ground_s: float = 600.0
-    ground_alt_m: float = 5.0
+    takeoff_speed_mps: float = 5.0
+    sustained_s: float = 30.0
+    interior_ground_s: float = 600.0
+    ground_flatness_m: float = 5.0
 
 
 @dataclass(frozen=True)
 class Sampling:
-    gap_ratio: float = 10.0
-    gap_floor_s: float = 20.0
+    max_gap_factor: float = 10.0
+    max_gap_seconds: float = 20.0
+    # Not a key of published files: the intervals that the absolute bound always lets pass.
     gap_floor_ratio: float = 2.0
-    missing_max: float = 0.10
-    segment_min_s: float = 90.0
+    max_missing_fraction: float = 0.10
+    min_segment_duration_s: float = 90.0
 
 
 @dataclass(frozen=True)
-class Smoothing:
+class SavGol:
     polyorder: int = 3
-    tau_s: float = 5.0
+    tau_c_horizontal_s: float = 5.0
+    tau_c_vertical_baro_s: float = 5.0
+    tau_c_vertical_gnss_s: float = 5.0
+    # Not a key of published files: the narrowest window, in points.
     window_min: int = 5
 
 
@@ -72,7 +80,7 @@ class Thresholds:
     flight_level: FlightLevel = field(default_factory=FlightLevel)
     trimming: Trimming = field(default_factory=Trimming)
     sampling: Sampling = field(default_factory=Sampling)
-    smoothing: Smoothing = field(default_factory=Smoothing)
+    savgol: SavGol = field(default_factory=SavGol)
 
     def table(self) -> list[tuple[str, float]]:
         """All thresholds as (name, value), for a report."""

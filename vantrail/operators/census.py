@@ -90,10 +90,10 @@ def filtering_measures(census: DataFrame, limits: Thresholds) -> DataFrame:
     """What the flight-level cuts leave, one row a source; zeros where nothing is met."""
     f = limits.flight_level
     duration, path = F.col("duration_s"), F.col("path_km")
-    over, short = duration > f.duration_max_s, (duration >= f.duration_min_s) & (path < f.path_min_km)
+    over, short = duration > f.max_duration_s, (duration >= f.min_duration_s) & (path < f.min_path_km)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return census.groupBy("source").agg(
-        F.sum((duration >= f.duration_min_s).cast("bigint")).alias("long_enough"),
+        F.sum((duration >= f.min_duration_s).cast("bigint")).alias("long_enough"),
         F.sum(over.cast("bigint")).alias("overlong"),
         F.sum(short.cast("bigint")).alias("short_path"),
         zero(F.floor(F.min(F.when(over, duration / 3600))).cast("double")).alias("overlong_min_h"),
@@ -152,9 +152,9 @@ def fix_quantities(fixes: DataFrame, present: float = 0.5) -> DataFrame:
 def cut_fractions(quantities: DataFrame, limits: Thresholds) -> DataFrame:
     """Percent of fix-level values that each bound would remove: v_xy a source's own bound, v_z and altitude the shared ones."""
     f = limits.fix_level
-    bound = F.create_map(*[F.lit(x) for pair in f.vxy_max_mps.items() for x in pair])[F.col("source")]
+    bound = F.create_map(*[F.lit(x) for pair in f.max_horizontal_speed_mps.items() for x in pair])[F.col("source")]
     v = F.col("value")
-    removed = F.when(F.col("quantity") == "v_xy", v > bound).when(F.col("quantity") == "v_z", v > f.vz_max_mps).otherwise(~v.between(f.alt_min_m, f.alt_max_m))
+    removed = F.when(F.col("quantity") == "v_xy", v > bound).when(F.col("quantity") == "v_z", v > f.max_vertical_speed_mps).otherwise(~v.between(f.min_altitude_m, f.max_altitude_m))
     return quantities.groupBy("source", "quantity").agg(F.count("*").alias("n"), percent(removed).alias("removed_pct"))
 
 
@@ -167,4 +167,4 @@ def quantiles(rows: DataFrame, value: str, at: Sequence[float], *groups: str) ->
 def flight_reason(duration: Column, path: Column, alt_range: Column, limits: Thresholds) -> Column:
     """Why a flight is cut, or null."""
     f = limits.flight_level
-    return F.when(duration < f.duration_min_s, "too_short").when(duration > f.duration_max_s, "too_long").when(path < f.path_min_km, "short_path").when(alt_range < f.alt_range_min_m, "flat")
+    return F.when(duration < f.min_duration_s, "too_short").when(duration > f.max_duration_s, "too_long").when(path < f.min_path_km, "short_path").when(alt_range < f.min_alt_range_m, "flat")

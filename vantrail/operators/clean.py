@@ -23,7 +23,7 @@ def altitude_source(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     w = by_flight()
     share = F.avg((F.col("baro_alt") != 0).cast("double")).over(w)
     wide = F.max("baro_alt").over(w) - F.min("baro_alt").over(w)
-    source = F.when((share >= a.baro_present_frac) & (wide >= a.baro_range_min_m), "baro").otherwise("gnss")
+    source = F.when((share >= a.baro_present_frac) & (wide >= a.baro_min_range_m), "baro").otherwise("gnss")
     return fixes.withColumn("alt_source", source).withColumn("alt", F.when(F.col("alt_source") == "baro", F.col("baro_alt")).otherwise(F.col("gnss_alt")))
 
 
@@ -78,29 +78,29 @@ def longest_run(t: np.ndarray) -> np.ndarray:
 def hampel(fixes: DataFrame, limits: Thresholds, half_window: float | None = None) -> DataFrame:
     """Fixes with resid_m and hampel: far from the median position of the window, measured by its median deviation."""
     f = limits.fix_level
-    half = int(f.hampel_half_window_s if half_window is None else half_window)
+    half = int(f.hampel_window_s if half_window is None else half_window)
     w = by_flight().orderBy("t").rangeBetween(-half, half)
     mid = lambda c: F.percentile(F.col(c), F.lit(0.5)).over(w)
     near = fixes.withColumns({"med_lat": mid("lat"), "med_lon": mid("lon"), "n_near": F.count("*").over(w)})
     near = near.withColumn("resid_m", great_circle_m(F.col("med_lat"), F.col("med_lon"), F.col("lat"), F.col("lon")))
     mad = F.percentile(F.col("resid_m"), F.lit(0.5)).over(w)
-    flag = (F.col("n_near") >= f.hampel_min_fixes) & (F.col("resid_m") > F.greatest(f.hampel_k * 1.4826 * F.col("mad_m"), F.lit(f.hampel_floor_m)))
+    flag = (F.col("n_near") >= f.hampel_min_window_fixes) & (F.col("resid_m") > F.greatest(f.hampel_k * 1.4826 * F.col("mad_m"), F.lit(f.hampel_eps_min_m)))
     return near.withColumn("mad_m", mad).withColumn("hampel", flag).drop("med_lat", "med_lon")
 
 
 def hampel_altitude(fixes: DataFrame, limits: Thresholds, column: str = "baro_alt", half_window: float | None = None) -> DataFrame:
     """Fixes with alt_hampel: the same test on one altitude column; the flag alone nulls the altitude, in altitude_outliers."""
     f = limits.fix_level
-    half = int(f.hampel_half_window_s if half_window is None else half_window)
+    half = int(f.hampel_window_s if half_window is None else half_window)
     w = by_flight().orderBy("t").rangeBetween(-half, half)
     near = fixes.withColumns({"med_alt": F.percentile(F.col(column), F.lit(0.5)).over(w), "n_near": F.count(column).over(w)})
     near = near.withColumn("alt_resid_m", F.abs(F.col(column) - F.col("med_alt")))
     mad = F.percentile(F.col("alt_resid_m"), F.lit(0.5)).over(w)
-    return near.withColumn("alt_mad_m", mad).withColumn("alt_hampel", (F.col("n_near") >= f.hampel_min_fixes) & (F.col("alt_resid_m") > F.greatest(f.hampel_k * 1.4826 * F.col("alt_mad_m"), F.lit(f.hampel_floor_m)))).drop("med_alt")
+    return near.withColumn("alt_mad_m", mad).withColumn("alt_hampel", (F.col("n_near") >= f.hampel_min_window_fixes) & (F.col("alt_resid_m") > F.greatest(f.hampel_k * 1.4826 * F.col("alt_mad_m"), F.lit(f.hampel_eps_min_m)))).drop("med_alt")
 
 
 def speed_bound(limits: Thresholds) -> Column:
-    return F.create_map(*[F.lit(x) for pair in limits.fix_level.vxy_max_mps.items() for x in pair])[F.col("source")]
+    return F.create_map(*[F.lit(x) for pair in limits.fix_level.max_horizontal_speed_mps.items() for x in pair])[F.col("source")]
 
 
 def impossible(fixes: DataFrame, limits: Thresholds) -> DataFrame:
@@ -116,19 +116,17 @@ def remove_blocks(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     """Fixes with ``kept`` and ``split_before``: a burst of impossible fixes goes as the smallest block whose ends join at a possible
     speed; where no block that lasts up to block_max_s does, the track is split and nothing goes. Flights without an
     impossible step do not enter Python."""
-    w = by_flight("fix_no")
     steps = with_steps(fixes)
     fast = F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.col("dt") > speed_bound(limits)), F.lit(False))
     marked = steps.withColumn("fast", F.max(fast.cast("int")).over(by_flight())).drop("dt", "step_m", "dz")
     out = fixes.withColumns({"kept": F.lit(True), "split_before": F.lit(False)})
-    bounds = limits.fix_level.vxy_max_mps
+    bounds = limits.fix_level.max_horizontal_speed_mps
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("fix_no", kind="stable")
         keep, split = smallest_blocks(group["t"].to_numpy(), group["lat"].to_numpy(), group["lon"].to_numpy(), bounds.get(group["source"].iloc[0], np.inf), limits.fix_level.block_max_s)
         return group.assign(kept=keep, split_before=split)
 
-    del w
     bad = marked.where("fast = 1").drop("fast").groupBy(*KEYS).applyInPandas(scan, out.schema)
     clean = marked.where("fast = 0").drop("fast").withColumns({"kept": F.lit(True), "split_before": F.lit(False)})
     return clean.unionByName(bad)
@@ -169,9 +167,9 @@ def frozen_runs(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     aircraft, stood still: a flat barometer between the medians of the stretch's ends, or identical coordinates (without
     a barometer: fixes marked invalid or without altitude, or identical coordinates). Needs alt_source."""
     f = limits.fix_level
-    w = by_flight().orderBy("t").rangeBetween(0, int(f.frozen_span_s))
+    w = by_flight().orderBy("t").rangeBetween(0, int(f.frozen_tau_s))
     extent = great_circle_m(F.min("lat").over(w), F.min("lon").over(w), F.max("lat").over(w), F.max("lon").over(w))
-    hint = ((extent < 2 * f.frozen_diameter_m) & (F.max("t").over(by_flight()) - F.col("t") >= f.frozen_span_s)).cast("int")
+    hint = ((extent < 2 * f.frozen_eps_m) & (F.max("t").over(by_flight()) - F.col("t") >= f.frozen_tau_s)).cast("int")
     marked = fixes.withColumn("hint", hint).withColumn("hint", F.max("hint").over(by_flight()))
     schema = fixes.withColumn("frozen", F.lit(False)).schema
 
@@ -179,7 +177,7 @@ def frozen_runs(fixes: DataFrame, limits: Thresholds) -> DataFrame:
         group = group.sort_values("fix_no", kind="stable")
         baro = group["baro_alt"].to_numpy() if group["alt_source"].iloc[0] == "baro" else None
         bad = (~group["valid"] | (group["gnss_alt"] == 0)).to_numpy()
-        return group.assign(frozen=frozen_mask(group["t"].to_numpy(), group["lat"].to_numpy(), group["lon"].to_numpy(), baro, bad, f.frozen_diameter_m, f.frozen_span_s, f.frozen_baro_m))
+        return group.assign(frozen=frozen_mask(group["t"].to_numpy(), group["lat"].to_numpy(), group["lon"].to_numpy(), baro, bad, f.frozen_eps_m, f.frozen_tau_s, f.frozen_delta_z_m))
 
     return marked.where("hint = 0").drop("hint").withColumn("frozen", F.lit(False)).unionByName(marked.where("hint = 1").drop("hint").groupBy(*KEYS).applyInPandas(scan, schema))
 
@@ -230,8 +228,8 @@ def bad_altitudes(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     f = limits.fix_level
     w = by_flight("fix_no")
     rate = (F.col("alt") - F.lag("alt").over(w)) / F.nullif(F.col("t") - F.lag("t").over(w), F.lit(0.0))
-    steep = F.coalesce((F.col("alt_source") == "baro") & (F.abs(rate) > f.vz_max_mps), F.lit(False))
-    outside = ~F.col("alt").between(f.alt_min_m, f.alt_max_m)
+    steep = F.coalesce((F.col("alt_source") == "baro") & (F.abs(rate) > f.max_vertical_speed_mps), F.lit(False))
+    outside = ~F.col("alt").between(f.min_altitude_m, f.max_altitude_m)
     return fixes.withColumn("alt_reason", F.when(outside, "band").when(steep, "steep")).withColumn("alt", F.when(F.col("alt_reason").isNull(), F.col("alt")))
 
 
@@ -248,11 +246,11 @@ def trim_window(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     no such run is a reason to discard."""
     tr = limits.trimming
     w = by_flight("fix_no")
-    steps = with_steps(fixes).withColumn("moving", F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.col("dt") > tr.v_on_mps), F.lit(False)))
+    steps = with_steps(fixes).withColumn("moving", F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.col("dt") > tr.takeoff_speed_mps), F.lit(False)))
     new = F.when(F.col("moving") == F.lag("moving").over(w), 0).otherwise(1)
     steps = steps.withColumn("t_before", F.coalesce(F.lag("t").over(w), F.col("t"))).withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = steps.groupBy(*KEYS, "run").agg(F.min("moving").alias("moving"), F.min("t_before").alias("t0"), F.max("t").alias("t1"))
-    holds = F.col("moving") & (F.col("t1") - F.col("t0") >= tr.hold_s)
+    holds = F.col("moving") & (F.col("t1") - F.col("t0") >= tr.sustained_s)
     window = runs.groupBy(*KEYS).agg(F.min(F.when(holds, F.col("t0"))).alias("t_on"), F.max(F.when(holds, F.col("t1"))).alias("t_off"))
     return window.withColumn("reason", F.when(F.col("t_on").isNull(), "never_moves"))
 
@@ -262,12 +260,12 @@ def interior_ground(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     ``ground``, to be cut out, the shorter ones ``suspect``."""
     tr = limits.trimming
     w = by_flight("fix_no")
-    steps = with_steps(fixes).withColumn("slow", F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.col("dt") < tr.v_on_mps), F.lit(False)))
+    steps = with_steps(fixes).withColumn("slow", F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.col("dt") < tr.takeoff_speed_mps), F.lit(False)))
     new = F.when(F.col("slow") == F.lag("slow").over(w), 0).otherwise(1)
     steps = steps.withColumn("t_before", F.coalesce(F.lag("t").over(w), F.col("t"))).withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = steps.where("slow").groupBy(*KEYS, "run").agg(F.min("t_before").alias("t0"), F.max("t").alias("t1"), (F.max("baro_alt") - F.min("baro_alt")).alias("alt_range"))
-    kind = F.when(F.col("t1") - F.col("t0") >= tr.ground_s, "ground").otherwise("suspect")
-    return runs.where(F.col("alt_range") <= tr.ground_alt_m).select(*KEYS, "t0", "t1", kind.alias("kind"))
+    kind = F.when(F.col("t1") - F.col("t0") >= tr.interior_ground_s, "ground").otherwise("suspect")
+    return runs.where(F.col("alt_range") <= tr.ground_flatness_m).select(*KEYS, "t0", "t1", kind.alias("kind"))
 
 
 def removed(fixes: DataFrame, gone: Column, counter: str) -> DataFrame:
@@ -286,7 +284,7 @@ def airborne_counts(fixes: DataFrame, counters: tuple[str, ...]) -> DataFrame:
 
 
 def removal_passes(removed: Column, n: Column, limits: Thresholds) -> Column:
-    return removed / n <= limits.fix_level.removed_fraction_max
+    return removed / n <= limits.fix_level.integrity_max_fraction
 
 
 def removal_counts(fixes: DataFrame, reason: str, limits: Thresholds) -> DataFrame:

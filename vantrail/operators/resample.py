@@ -36,7 +36,7 @@ def with_local(fixes: DataFrame) -> DataFrame:
 
 def gap_bound(dt: Column, limits: Thresholds) -> Column:
     s = limits.sampling
-    return F.least(s.gap_ratio * dt, F.greatest(F.lit(s.gap_floor_s), s.gap_floor_ratio * dt))
+    return F.least(s.max_gap_factor * dt, F.greatest(F.lit(s.max_gap_seconds), s.gap_floor_ratio * dt))
 
 
 def with_segments(fixes: DataFrame, limits: Thresholds, split: str | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def segment_table(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     rows = fixes.groupBy(*SEGMENT).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n_fix"), F.max("dt_s").alias("dt_s"))
     missing = F.when(F.col("dt_s") > 0, F.greatest(F.lit(0.0), 1 - F.col("n_fix") / ((F.col("t_end") - F.col("t_start")) / F.col("dt_s") + 1)))
     rows = rows.withColumn("missing", missing)
-    return rows.withColumn("passes", F.coalesce((F.col("missing") <= s.missing_max) & (F.col("t_end") - F.col("t_start") >= s.segment_min_s), F.lit(False)))
+    return rows.withColumn("passes", F.coalesce((F.col("missing") <= s.max_missing_fraction) & (F.col("t_end") - F.col("t_start") >= s.min_segment_duration_s), F.lit(False)))
 
 
 def _intervals(rows: DataFrame, keys: list[str], values: list[str], dt: Column, closed: bool) -> DataFrame:
@@ -199,15 +199,22 @@ def savgol_column(values: Column, dt: Column, window: Column, order: int = 3) ->
 
 def smooth(grid: DataFrame, limits: Thresholds, values: tuple[str, ...] = ("east_m", "north_m", "alt")) -> DataFrame:
     """The grid with position, velocity and acceleration of each value ({value}_pos, _vel, _acc), smoothed within each segment; the window
-    is the smoothing time in grid steps, odd, and at least window_min. Null where a window meets a null or does not fit."""
-    s = limits.smoothing
-    n = F.ceil(s.tau_s / F.col("dt_s"))
-    window = F.greatest(n + F.when(n % 2 == 0, 1).otherwise(0), F.lit(s.window_min))
-    others = [c for c in grid.columns if c not in SEGMENT and c not in ("k", "dt_s")]
-    rows = grid.groupBy(*SEGMENT).agg(F.max("dt_s").alias("dt_s"), F.array_sort(F.collect_list(F.struct("k", *others))).alias("rows"))
-    rows = rows.withColumns({f"{v}_all": savgol_column(F.col(f"rows.{v}"), F.col("dt_s"), window, s.polyorder) for v in values})
-    rows = rows.select(*SEGMENT, "dt_s", *[f"{v}_all" for v in values], F.posexplode("rows").alias("i", "row"))
+    is the channel's noise time in grid steps, odd, and at least window_min. The altitude's time is that of its source where the grid has
+    alt_source, and of the barometer else. Null where a window meets a null or does not fit."""
+    s = limits.savgol
+    gnss = F.col("alt_source") == "gnss" if "alt_source" in grid.columns else F.lit(False)
+    vertical = F.when(gnss, s.tau_c_vertical_gnss_s).otherwise(s.tau_c_vertical_baro_s)
+
+    def window(value: str) -> Column:
+        n = F.ceil((vertical if value == "alt" else F.lit(s.tau_c_horizontal_s)) / F.col("dt_s"))
+        return F.greatest(n + F.when(n % 2 == 0, 1).otherwise(0), F.lit(s.window_min))
+
+    flight = [c for c in ("dt_s", "alt_source") if c in grid.columns]
+    others = [c for c in grid.columns if c not in SEGMENT and c not in ("k", *flight)]
+    rows = grid.groupBy(*SEGMENT).agg(*[F.max(c).alias(c) for c in flight], F.array_sort(F.collect_list(F.struct("k", *others))).alias("rows"))
+    rows = rows.withColumns({f"{v}_all": savgol_column(F.col(f"rows.{v}"), F.col("dt_s"), window(v), s.polyorder) for v in values})
+    rows = rows.select(*SEGMENT, *flight, *[f"{v}_all" for v in values], F.posexplode("rows").alias("i", "row"))
     at = lambda v, d: F.get(F.get(F.col(f"{v}_all"), F.lit(d)), F.col("i"))
     smoothed = [F.when(~F.isnan(at(v, d)), at(v, d)).alias(f"{v}_{name}") for v in values for d, name in enumerate(("pos", "vel", "acc"))]
-    kept = [F.col("dt_s") if c == "dt_s" else F.col(f"row.{c}").alias(c) for c in grid.columns if c not in SEGMENT]
+    kept = [F.col(c) if c in flight else F.col(f"row.{c}").alias(c) for c in grid.columns if c not in SEGMENT]
     return rows.select(*SEGMENT, *kept, *smoothed)

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from vantrail.functions.geo import local_en
+from vantrail.operators.resample import KEYS, linear_grid
+
 #: Samples of a segment, the band whose median is the noise floor, and the factor over it at the knee.
 NPERSEG, FLOOR_BAND, KNEE_FACTOR = 256, (0.35, 0.5), 3.0
 
@@ -66,3 +69,58 @@ def eligible(census: DataFrame, modal: DataFrame, tolerance: float = 0.25, least
     """Flights whose spectra are pooled: barometer present, sampling near the modal interval, enough fixes."""
     near = census.crossJoin(F.broadcast(modal))  # one row
     return near.where((F.col("n_fix") >= least) & (F.col("baro_present_frac") >= present) & (F.abs(F.col("dt_s") - F.col("modal_dt_s")) <= tolerance)).drop("modal_dt_s")
+
+
+def channel_spectra(fixes: DataFrame, channels: dict[str, Column], step: Column, nperseg: int, closed: bool) -> DataFrame:
+    """(source, flight_id, channel, pxx): each channel of each flight put on a uniform grid of ``step`` seconds, and its density. Flights whose
+    grid is shorter than a segment are left out. ``step`` reads columns of the fixes that are the same throughout a flight."""
+    rows = fixes.select(*KEYS, "t", step.alias("every"), *[c.alias(n) for n, c in channels.items()])
+    merged = rows.groupBy(*KEYS, "t").agg(F.max("every").alias("every"), *[F.avg(n).alias(n) for n in channels])
+    grid = linear_grid(merged.withColumn("own_step", F.col("every")), [*KEYS, "own_step"], list(channels), F.col("every"), closed)
+    flat = grid.groupBy(*KEYS, "own_step").agg(F.array_sort(F.collect_list(F.struct("k", *channels))).alias("rows")).where(F.size("rows") >= nperseg)
+    named = flat.select(*KEYS, "own_step", F.explode(F.array(*[F.struct(F.lit(n).alias("channel"), F.col(f"rows.{n}").alias("x")) for n in channels])).alias("c"))
+    return named.select(*KEYS, "c.channel", welch_column(F.col("c.x"), 1 / F.col("own_step"), nperseg).alias("pxx"))
+
+
+def altitude_spectra(fixes: DataFrame, census: DataFrame, modal: DataFrame, tolerance: float = 0.25, least: int = NPERSEG, nperseg: int = NPERSEG) -> DataFrame:
+    """(source, flight_id, channel, pxx) of both altitudes of the eligible flights, on grids of the modal interval: ``modal``, one row, comes
+    from a first pass over the census, so all spectra have the same frequencies."""
+    flights = eligible(census, modal, tolerance, least).select(*KEYS)
+    chosen = fixes.join(flights, KEYS, "left_semi").crossJoin(F.broadcast(modal))  # one row
+    return channel_spectra(chosen, {"baro": F.col("baro_alt"), "gnss": F.col("gnss_alt")}, F.col("modal_dt_s"), nperseg, True)
+
+
+def noise_panel(fixes: DataFrame, flights: DataFrame, window_s: float = 1800.0) -> DataFrame:
+    """(source, flight_id, t, baro_alt, gnss_alt, offset_m) over the first ``window_s`` seconds of the flight of the most fixes, the first source
+    and id of several; the offset is GNSS over barometer without its mean."""
+    one = flights.orderBy(F.desc("n_fix"), *KEYS).limit(1).select(*KEYS)
+    rows = fixes.join(F.broadcast(one), KEYS, "left_semi")
+    first = rows.agg(F.min("t").alias("t0"))
+    rows = rows.crossJoin(F.broadcast(first)).where(F.col("t") <= F.col("t0") + window_s)  # one flight's window
+    offset = F.col("gnss_alt") - F.col("baro_alt")
+    mean = rows.agg(F.avg(offset).alias("mean"))
+    return rows.crossJoin(F.broadcast(mean)).select(*KEYS, "fix_no", (F.col("t") - F.col("t0")).alias("t"), "baro_alt", "gnss_alt", (offset - F.col("mean")).alias("offset_m"))
+
+
+def timescales(fixes: DataFrame, census: DataFrame, cadence: float = 1.0, tolerance: float = 0.25, sample: int = 900, seed: int = 42, nperseg: int = NPERSEG, least: int = NPERSEG) -> DataFrame:
+    """(channel, n_flights, floor, f_c, tau, tau_p90): the knee of the median spectrum of each channel, and of its 90th percentile, over a
+    seeded sample of flights a source that sampled near ``cadence``. East and north are one channel; a flight gives the altitude of the
+    barometer where that is present, and of GNSS else."""
+    from pyspark.sql import Window
+
+    drawn = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("flight_id", F.lit(seed)), "flight_id"))
+    chosen = census.withColumn("drawn", drawn).where((F.col("drawn") <= sample) & (F.col("n_fix") >= least) & (F.abs(F.col("dt_s") - cadence) <= tolerance))
+    rows = fixes.join(chosen.select(*KEYS, (F.col("baro_present_frac") >= 0.5).alias("has_baro")), KEYS)
+    of_flight = Window.partitionBy(*KEYS)
+    east, north = local_en(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
+    rows = rows.withColumns({"lat0": F.avg("lat").over(of_flight), "lon0": F.avg("lon").over(of_flight)}).withColumns({"east": east, "north": north, "up": F.when(F.col("has_baro"), F.col("baro_alt")).otherwise(F.col("gnss_alt"))})
+    spectra = channel_spectra(rows, {c: F.col(c) for c in ("east", "north", "up")}, F.lit(cadence), nperseg, False)
+    spectra = spectra.join(chosen.select(*KEYS, "baro_present_frac"), KEYS)
+    vertical = F.when(F.col("baro_present_frac") >= 0.5, "vertical_baro").otherwise("vertical_gnss")
+    spectra = spectra.withColumn("channel", F.when(F.col("channel") == "up", vertical).otherwise("horizontal"))
+    counts = spectra.groupBy("channel").agg(F.count_distinct(*KEYS).alias("n_flights"))
+    curve = ensemble(spectra, nperseg // 2 + 1, "pxx", [0.5, 0.9], ["channel"]).withColumn("f", F.col("k") / (nperseg * cadence))
+    band = (FLOOR_BAND[0] / cadence, FLOOR_BAND[1] / cadence)
+    middle = knee(curve, "f", "q_50", "channel", band=band)
+    noisy = knee(curve, "f", "q_90", "channel", band=band).select("channel", F.col("tau").alias("tau_p90"))
+    return counts.join(middle, "channel").join(noisy, "channel")

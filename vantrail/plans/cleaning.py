@@ -58,7 +58,10 @@ def clean_tracks(fixes: DataFrame, limits: Thresholds, interpolate: bool = True)
     placed = resample.with_segments(resample.with_enu(kept), limits, "split_before")
     segments = resample.segment_table(placed, limits)
     good = placed.join(segments.where("passes").select(*resample.SEGMENT), resample.SEGMENT, "left_semi")
-    return Cleaned(resample.smooth(resample.native_grid(good, limits), limits) if interpolate else good, segments, flights)
+    if interpolate:
+        sources = flights.select(*KEYS, "alt_source")
+        good = resample.smooth(resample.native_grid(good, limits).join(sources, KEYS), limits)
+    return Cleaned(good, segments, flights)
 
 
 def write_cleaned(cleaned: Cleaned, root: str) -> None:

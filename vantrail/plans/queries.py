@@ -20,10 +20,10 @@ ORACLE: dict[str, str] = {}
 
 #: Overrides for the view, whose fixes are about 27 s apart and whose speeds jump with the values.
 LIMITS = Thresholds(
-    fix_level=FixLevel(vxy_max_mps={"paragliders": 45.0, "hang gliders": 55.0}, hampel_half_window_s=200.0, alt_min_m=100.0, alt_max_m=4000.0, vz_max_mps=40.0),
-    flight_level=FlightLevel(path_min_km=30.0, alt_range_min_m=75.0),
-    trimming=Trimming(v_on_mps=12.0, hold_s=60.0, ground_s=100.0, ground_alt_m=3000.0),
-    sampling=Sampling(gap_ratio=4.0, gap_floor_s=20.0, gap_floor_ratio=3.0, missing_max=0.4, segment_min_s=90.0),
+    fix_level=FixLevel(max_horizontal_speed_mps={"paragliders": 45.0, "hang gliders": 55.0}, hampel_window_s=200.0, min_altitude_m=100.0, max_altitude_m=4000.0, max_vertical_speed_mps=40.0),
+    flight_level=FlightLevel(min_path_km=30.0, min_alt_range_m=75.0),
+    trimming=Trimming(takeoff_speed_mps=12.0, sustained_s=60.0, interior_ground_s=100.0, ground_flatness_m=3000.0),
+    sampling=Sampling(max_gap_factor=4.0, max_gap_seconds=20.0, gap_floor_ratio=3.0, max_missing_fraction=0.4, min_segment_duration_s=90.0),
 )
 
 
@@ -208,7 +208,19 @@ def a31(spark, d):
     return statistics(spark, d).groupBy("source").agg(F.count("*").alias("n")).select("source", F.lit(needed).cast("bigint").alias("needed"), (F.col("n") >= needed).alias("enough"))
 
 
-@register("k7_config_macros")
+# The published thresholds, and this engine's own beside them.
+_MACROS = """
+alt_channel.baro_min_range_m 30, alt_channel.baro_present_frac 0.5, fix_level.block_max_s 60, fix_level.frozen_delta_z_m 5, fix_level.frozen_eps_m 15, fix_level.frozen_tau_s 60,
+fix_level.hampel_eps_min_m 15, fix_level.hampel_k 5, fix_level.hampel_min_window_fixes 5, fix_level.hampel_window_s 20, fix_level.integrity_max_fraction 0.1, fix_level.max_altitude_m 6000,
+fix_level.max_horizontal_speed_mps.hang gliders 55, fix_level.max_horizontal_speed_mps.paragliders 45, fix_level.max_vertical_speed_mps 13, fix_level.min_altitude_m -100,
+flight_level.max_duration_s 57600, flight_level.min_alt_range_m 75, flight_level.min_duration_s 2400, flight_level.min_path_km 20, sampling.gap_floor_ratio 2, sampling.max_gap_factor 10,
+sampling.max_gap_seconds 20, sampling.max_missing_fraction 0.1, sampling.min_segment_duration_s 90, savgol.polyorder 3, savgol.tau_c_horizontal_s 5, savgol.tau_c_vertical_baro_s 5,
+savgol.tau_c_vertical_gnss_s 5, savgol.window_min 5, trimming.ground_flatness_m 5, trimming.interior_ground_s 600, trimming.sustained_s 30, trimming.takeoff_speed_mps 5
+"""
+_MACRO_ROWS = ", ".join("('{}', {}::DOUBLE)".format(*x.strip().rsplit(" ", 1)) for x in _MACROS.split(","))
+
+
+@register("k7_config_macros", f"SELECT * FROM (VALUES {_MACRO_ROWS}) v(name, value)")
 def k7(spark, d):
     return spark.createDataFrame(Thresholds().table(), "name string, value double")
 
@@ -322,10 +334,13 @@ def c5(spark, d):
 
 # ---------------------------------------------------------------- catalog
 def _catalog(spark, d):
-    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
-    files = lines.where("l_quantity > 45").groupBy("l_orderkey").agg(F.max("l_quantity").alias("size"))
-    joined = orders.join(files, orders["o_orderkey"] == files["l_orderkey"], "left")
-    return joined.select(F.year("o_orderdate").alias("season_year"), F.col("o_orderkey").alias("flight_id"), F.when(F.col("o_orderpriority").startswith("1"), "").otherwise(F.col("o_orderpriority")).alias("igc_link"), F.col("size").isNotNull().alias("downloaded"), F.col("size").alias("file_size"))
+    """Orders as flights, and the large ones of their lines as the listing of landed files."""
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    link = F.when(F.col("o_orderpriority").startswith("1"), "").otherwise(F.col("o_orderpriority"))
+    flights = table(spark, d, "orders").select(F.year("o_orderdate").alias("season_year"), date.alias("date"), F.col("o_orderkey").alias("flight_id"), link.alias("igc_link"))
+    sizes = table(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("flight_id")).agg(F.max("l_quantity").alias("length"))
+    files = sizes.join(flights, "flight_id").select(naming.track_path("/archive", F.col("season_year"), F.col("date"), F.col("flight_id")).alias("path"), "length")
+    return catalog.build_catalog(flights, files, "/archive").select("season_year", "flight_id", "igc_link", "downloaded", "file_size")
 
 
 _CAT = "c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season_year, o_orderkey AS flight_id, CASE WHEN o_orderpriority LIKE '1%' THEN '' ELSE o_orderpriority END AS igc_link, size IS NOT NULL AS downloaded, size AS file_size FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS size FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_orderkey = o_orderkey)"

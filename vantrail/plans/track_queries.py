@@ -186,15 +186,56 @@ def _grid(spark, d):
     return resample.native_grid(placed)
 
 
-@register("r3_grid")
+def _end(h0: str, h1: str, d0: str, d1: str) -> str:
+    three = f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+    return f"CASE WHEN {d1} IS NULL THEN {d0} WHEN {three} * {d0} <= 0 THEN 0.0 WHEN {d0} * {d1} <= 0 AND abs({three}) > 3 * abs({d0}) THEN 3 * {d0} ELSE {three} END"
+
+
+def _slope(v: str) -> str:
+    inner = f"CASE WHEN d{v} * db{v} <= 0 THEN 0.0 ELSE (3 * h + 3 * hb) / ((2 * h + hb) / db{v} + (h + 2 * hb) / d{v}) END"
+    return f"CASE WHEN d{v} IS NULL AND db{v} IS NULL THEN 0.0 WHEN db{v} IS NULL THEN {_end('h', 'hn', f'd{v}', f'dn{v}')} WHEN d{v} IS NULL THEN {_end('hb', 'hbb', f'db{v}', f'dbb{v}')} ELSE {inner} END AS m{v}"
+
+
+def _hermite(v: str, name: str) -> str:
+    return f"CASE WHEN tn IS NULL THEN {name} ELSE (1 + 2 * u) * (1 - u) * (1 - u) * {name} + u * (1 - u) * (1 - u) * h * m{v} + u * u * (3 - 2 * u) * {v}n + u * u * (u - 1) * h * mn{v} END"
+
+
+_S = "PARTITION BY source, flight_id, segment_id ORDER BY t"
+_LAGS = ", ".join(f"(lead({c}) OVER z - {c}) / (lead(t) OVER z - t) AS d{v}, lead({c}) OVER z AS {v}n" for v, c in (("e", "east_m"), ("n", "north_m")))
+_MORE = ", ".join(f"lead(d{v}) OVER z AS dn{v}, lag(d{v}) OVER z AS db{v}, lag(d{v}, 2) OVER z AS dbb{v}" for v in "en")
+_PCHIP = (
+    VIEW, MERGED, _ALT.replace("FROM v WINDOW", "FROM d WINDOW"), _enu("am"), _seg("en"),
+    f"""h1 AS (SELECT *, lead(t) OVER z - t AS h, lead(t) OVER z AS tn, lead(alt) OVER z AS an, min(t) OVER (PARTITION BY source, flight_id, segment_id) AS t0, {_LAGS} FROM g3 WINDOW z AS ({_S})),
+h2 AS (SELECT *, lead(h) OVER z AS hn, lag(h) OVER z AS hb, lag(h, 2) OVER z AS hbb, {_MORE} FROM h1 WINDOW z AS ({_S})),
+h3 AS (SELECT *, {_slope("e")}, {_slope("n")} FROM h2),
+h4 AS (SELECT *, lead(me) OVER z AS mne, lead(mn) OVER z AS mnn, CAST(ceil((t - t0) / dt_s) AS BIGINT) AS k0, CASE WHEN tn IS NULL THEN CASE WHEN t - t0 = ceil((t - t0) / dt_s) * dt_s THEN CAST(ceil((t - t0) / dt_s) AS BIGINT) END ELSE CAST(ceil((tn - t0) / dt_s) AS BIGINT) - 1 END AS k1 FROM h3 WHERE dt_s > 0 WINDOW z AS ({_S})),
+h5 AS (SELECT *, unnest(range(k0, k1 + 1)) AS k FROM h4 WHERE k1 >= k0),
+h6 AS (SELECT *, t0 + k * dt_s AS grid_t, CASE WHEN tn IS NULL THEN 0.0 ELSE (t0 + k * dt_s - t) / h END AS u FROM h5),
+gd AS (SELECT source, flight_id, segment_id, k, grid_t, dt_s, {_hermite("e", "east_m")} AS east_m, {_hermite("n", "north_m")} AS north_m, alt + coalesce(u * (an - alt), 0.0) AS alt, least(grid_t - t, coalesce(tn - grid_t, grid_t - t)) > dt_s / 2 AS interpolated FROM h6)""",
+)
+
+
+@register("r3_grid", query(f"SELECT source, flight_id, segment_id, k, {r('grid_t')}, {r('dt_s')}, {_R3('east_m')}, {_R3('north_m')}, {_R3('alt')}, interpolated FROM gd", *_PCHIP))
 def r3(spark, d):
-    return _grid(spark, d)
+    return _grid(spark, d).withColumns({c: F.round(c, 3) for c in ("east_m", "north_m", "alt")})
+
 
+def _cubic(derivative: int) -> str:
+    """The derivative of the cubic through five points y[1] to y[5], at position a of them, as its least-squares weights by a polynomial fit
+    of each unit vector."""
+    at = [np.polyfit(np.arange(5) - a, np.eye(5), 3)[3 - derivative] * (2 if derivative == 2 else 1) for a in range(5)]
+    sums = [" + ".join(f"{w!r}::DOUBLE * y[{j + 1}]" for j, w in enumerate(map(float, row))) for row in at]
+    return "CASE a " + " ".join(f"WHEN {a} THEN {x}" for a, x in enumerate(sums)) + " END"
 
-@register("r5_savgol5")
+
+_SG = ", ".join(f"round(CASE WHEN n >= 5 THEN ({_cubic(i)}) / pow(dt_s, {i}) END, 3) + 0.0 AS east_m_{name}" for i, name in enumerate(("pos", "vel", "acc")))
+
+
+@register("r5_savgol5", query(f"SELECT source, flight_id, segment_id, k, {_SG} FROM (SELECT *, i - s AS a, all_[s + 1:s + 5] AS y FROM (SELECT *, least(greatest(i - 2, 0), n - 5) AS s FROM (SELECT *, row_number() OVER z - 1 AS i, count(*) OVER (PARTITION BY source, flight_id, segment_id) AS n, list(east_m) OVER (PARTITION BY source, flight_id, segment_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS all_ FROM gd WINDOW z AS (PARTITION BY source, flight_id, segment_id ORDER BY k))))", *_PCHIP))
 def r5(spark, d):
     grid = _grid(spark, d)
-    return resample.savgol5(grid, "east_m", resample.SEGMENT, F.col("dt_s")).select(*resample.SEGMENT, "k", "east_m_pos", "east_m_vel", "east_m_acc")
+    smooth = resample.savgol5(grid, "east_m", resample.SEGMENT, F.col("dt_s"))
+    return smooth.select(*resample.SEGMENT, "k", *[F.round(f"east_m_{x}", 3).alias(f"east_m_{x}") for x in ("pos", "vel", "acc")])
 
 
 # ---------------------------------------------------------------- spectra
@@ -232,12 +273,69 @@ def w4(spark, d):
     return spectral.knee(curve, "f", "p", "label", factor=1.2)
 
 
-@register("w1_welch")
+def _welch(n: int, fs: str, keys: str, out: str) -> str:
+    """Tables of the densities ({keys}, f, p) of x over i (0, 1, ...) in ``src``: half-overlapping segments of n, as plain Fourier sums."""
+    return f"""nn AS (SELECT {keys}, count(*) AS points FROM src GROUP BY {keys} HAVING count(*) >= {n}),
+sg AS (SELECT src.*, i - {n // 2} * g AS j, g FROM (SELECT *, unnest(range(0, (points - {n}) // {n // 2} + 1)) AS g FROM nn) JOIN src USING ({keys}) WHERE i BETWEEN {n // 2} * g AND {n // 2} * g + {n - 1}),
+fl AS (SELECT {keys}, g, j, (x - avg(x) OVER z - (j - {(n - 1) / 2}) * regr_slope(x, j) OVER z) * (0.5 - 0.5 * cos(2 * pi() * j / {n})) AS y FROM sg WINDOW z AS (PARTITION BY {keys}, g)),
+pw AS (SELECT {keys}, g, f, (pow(sum(y * cos(2 * pi() * f * j / {n})), 2) + pow(sum(y * sin(2 * pi() * f * j / {n})), 2)) / ({fs} * {n * 3 / 8}) * CASE WHEN f BETWEEN 1 AND {n // 2 - 1} THEN 2 ELSE 1 END AS p FROM fl, (SELECT unnest(range(0, {n // 2 + 1})) AS f) GROUP BY {keys}, g, f),
+{out} AS (SELECT {keys}, f, avg(p) AS p FROM pw GROUP BY {keys}, f)"""
+
+
+@register("w1_welch", query(f"SELECT vec_id, label, CAST(f AS INTEGER) AS k, {r('p')} FROM wl", "src AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)", _welch(64, "1.0", "vec_id, label", "wl")))
 def w1(spark, d):
     series = table(spark, d, "embeddings").select("vec_id", "label", spectral.welch_column(F.col("embedding"), 1.0, 64).alias("pxx"))
     return series.select("vec_id", "label", F.posexplode("pxx").alias("k", "p"))
 
 
+_MODAL = "m AS (SELECT round_even(dt_s, 0) AS r FROM st WHERE dt_s >= 0.5 GROUP BY 1 ORDER BY count(*) DESC, r LIMIT 1)"
+_ELIGIBLE = "el AS (SELECT source, flight_id, n_fix FROM st, m WHERE n_fix >= 60 AND baro_present_frac >= 0.5 AND abs(dt_s - r) <= 3)"
+
+
+def _on_grid(rows: str, step: str, closed: bool, channels: dict[str, str]) -> str:
+    """``src`` of the channels on grids of a step, from a table (source, flight_id, t, channels)."""
+    last = f"CASE WHEN (t - t0) = ceil((t - t0) / {step}) * {step} THEN CAST(ceil((t - t0) / {step}) AS BIGINT) END" if closed else "NULL"
+    nexts = ", ".join(f"lead({c}) OVER f AS {c}_n" for c in channels)
+    at = lambda c: f"{c} + coalesce(CASE WHEN tn IS NULL THEN 0.0 ELSE (t0 + i * {step} - t) / (tn - t) END * ({c}_n - {c}), 0.0)"
+    union = " UNION ALL ".join(f"SELECT source, flight_id, {name} AS channel, '{c}' AS part, i, {at(c)} AS x FROM j3" for c, name in channels.items())
+    return f"""j1 AS (SELECT *, min(t) OVER (PARTITION BY source, flight_id) AS t0, lead(t) OVER f AS tn, {nexts} FROM {rows} WINDOW f AS (PARTITION BY source, flight_id ORDER BY t)),
+j2 AS (SELECT *, CAST(ceil((t - t0) / {step}) AS BIGINT) AS k0, CASE WHEN tn IS NULL THEN {last} ELSE CAST(ceil((tn - t0) / {step}) AS BIGINT) - 1 END AS k1 FROM j1),
+j3 AS (SELECT *, unnest(range(k0, k1 + 1)) AS i FROM j2 WHERE k1 >= k0),
+src AS ({union})"""
+
+
+def _bands(at: str = "q") -> str:
+    return ", ".join(f"round(quantile_cont(p, {q / 100}), 1) + 0.0 AS {at}_{q}" for q in (10, 50, 90))
+
+
+_BOTH = "ea AS (SELECT source, flight_id, t, avg(baro_alt) AS baro, avg(gnss_alt) AS gnss FROM v JOIN el USING (source, flight_id) GROUP BY ALL)"
+
+
+@register("w3_spectra", query(f"SELECT source, channel, CAST(f AS INTEGER) AS k, {r('f / (16 * (SELECT r FROM m))', 'hz')}, count(*) AS n, {_bands()} FROM wl GROUP BY GROUPING SETS ((source, channel, f), (channel, f))", VIEW, STEPS, STATS, _MODAL, _ELIGIBLE, _BOTH, _on_grid("ea", "(SELECT r FROM m)", True, {"baro": "'baro'", "gnss": "'gnss'"}), _welch(16, "(1 / (SELECT r FROM m))", "source, flight_id, channel", "wl")))
+def w3_spectra(spark, d):
+    c = statistics(spark, d)
+    modal = census.modal_interval(c)
+    spectra = spectral.altitude_spectra(view(spark, d), c, modal, tolerance=3.0, least=60, nperseg=16)
+    bands = spectral.ensemble(spectra, 9, "pxx", groups=["source", "channel"], pool="source").crossJoin(F.broadcast(modal))  # one row
+    return bands.select("source", "channel", "k", (F.col("k") / (16 * F.col("modal_dt_s"))).alias("hz"), "n", *[F.round(q, 1).alias(q) for q in ("q_10", "q_50", "q_90")])
+
+
+@register("f5_noise", query(f"SELECT source, flight_id, fix_no, {r('t - t0', 't')}, {r('baro_alt')}, {r('gnss_alt')}, {r('gnss_alt - baro_alt - avg(gnss_alt - baro_alt) OVER ()', 'offset_m')} FROM (SELECT v.*, min(t) OVER () AS t0 FROM v JOIN (SELECT source, flight_id FROM el ORDER BY n_fix DESC, source, flight_id LIMIT 1) USING (source, flight_id)) WHERE t <= t0 + 1800", VIEW, STEPS, STATS, _MODAL, _ELIGIBLE))
+def f5(spark, d):
+    c = statistics(spark, d)
+    return spectral.noise_panel(view(spark, d), spectral.eligible(c, census.modal_interval(c), tolerance=3.0, least=60))
+
+
+_LOCAL = f"lo AS (SELECT source, flight_id, t, radians(lon - avg(lon) OVER p) * {R} * cos(radians(avg(lat) OVER p)) AS east, radians(lat - avg(lat) OVER p) * {R} AS north, CASE WHEN baro_present_frac >= 0.5 THEN baro_alt ELSE gnss_alt END AS up, baro_present_frac >= 0.5 AS b FROM v JOIN st USING (source, flight_id) WHERE n_fix >= 32 AND abs(dt_s - 10) <= 60 WINDOW p AS (PARTITION BY source, flight_id)), lm AS (SELECT source, flight_id, t, b, avg(east) AS east, avg(north) AS north, avg(up) AS up FROM lo GROUP BY ALL)"
+_KNEE = "kn AS (SELECT c.channel, max(n) AS n, max(fl) AS floor, min(CASE WHEN f > 0 AND m50 <= 3 * fl THEN f END) AS f_c, min(CASE WHEN f > 0 AND m90 <= 3 * fn THEN f END) AS f_n FROM cv c JOIN (SELECT channel, quantile_cont(m50, 0.5) AS fl, quantile_cont(m90, 0.5) AS fn FROM cv WHERE f BETWEEN 0.35::DOUBLE / 10 AND 0.5::DOUBLE / 10 GROUP BY channel) USING (channel) GROUP BY c.channel)"
+
+
+@register("w5_timescales", query(f"SELECT channel, n AS n_flights, round(floor, 1) + 0.0 AS floor, {r('f_c')}, {r('1 / f_c', 'tau')}, {r('1 / f_n', 'tau_p90')} FROM kn", VIEW, STEPS, STATS, _LOCAL, _on_grid("lm", "10.0::DOUBLE", False, {"east": "'horizontal'", "north": "'horizontal'", "up": "CASE WHEN b THEN 'vertical_baro' ELSE 'vertical_gnss' END"}), _welch(32, "0.1::DOUBLE", "source, flight_id, channel, part", "wl"), "cv AS (SELECT channel, f / 320.0::DOUBLE AS f, count(DISTINCT (source, flight_id)) AS n, quantile_cont(p, 0.5) AS m50, quantile_cont(p, 0.9) AS m90 FROM wl GROUP BY ALL)", _KNEE))
+def w5(spark, d):
+    found = spectral.timescales(view(spark, d), statistics(spark, d), cadence=10.0, tolerance=60.0, nperseg=32, least=32)
+    return found.select("channel", "n_flights", F.round("floor", 1).alias("floor"), "f_c", "tau", "tau_p90")
+
+
 @register("w3_eligible", query(f"SELECT source, flight_id, n_fix, {r('dt_s')} FROM st, m WHERE n_fix >= 60 AND baro_present_frac >= 0.5 AND abs(dt_s - r) <= 3", VIEW, STEPS, STATS, "m AS (SELECT round_even(dt_s, 0) AS r FROM st WHERE dt_s >= 0.5 GROUP BY 1 ORDER BY count(*) DESC, r LIMIT 1)"))
 def w3(spark, d):
     c = statistics(spark, d)
@@ -357,15 +455,10 @@ def b16(spark, d):
     return observables.transitions(_phases(spark, d), ["user_id"])
 
 
-@register("j12_suspect_overlap", query("SELECT a.source, a.flight_id, a.t0, a.t1, b.t0 AS s0, b.t1 AS s1 FROM (SELECT source, flight_id, rm, min(tb) AS t0, max(t) AS t1 FROM q3 WHERE moving GROUP BY ALL) a JOIN (SELECT source, flight_id, rs, min(tb) AS t0, max(t) AS t1, max(baro_alt) - min(baro_alt) AS ar FROM q3 WHERE slow GROUP BY ALL) b ON a.source = b.source AND a.flight_id = b.flight_id AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE b.ar <= 3000", VIEW, STEPS, _RUNS))
+@register("j12_suspect_overlap", query("SELECT a.source, a.flight_id, a.t0, a.t1, b.t0 AS s0, b.t1 AS s1 FROM (SELECT source, flight_id, min(CASE WHEN mv AND t1 - t0 >= 60 THEN t0 END) AS t0, max(CASE WHEN mv AND t1 - t0 >= 60 THEN t1 END) AS t1 FROM (SELECT source, flight_id, rm, bool_and(moving) AS mv, min(tb) AS t0, max(t) AS t1 FROM q3 GROUP BY ALL) GROUP BY source, flight_id) a JOIN (SELECT source, flight_id, rs, min(tb) AS t0, max(t) AS t1, max(baro_alt) - min(baro_alt) AS ar FROM q3 WHERE slow GROUP BY ALL) b ON a.source = b.source AND a.flight_id = b.flight_id AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE b.ar <= 3000", VIEW, STEPS, _RUNS))
 def j12(spark, d):
-    from pyspark.sql import Window
-
-    w = tracks.by_flight("fix_no")
-    steps = tracks.with_steps(view(spark, d)).withColumn("moving", F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.col("dt") > 12.0), F.lit(False)))
-    steps = steps.withColumns({"new": F.when(F.col("moving") == F.lag("moving").over(w), 0).otherwise(1), "tb": F.coalesce(F.lag("t").over(w), F.col("t"))}).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    phases = steps.where("moving").groupBy("source", "flight_id", "run").agg(F.min("tb").alias("t0"), F.max("t").alias("t1")).drop("run")
-    return clean.ground_overlap(phases, clean.interior_ground(view(spark, d), LIMITS).drop("kind"))
+    airborne = clean.trim_window(view(spark, d), LIMITS).where("reason IS NULL").select("source", "flight_id", F.col("t_on").alias("t0"), F.col("t_off").alias("t1"))
+    return clean.ground_overlap(airborne, clean.interior_ground(view(spark, d), LIMITS).drop("kind"))
 
 
 @register("b14_phases")
