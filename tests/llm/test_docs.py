@@ -166,6 +166,14 @@ def test_top_k_brute(spark):
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0])] * 5 + [(i, [1.0, 2.0]) for i in range(1, 9)] + [(20, [3.0, 3.0]), (20, [2.0, 9.0]), (3, [1.0, 2.0])]
+    got = defaultdict(list)
+    for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") % 20 == 0, k=3, block=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {0: [(20, 20), (20, 9), (1, 5)], 20: [(0, 9), (0, 9), (0, 9)]}
+
+
 def test_finite_vectors(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(1, [1.0]), (2, None), (3, [nan]), (4, [inf]), (5, [1.0, None])], "vec_id long, e array<float>")
