@@ -13,8 +13,8 @@ third of all rows costs no more than others.
 2. Refinement. Exact vectors are read for the places that are left, of a query in the order of their bounds, best first,
    until the k-th exact score is above the next bound.
 
-Scale: every approximation is scanned for every query, as exactness asks; a block meets the queries once for each of their
-blocks, and what travels onward is candidates. Vectors are compared within one dimension. The edges of the cells are one
+Scale: every approximation is scanned for every query, as exactness asks; ``block`` approximations meet ``asked`` queries in a
+task, and what travels onward is some multiple of k places a query and block. Vectors are compared within one dimension. The edges of the cells are one
 row of numbers a dimension.
 """
 
@@ -32,6 +32,8 @@ from vantrail.llm.common import checkpointed, workers_import
 
 #: Exact vectors read for a query at first, in multiples of k.
 STEP = 2
+#: Approximations bounded at once, and the fewest of a block where blocks are made smaller to occupy all cores.
+PART, SMALLEST = 2048, 4096
 
 
 def finite(vector: str) -> Column:
@@ -46,19 +48,23 @@ def cells_of(vectors: np.ndarray, lo: np.ndarray, width: np.ndarray, bits: int)
 
 
 def scan_block(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarray, ids: np.ndarray, lo: np.ndarray, width: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, place, upper bound, lower bound) of what may be among a query's k best of a block, by bounds alone."""
-    low = cells.astype(np.float64) * width + lo
+    """(query position, place, upper bound, lower bound) of what may be among a query's k best of a block, by bounds alone. A block is taken
+    in parts of ``PART``; a query's k-th best lower bound so far decides what of a part it keeps, and the last one what passes."""
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
     slack = 1e-9 * (1 + np.abs(queries) @ np.maximum(np.abs(lo), np.abs(lo + 256 * width))) + 1e-6
-    base = queries @ low.T
-    upper = base + (plus @ width + slack)[:, None]
-    lower = base + (minus @ width - slack)[:, None]
-    own = query_ids[:, None] == ids[None, :]
-    upper[own] = lower[own] = -np.inf
-    n = len(ids)
-    least = np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else np.full(len(queries), -np.inf)
-    q, at = np.nonzero((upper >= least[:, None]) & (upper > -np.inf))
-    return q, at, upper[q, at], lower[q, at]
+    more, less = (plus @ width + slack)[:, None], (minus @ width - slack)[:, None]
+    best = np.full((len(queries), k), -np.inf)
+    kept = []
+    for start in range(0, len(ids), PART):
+        base = queries @ (cells[start : start + PART].astype(np.float64) * width + lo).T
+        base[query_ids[:, None] == ids[None, start : start + PART]] = -np.inf
+        best = -np.partition(-np.concatenate([best, base + less], axis=1), k - 1, axis=1)[:, :k]
+        upper = base + more
+        q, at = np.nonzero((upper >= best.min(axis=1)[:, None]) & (upper > -np.inf))
+        kept.append((q, at + start, upper[q, at], base[q, at] + less[q, 0]))
+    q, at, upper, lower = (np.concatenate(x) for x in zip(*kept, strict=True))
+    last = upper >= best.min(axis=1)[q]
+    return q[last], at[last], upper[last], lower[last]
 
 
 def refine(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, upper: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -81,7 +87,7 @@ def _matrix(column: pa.ChunkedArray, dim: int, kind: type) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "v", key: str = "vec_id", bits: int = 8, block: int = 4096) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "v", key: str = "vec_id", bits: int = 8, block: int = 65_536, asked: int = 4096) -> DataFrame:
     """(query_id, rank, key, score): each query row's k largest integer inner products over all rows but its own.
 
     ``vector`` is an array of whole numbers stored as bigint or double, below 2^53. Rows whose vector or key is null take no part. Of a
@@ -93,7 +99,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str =
     rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("place"), F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("bigint")).alias("v"), is_query.alias("q"), F.size(vector).alias("dim"))
     rows = checkpointed(rows)
     n_rows, n_queries = rows.count(), rows.where("q").count()
-    n_v, n_q = max(1, -(-n_rows // block)), max(1, -(-n_queries // block))
+    n_q = max(1, -(-n_queries // asked))
+    n_v = max(1, -(-n_rows // block), min(-(-n_rows // SMALLEST), -(-spark.sparkContext.defaultParallelism // n_q)))
     found = rows.select("dim", F.posexplode("v").alias("d", "x")).groupBy("dim", "d").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # a row a component
     edges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {r.dim for r in found}:
@@ -124,11 +131,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str =
         dim = group["dim"][0].as_py()
         q = at = np.empty(0, np.int64)
         upper = lower = np.empty(0)
-        ids, places, asked = (x.to_numpy() for x in (own["id"], own["place"], ask["id"]))
+        ids, places, asking = (x.to_numpy() for x in (own["id"], own["place"], ask["id"]))
         if len(ask) and len(own) and dim:
             cells = np.frombuffer(b"".join(own["cells"].to_pylist()), dtype=np.uint8).reshape(-1, dim)
-            q, at, upper, lower = scan_block(_matrix(ask["v"], dim, np.float64), asked, cells, ids, *edges[dim], k)
-        return pa.table({"query_id": pa.array(asked[q], pa.int64()), "place": pa.array(places[at], pa.int64()), "upper": upper, "lower": lower})
+            q, at, upper, lower = scan_block(_matrix(ask["v"], dim, np.float64), asking, cells, ids, *edges[dim], k)
+        return pa.table({"query_id": pa.array(asking[q], pa.int64()), "place": pa.array(places[at], pa.int64()), "upper": upper, "lower": lower})
 
     passed = side.unionByName(base).groupBy("dim", "qb", "vb").applyInArrow(scan, "query_id long, place long, upper double, lower double")
     passed = checkpointed(passed)
@@ -136,7 +143,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str =
     least = passed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
     alive = passed.join(least, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("least")))
     alive = alive.select("query_id", "place", "upper").join(rows.select("place", "id", "v"), "place")
-    asked = asks.select(F.col("id").alias("query_id"), "v").withColumns({"place": nothing("bigint"), "upper": nothing("double"), "id": nothing("bigint")})
+    asking = asks.select(F.col("id").alias("query_id"), "v").withColumns({"place": nothing("bigint"), "upper": nothing("double"), "id": nothing("bigint")})
 
     def read(group: pa.Table) -> pa.Table:
         is_ask = pc.is_null(group["place"])
@@ -148,4 +155,4 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str =
         n = len(top)
         return pa.table({"query_id": pa.array([group["query_id"][0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), key: pa.array([i for i, _ in top], pa.int64()), "score": pa.array([s for _, s in top], pa.int64())})
 
-    return alive.unionByName(asked).groupBy("query_id").applyInArrow(read, f"query_id long, rank int, {key} long, score long")
+    return alive.unionByName(asking).groupBy("query_id").applyInArrow(read, f"query_id long, rank int, {key} long, score long")
