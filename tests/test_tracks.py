@@ -331,3 +331,39 @@ def test_order_of_rows_does_not_matter(spark):
     df = fixes(spark, circle(200))
     a, b = (sorted(map(tuple, census.track_stats(x).collect())) for x in (df, df.orderBy(F.rand(1)).repartition(3)))
     assert [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in a] == [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in b]
+
+
+def test_exact_quantiles_and_distances(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vantrail.operators import observables, ranks
+
+    rng = np.random.default_rng(4)
+    values = [(g, float(v)) for g in "ab" for v in np.round(rng.lognormal(0, 2, 700), 1)] + [("a", 5.0)] * 300 + [("b", None), ("c", 1.5)]
+    rows = spark.createDataFrame(values, "g string, v double")
+    got = {r.g: (r.n, list(r.xs)) for r in ranks.exact_quantiles(rows, "v", [0.0, 0.1, 0.5, 0.999, 1.0], ["g"]).collect()}
+    for g in "abc":
+        own = [v for x, v in values if x == g and v is not None]
+        assert got[g][0] == len(own) and np.allclose(got[g][1], np.quantile(own, [0.0, 0.1, 0.5, 0.999, 1.0]))
+    a, b = (np.sort([v for x, v in values if x == g and v is not None]) for g in "ab")
+    both = np.concatenate([a, b])
+    want = np.abs(np.searchsorted(a, both, "right") / len(a) - np.searchsorted(b, both, "right") / len(b)).max()
+    assert abs(observables.ks_distance(rows.where("g <> 'c'"), "v", F.col("g") == "a").first().ks - want) < 1e-12
+    assert ranks.exact_quantiles(rows.limit(0), "v", [0.5], ["g"]).count() == 0
+
+
+def test_failures_are_written_where_there_are_any(spark, tmp_path):
+    from vantrail.sources import catalog
+
+    rows = spark.createDataFrame([("1", "timeout")], "flight_id string, reason string")
+    assert catalog.write_failures(rows, str(tmp_path / "f")) and spark.read.csv(str(tmp_path / "f"), header=True).first().reason == "timeout"
+    assert not catalog.write_failures(rows.limit(0), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    index = spark.createDataFrame([(2001, "2001-2002", "l", "x", 5, 4, 3)], "season_year int, season string, list_url string, xml_url string, n_flights long, n_with_igc long, n_downloaded long")
+    catalog.write_csv(index, str(tmp_path / "index"))
+    assert catalog.read_season_index(spark, str(tmp_path / "index")).collect() == index.collect()
+    made = []
+    table = lambda: made.append(1) or index
+    for force in (False, False, True):
+        assert catalog.load_or_compute(spark, str(tmp_path / "scan"), table, force).count() == 1
+    assert len(made) == 2

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantrail.config import Thresholds
 from vantrail.functions.geo import great_circle_m
 from vantrail.functions.stats import finite, percent
+from vantrail.operators.ranks import exact_quantiles
 from vantrail.sources.tracks import by_flight, with_steps
 
 KEYS = ["source", "flight_id"]
@@ -107,6 +109,11 @@ def fraction_retained(rows: DataFrame, value: str, threshold: float, mode: str =
     return retention_curve(rows, value, [threshold], mode)
 
 
+#: Edges and thresholds of the flight-level figure.
+DURATION_EDGES, PATH_EDGES = list(np.linspace(0.0, 12.0, 70)), list(np.logspace(np.log10(0.5), 3.0, 70))
+KEPT_MINUTES, KEPT_KM = list(np.linspace(5.0, 150.0, 80)), list(np.logspace(0.0, np.log10(500.0), 80))
+
+
 def retention_curve(rows: DataFrame, value: str, thresholds: Sequence[float], mode: str = "at_least") -> DataFrame:
     """(threshold, retained): the share of finite values on the kept side of each threshold; 0 where none is finite. All
     thresholds are sums of one aggregation, so rows are not multiplied."""
@@ -160,10 +167,82 @@ def cut_fractions(quantities: DataFrame, limits: Thresholds) -> DataFrame:
 
 def quantiles(rows: DataFrame, value: str, at: Sequence[float], *groups: str) -> DataFrame:
     """(groups, q, x): exact quantiles with linear interpolation."""
-    found = rows.groupBy(*groups).agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in at])).alias("xs"))
+    found = exact_quantiles(rows, value, at, groups)
     return found.select(*groups, F.posexplode("xs").alias("i", "x")).select(*groups, F.get(F.array(*[F.lit(float(q)) for q in at]), F.col("i")).alias("q"), "x")
 
 
+def retention_by(rows: DataFrame, value: str, thresholds: Sequence[float], group: str, mode: str = "at_least") -> DataFrame:
+    """(group, threshold, retained): a retention curve a group, in one aggregation."""
+    x = F.col(value)
+    meets = lambda th: x >= th if mode == "at_least" else x <= th
+    sums = rows.where(finite(x)).groupBy(group).agg(F.array(*[F.struct(F.lit(float(th)).alias("threshold"), F.avg(meets(float(th)).cast("double")).alias("retained")) for th in thresholds]).alias("curve"))
+    return sums.select(group, F.inline("curve"))
+
+
+def _panel(name: str, table: DataFrame) -> DataFrame:
+    """One panel of a figure as rows (panel, source, bin, lo, hi, n, value): a histogram, or a curve whose lo is its abscissa."""
+    if "density" in table.columns:
+        return table.select(F.lit(name).alias("panel"), "source", F.col("bin").cast("int").alias("bin"), "lo", "hi", "n", F.col("density").alias("value"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return table.select(F.lit(name).alias("panel"), "source", none("int").alias("bin"), F.col("threshold").alias("lo"), none("double").alias("hi"), none("bigint").alias("n"), (100 * F.col("retained")).alias("value"))
+
+
+def flight_tables(census: DataFrame) -> DataFrame:
+    """The flight-level figure: distributions of duration and path, and what lower bounds on them keep, a source."""
+    rows = census.withColumns({"hours": F.col("duration_s") / 3600, "minutes": F.col("duration_s") / 60})
+    lasting, moving = rows.where("duration_s > 0"), rows.where("path_km > 0")
+    panels = [_panel("duration_h", density_histogram(lasting.where("hours <= 12"), "hours", DURATION_EDGES, "source")), _panel("path_km", density_histogram(moving, "path_km", PATH_EDGES, "source"))]
+    panels += [_panel("kept_min", retention_by(lasting, "minutes", KEPT_MINUTES, "source")), _panel("kept_km", retention_by(moving, "path_km", KEPT_KM, "source"))]
+    return panels[0].unionByName(panels[1]).unionByName(panels[2]).unionByName(panels[3])
+
+
+def gap_tables(census: DataFrame, limits: Thresholds) -> DataFrame:
+    """The sampling figure: distributions of the largest gap over the interval and of the missing share, and what upper bounds on them keep, a
+    source. An axis ends at the 90th percentile, or past the bound where that lies further; two numbers reach the driver."""
+    s = limits.sampling
+    gaps, missing = census.where(finite(F.col("max_gap_ratio")) & (F.col("max_gap_ratio") > 0)), census.where(finite(F.col("missing_fraction")))
+    p90 = lambda rows, value, none: next((r.xs[0] for r in exact_quantiles(rows, value, [0.9]).collect()), none)
+    gap_end = max(p90(gaps, "max_gap_ratio", 1.0), 2.0 * s.max_gap_factor)
+    missing_end = max(p90(missing, "missing_fraction", 0.0), 1.1 * s.max_missing_fraction)
+    panels = [_panel("gap_ratio", density_histogram(gaps, "max_gap_ratio", list(np.linspace(1.0, gap_end, 50)), "source")), _panel("missing", density_histogram(missing, "missing_fraction", list(np.linspace(0.0, missing_end, 50)), "source"))]
+    panels += [_panel("kept_gap", retention_by(gaps, "max_gap_ratio", list(np.logspace(0.0, np.log10(max(200.0, gap_end)), 80)), "source", "at_most"))]
+    panels += [_panel("kept_missing", retention_by(missing, "missing_fraction", list(np.linspace(0.0, max(0.6, missing_end), 80)), "source", "at_most"))]
+    return panels[0].unionByName(panels[1]).unionByName(panels[2]).unionByName(panels[3])
+
+
+def fix_tables(quantities: DataFrame, limits: Thresholds) -> DataFrame:
+    """The fix-level figure: distributions of horizontal speed, vertical speed (a bin a whole metre a second) and altitude, a source. Axes
+    keep the bounds in view and reach the far quantiles; those few numbers reach the driver."""
+    f = limits.fix_level
+    pooled = {r.quantity: r.xs for r in exact_quantiles(quantities, "value", [0.001, 0.999], ["quantity"]).collect()}
+    tails = {(r.quantity, r.source): r.xs[0] for r in exact_quantiles(quantities, "value", [0.9999], ["quantity", "source"]).collect()}
+    bounds = {"v_xy": list(f.max_horizontal_speed_mps.values()), "v_z": [f.max_vertical_speed_mps], "alt": [f.min_altitude_m, f.max_altitude_m]}
+    panels = []
+    for name, cuts in bounds.items():
+        low, high = pooled.get(name, [0.0, 0.0])
+        lo = min(low, *cuts)
+        hi = max(high, *[1.05 * c for c in cuts]) if name == "alt" else max([x for (q, _), x in tails.items() if q == name] + [1.8 * c for c in cuts])
+        span = (hi - lo) or 1.0
+        lo, hi = lo - 0.02 * span, hi + 0.02 * span
+        edges = np.arange(np.floor(lo) - 0.5, np.ceil(hi) + 1.5, 1.0) if name == "v_z" else np.linspace(lo, hi, 60)
+        panels.append(_panel(name, density_histogram(quantities.where(F.col("quantity") == name), "value", list(edges), "source")))
+    return panels[0].unionByName(panels[1]).unionByName(panels[2])
+
+
+def speed_by_rate(steps: DataFrame, census: DataFrame) -> DataFrame:
+    """(rate_s, n, v_xy_mps, v_z_mps): mean finite-difference speeds by the flight's whole sampling interval, since differences shrink with it."""
+    rate = census.where("dt_s > 0").select(*KEYS, F.rint("dt_s").alias("rate_s"))
+    rows = steps.where("dt > 0").join(rate, KEYS)
+    return rows.groupBy("rate_s").agg(F.count("*").alias("n"), F.avg(F.col("step_m") / F.col("dt")).alias("v_xy_mps"), F.avg(F.abs("dz") / F.col("dt")).alias("v_z_mps"))
+
+
+def absent_or_known(known: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(source, n_absent, n): counts that are known beforehand, and scanned ones for the other sources."""
+    names = ("n_absent", "n")
+    joined = scanned.select("source", *[F.col(c).alias(f"{c}_scan") for c in names]).join(known.select("source", *names), "source", "full")
+    return joined.select("source", *[F.coalesce(c, f"{c}_scan").alias(c) for c in names])
+
+
 def flight_reason(duration: Column, path: Column, alt_range: Column, limits: Thresholds) -> Column:
     """Why a flight is cut, or null."""
     f = limits.flight_level

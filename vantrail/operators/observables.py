@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantrail.operators.ranks import running_sums
+
 KEYS = ["source", "flight_id"]
 
 
@@ -70,13 +72,11 @@ def isotropy(points: DataFrame, time: str, x: str = "east_m", y: str = "north_m"
 
 
 def ks_distance(samples: DataFrame, value: str, side: Column) -> DataFrame:
-    """(ks): the greatest gap between the distributions of the rows where ``side`` holds and the others. Values are counted first, so
-    the running sums see distinct values only."""
+    """(ks): the greatest gap between the distributions of the rows where ``side`` holds and the others. Values are counted
+    first and ranked in ranges, so no task holds them all."""
     counts = samples.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(side.cast("bigint")).alias("a"), F.sum((~side).cast("bigint")).alias("b"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(1))
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(every) - F.sum("b").over(upto) / F.sum("b").over(every))
-    return counts.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    ranked = running_sums(counts, value, ["a", "b"])
+    return ranked.agg(F.max(F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all"))).alias("ks"))
 
 
 def scaling_exponent(curve: DataFrame, x: str, y: str) -> DataFrame:
@@ -101,6 +101,27 @@ def phase_runs(rows: DataFrame, phase: str, keys: Sequence[str] = KEYS, order: s
     return found.withColumn("censored", (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy(*keys))))
 
 
+def phase_kinematics(rows: DataFrame, phase: str, keys: Sequence[str] = KEYS, order: str = "fix_no", time: str = "t", x: str = "east_m", y: str = "north_m", alt: str = "alt") -> DataFrame:
+    """(phase, n, duration_s, v_xy_mps, v_z_mps) over the phase runs that a flight does not cut off and that last: means of the duration and
+    of each run's horizontal and vertical speed between its ends."""
+    w = _along(keys, order)
+    new = F.when(F.col(phase) == F.lag(phase).over(w), 0).otherwise(1)
+    numbered = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    end = lambda f, c: f(F.struct(order, F.col(c).alias("v")))["v"]
+    runs = numbered.groupBy(*keys, "run").agg(F.first(phase).alias("phase"), (F.max(time) - F.min(time)).alias("dt"), *[(end(F.max, c) - end(F.min, c)).alias(f"d{i}") for i, c in enumerate((x, y, alt))])
+    inner = runs.withColumn("last", F.max("run").over(Window.partitionBy(*keys))).where((F.col("run") > 1) & (F.col("run") < F.col("last")) & (F.col("dt") > 0))
+    flat = F.sqrt(F.col("d0") * F.col("d0") + F.col("d1") * F.col("d1")) / F.col("dt")
+    return inner.groupBy("phase").agg(F.count("*").alias("n"), F.avg("dt").alias("duration_s"), F.avg(flat).alias("v_xy_mps"), F.avg(F.col("d2") / F.col("dt")).alias("v_z_mps"))
+
+
+def step_wait_correlation(runs: DataFrame, wait: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(n, corr): between the time of each phase ``wait`` and that of the phase after it, over runs that a flight does not cut off."""
+    w = _along(keys, "run")
+    after = runs.withColumns({"next": F.lead(F.col("t1") - F.col("t0")).over(w), "next_censored": F.lead("censored").over(w)})
+    pairs = after.where((F.col("phase") == wait) & ~F.col("censored") & ~F.col("next_censored"))
+    return pairs.agg(F.count("*").alias("n"), F.corr((F.col("t1") - F.col("t0")).cast("double"), F.col("next").cast("double")).alias("corr"))
+
+
 def transitions(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(from, to, n, share) between consecutive phases; shares of each phase's departures."""
     after = runs.select(*keys, "run", F.col("phase").alias("from"), F.lead("phase").over(_along(keys, "run")).alias("to")).where(F.col("to").isNotNull())

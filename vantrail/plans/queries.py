@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from vantrail.config import FlightLevel, FixLevel, Sampling, Thresholds, Trimming
 from vantrail.functions import naming, records, stats
 from vantrail.operators import catalog, census, clean, observables
+from vantrail.operators.ranks import exact_quantiles
 from vantrail.plans.sql import STATS, STEPS, VIEW, query, r
 from vantrail.sources import tracks
 
@@ -93,7 +94,9 @@ _QUANT = (VIEW, STEPS, "q AS (SELECT *, avg(CASE WHEN baro_alt <> 0 THEN 1.0::DO
 @register("t6_pooled", query(f"SELECT source, quantity, count(value) AS n, {r('avg(value)', 'mean')}, {r('quantile_cont(value, 0.5)', 'median')} FROM u WHERE value IS NOT NULL GROUP BY ALL", *_QUANT))
 def t6(spark, d):
     q = census.fix_quantities(view(spark, d))
-    return q.groupBy("source", "quantity").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
+    means = q.groupBy("source", "quantity").agg(F.avg("value").alias("mean"))
+    middle = exact_quantiles(q, "value", [0.5], ["source", "quantity"]).select("source", "quantity", "n", F.col("xs")[0].alias("median"))
+    return means.join(middle, ["source", "quantity"])
 
 
 @register("a9_baro_fraction", query(f"SELECT source, flight_id, {r('coalesce(avg(CASE WHEN baro_alt <> 0 THEN 1.0::DOUBLE ELSE 0.0 END), 0.0)', 'frac')} FROM v GROUP BY ALL", VIEW))
@@ -170,6 +173,64 @@ def j5(spark, d):
 _EDGES = [float(x) for x in range(0, 105001, 5000)]
 
 
+def _edges(name: str, edges: str) -> str:
+    """A table of bins (b, lo, hi, top) over a list of edges."""
+    return f"{name} AS (SELECT i - 1 AS b, e[i] AS lo, e[i + 1] AS hi, i = len(e) - 1 AS top FROM (SELECT {edges} AS e), (SELECT unnest(range(1, 5000)) AS i) WHERE i < len(e))"
+
+
+def _bars(panel: str, rows: str, edges: str) -> str:
+    return f"SELECT '{panel}' AS panel, source, CAST(b AS INTEGER) AS bin, {r('lo')}, {r('hi')}, count(*) AS n, {r('count(*) / (sum(count(*)) OVER (PARTITION BY source) * (hi - lo))', 'value')} FROM (SELECT source, b, lo, hi FROM ({rows}) JOIN {edges} ON x >= lo AND (x < hi OR top AND x = hi)) GROUP BY source, b, lo, hi"
+
+
+def _curve(panel: str, rows: str, grid: str, sign: str = ">=") -> str:
+    return f"SELECT '{panel}' AS panel, source, CAST(NULL AS INTEGER) AS bin, {r('th', 'lo')}, CAST(NULL AS DOUBLE) AS hi, CAST(NULL AS BIGINT) AS n, {r(f'100 * avg(CASE WHEN x {sign} th THEN 1.0::DOUBLE ELSE 0.0 END)', 'value')} FROM ({rows}), (SELECT unnest({grid}) AS th) GROUP BY source, th"
+
+
+_list = lambda values: "[" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[]"
+_line = lambda lo, hi, n: f"list_transform(range(0, {n}), lambda i: CASE WHEN i = {n - 1} THEN {hi} ELSE i * (({hi} - {lo}) / {n - 1}) + {lo} END)"
+
+
+@register("f1_flight_tables", query(
+    " UNION ALL ".join([_bars("duration_h", "SELECT source, duration_s / 3600 AS x FROM st WHERE duration_s > 0", "de"), _bars("path_km", "SELECT source, path_km AS x FROM st WHERE path_km > 0", "pe"), _curve("kept_min", "SELECT source, duration_s / 60 AS x FROM st WHERE duration_s > 0", _list(census.KEPT_MINUTES)), _curve("kept_km", "SELECT source, path_km AS x FROM st WHERE path_km > 0", _list(census.KEPT_KM))]),
+    VIEW, STEPS, STATS, _edges("de", _list(census.DURATION_EDGES)), _edges("pe", _list(census.PATH_EDGES))))
+def f1(spark, d):
+    return census.flight_tables(statistics(spark, d))
+
+
+@register("f2_gap_tables", query(
+    " UNION ALL ".join([_bars("gap_ratio", "SELECT source, max_gap_ratio AS x FROM st WHERE max_gap_ratio > 0", "ge"), _bars("missing", "SELECT source, missing_fraction AS x FROM st WHERE missing_fraction IS NOT NULL", "me"), _curve("kept_gap", "SELECT source, max_gap_ratio AS x FROM st WHERE max_gap_ratio > 0", "(SELECT list_transform(range(0, 80), lambda i: pow(10.0::DOUBLE, i * (log10(greatest(200.0, g)) / 79))) FROM ax)", "<="), _curve("kept_missing", "SELECT source, missing_fraction AS x FROM st WHERE missing_fraction IS NOT NULL", f"(SELECT {_line('0.0', 'greatest(0.6, m)', 80)} FROM ax)", "<=")]),
+    VIEW, STEPS, STATS, "ax AS (SELECT greatest(quantile_cont(CASE WHEN max_gap_ratio > 0 THEN max_gap_ratio END, 0.9), 2 * 4.0) AS g, greatest(quantile_cont(missing_fraction, 0.9), 1.1::DOUBLE * 0.4::DOUBLE) AS m FROM st)", _edges("ge", f"(SELECT {_line('1.0', 'g', 50)} FROM ax)"), _edges("me", f"(SELECT {_line('0.0', 'm', 50)} FROM ax)")))
+def f2(spark, d):
+    return census.gap_tables(statistics(spark, d), LIMITS)
+
+
+def _axis(quantity: str, cuts: str, far: str) -> str:
+    return f"(SELECT lo - 0.02::DOUBLE * (hi - lo) AS a, hi + 0.02::DOUBLE * (hi - lo) AS b FROM (SELECT least((SELECT quantile_cont(value, 0.001) FROM uu WHERE quantity = '{quantity}'), {cuts}) AS lo, {far} AS hi))"
+
+
+_SPEED_AXIS = _axis("v_xy", "45.0::DOUBLE, 55.0::DOUBLE", "greatest((SELECT max(q) FROM (SELECT quantile_cont(value, 0.9999) AS q FROM uu WHERE quantity = 'v_xy' GROUP BY source)), 1.8::DOUBLE * 55.0::DOUBLE)")
+_CLIMB_AXIS = _axis("v_z", "40.0::DOUBLE", "greatest((SELECT max(q) FROM (SELECT quantile_cont(value, 0.9999) AS q FROM uu WHERE quantity = 'v_z' GROUP BY source)), 1.8::DOUBLE * 40.0::DOUBLE)")
+_ALT_AXIS = _axis("alt", "100.0::DOUBLE, 4000.0::DOUBLE", "greatest((SELECT quantile_cont(value, 0.999) FROM uu WHERE quantity = 'alt'), 1.05::DOUBLE * 4000.0::DOUBLE)")
+
+
+@register("f4_fix_tables", query(
+    " UNION ALL ".join(_bars(n, f"SELECT source, value AS x FROM uu WHERE quantity = '{n}'", e) for n, e in (("v_xy", "xe"), ("v_z", "ze"), ("alt", "ae"))),
+    *_QUANT, "uu AS (SELECT * FROM u WHERE value IS NOT NULL)", _edges("xe", f"(SELECT {_line('a', 'b', 60)} FROM {_SPEED_AXIS})"), _edges("ze", f"(SELECT list_transform(range(0, CAST(ceil(b) - floor(a) + 2 AS BIGINT)), lambda i: floor(a) - 0.5 + i) FROM {_CLIMB_AXIS})"), _edges("ae", f"(SELECT {_line('a', 'b', 60)} FROM {_ALT_AXIS})")))
+def f4(spark, d):
+    return census.fix_tables(census.fix_quantities(view(spark, d)), LIMITS)
+
+
+@register("r6_speed_by_rate", query(f"SELECT round_even(dt_s, 0) AS rate_s, count(*) AS n, {r('avg(step_m / dt)', 'v_xy_mps')}, {r('avg(abs(dz) / dt)', 'v_z_mps')} FROM s JOIN (SELECT source, flight_id, dt_s FROM st WHERE dt_s > 0) USING (source, flight_id) WHERE dt > 0 GROUP BY 1", VIEW, STEPS, STATS))
+def r6(spark, d):
+    return census.speed_by_rate(tracks.with_steps(view(spark, d)), statistics(spark, d))
+
+
+@register("j6_known_else_scan", query("SELECT source, CASE source WHEN 'paragliders' THEN 5 ELSE n_absent END AS n_absent, CASE source WHEN 'paragliders' THEN 9 ELSE n END AS n FROM (SELECT source, CAST(sum(CASE WHEN baro_present_frac < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_absent, count(*) AS n FROM st GROUP BY source)", VIEW, STEPS, STATS))
+def j6(spark, d):
+    known = spark.createDataFrame([("paragliders", 5, 9)], "source string, n_absent long, n long")
+    return census.absent_or_known(known, census.baro_absent_census(statistics(spark, d)))
+
+
 @register("a26_histogram", f"""WITH b AS (SELECT l_returnflag, least(floor(l_extendedprice / 5000), {len(_EDGES) - 2}) AS bin FROM lineitem WHERE l_extendedprice BETWEEN 0 AND {_EDGES[-1]}),
 c AS (SELECT l_returnflag, CAST(bin AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY ALL)
 SELECT l_returnflag, bin, {r('bin * 5000.0::DOUBLE', 'lo')}, {r('(bin + 1) * 5000.0::DOUBLE', 'hi')}, n, {r('n / (sum(n) OVER (PARTITION BY l_returnflag) * 5000.0)', 'density')} FROM c""")

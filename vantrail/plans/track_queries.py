@@ -403,6 +403,32 @@ def b10(spark, d):
     return observables.propagator(steps, "source", "v", 10.0).select("source", "bin", "n")
 
 
+@register("b10_climb_distribution", query("SELECT source, CAST(floor(dz / dt + 0.5) AS BIGINT) AS bin, count(*) AS n FROM s WHERE dt > 0 GROUP BY ALL", VIEW, STEPS))
+def b10_climb(spark, d):
+    steps = tracks.with_steps(view(spark, d)).where("dt > 0").withColumn("v", F.col("dz") / F.col("dt"))
+    return observables.propagator(steps, "source", "v", 1.0).select("source", "bin", "n")
+
+
+_CATALOG = "ct AS (SELECT c_custkey AS flight_id, c_mktsegment AS stratum FROM customer)"
+
+
+@register("j11_stratum_msd", query("SELECT stratum, minute, count(*) AS n, round(avg(east_m * east_m + north_m * north_m), 1) + 0.0 AS msd FROM pt JOIN ct USING (flight_id) GROUP BY ALL", *_PT, _CATALOG))
+def j11(spark, d):
+    """Strata from a catalog by flight, here the customer of the flight's number and the market segment."""
+    catalog = table(spark, d, "customer").select(F.col("c_custkey").alias("flight_id"), F.col("c_mktsegment").alias("stratum"))
+    r2 = F.col("east_m") * F.col("east_m") + F.col("north_m") * F.col("north_m")
+    return _points(spark, d).join(catalog, "flight_id").groupBy("stratum", "minute").agg(F.count("*").alias("n"), F.round(F.avg(r2), 1).alias("msd"))
+
+
+@register("b13_geography", query("SELECT CAST(floor(lat * 10) AS BIGINT) AS cell_lat, CAST(floor(lon * 10) AS BIGINT) AS cell_lon, count(DISTINCT flight_id) AS flights, count(*) AS n, round(avg(east_m * east_m + north_m * north_m), 1) + 0.0 AS msd FROM en GROUP BY 1, 2", VIEW, _enu("v")))
+def b13_geography(spark, d):
+    """Cells of a tenth of a degree."""
+    cell = lambda c: F.floor(F.col(c) * 10).cast("bigint")
+    points = resample.with_enu(view(spark, d)).withColumns({"cell_lat": cell("lat"), "cell_lon": cell("lon")})
+    r2 = F.col("east_m") * F.col("east_m") + F.col("north_m") * F.col("north_m")
+    return points.groupBy("cell_lat", "cell_lon").agg(F.count_distinct("flight_id").alias("flights"), F.count("*").alias("n"), F.round(F.avg(r2), 1).alias("msd"))
+
+
 @register("b4_propagator", query(f"SELECT minute, bin, n, {r('n / (sum(n) OVER (PARTITION BY minute) * 500.0)', 'density')} FROM (SELECT minute, CAST(floor(north_m / 500 + 0.5) AS BIGINT) AS bin, count(*) AS n FROM pt GROUP BY 1, 2)", *_PT))
 def b4(spark, d):
     return observables.propagator(_points(spark, d), "minute", "north_m", 500.0)
@@ -455,6 +481,24 @@ def b16(spark, d):
     return observables.transitions(_phases(spark, d), ["user_id"])
 
 
+_KIN = "k1 AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY flight_id ORDER BY fix_no) THEN 0 ELSE 1 END AS nw FROM en), k2 AS (SELECT *, sum(nw) OVER (PARTITION BY flight_id ORDER BY fix_no) AS run FROM k1), k3 AS (SELECT flight_id, run, any_value(event_type) AS phase, max(t) - min(t) AS dt, arg_max(east_m, fix_no) - arg_min(east_m, fix_no) AS d0, arg_max(north_m, fix_no) - arg_min(north_m, fix_no) AS d1, arg_max(gnss_alt, fix_no) - arg_min(gnss_alt, fix_no) AS d2 FROM k2 GROUP BY flight_id, run), k4 AS (SELECT *, max(run) OVER (PARTITION BY flight_id) AS last FROM k3)"
+
+
+@register("b15_kinematics", query(f"SELECT phase, count(*) AS n, {r('avg(dt)', 'duration_s')}, {_R3('avg(sqrt(d0 * d0 + d1 * d1) / dt)', 'v_xy_mps')}, {r('avg(d2 / dt)', 'v_z_mps')} FROM k4 WHERE run > 1 AND run < last AND dt > 0 GROUP BY phase", VIEW, _enu("v"), _KIN))
+def b15_kinematics(spark, d):
+    from pyspark.sql import Window
+
+    kinds = table(spark, d, "events").select(F.col("user_id").alias("flight_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("fix_no"), F.col("event_type").alias("kind"))
+    rows = resample.with_enu(view(spark, d)).join(kinds, ["flight_id", "fix_no"])
+    found = observables.phase_kinematics(rows, "kind", alt="gnss_alt")
+    return found.withColumn("v_xy_mps", F.round("v_xy_mps", 3))
+
+
+@register("b16_step_wait", query(f"SELECT count(*) AS n, {r('corr(w, nx)', 'corr')} FROM (SELECT phase, CAST(t1 - t0 AS DOUBLE) AS w, CAST(lead(t1 - t0) OVER f AS DOUBLE) AS nx, run = 1 OR run = max(run) OVER (PARTITION BY user_id) AS c, lead(run) OVER f = max(run) OVER (PARTITION BY user_id) AS cn FROM pr WINDOW f AS (PARTITION BY user_id ORDER BY run)) WHERE phase = 'click' AND NOT c AND NOT cn", _PH))
+def b16_step_wait(spark, d):
+    return observables.step_wait_correlation(_phases(spark, d), "click", ["user_id"])
+
+
 @register("j12_suspect_overlap", query("SELECT a.source, a.flight_id, a.t0, a.t1, b.t0 AS s0, b.t1 AS s1 FROM (SELECT source, flight_id, min(CASE WHEN mv AND t1 - t0 >= 60 THEN t0 END) AS t0, max(CASE WHEN mv AND t1 - t0 >= 60 THEN t1 END) AS t1 FROM (SELECT source, flight_id, rm, bool_and(moving) AS mv, min(tb) AS t0, max(t) AS t1 FROM q3 GROUP BY ALL) GROUP BY source, flight_id) a JOIN (SELECT source, flight_id, rs, min(tb) AS t0, max(t) AS t1, max(baro_alt) - min(baro_alt) AS ar FROM q3 WHERE slow GROUP BY ALL) b ON a.source = b.source AND a.flight_id = b.flight_id AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE b.ar <= 3000", VIEW, STEPS, _RUNS))
 def j12(spark, d):
     airborne = clean.trim_window(view(spark, d), LIMITS).where("reason IS NULL").select("source", "flight_id", F.col("t_on").alias("t0"), F.col("t_off").alias("t1"))

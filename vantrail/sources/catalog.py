@@ -63,6 +63,14 @@ def write_csv(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_failures(failures: DataFrame, path: str) -> bool:
+    """The CSV of failed files, written only where there are any; whether there are."""
+    found = not failures.isEmpty()
+    if found:
+        write_csv(failures, path)
+    return found
+
+
 def load_or_compute(spark: SparkSession, path: str, compute, force: bool = False) -> DataFrame:
     """The table at ``path``, computed and written first where it is not there or ``force`` is set. Presence alone counts."""
     jvm = spark._jvm
