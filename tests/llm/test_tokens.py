@@ -161,3 +161,12 @@ def test_ids_beyond_two_bytes(spark):
     df = spark.createDataFrame([(1, "some words"), (2, "")], "doc_id long, text string")
     back = sstable.read_tables(sstable.write_tables(df, BYTE, sstable.scratch_folder(spark), end_id=70_000)).collect()
     assert [np.frombuffer(r.ids, "<u4")[-1] for r in back] == [70_000, 70_000]
+
+
+def test_lookup_of_text_keys(spark, tmp_path):
+    rows = spark.createDataFrame([("é", "one"), ("b", "two"), (None, "three"), ("b", "four")], "doc_id string, text string")
+    manifest = sstable.write_tables(rows, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "t"), docs_per_shard=1)
+    asked = spark.createDataFrame([("b",), ("é",), ("none",), (None,)], "doc_id string")
+    found = sstable.lookup(spark, manifest, asked)
+    assert sorted(str(r.doc_id) for r in found.collect()) == ["None", "b", "b", "é"]
+    assert sstable.lookup(spark, manifest, asked.limit(0)).count() == 0 and found.schema["doc_id"].dataType.simpleString() == "string"

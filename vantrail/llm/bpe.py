@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import workers_import
+from vantrail.llm.common import list_slices, text_slices, workers_import
 from vantrail.llm.tokens import TableEncoder, Vocabulary, byte_alphabet, vocabulary
 
 #: Bytes of the longest pre-token that is merged by scanning.
@@ -170,6 +170,10 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {i: bytes(value[c] for c in token) for token, i in vocab.vocab.items()} | {i: s.encode() for s, i in vocab.special.items()}
 
 
+#: Ids whose bytes are gathered at once.
+DECODED = 1 << 17
+
+
 class Decoder:
     """Bytes of many ids at once: a table of all tokens' bytes, gathered by position."""
 
@@ -185,9 +189,13 @@ class Decoder:
         ids = np.where((ids >= 0) & (ids < len(self.size) - 1), ids, len(self.size) - 1)
         size = self.size[ids]
         ends = np.cumsum(size)
-        place = np.repeat(self.start[ids] - (ends - size), size)
-        place += np.arange(len(place))
-        whole = self.flat[place].tobytes()
+        parts = []
+        for lo in range(0, len(ids), DECODED):  # a place, eight bytes, for each byte of a part only
+            own = size[lo : lo + DECODED]
+            place = np.repeat(self.start[ids[lo : lo + DECODED]] - (np.cumsum(own) - own), own)
+            place += np.arange(len(place))
+            parts.append(self.flat[place].tobytes())
+        whole = b"".join(parts)
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
         return [whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -215,11 +223,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_array_encoder(tokenizer)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                lists = as_lists(encoder.encode(t or "" for t in batch.column(at).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
+        for batch, _, _ in text_slices(batches, at):
+            lists = as_lists(encoder.encode(t or "" for t in batch.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -234,16 +240,14 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoder(tokenizer)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                lists = batch.column(at)
-                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                texts = table.texts(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), counts)
-                texts = pa.array(texts, pa.string())
-                if lists.null_count:
-                    texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=names)
+        for batch in list_slices(batches, at):
+            lists = batch.column(at)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            texts = table.texts(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), counts)
+            texts = pa.array(texts, pa.string())
+            if lists.null_count:
+                texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=names)
 
     return rows.mapInArrow(run, schema)
 

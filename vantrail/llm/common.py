@@ -110,6 +110,21 @@ def drop_marked(rows: DataFrame, dropped: DataFrame, repeated: DataFrame, names:
     return clear.drop(*names)
 
 
+def _end(at: np.ndarray, lo: int, limit: int) -> int:
+    return max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+
+
+def list_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most SLICE / 8 list items or one row."""
+    for batch in batches:
+        at = np.concatenate([[0], np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = _end(at, lo, SLICE // 8)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 #: Bytes of text a worker takes apart at once; one longer text is taken alone.
 SLICE = 1 << 22
 
@@ -124,6 +139,6 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tupl
         bytes_ = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
         lo = 0
         while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, "right")) - 1)
+            hi = _end(at, lo, SLICE)
             yield batch.slice(lo, hi - lo), bytes_[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             lo = hi

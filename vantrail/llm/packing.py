@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import checkpointed, workers_import
+from vantrail.llm.common import checkpointed, text_slices, workers_import
 from vantrail.llm.tokens import library_encoder
 
 
@@ -104,18 +104,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                row, piece, ids = [], [], []
-                for i, b in enumerate(encoder.encode(batch.column(1).to_pylist())):
-                    b += end
-                    for k, lo in enumerate(range(0, len(b), width)):
-                        row.append(i)
-                        piece.append(k)
-                        ids.append(b[lo : lo + width])
-                n = pa.array(piece, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), n, pa.array([k * capacity for k in piece], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[key, "piece", "start", "length", "ids"])
+        for batch, _, _ in text_slices(batches, 1):
+            row, piece, ids = [], [], []
+            for i, b in enumerate(encoder.encode(batch.column(1).to_pylist())):
+                b += end
+                for k, lo in enumerate(range(0, len(b), width)):
+                    row.append(i)
+                    piece.append(k)
+                    ids.append(b[lo : lo + width])
+            n = pa.array(piece, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), n, pa.array([k * capacity for k in piece], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[key, "piece", "start", "length", "ids"])
 
     return docs.mapInArrow(cut, schema)
 

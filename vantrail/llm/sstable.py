@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantrail.llm.common import checkpoint_dir, checkpointed, workers_import
+from vantrail.llm.common import checkpoint_dir, checkpointed, text_slices, workers_import
 from vantrail.llm.tokens import library_encoder, vocabulary
 
 #: Fixed values of the format.
@@ -211,13 +211,18 @@ def open_table(uri: str) -> Table:
     return Table(read, source.size())
 
 
-def write_tables(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, id_bytes: int | None = None, docs_per_shard: int = 4096) -> DataFrame:
+#: Shards from which on they get larger rather than more.
+SHARDS = 1024
+
+
+def write_tables(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, id_bytes: int | None = None, docs_per_shard: int | None = None) -> DataFrame:
     """Encode all documents and write them to ``folder`` in ascending key order; the manifest, one row a file, which is
     also the order of the files: (shard, part, uri, first, last, entries, n_ids).
 
     A null text is empty and holds ``end_id`` only; null keys come first. Rows of one key stay side by side and may
     fill several shards, so no key makes a shard large. No rows give no files. Without ``id_bytes`` ids take 2 bytes where
-    the vocabulary's largest and ``end_id`` fit, else 4.
+    the vocabulary's largest and ``end_id`` fit, else 4. Without ``docs_per_shard`` a shard has 4,096 to 65,536 documents, the
+    more the more there are.
     """
     if id_bytes is None:
         known = vocabulary(tokenizer)
@@ -225,7 +230,8 @@ def write_tables(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_i
     spark = docs.sparkSession
     workers_import(spark)
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = max(1, -(-docs.count() // docs_per_shard))
+    count = docs.count()
+    n = max(1, -(-count // (docs_per_shard or min(65_536, max(4096, count // SHARDS)))))
     files, path = _filesystem(folder)
     files.create_dir(path, recursive=True)
     ordered = docs.withColumn("salt", F.rand(7)).repartitionByRange(n, F.asc_nulls_first("key"), F.asc("salt")).sortWithinPartitions(F.asc_nulls_first("key"), F.asc("salt")).select("key", "text")
@@ -249,13 +255,11 @@ def write_tables(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_i
             table, part = Writer(id_bytes), part + 1
             return row
 
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    table.add(encode_key(k), ids + end)
-                    if table.size >= SHARD_BYTES:
-                        yield flush()
+        for batch, _, _ in text_slices(batches, 1):
+            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                table.add(encode_key(k), ids + end)
+                if table.size >= SHARD_BYTES:
+                    yield flush()
         if table.entries:
             yield flush()
 
@@ -299,10 +303,17 @@ def read_tables(manifest: DataFrame, key_type: T.DataType | None = None, key: st
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ids) of the asked keys: a range join finds the files, then filter, index and one block each answer."""
+    """(key, ids) of the asked keys, whole numbers or text: a range join with the manifest, a row a file, finds the files, then filter, index
+    and one block each answer. A key on several rows gives each; one that no file holds gives none, a null key the rows without
+    one. No keys or no files give no rows."""
     workers_import(spark)
-    column = F.col(key)
-    raw = F.when(column.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), F.unhex(F.lpad(F.hex(column.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))))
+    column, kind = F.col(key), keys.schema[key].dataType
+    if isinstance(kind, T.StringType):
+        own = F.concat(F.unhex(F.lit("02")), column.cast("binary"))
+    else:
+        own = F.concat(F.unhex(F.lit("01")), F.unhex(F.lpad(F.hex(column.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")))
+    arrow = pa.string() if isinstance(kind, T.StringType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.int64()
+    raw = F.when(column.isNull(), F.unhex(F.lit("00"))).otherwise(own)
     asked = keys.select(raw.alias("raw")).distinct().join(manifest.select("uri", "first", "last"), (F.col("raw") >= F.col("first")) & (F.col("raw") <= F.col("last"))).select("uri", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +325,9 @@ def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame, key: str =
                     last, table = uri, open_table(uri)
                 k = decode_key(raw)
                 found += [(k, ids) for ids in table.get(k)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.binary())], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], arrow), pa.array([i for _, i in found], pa.binary())], names=[key, "ids"])
 
-    return asked.mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), T.StructField("ids", T.BinaryType())]))
+    return asked.mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("ids", T.BinaryType())]))
 
 
 def scratch_folder(spark: SparkSession) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vantrail.llm.bpe import RankArrayBPE, token_bytes
-from vantrail.llm.common import workers_import
+from vantrail.llm.common import text_slices, workers_import
 from vantrail.llm.tokens import Vocabulary, vocabulary
 
 #: Transitions and counted pre-tokens after which a worker's tables start anew.
@@ -224,11 +224,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(tokenizer)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                texts = batch.column(len(keep)).to_pylist()
-                n_bytes = pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n_bytes, pa.array([counter.count(t) for t in texts], pa.int64())], names=[*keep, "n_bytes", out])
+        for batch, _, at in text_slices(batches, len(keep)):
+            texts = batch.column(len(keep)).to_pylist()
+            n_bytes = pa.array(np.diff(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n_bytes, pa.array([counter.count(t) for t in texts], pa.int64())], names=[*keep, "n_bytes", out])
 
     return docs.mapInArrow(run, schema)
