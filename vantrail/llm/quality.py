@@ -1,7 +1,7 @@
 """Document quality by hierarchical empirical Bayes.
 
-Evidence of the document: a logistic regression on shares of its words, fitted on a bounded sample of labelled rows
-(``SAMPLE``). Evidence of its site: labels are counted for every (host, path) and host; a path's share of good documents
+Evidence of the document: a logistic regression on shares of its words that look odd and on hashed word and character
+n-grams, fitted on a bounded sample of labelled rows (``SAMPLE``). Evidence of its site: labels are counted for every (host, path) and host; a path's share of good documents
 is shrunk toward its host's, and the host's toward the global share. How strongly comes from the data: at each level the
 prior weight is the one whose beta-binomial variance between groups matches the observed one (method of moments), so
 sites with few labels stay near their parent and sites with many speak for themselves.
@@ -19,7 +19,7 @@ then no document moves; beyond that sites and documents meet in a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -29,11 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vantrail.llm.common import bounded, checkpointed, text_or_empty, text_slices, whole_row, workers_import
+from vantrail.llm.neardup import word_hashes
 
 #: Labelled rows the classifier is fitted on at most, chosen by a hash of their key.
 SAMPLE = 20_000
 #: The ridge of the fit, and bounds of the prior weight in labels.
 RIDGE, LEAST_WEIGHT, MOST_WEIGHT = 1e-3, 1.0, 1e4
+#: Buckets of the words and pairs of words of a text, and of its runs of three bytes; the ridge of their standardised
+#: shares a row, and rows that count as seen before the first, so that small samples rest on the few features.
+WORD_BUCKETS, BYTE_BUCKETS, GRAM_RIDGE, GRAM_ROWS = 128, 128, 0.05, 1000
 FEATURES = ("upper", "symbol", "repeat", "stale", "digit", "long", "size")
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()\-–—?¿¡«»/@]")
 _DIGIT = re.compile(r"\d")
@@ -53,17 +57,45 @@ def features_of(text: str) -> tuple[float, ...]:
     return upper / n, symbol / n, sum(map(eq, words, words[1:])) / n, max(0.0, 1 - fresh), digit / n, sum(len(w) > _LONG for w in words) / n, float(np.log10(1 + n))
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """Rows with a column ``text`` and others of an operator's own: these others and the features."""
+def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text the square roots of the shares of its words and pairs of words in their buckets, and of its runs of three bytes (small
+    letters, any white space alike) in theirs. Zero where there are none."""
+    n = len(offsets) - 1
+    hashed, at = word_hashes(data, offsets)
+    row = np.repeat(np.arange(n), np.diff(at))
+    pair = (hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashed[1:]) >> np.uint64(20) if len(hashed) else hashed
+    same = row[:-1] == row[1:]
+    words = np.concatenate([row * WORD_BUCKETS + (hashed % np.uint64(WORD_BUCKETS)).astype(np.int64), (row[:-1] * WORD_BUCKETS + (pair % np.uint64(WORD_BUCKETS)).astype(np.int64))[same]])
+    plain = np.where((data >= 65) & (data <= 90), data + 32, np.where((data >= 9) & (data <= 13), 32, data)).astype(np.uint32)
+    run = (plain[:-2] << 16 | plain[1:-1] << 8 | plain[2:]) * np.uint32(0x9E3779B1) >> np.uint32(16) if len(data) > 2 else np.empty(0, np.uint32)
+    of = np.repeat(np.arange(n), np.diff(offsets))
+    inside = of[:-2] == of[2:]
+    runs = (of[:-2] * BYTE_BUCKETS + (run % np.uint32(BYTE_BUCKETS)))[inside] if len(data) > 2 else np.empty(0, np.int64)
+    parts = []
+    for cells, buckets in ((words, WORD_BUCKETS), (runs, BYTE_BUCKETS)):
+        count = np.bincount(cells, minlength=n * buckets).reshape(n, buckets)
+        parts.append(np.sqrt(count / np.maximum(1, count.sum(axis=1, keepdims=True))))
+    return np.concatenate(parts, axis=1).astype(np.float32)
+
+
+def with_features(docs: DataFrame, evidence: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows with a column ``text`` and others of an operator's own: these others and the features and n-gram shares, or the evidence that a
+    function makes of these."""
     workers_import(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
     docs = docs.select(*keep, text_or_empty())
-    schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
+    own = [T.StructField(f, T.DoubleType()) for f in FEATURES] + [T.StructField("grams", T.ArrayType(T.FloatType()))] if evidence is None else [T.StructField("evidence", T.DoubleType())]
+    schema = T.StructType([*[docs.schema[c] for c in keep], *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in text_slices(batches, len(keep)):
+        for batch, data, offsets in text_slices(batches, len(keep)):
             found = np.array([features_of(t) for t in batch.column(len(keep)).to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(found[:, i].copy()) for i in range(len(FEATURES))]], names=[*keep, *FEATURES])
+            grams = grams_of(data, offsets)
+            if evidence is not None:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(evidence(found, grams), pa.float64())], names=[*keep, "evidence"])
+                continue
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, grams.size + 1, grams.shape[1]), pa.int32()), pa.array(grams.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(found[:, i].copy()) for i in range(len(FEATURES))], lists], names=[*keep, *FEATURES, "grams"])
 
     return docs.mapInArrow(run, schema)
 
@@ -72,14 +104,18 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Coefficients (intercept first, for the features and their square roots) of a ridge logistic regression, and the
-    log-odds of the sample, smoothed so that one class alone or no rows give finite numbers."""
-    design = np.column_stack([np.ones(len(x)), x, np.sqrt(x)])
+def fit(x: np.ndarray, grams: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients (intercept first, for the features, their square roots and the n-gram shares) of a ridge logistic regression, and
+    the log-odds of the sample, smoothed so that one class alone or no rows give finite numbers. Shares are penalised as if
+    standardised."""
+    spread = np.maximum(grams.std(axis=0), 1e-4) if len(grams) else np.ones(grams.shape[1])
+    middle = grams.mean(axis=0) if len(grams) else np.zeros(grams.shape[1])
+    design = np.column_stack([np.ones(len(x)), x, np.sqrt(x), (grams - middle) / spread])
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     beta = np.zeros(design.shape[1])
     beta[0] = base
     penalty = np.full(len(beta), RIDGE * max(1, len(y)))
+    penalty[1 + 2 * x.shape[1] :] = GRAM_RIDGE * (len(y) + GRAM_ROWS)
     penalty[0] = 0.5
     pull = np.zeros(len(beta))
     pull[0] = base
@@ -91,6 +127,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         beta += step
         if np.abs(step).max() < 1e-8:
             break
+    beta[1 + 2 * x.shape[1] :] /= spread
+    beta[0] -= beta[1 + 2 * x.shape[1] :] @ middle
     return beta, base
 
 
@@ -124,14 +162,16 @@ def _scored(docs: DataFrame, labels: DataFrame, key: str, label: str, sample: in
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.avg(F.col(label).cast("double")).alias("good"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample)
     texts = slim.select("key", "text").join(F.broadcast(chosen), "key")  # ``sample`` keys
-    rows = with_features(texts).groupBy("key").agg(*[F.min(c).alias(c) for c in ("good", *FEATURES)]).orderBy("key").toPandas()  # a row a key, numbers only
-    beta, base = fit(rows[list(FEATURES)].to_numpy(float), (rows["good"] >= 0.5).to_numpy(float))
+    rows = with_features(texts).groupBy("key").agg(*[F.min(c).alias(c) for c in ("good", *FEATURES, "grams")]).orderBy("key").toPandas()  # a row a key, numbers only
+    grams = np.stack(rows["grams"].to_list()).astype(np.float64) if len(rows) else np.zeros((0, WORD_BUCKETS + BYTE_BUCKETS))
+    beta, base = fit(rows[list(FEATURES)].to_numpy(float), grams, (rows["good"] >= 0.5).to_numpy(float))
     paths, hosts, share = site_posteriors(slim.select("key", "host", "path").join(known, "key"))
     paths, hosts = checkpointed(paths), checkpointed(hosts)
-    evidence = F.lit(float(beta[0]) - base)
-    for i, f in enumerate(FEATURES):
-        evidence = evidence + float(beta[1 + i]) * F.col(f) + float(beta[1 + len(FEATURES) + i]) * F.sqrt(f)
-    found = with_features(docs).withColumn("evidence", evidence).drop(*FEATURES)
+
+    def evidence(x: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        return beta[0] - base + np.concatenate([x, np.sqrt(x), shares], axis=1) @ beta[1:]
+
+    found = with_features(docs, evidence)
     found = found.join(bounded(paths), ["host", "path"], "left").join(bounded(hosts), "host", "left")
     found = found.withColumn("host_share", F.coalesce("host_share", F.lit(share))).withColumn("path_share", F.coalesce("path_share", "host_share"))
     return found.withColumn("quality", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_share"))))))
