@@ -32,7 +32,7 @@ from vantrail.llm.common import bounded, checkpointed, text_or_empty, text_slice
 from vantrail.llm.neardup import word_hashes
 
 #: Labelled rows the classifier is fitted on at most, chosen by a hash of their key.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: The ridge of the fit, and bounds of the prior weight in labels.
 RIDGE, LEAST_WEIGHT, MOST_WEIGHT = 1e-3, 1.0, 1e4
 #: Buckets of the words and pairs of words of a text, and of its runs of three bytes; the ridge of their standardised
@@ -84,7 +84,7 @@ def with_features(docs: DataFrame, evidence: Callable[[np.ndarray, np.ndarray],
     workers_import(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
     docs = docs.select(*keep, text_or_empty())
-    own = [T.StructField(f, T.DoubleType()) for f in FEATURES] + [T.StructField("grams", T.ArrayType(T.FloatType()))] if evidence is None else [T.StructField("evidence", T.DoubleType())]
+    own = [T.StructField(f, T.DoubleType()) for f in FEATURES] + [T.StructField("grams", T.BinaryType())] if evidence is None else [T.StructField("evidence", T.DoubleType())]
     schema = T.StructType([*[docs.schema[c] for c in keep], *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +94,8 @@ def with_features(docs: DataFrame, evidence: Callable[[np.ndarray, np.ndarray],
             if evidence is not None:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(evidence(found, grams), pa.float64())], names=[*keep, "evidence"])
                 continue
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, grams.size + 1, grams.shape[1]), pa.int32()), pa.array(grams.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(found[:, i].copy()) for i in range(len(FEATURES))], lists], names=[*keep, *FEATURES, "grams"])
+            packed = pa.array([g.tobytes() for g in grams], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(found[:, i].copy()) for i in range(len(FEATURES))], packed], names=[*keep, *FEATURES, "grams"])
 
     return docs.mapInArrow(run, schema)
 
@@ -108,9 +108,9 @@ def fit(x: np.ndarray, grams: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, fl
     """Coefficients (intercept first, for the features, their square roots and the n-gram shares) of a ridge logistic regression, and
     the log-odds of the sample, smoothed so that one class alone or no rows give finite numbers. Shares are penalised as if
     standardised."""
-    spread = np.maximum(grams.std(axis=0), 1e-4) if len(grams) else np.ones(grams.shape[1])
-    middle = grams.mean(axis=0) if len(grams) else np.zeros(grams.shape[1])
-    design = np.column_stack([np.ones(len(x)), x, np.sqrt(x), (grams - middle) / spread])
+    spread = np.maximum(grams.std(axis=0, dtype=np.float64), 1e-4) if len(grams) else np.ones(grams.shape[1])
+    middle = grams.mean(axis=0, dtype=np.float64) if len(grams) else np.zeros(grams.shape[1])
+    design = np.column_stack([np.ones(len(x)), x, np.sqrt(x), (grams - middle) / spread]).astype(np.float32)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     beta = np.zeros(design.shape[1])
     beta[0] = base
@@ -122,7 +122,10 @@ def fit(x: np.ndarray, grams: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, fl
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (y - p) - penalty * (beta - pull)
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+        hessian = np.diag(penalty)
+        for lo in range(0, len(design), 2048):
+            part = design[lo : lo + 2048].astype(np.float64)
+            hessian += (part * (p * (1 - p))[lo : lo + 2048, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         beta += step
         if np.abs(step).max() < 1e-8:
@@ -163,7 +166,7 @@ def _scored(docs: DataFrame, labels: DataFrame, key: str, label: str, sample: in
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample)
     texts = slim.select("key", "text").join(F.broadcast(chosen), "key")  # ``sample`` keys
     rows = with_features(texts).groupBy("key").agg(*[F.min(c).alias(c) for c in ("good", *FEATURES, "grams")]).orderBy("key").toPandas()  # a row a key, numbers only
-    grams = np.stack(rows["grams"].to_list()).astype(np.float64) if len(rows) else np.zeros((0, WORD_BUCKETS + BYTE_BUCKETS))
+    grams = np.frombuffer(b"".join(map(bytes, rows["grams"])), dtype=np.float32).reshape(-1, WORD_BUCKETS + BYTE_BUCKETS)
     beta, base = fit(rows[list(FEATURES)].to_numpy(float), grams, (rows["good"] >= 0.5).to_numpy(float))
     paths, hosts, share = site_posteriors(slim.select("key", "host", "path").join(known, "key"))
     paths, hosts = checkpointed(paths), checkpointed(hosts)
