@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantrail.llm import bpe, exactdup, linedup, neardup, packing, quality, sharding, sstable, topk, transducer
+from vantrail.llm import bpe, codes, exactdup, linedup, neardup, packing, quality, secrets, sharding, sstable, topk, transducer
 from vantrail.llm.common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -70,12 +70,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_annular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(read_table(spark, sf_dir, "embeddings"))
+    digits = F.lower(F.hex("codes")).alias("code")
+    return codes.error_by(coded, "label").select("row.vec_id", digits, "error", "label_error", F.lit(codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != secrets.FORMAT)
+    return found.select("doc_id", *[of(k) for k in secrets.KINDS], F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_quality, op3_shard, op4_bpe, op5_near_dedup, op6_topk, op7_count, op8_exact_dedup, op9_tables, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pack, op2_quality, op3_shard, op4_bpe, op5_near_dedup, op6_topk, op7_count, op8_exact_dedup, op9_tables, op10_line_dedup, op11_annular, op12_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_shard": OP3, "op6_topk": OP6, "op8_exact_dedup": OP8}
+    return {"op3_shard": OP3, "op6_topk": OP6, "op8_exact_dedup": OP8, "op11_annular": _op11()}
 
 
 #: The checksum runs over bytes with a table of the reflected polynomial 0xEDB88320.
@@ -114,3 +127,32 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
+
+
+def _op11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """A round is two of these tables: the nearest entries of all parts, and the entries that follow from them. All numbers are
+    whole and far below 2^53, so doubles and their quotients' floors are exact."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024::DOUBLE * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM v, range(0, {parts}) p(p)
+), b0 AS (SELECT p, r - 1 AS e, x AS c FROM x WHERE r <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * {entries} + e) AS m
+  FROM x JOIN b{n} USING (p) GROUP BY r, p
+)""")
+        if n < rounds:
+            steps.append(f"""
+s{n} AS (
+  SELECT p, m % {entries} AS e, i, floor(sum(x[i]) / count(*)) AS c FROM a{n}, range(1, (SELECT max(len(x)) FROM x) + 1) i(i) GROUP BY ALL
+), m{n} AS (SELECT p, e, list(c ORDER BY i) AS c FROM s{n} GROUP BY p, e),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m ON b.p = m.p AND b.e = m.e)""")
+    return "WITH" + ",".join(steps) + f""",
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+d AS (SELECT r, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN d USING (r), h
+"""
