@@ -56,6 +56,11 @@ def name_parts(name: Column) -> tuple[Column, Column]:
     return F.when(ok, F.regexp_extract(name, pattern, 1)), F.when(ok, F.regexp_extract(name, pattern, 2))
 
 
+def flight_of(name: Column) -> Column:
+    """The flight's id in a track's file name; of a name that is not built from a date and an id, all before its extension."""
+    return F.coalesce(name_parts(name)[1], F.regexp_replace(name, r"\.[^.]*$", ""))
+
+
 def clean_link(link: Column, suffix: str = ".igc") -> Column:
     trimmed = F.trim(F.coalesce(link, F.lit("")))
     return F.when(F.lower(trimmed).endswith(suffix), trimmed).otherwise("")

@@ -16,6 +16,16 @@ def build_catalog(flights: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return named.join(listed, "local_path", "left").withColumn("downloaded", F.col("file_size").isNotNull())
 
 
+def with_stratum(rows: DataFrame, catalog: DataFrame, stratum: str) -> DataFrame:
+    """``rows`` (source, flight_id, ...) of the flights that a catalog (source, flight_id, ...) has, with its column ``stratum``. Ids of two sources may
+    be the same and are different flights. Of a flight on several rows of the catalog the least stratum counts. Ids match as text: a landed
+    file's comes from its name."""
+    key = [F.col("source").alias("__source"), F.col("flight_id").cast("string").alias("__id")]
+    strata = catalog.groupBy(*key).agg(F.min(stratum).alias(stratum))
+    joined = rows.join(strata, (rows["source"] == strata["__source"]) & (rows["flight_id"].cast("string") == strata["__id"]))
+    return joined.drop("__source", "__id")
+
+
 def season_index(catalog: DataFrame, link: str = "igc_link", downloaded: str = "downloaded", year: str = "season_year") -> DataFrame:
     has = (F.coalesce(F.col(link), F.lit("")) != "").cast("bigint")
     return catalog.groupBy(year).agg(F.count("*").alias("n_flights"), F.sum(has).alias("n_with_igc"), F.sum(F.col(downloaded).cast("bigint")).alias("n_downloaded")).withColumn("season", naming.season_label(F.col(year))).orderBy(year)

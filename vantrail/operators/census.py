@@ -58,34 +58,46 @@ def modal_interval(census: DataFrame) -> DataFrame:
 
 
 def representative(census: DataFrame) -> DataFrame:
-    """A source's flight of the most fixes, the first id of several."""
-    return census.groupBy("source").agg(F.max_by("flight_id", F.struct(F.col("n_fix"), -F.col("flight_id"))).alias("flight_id"), F.max("n_fix").alias("n_fix"))
-
-
-def census_measures(census: DataFrame) -> DataFrame:
-    """The published shares and medians of a census, one row a source."""
-    frac, dt, n = F.col("baro_present_frac"), F.col("dt_s"), F.col("n_fix")
-    absent, present = frac < 0.5, frac >= 0.5
-    gap = F.col("max_gap_ratio") * dt
+    """A source's flight of the most fixes, the first id of several; ids of any type that sorts."""
+    return census.groupBy("source").agg(F.min_by("flight_id", F.struct(-F.col("n_fix"), F.col("flight_id"))).alias("flight_id"), F.max("n_fix").alias("n_fix"))
+
+
+def _medians(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """(source, a column a measure): medians of the measures' values that are not null, without a source's values in one task."""
+    named = rows.select("source", *[c.cast("double").alias(n) for n, c in measures.items()]).unpivot(["source"], list(measures), "measure", "value")
+    found = exact_quantiles(named, "value", [0.5], ["source", "measure"])
+    at = F.get("xs", F.lit(0))
+    return found.groupBy("source").agg(*[F.max(F.when(F.col("measure") == n, at)).alias(n) for n in measures])
+
+
+def census_measures(census: DataFrame, limits: Thresholds | None = None) -> DataFrame:
+    """The published shares and medians of a census, one row a source. Shares of intervals are over positive finite intervals, those of the
+    largest gap's ratio over positive finite ratios, and those of split flights over flights that have both."""
+    limits = limits or Thresholds()
+    s, low = limits.sampling, limits.alt_channel.baro_present_frac
+    frac, n = F.col("baro_present_frac"), F.col("n_fix")
+    sound = lambda c: F.when(finite(F.col(c)) & (F.col(c) > 0), F.col(c))
+    dt, ratio = sound("dt_s"), sound("max_gap_ratio")
+    absent, present = frac < low, frac >= low
     missed = F.rint((1 - frac) * n)
-    whole = F.abs(dt - F.rint(dt)) < 1e-9
+    whole = lambda x: F.abs(x - F.rint(x)) < 1e-9
     share = lambda mask, of: F.coalesce(100 * F.avg(F.when(of, mask.cast("double"))), F.lit(0.0))
-    return census.groupBy("source").agg(
+    gap, bound = ratio * dt, s.max_gap_factor * dt
+    shares = census.groupBy("source").agg(
         F.count("*").alias("tracks"),
         percent(absent).alias("no_baro_pct"),
         share(frac == 0, absent).alias("baro_zero_pct"),
         share(frac == 1, present).alias("baro_full_pct"),
         share(missed > 0, present).alias("baro_miss_flights_pct"),
-        F.median(F.when(present & (missed > 0), missed)).alias("baro_miss_median_fixes"),
         F.max(F.when(present, missed)).alias("baro_miss_max_fixes"),
-        (F.median("duration_s") / 3600).alias("median_dur_h"),
-        F.median("path_km").alias("median_path_km"),
-        percent(whole).alias("dt_int_pct"),
-        *[percent(dt == s).alias(f"dt_{s}_pct") for s in (1, 2, 5, 10)],
-        percent(F.abs(gap - F.rint(gap)) < 1e-9).alias("gap_int_pct"),
-        percent(gap > 10 * dt).alias("gap_split_rel_pct"),
-        percent(gap > F.least(10 * dt, F.greatest(F.lit(20.0), 2 * dt))).alias("gap_split_comb_pct"),
+        percent(whole(dt)).alias("dt_int_pct"),
+        *[percent(dt == k).alias(f"dt_{k}_pct") for k in (1, 2, 5, 10)],
+        percent(whole(ratio)).alias("gap_int_pct"),
+        percent(gap > bound).alias("gap_split_rel_pct"),
+        percent(gap > F.least(bound, F.greatest(F.lit(s.max_gap_seconds), s.gap_floor_ratio * dt))).alias("gap_split_comb_pct"),
     )
+    middle = _medians(census, {"baro_miss_median_fixes": F.when(present & (missed > 0), missed), "median_dur_h": F.col("duration_s") / 3600, "median_path_km": F.col("path_km")})
+    return shares.join(middle, "source", "left")
 
 
 def filtering_measures(census: DataFrame, limits: Thresholds) -> DataFrame:
@@ -94,15 +106,16 @@ def filtering_measures(census: DataFrame, limits: Thresholds) -> DataFrame:
     duration, path = F.col("duration_s"), F.col("path_km")
     over, short = duration > f.max_duration_s, (duration >= f.min_duration_s) & (path < f.min_path_km)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return census.groupBy("source").agg(
+    counts = census.groupBy("source").agg(
         F.sum((duration >= f.min_duration_s).cast("bigint")).alias("long_enough"),
         F.sum(over.cast("bigint")).alias("overlong"),
         F.sum(short.cast("bigint")).alias("short_path"),
         zero(F.floor(F.min(F.when(over, duration / 3600))).cast("double")).alias("overlong_min_h"),
         zero(F.floor(F.max(F.when(over, duration / 3600))).cast("double")).alias("overlong_max_h"),
         zero(F.rint(F.max(F.when(over, path)))).alias("overlong_max_path_km"),
-        zero(F.median(F.when(short, F.col("extent_km")))).alias("short_path_median_extent_km"),
     )
+    middle = _medians(census, {"short_path_median_extent_km": F.when(short, F.col("extent_km"))})
+    return counts.join(middle, "source", "left").withColumn("short_path_median_extent_km", zero(F.col("short_path_median_extent_km")))
 
 
 def fraction_retained(rows: DataFrame, value: str, threshold: float, mode: str = "at_least") -> DataFrame:

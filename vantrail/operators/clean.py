@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vantrail.config import Thresholds
 from vantrail.functions.geo import EARTH_RADIUS_M, great_circle_m
+from vantrail.session import workers_import
 from vantrail.sources.tracks import by_flight, with_steps
 
 KEYS = ["source", "flight_id"]
@@ -38,6 +39,7 @@ def merge_duplicates(fixes: DataFrame, counters: tuple[str, ...] = ()) -> DataFr
 def repair_clock(fixes: DataFrame) -> DataFrame:
     """Fixes with ``kept``: false for those outside a longest non-decreasing run of times. Only flights with a backward step go through
     Python, each with its own few thousand numbers; all others pass."""
+    workers_import(fixes.sparkSession)
     w = by_flight("fix_no")
     marked = fixes.withColumn("back", (F.col("t") < F.lag("t").over(w)).cast("int")).withColumn("back", F.coalesce(F.max("back").over(by_flight()), F.lit(0)))
     schema = fixes.withColumn("kept", F.lit(True)).schema
@@ -51,7 +53,7 @@ def repair_clock(fixes: DataFrame) -> DataFrame:
 
 
 def longest_run(t: np.ndarray) -> np.ndarray:
-    """Mask of a longest strictly increasing subsequence, equal times riding with the fix before them."""
+    """Mask of a longest strictly increasing subsequence, with the fixes next to one of its own at the same time."""
     tails: list[float] = []
     at: list[int] = []
     before = np.full(len(t), -1)
@@ -68,10 +70,9 @@ def longest_run(t: np.ndarray) -> np.ndarray:
     while i >= 0:
         keep[i] = True
         i = before[i]
-    chosen = set(t[keep].tolist())
-    for i in range(1, len(t)):  # a repeated second is merged later, not deleted here
-        if not keep[i] and keep[i - 1] and t[i] == t[i - 1] and t[i] in chosen:
-            keep[i] = True
+    for i in [*range(1, len(t)), *range(len(t) - 1, 0, -1)]:  # a repeated second is merged later, not deleted here
+        if t[i] == t[i - 1] and keep[i] != keep[i - 1]:
+            keep[i] = keep[i - 1] = True
     return keep
 
 
@@ -116,6 +117,7 @@ def remove_blocks(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     """Fixes with ``kept`` and ``split_before``: a burst of impossible fixes goes as the smallest block whose ends join at a possible
     speed; where no block that lasts up to block_max_s does, the track is split and nothing goes. Flights without an
     impossible step do not enter Python."""
+    workers_import(fixes.sparkSession)
     steps = with_steps(fixes)
     fast = F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.col("dt") > speed_bound(limits)), F.lit(False))
     marked = steps.withColumn("fast", F.max(fast.cast("int")).over(by_flight())).drop("dt", "step_m", "dz")
@@ -132,68 +134,87 @@ def remove_blocks(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     return clean.unionByName(bad)
 
 
-def _distance(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+def _distance(lat1, lon1, lat2, lon2):
+    """Great-circle metres, of numbers or arrays."""
     p, q = np.radians(lat1), np.radians(lat2)
     a = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return float(2 * EARTH_RADIUS_M * np.arcsin(min(1.0, np.sqrt(a))))
+    return 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
 def smallest_blocks(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, bound: float, longest: float) -> tuple[np.ndarray, np.ndarray]:
     keep, split = np.ones(len(t), dtype=bool), np.zeros(len(t), dtype=bool)
-    anchor, i = 0, 1
-    while i < len(t):
-        dt = t[i] - t[anchor]
-        if dt <= 0 or _distance(lat[anchor], lon[anchor], lat[i], lon[i]) <= bound * dt:
-            anchor, i = i, i + 1
-            continue
-        for j in range(i + 1, len(t)):
-            if t[j - 1] - t[i] > longest:
-                split[i] = True
-                anchor, i = i, i + 1
-                break
-            gap = t[j] - t[anchor]
-            if gap > 0 and _distance(lat[anchor], lon[anchor], lat[j], lon[j]) <= bound * gap:
-                keep[i:j] = False
-                anchor, i = j, j + 1
-                break
+    gap = np.diff(t)
+    fast = 1 + np.nonzero((gap > 0) & (_distance(lat[:-1], lon[:-1], lat[1:], lon[1:]) > bound * gap))[0]  # fixes that the one before reaches too fast
+    at = 0
+    while (k := np.searchsorted(fast, at, "right")) < len(fast):
+        i = int(fast[k])
+        anchor = i - 1
+        ends = np.arange(i + 1, min(len(t), i + 1 + np.searchsorted(t[i:], t[i] + longest, "right")))  # while the block lasts no longer
+        wait = t[ends] - t[anchor]
+        joins = ends[(wait > 0) & (_distance(lat[anchor], lon[anchor], lat[ends], lon[ends]) <= bound * wait)]
+        if len(joins):
+            at = int(joins[0])
+            keep[i:at] = False
         else:
+            at = i
             split[i] = True
-            anchor, i = i, i + 1
     return keep, split
 
 
 def frozen_runs(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     """Fixes with ``frozen``: inside a maximal stretch of small diameter and long span with a witness that the receiver, not the
     aircraft, stood still: a flat barometer between the medians of the stretch's ends, or identical coordinates (without
-    a barometer: fixes marked invalid or without altitude, or identical coordinates). Needs alt_source."""
+    a barometer: fixes marked invalid or without altitude, or identical coordinates). Needs alt_source. Only the stretches of fixes
+    that lie in some window of the least span and twice the diameter go through Python, each on its own."""
     f = limits.fix_level
-    w = by_flight().orderBy("t").rangeBetween(0, int(f.frozen_tau_s))
-    extent = great_circle_m(F.min("lat").over(w), F.min("lon").over(w), F.max("lat").over(w), F.max("lon").over(w))
-    hint = ((extent < 2 * f.frozen_eps_m) & (F.max("t").over(by_flight()) - F.col("t") >= f.frozen_tau_s)).cast("int")
-    marked = fixes.withColumn("hint", hint).withColumn("hint", F.max("hint").over(by_flight()))
+    workers_import(fixes.sparkSession)
+    w, span = by_flight().orderBy("t"), int(f.frozen_tau_s)
+
+    def small(window: Window) -> Column:
+        extent = great_circle_m(F.min("lat").over(window), F.min("lon").over(window), F.max("lat").over(window), F.max("lon").over(window))
+        return extent < 2 * f.frozen_eps_m
+
+    begins = small(w.rangeBetween(0, span)) & (F.max("t").over(by_flight()) - F.col("t") >= f.frozen_tau_s)
+    ends = small(w.rangeBetween(-span, 0)) & (F.col("t") - F.min("t").over(by_flight()) >= f.frozen_tau_s)
+    marked = fixes.withColumns({"begins": begins.cast("int"), "ends": ends.cast("int")})
+    still = (F.max("begins").over(w.rangeBetween(-span, 0)) == 1) | (F.max("ends").over(w.rangeBetween(0, span)) == 1)
+    by_no = by_flight("fix_no")
+    marked = marked.withColumn("still", still).drop("begins", "ends")
+    marked = marked.withColumn("stretch", F.when(F.col("still") == F.lag("still").over(by_no), 0).otherwise(1)).withColumn("stretch", F.sum("stretch").over(by_no.rowsBetween(Window.unboundedPreceding, 0)))
     schema = fixes.withColumn("frozen", F.lit(False)).schema
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fix_no", kind="stable")
+        group = group.drop(columns="stretch").sort_values("fix_no", kind="stable")
         baro = group["baro_alt"].to_numpy() if group["alt_source"].iloc[0] == "baro" else None
         bad = (~group["valid"] | (group["gnss_alt"] == 0)).to_numpy()
         return group.assign(frozen=frozen_mask(group["t"].to_numpy(), group["lat"].to_numpy(), group["lon"].to_numpy(), baro, bad, f.frozen_eps_m, f.frozen_tau_s, f.frozen_delta_z_m))
 
-    return marked.where("hint = 0").drop("hint").withColumn("frozen", F.lit(False)).unionByName(marked.where("hint = 1").drop("hint").groupBy(*KEYS).applyInPandas(scan, schema))
+    moving = marked.where("not still").drop("still", "stretch").withColumn("frozen", F.lit(False))
+    return moving.unionByName(marked.where("still").drop("still").groupBy(*KEYS, "stretch").applyInPandas(scan, schema))
+
+
+def _last_within(lat: np.ndarray, lon: np.ndarray, i: int, diameter: float) -> int:
+    """The last fix of the longest run from i whose bounding box stays below the diameter."""
+    end, size = i, 64
+    lo_lat = hi_lat = lat[i]
+    lo_lon = hi_lon = lon[i]
+    while end + 1 < len(lat):
+        a, b = lat[end + 1 : end + 1 + size], lon[end + 1 : end + 1 + size]
+        south, north = np.minimum(np.minimum.accumulate(a), lo_lat), np.maximum(np.maximum.accumulate(a), hi_lat)
+        west, east = np.minimum(np.minimum.accumulate(b), lo_lon), np.maximum(np.maximum.accumulate(b), hi_lon)
+        over = np.nonzero(_distance(south, west, north, east) >= diameter)[0]
+        if len(over):
+            return end + int(over[0])
+        end, size = end + len(a), 2 * size
+        lo_lat, hi_lat, lo_lon, hi_lon = south[-1], north[-1], west[-1], east[-1]
+    return end
 
 
 def frozen_mask(t, lat, lon, baro, bad, diameter: float, span: float, flat: float) -> np.ndarray:
     out = np.zeros(len(t), dtype=bool)
     i = 0
-    while i < len(t):
-        lo_lat = hi_lat = lat[i]
-        lo_lon = hi_lon = lon[i]
-        j = i
-        while j + 1 < len(t):
-            a, b, c, d = min(lo_lat, lat[j + 1]), max(hi_lat, lat[j + 1]), min(lo_lon, lon[j + 1]), max(hi_lon, lon[j + 1])
-            if _distance(a, c, b, d) >= diameter:
-                break
-            lo_lat, hi_lat, lo_lon, hi_lon, j = a, b, c, d, j + 1
+    while i < len(t) and t[-1] - t[i] >= span:
+        j = _last_within(lat, lon, i, diameter)
         if t[j] - t[i] >= span:
             same = _longest_identical(t[i : j + 1], lat[i : j + 1], lon[i : j + 1]) >= span
             end = max(1, min(5, (j - i + 1) // 2))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantrail.operators.ranks import running_sums
+from vantrail.session import workers_import
 
 KEYS = ["source", "flight_id"]
 
@@ -71,12 +72,19 @@ def isotropy(points: DataFrame, time: str, x: str = "east_m", y: str = "north_m"
     return points.groupBy(time).agg(F.count("*").alias("n"), (F.avg(F.col(x) * F.col(x)) / F.nullif(F.avg(F.col(y) * F.col(y)), F.lit(0.0))).alias("ratio"))
 
 
-def ks_distance(samples: DataFrame, value: str, side: Column) -> DataFrame:
-    """(ks): the greatest gap between the distributions of the rows where ``side`` holds and the others. Values are counted
-    first and ranked in ranges, so no task holds them all."""
-    counts = samples.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(side.cast("bigint")).alias("a"), F.sum((~side).cast("bigint")).alias("b"))
-    ranked = running_sums(counts, value, ["a", "b"])
-    return ranked.agg(F.max(F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all"))).alias("ks"))
+def ks_distance(samples: DataFrame, value: str, side: Column, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, n_a, n_b, ks): the greatest gap between the distributions of the rows where ``side`` holds and the others; null where either has
+    none. Values are counted first and ranked in ranges, so no task holds them all."""
+    counts = samples.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.sum(side.cast("bigint")).alias("a"), F.sum((~side).cast("bigint")).alias("b"))
+    ranked = running_sums(counts, value, ["a", "b"], groups)
+    share = lambda c: F.col(f"{c}_upto") / F.nullif(F.col(f"{c}_all"), F.lit(0))
+    return ranked.groupBy(*groups).agg(F.max("a_all").alias("n_a"), F.max("b_all").alias("n_b"), F.max(F.abs(share("a") - share("b"))).alias("ks"))
+
+
+def isotropy_ks(points: DataFrame, time: str, x: str = "east_m", y: str = "north_m") -> DataFrame:
+    """(time, n, ks): how far the distributions of the two coordinates lie apart at each time."""
+    both = points.select(time, F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col(x).alias("v")), F.struct(F.lit(False).alias("first"), F.col(y).alias("v")))).alias("p")).select(time, "p.first", "p.v")
+    return ks_distance(both, "v", F.col("first"), [time]).select(time, F.col("n_a").alias("n"), "ks")
 
 
 def scaling_exponent(curve: DataFrame, x: str, y: str) -> DataFrame:
@@ -140,6 +148,7 @@ def phase_features(fixes: DataFrame, climb: float = 0.5, turn: float = 0.1) -> D
 
 def segment_phases(fixes: DataFrame, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> DataFrame:
     """Fixes (with symbol) and ``phase``: the likeliest path of a hidden Markov model, one flight a group."""
+    workers_import(fixes.sparkSession)
     start, move, emit = (np.log(np.asarray(x, dtype=float)) for x in (start, move, emit))
     schema = fixes.withColumn("phase", F.lit(0)).schema
 

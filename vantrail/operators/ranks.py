@@ -20,8 +20,7 @@ def running_sums(counts: DataFrame, value: str, sums: Sequence[str], groups: Seq
     """``counts``, one row a group and value, with {sum}_upto, the sum over values up to the row's own, and {sum}_all, over the group."""
     at = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
     cuts = counts.groupBy(*groups).agg(F.percentile_approx(value, at).alias("cuts"))
-    cuts = F.broadcast(cuts)  # a row a group
-    ranged = counts.join(cuts, list(groups)) if groups else counts.crossJoin(cuts)
+    ranged = counts.join(cuts, list(groups)) if groups else counts.crossJoin(F.broadcast(cuts))  # without groups one row; the planner weighs a row a group
     ranged = ranged.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
     whole = ranged.groupBy(*groups, "range").agg(*[F.sum(s).alias(f"{s}_of") for s in sums])
     by_range = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))  # PARTS rows a group

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from vantrail.config import Thresholds
 from vantrail.functions.geo import enu, local_en
+from vantrail.session import workers_import
 from vantrail.sources.tracks import by_flight
 
 KEYS = ["source", "flight_id"]
@@ -201,6 +202,7 @@ def smooth(grid: DataFrame, limits: Thresholds, values: tuple[str, ...] = ("east
     """The grid with position, velocity and acceleration of each value ({value}_pos, _vel, _acc), smoothed within each segment; the window
     is the channel's noise time in grid steps, odd, and at least window_min. The altitude's time is that of its source where the grid has
     alt_source, and of the barometer else. Null where a window meets a null or does not fit."""
+    workers_import(grid.sparkSession)
     s = limits.savgol
     gnss = F.col("alt_source") == "gnss" if "alt_source" in grid.columns else F.lit(False)
     vertical = F.when(gnss, s.tau_c_vertical_gnss_s).otherwise(s.tau_c_vertical_baro_s)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from vantrail.functions.geo import local_en
+from vantrail.operators.ranks import exact_quantiles
 from vantrail.operators.resample import KEYS, linear_grid
+from vantrail.session import workers_import
 
 #: Samples of a segment, the band whose median is the noise floor, and the factor over it at the knee.
 NPERSEG, FLOOR_BAND, KNEE_FACTOR = 256, (0.35, 0.5), 3.0
@@ -46,15 +48,18 @@ def welch_column(values: Column, fs: Column | float, nperseg: int = NPERSEG) ->
 
 def ensemble(spectra: DataFrame, bins: int, pxx: str, at: Sequence[float] = (0.1, 0.5, 0.9), groups: Sequence[str] = ("discipline", "channel"), pool: str | None = None) -> DataFrame:
     """(groups, k, n, mean, q_*) over curves of exactly ``bins`` values; others are left out, whatever comes first. With ``pool``, rows
-    that sum over that group have it null."""
+    that sum over that group have it null. Values are counted and ranked in ranges, so no task holds a bin's values of all curves."""
     curves = spectra.where(F.size(pxx) == bins).select(*groups, F.posexplode(pxx).alias("k", "v"))
-    measures = [F.count("*").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.array(*[F.lit(float(q)) for q in at])).alias("qs")]
-    if pool is None:
-        found = curves.groupBy(*groups, "k").agg(*measures)
-    else:
-        rest = [g for g in groups if g != pool]
-        found = curves.groupingSets([[*groups, "k"], [*rest, "k"]], *groups, "k").agg(*measures)
-    return found.select(*groups, "k", "n", "mean", *[F.get("qs", F.lit(i)).alias(f"q_{round(100 * q)}") for i, q in enumerate(at)])
+
+    def over(keys: list[str]) -> DataFrame:
+        means = curves.groupBy(*keys).agg(F.avg("v").alias("mean"))
+        return exact_quantiles(curves, "v", at, keys).join(means, keys).select(*keys, "n", "mean", *[F.get("xs", F.lit(i)).alias(f"q_{round(100 * q)}") for i, q in enumerate(at)])
+
+    found = over([*groups, "k"])
+    if pool is not None:
+        pooled = over([*[g for g in groups if g != pool], "k"]).withColumn(pool, F.lit(None).cast(curves.schema[pool].dataType))
+        found = found.unionByName(pooled)
+    return found
 
 
 def knee(curve: DataFrame, f: str, pxx: str, *groups: str, band: tuple[float, float] = FLOOR_BAND, factor: float = KNEE_FACTOR) -> DataFrame:
@@ -74,6 +79,7 @@ def eligible(census: DataFrame, modal: DataFrame, tolerance: float = 0.25, least
 def channel_spectra(fixes: DataFrame, channels: dict[str, Column], step: Column, nperseg: int, closed: bool) -> DataFrame:
     """(source, flight_id, channel, pxx): each channel of each flight put on a uniform grid of ``step`` seconds, and its density. Flights whose
     grid is shorter than a segment are left out. ``step`` reads columns of the fixes that are the same throughout a flight."""
+    workers_import(fixes.sparkSession)
     rows = fixes.select(*KEYS, "t", step.alias("every"), *[c.alias(n) for n, c in channels.items()])
     merged = rows.groupBy(*KEYS, "t").agg(F.max("every").alias("every"), *[F.avg(n).alias(n) for n in channels])
     grid = linear_grid(merged.withColumn("own_step", F.col("every")), [*KEYS, "own_step"], list(channels), F.col("every"), closed)

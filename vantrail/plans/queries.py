@@ -28,6 +28,15 @@ LIMITS = Thresholds(
 )
 
 
+#: For the view with sound altitudes: published thresholds but for windows and bounds that follow from its interval of about 27 s.
+SOUND = Thresholds(
+    fix_level=FixLevel(hampel_window_s=200.0),
+    flight_level=FlightLevel(min_duration_s=1800.0),
+    trimming=Trimming(interior_ground_s=300.0),
+    sampling=Sampling(max_gap_factor=4.0, max_gap_seconds=20.0, gap_floor_ratio=3.0, max_missing_fraction=0.4, min_segment_duration_s=90.0),
+)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema])
 
@@ -50,6 +59,33 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.track_view(table(spark, sf_dir, "events"))
 
 
+def sound_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The track view with smooth climbs and the defects that cleaning looks for, each on the flights of a residue: a late start on the
+    ground, a stop that jitters, a frozen receiver, a backward clock, single spikes and bursts, and altitudes that jump or leave the band."""
+    v, f, n, t = view(spark, sf_dir), F.col("flight_id"), F.col("fix_no"), F.col("t")
+    held = lambda since, long: F.least(F.greatest(t - since, F.lit(0.0)), F.lit(float(long)))  # noqa: E731  how long of it is over
+    late, stop, frozen = f % 7 == 1, f % 11 == 5, f % 11 == 3
+    still = F.when(late, held(0, 300)).otherwise(0.0) + F.when(stop, held(1000, 450)).otherwise(0.0) + F.when(frozen, held(700, 160)).otherwise(0.0)
+    flown = t - still
+    jitter = F.when((late & (t < 300)) | (stop & t.between(1000, 1450)), 3e-4 * (n % 2)).otherwise(0.0)
+    off = F.when((f % 5 == 1) & (n == 12), 0.05).when((f % 5 == 3) & n.between(20, 21), 0.05).otherwise(0.0)
+    east = F.sin(flown / 90) * 0.004  # it circles on its way
+    alt = F.round(1500 + 400 * F.sin(flown / 300), 1)
+    jump = F.when(n % 53 == 7, 800.0).when(n % 71 == 9, 20_000.0).otherwise(0.0)
+    no_baro = f % 3 == 0
+    return v.select(
+        "source",
+        "flight_id",
+        "fix_no",
+        F.when((f % 5 == 2) & (n == 15), F.greatest(t - 400, F.lit(0.0))).otherwise(t).alias("t"),
+        (45 + F.lit(1e-4) * flown + jitter + off).alias("lat"),
+        (5 + F.lit(1e-4) * flown * ((f % 7) - 3) / 3 + east).alias("lon"),
+        "valid",
+        F.when(no_baro, F.lit(0.0)).otherwise(alt + jump).alias("baro_alt"),
+        (alt + 50 + jump).alias("gnss_alt"),
+    )
+
+
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.merge_duplicates(view(spark, sf_dir)).drop("n_merged")
 
@@ -131,27 +167,62 @@ def a14(spark, d):
 
 _P = lambda mask: f"coalesce(100 * avg(CASE WHEN {mask} THEN 1.0::DOUBLE WHEN NOT ({mask}) THEN 0.0 END), 0.0)"
 _PO = lambda mask, of: f"coalesce(100 * avg(CASE WHEN {of} THEN CASE WHEN {mask} THEN 1.0::DOUBLE ELSE 0.0 END END), 0.0)"
-_GAP = "(max_gap_ratio * dt_s)"
+_SOUND_DT, _SOUND_RATIO = "isfinite(dt_s) AND dt_s > 0", "isfinite(max_gap_ratio) AND max_gap_ratio > 0"
+
+
+def mixed_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A census with many kinds of flights: an order is a flight, whose price and lines give intervals of a whole, half and tenth of a second
+    and none, gaps of whole and broken ratios, overlong and short flights, and barometers that are there, absent and both."""
+    o = F.col("o_orderkey")
+    dt = F.get(F.array(*[F.lit(x) for x in (1.0, 1.0, 2.0, 2.5, 5.0, 10.0, 0.0, 4.0, 1.5)]), (o % 9).cast("int"))
+    ratio = F.get(F.array(*[F.lit(x) for x in (1.0, 2.5, 3.0, 8.0, 12.0, 40.0, 0.0)]), (o % 7).cast("int"))
+    frac = F.get(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.9, 1.0)]), (o % 5).cast("int"))
+    price = F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select(F.when(o % 4 == 0, "hang gliders").otherwise("paragliders").alias("source"), o.alias("flight_id"), (price / 5).alias("duration_s"), (10 + o % 20).alias("n_fix"), (price / 2000).alias("path_km"), (price / 4000 + o % 13).alias("extent_km"), dt.alias("dt_s"), F.when(dt > 0, ratio).alias("max_gap_ratio"), frac.alias("baro_present_frac"))
+    return rows
+
 
+_MIXED = """mx AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'hang gliders' ELSE 'paragliders' END AS source, o_orderkey AS flight_id, o_totalprice / 5 AS duration_s, 10 + o_orderkey % 20 AS n_fix, o_totalprice / 2000 AS path_km, o_totalprice / 4000 + o_orderkey % 13 AS extent_km,
+  ([1.0, 1.0, 2.0, 2.5, 5.0, 10.0, 0.0, 4.0, 1.5]::DOUBLE[])[o_orderkey % 9 + 1] AS dt_s, CASE WHEN o_orderkey % 9 <> 6 THEN ([1.0, 2.5, 3.0, 8.0, 12.0, 40.0, 0.0]::DOUBLE[])[o_orderkey % 7 + 1] END AS max_gap_ratio, ([0.0, 0.25, 0.5, 0.9, 1.0]::DOUBLE[])[o_orderkey % 5 + 1] AS baro_present_frac FROM orders)"""
 
-@register("a21_census_macros", query("SELECT source, count(*) AS tracks, " + ", ".join([
-    r(_P("baro_present_frac < 0.5"), "no_baro_pct"), r(_PO("baro_present_frac = 0", "baro_present_frac < 0.5"), "baro_zero_pct"), r(_PO("baro_present_frac = 1", "baro_present_frac >= 0.5"), "baro_full_pct"),
-    r(_PO("m > 0", "baro_present_frac >= 0.5"), "baro_miss_flights_pct"), r("quantile_cont(CASE WHEN baro_present_frac >= 0.5 AND m > 0 THEN m END, 0.5)", "baro_miss_median_fixes"), r("max(CASE WHEN baro_present_frac >= 0.5 THEN m END)", "baro_miss_max_fixes"),
-    r("quantile_cont(duration_s, 0.5) / 3600", "median_dur_h"), r("quantile_cont(path_km, 0.5)", "median_path_km"), r(_P("abs(dt_s - round_even(dt_s, 0)) < 1e-9"), "dt_int_pct"),
-    *[r(_P(f"dt_s = {k}"), f"dt_{k}_pct") for k in (1, 2, 5, 10)], r(_P(f"abs({_GAP} - round_even({_GAP}, 0)) < 1e-9"), "gap_int_pct"), r(_P(f"{_GAP} > 10 * dt_s"), "gap_split_rel_pct"),
-    r(_P(f"{_GAP} > least(10 * dt_s, greatest(20.0, 2 * dt_s))"), "gap_split_comb_pct")]) + " FROM (SELECT *, round_even((1 - baro_present_frac) * n_fix, 0) AS m FROM st) GROUP BY source", VIEW, STEPS, STATS))
+
+def _census_sql(rows: str, factor: str, floor: str, floor_ratio: str) -> str:
+    gap = f"CASE WHEN {_SOUND_DT} AND {_SOUND_RATIO} THEN max_gap_ratio * dt_s END"
+    return "SELECT source, count(*) AS tracks, " + ", ".join([
+        r(_P("baro_present_frac < 0.5"), "no_baro_pct"), r(_PO("baro_present_frac = 0", "baro_present_frac < 0.5"), "baro_zero_pct"), r(_PO("baro_present_frac = 1", "baro_present_frac >= 0.5"), "baro_full_pct"),
+        r(_PO("m > 0", "baro_present_frac >= 0.5"), "baro_miss_flights_pct"), r("quantile_cont(CASE WHEN baro_present_frac >= 0.5 AND m > 0 THEN m END, 0.5)", "baro_miss_median_fixes"), r("max(CASE WHEN baro_present_frac >= 0.5 THEN m END)", "baro_miss_max_fixes"),
+        r("quantile_cont(duration_s, 0.5) / 3600", "median_dur_h"), r("quantile_cont(path_km, 0.5)", "median_path_km"), r(_PO("dt_s = round_even(dt_s, 0)", _SOUND_DT), "dt_int_pct"),
+        *[r(_PO(f"dt_s = {k}", _SOUND_DT), f"dt_{k}_pct") for k in (1, 2, 5, 10)], r(_PO("abs(max_gap_ratio - round_even(max_gap_ratio, 0)) < 1e-9", _SOUND_RATIO), "gap_int_pct"), r(_P(f"{gap} > {factor} * dt_s"), "gap_split_rel_pct"),
+        r(_P(f"{gap} > least({factor} * dt_s, greatest({floor}, {floor_ratio} * dt_s))"), "gap_split_comb_pct")]) + f" FROM (SELECT *, round_even((1 - baro_present_frac) * n_fix, 0) AS m FROM {rows}) GROUP BY source"
+
+
+@register("a21_census_macros", query(_census_sql("st", "4", "20.0", "3"), VIEW, STEPS, STATS))
 def a21(spark, d):
-    return census.census_measures(statistics(spark, d))
+    return census.census_measures(statistics(spark, d), LIMITS)
+
+
+@register("a21_census_mixed", query(_census_sql("mx", "10", "20.0", "2"), _MIXED))
+def a21_mixed(spark, d):
+    return census.census_measures(mixed_census(spark, d))
 
 
-@register("a22_filter_macros", query(f"""SELECT source, CAST(sum(CASE WHEN duration_s >= 2400 THEN 1 ELSE 0 END) AS BIGINT) AS long_enough, CAST(sum(CASE WHEN duration_s > 57600 THEN 1 ELSE 0 END) AS BIGINT) AS overlong,
-  CAST(sum(CASE WHEN duration_s >= 2400 AND path_km < 30 THEN 1 ELSE 0 END) AS BIGINT) AS short_path, coalesce(floor(min(CASE WHEN duration_s > 57600 THEN duration_s / 3600 END)), 0.0::DOUBLE) AS overlong_min_h,
-  coalesce(floor(max(CASE WHEN duration_s > 57600 THEN duration_s / 3600 END)), 0.0::DOUBLE) AS overlong_max_h, coalesce(round_even(max(CASE WHEN duration_s > 57600 THEN path_km END), 0), 0.0::DOUBLE) AS overlong_max_path_km,
-  {r('coalesce(quantile_cont(CASE WHEN duration_s >= 2400 AND path_km < 30 THEN extent_km END, 0.5), 0.0)', 'short_path_median_extent_km')} FROM st GROUP BY source""", VIEW, STEPS, STATS))
+def _filter_sql(rows: str, overlong: str, least: str, path: str) -> str:
+    return f"""SELECT source, CAST(sum(CASE WHEN duration_s >= {least} THEN 1 ELSE 0 END) AS BIGINT) AS long_enough, CAST(sum(CASE WHEN duration_s > {overlong} THEN 1 ELSE 0 END) AS BIGINT) AS overlong,
+  CAST(sum(CASE WHEN duration_s >= {least} AND path_km < {path} THEN 1 ELSE 0 END) AS BIGINT) AS short_path, coalesce(floor(min(CASE WHEN duration_s > {overlong} THEN duration_s / 3600 END)), 0.0::DOUBLE) AS overlong_min_h,
+  coalesce(floor(max(CASE WHEN duration_s > {overlong} THEN duration_s / 3600 END)), 0.0::DOUBLE) AS overlong_max_h, coalesce(round_even(max(CASE WHEN duration_s > {overlong} THEN path_km END), 0), 0.0::DOUBLE) AS overlong_max_path_km,
+  {r(f'coalesce(quantile_cont(CASE WHEN duration_s >= {least} AND path_km < {path} THEN extent_km END, 0.5), 0.0)', 'short_path_median_extent_km')} FROM {rows} GROUP BY source"""
+
+
+@register("a22_filter_macros", query(_filter_sql("st", "57600", "2400", "30"), VIEW, STEPS, STATS))
 def a22(spark, d):
     return census.filtering_measures(statistics(spark, d), LIMITS)
 
 
+@register("a22_filter_mixed", query(_filter_sql("mx", "57600", "2400", "20"), _MIXED))
+def a22_mixed(spark, d):
+    return census.filtering_measures(mixed_census(spark, d), Thresholds())
+
+
 _TH = [10.0, 20.0, 30.0, 40.0, 50.0, 60.0]
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vantrail.operators import census, clean, observables, resample, spectral
+from vantrail.operators import catalog as catalogs
+from vantrail.operators import census, clean, lags, observables, phases, resample, spectral
+from vantrail.plans import store
 from vantrail.plans.cleaning import clean_tracks
-from vantrail.plans.queries import LIMITS, merged, register, statistics, table, view
+from vantrail.plans.queries import LIMITS, SOUND, merged, register, sound_view, statistics, table, view
 from vantrail.plans.sql import MERGED, R, STATS, STEPS, VIEW, distance, query, r
+from vantrail.session import shared_dir, written
 from vantrail.sources import tracks
 
 _MS = f"""
@@ -67,9 +73,17 @@ def t9(spark, d):
     return found.select("source", "flight_id", "fix_no", "n_near", F.round("resid_m", 3).alias("resid_m"), F.round("mad_m", 3).alias("mad_m"), "hampel")
 
 
-@register("t10_gate", query(f"SELECT source, flight_id, fix_no, coalesce(hampel AND v_in > b AND lead(v_in) OVER (PARTITION BY source, flight_id ORDER BY fix_no) > b, false) AS spike FROM (SELECT h4.*, CASE WHEN ms.dt > 0 THEN ms.step_m / ms.dt END AS v_in, CASE h4.source WHEN 'paragliders' THEN 45.0 ELSE 55.0 END AS b FROM h4 JOIN ms ON h4.source = ms.source AND h4.flight_id = ms.flight_id AND h4.fix_no = ms.fix_no)", VIEW, MERGED, _H, _MS))
+def _spiked(spark, d):
+    far = F.col("fix_no") % 23 == 11
+    return merged(spark, d).withColumn("lat", F.when(far, F.col("lat") + 0.5).otherwise(F.col("lat")))
+
+
+_SPIKED = "sd AS (SELECT * REPLACE (CASE WHEN fix_no % 23 = 11 THEN lat + 0.5 ELSE lat END AS lat) FROM d)"
+
+
+@register("t10_gate", query("SELECT source, flight_id, fix_no, coalesce(hampel AND v_in > b AND lead(v_in) OVER (PARTITION BY source, flight_id ORDER BY fix_no) > b, false) AS spike FROM (SELECT h4.*, CASE WHEN ms.dt > 0 THEN ms.step_m / ms.dt END AS v_in, CASE h4.source WHEN 'paragliders' THEN 45.0 ELSE 55.0 END AS b FROM h4 JOIN ms ON h4.source = ms.source AND h4.flight_id = ms.flight_id AND h4.fix_no = ms.fix_no)", VIEW, MERGED, _SPIKED, _H.replace("FROM d WINDOW", "FROM sd WINDOW"), _MS.replace("FROM d WINDOW", "FROM sd WINDOW")))
 def t10(spark, d):
-    return clean.impossible(clean.hampel(merged(spark, d), LIMITS), LIMITS).select("source", "flight_id", "fix_no", "spike")
+    return clean.impossible(clean.hampel(_spiked(spark, d), LIMITS), LIMITS).select("source", "flight_id", "fix_no", "spike")
 
 
 @register("t12_alt_hampel", query("SELECT source, flight_id, fix_no, n_near, round(ar, 6) + 0.0 AS alt_resid_m, n_near >= 5 AND ar > greatest(5 * 1.4826 * am, 15.0) AS alt_hampel FROM (SELECT *, quantile_cont(ar, 0.5) OVER (PARTITION BY source, flight_id ORDER BY t RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING) AS am FROM (SELECT *, abs(baro_alt - quantile_cont(baro_alt, 0.5) OVER g) AS ar, count(*) OVER g AS n_near FROM d WINDOW g AS (PARTITION BY source, flight_id ORDER BY t RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING)))", VIEW, MERGED))
@@ -77,11 +91,6 @@ def t12(spark, d):
     return clean.hampel_altitude(merged(spark, d), LIMITS).select("source", "flight_id", "fix_no", "n_near", "alt_resid_m", "alt_hampel")
 
 
-def _spiked(spark, d):
-    far = F.col("fix_no") % 23 == 11
-    return merged(spark, d).withColumn("lat", F.when(far, F.col("lat") + 0.5).otherwise(F.col("lat")))
-
-
 @register("t11_block_removal")
 def t11(spark, d):
     return clean.remove_blocks(_spiked(spark, d), LIMITS).select("source", "flight_id", "fix_no", "kept", "split_before")
@@ -92,12 +101,15 @@ def _held(spark, d):
     return merged(spark, d).withColumns({"lat": F.when(hold, F.lit(45.1)).otherwise(F.col("lat")), "lon": F.when(hold, F.lit(5.1)).otherwise(F.col("lon"))})
 
 
+_HELD = "hd AS (SELECT * REPLACE (CASE WHEN fix_no BETWEEN 20 AND 26 THEN 45.1 ELSE lat END AS lat, CASE WHEN fix_no BETWEEN 20 AND 26 THEN 5.1 ELSE lon END AS lon) FROM d)"
+
+
 @register("t13_frozen_run")
 def t13(spark, d):
     return clean.frozen_runs(clean.altitude_source(_held(spark, d), LIMITS), LIMITS).select("source", "flight_id", "fix_no", "frozen")
 
 
-@register("t14_identical_runs", query(f"SELECT source, flight_id, CAST(run AS BIGINT) AS run, min(fix_no) AS first_fix, count(*) AS n, {r('max(t) - min(t)', 'span_s')}, {r('min(baro_alt)', 'baro_min')}, {r('max(baro_alt)', 'baro_max')} FROM (SELECT *, sum(nw) OVER (PARTITION BY source, flight_id ORDER BY fix_no) AS run FROM (SELECT *, CASE WHEN lat = lag(lat) OVER f AND lon = lag(lon) OVER f THEN 0 ELSE 1 END AS nw FROM hd WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no))) GROUP BY source, flight_id, run HAVING count(*) > 1", VIEW, MERGED, "hd AS (SELECT * REPLACE (CASE WHEN fix_no BETWEEN 20 AND 26 THEN 45.1 ELSE lat END AS lat, CASE WHEN fix_no BETWEEN 20 AND 26 THEN 5.1 ELSE lon END AS lon) FROM d)"))
+@register("t14_identical_runs", query(f"SELECT source, flight_id, CAST(run AS BIGINT) AS run, min(fix_no) AS first_fix, count(*) AS n, {r('max(t) - min(t)', 'span_s')}, {r('min(baro_alt)', 'baro_min')}, {r('max(baro_alt)', 'baro_max')} FROM (SELECT *, sum(nw) OVER (PARTITION BY source, flight_id ORDER BY fix_no) AS run FROM (SELECT *, CASE WHEN lat = lag(lat) OVER f AND lon = lag(lon) OVER f THEN 0 ELSE 1 END AS nw FROM hd WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no))) GROUP BY source, flight_id, run HAVING count(*) > 1", VIEW, MERGED, _HELD))
 def t14(spark, d):
     return clean.identical_runs(_held(spark, d))
 
@@ -360,31 +372,40 @@ def b6(spark, d):
     return observables.msd(_points(spark, d), "minute").select("minute", "non_gaussian")
 
 
-_LG = (VIEW, _enu("v"), "lg AS (SELECT en.*, l.lag, lead(east_m, CAST(l.lag AS INTEGER)) OVER f AS e2, lead(north_m, CAST(l.lag AS INTEGER)) OVER f AS n2 FROM en, (SELECT unnest([1, 2, 4, 8]) AS lag) l WINDOW f AS (PARTITION BY source, flight_id, l.lag ORDER BY fix_no)), tm AS (SELECT source, flight_id, CAST(lag AS INTEGER) AS lag, count(*) AS n, avg(pow(e2 - east_m, 2) + pow(n2 - north_m, 2)) AS tamsd FROM lg WHERE e2 IS NOT NULL GROUP BY ALL)")
+_GK = "PARTITION BY source, flight_id, segment_id"
+_PAIRS = "SELECT a.source, a.flight_id, CAST(b.k - a.k AS INTEGER) AS lag, max(a.dt_s) * (b.k - a.k) AS lag_s, count(*) AS n, avg({what}) AS {name} FROM {rows} a JOIN {rows} b ON a.source = b.source AND a.flight_id = b.flight_id AND a.segment_id = b.segment_id AND b.k >= a.k GROUP BY a.source, a.flight_id, b.k - a.k"
+_TM = "tm AS (" + _PAIRS.format(rows="gd", name="tamsd", what="pow(b.east_m - a.east_m, 2) + pow(b.north_m - a.north_m, 2)") + ")"
+_VV = f"vv AS (SELECT * FROM (SELECT source, flight_id, segment_id, k, dt_s, (lead(east_m) OVER z - east_m) / dt_s AS vx, (lead(north_m) OVER z - north_m) / dt_s AS vy FROM gd WINDOW z AS ({_GK} ORDER BY k)) WHERE vx IS NOT NULL)"
+_VC = "vc AS (" + _PAIRS.format(rows="vv", name="vacf", what="a.vx * b.vx + a.vy * b.vy") + ")"
+_LAGS_OF_ALL = "ow AS (SELECT source, flight_id, CAST(floor(log2(lag_s) + 1e-9) AS INTEGER) AS lag_class, sum(tamsd * n) / sum(n) AS v FROM tm WHERE lag_s > 0 GROUP BY ALL)"
+_OVER = "lag_class, count(*) AS flights, round(avg(v), 1) + 0.0 AS mean, CASE WHEN avg(v) <> 0 THEN round(var_pop(v) / pow(avg(v), 2), 6) + 0.0 END AS eb"
 
 
-def _tamsd(spark, d):
-    points = resample.with_enu(view(spark, d)).withColumn("k", F.col("fix_no"))
-    return observables.time_averaged_msd(points, ["source", "flight_id"], [1, 2, 4, 8])
-
-
-@register("b2_tamsd", query("SELECT source, flight_id, lag, n, round(tamsd, 1) + 0.0 AS tamsd FROM tm", *_LG))
+@register("b2_tamsd", query(f"SELECT source, flight_id, lag, {r('lag_s')}, n, round(tamsd, 1) + 0.0 AS tamsd FROM tm WHERE lag IN (1, 2, 4, 8, 16, 32)", *_PCHIP, _TM))
 def b2(spark, d):
-    return _tamsd(spark, d).withColumn("tamsd", F.round("tamsd", 1))
+    return lags.time_averaged_msd(_grid(spark, d), [1, 2, 4, 8, 16, 32]).withColumn("tamsd", F.round("tamsd", 1))
 
 
-@register("b3_ergodicity", query(f"SELECT lag, count(*) AS flights, round(avg(tamsd), 1) + 0.0 AS mean, {r('var_pop(tamsd) / pow(avg(tamsd), 2)', 'eb')} FROM tm GROUP BY lag", *_LG))
+@register("b3_ergodicity", query(f"SELECT CAST(NULL AS VARCHAR) AS stratum, {_OVER} FROM ow GROUP BY lag_class", *_PCHIP, _TM, _LAGS_OF_ALL))
 def b3(spark, d):
-    return observables.ergodicity_breaking(_tamsd(spark, d)).withColumn("mean", F.round("mean", 1))
+    return lags.over_flights(lags.time_averaged_msd(_grid(spark, d)), "tamsd").withColumn("mean", F.round("mean", 1))
+
+
+_AGES = (2400.0, 2520.0)
 
 
-@register("b7_vacf", query("SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n, round(avg(vx * vx2 + vy * vy2), 3) + 0.0 AS vacf FROM (SELECT l.lag, vx, vy, lead(vx, CAST(l.lag AS INTEGER)) OVER f AS vx2, lead(vy, CAST(l.lag AS INTEGER)) OVER f AS vy2 FROM vv, (SELECT unnest([1, 2, 4]) AS lag) l WINDOW f AS (PARTITION BY source, flight_id, l.lag ORDER BY fix_no)) WHERE vx2 IS NOT NULL GROUP BY 1", VIEW, MERGED, _enu("d"), "vv AS (SELECT source, flight_id, fix_no, coalesce((east_m - lag(east_m) OVER f) / (t - lag(t) OVER f), 0.0) AS vx, coalesce((north_m - lag(north_m) OVER f) / (t - lag(t) OVER f), 0.0) AS vy FROM en WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no))"))
+@register("b3_aging", query(f"SELECT CASE WHEN span < 2400 THEN 'below 2400' WHEN span < 2520 THEN '2400 to 2520' ELSE '2520 on' END AS stratum, {_OVER} FROM ow JOIN (SELECT source, flight_id, max(grid_t) - min(grid_t) AS span FROM gd GROUP BY ALL) USING (source, flight_id) GROUP BY 1, lag_class", *_PCHIP, _TM, _LAGS_OF_ALL))
+def b3_aging(spark, d):
+    grid = written(_grid(spark, d))
+    return lags.over_flights(lags.time_averaged_msd(grid), "tamsd", lags.duration_strata(grid, _AGES)).withColumn("mean", F.round("mean", 1))
+
+
+@register("b7_vacf", query(f"SELECT source, flight_id, lag, {r('lag_s')}, n, round(vacf, 3) + 0.0 AS vacf FROM vc WHERE lag IN (0, 1, 2, 4, 8)", *_PCHIP, _VV, _VC))
 def b7(spark, d):
-    w = tracks.by_flight("fix_no")
-    points = resample.with_enu(merged(spark, d))
-    dt = F.col("t") - F.lag("t").over(w)
-    points = points.withColumns({"vx": F.coalesce((F.col("east_m") - F.lag("east_m").over(w)) / dt, F.lit(0.0)), "vy": F.coalesce((F.col("north_m") - F.lag("north_m").over(w)) / dt, F.lit(0.0)), "k": F.col("fix_no")})
-    return observables.velocity_autocorrelation(points, ["source", "flight_id"], [1, 2, 4]).withColumn("vacf", F.round("vacf", 3))
+    w = Window.partitionBy(*resample.SEGMENT).orderBy("k")
+    speed = lambda c: (F.lead(c).over(w) - F.col(c)) / F.col("dt_s")
+    moving = _grid(spark, d).withColumns({"vx": speed("east_m"), "vy": speed("north_m")}).where(F.col("vx").isNotNull())
+    return lags.velocity_autocorrelation(moving, [0, 1, 2, 4, 8]).withColumn("vacf", F.round("vacf", 3))
 
 
 @register("b8_turning", query("SELECT source, flight_id, fix_no, CASE WHEN ax * ax + ay * ay > 0 AND bx * bx + byy * byy > 0 THEN round(atan2(ax * byy - ay * bx, ax * bx + ay * byy), 4) + 0.0 END AS turn FROM (SELECT *, lead(ax) OVER f AS bx, lead(ay) OVER f AS byy FROM (SELECT *, east_m - lag(east_m) OVER f AS ax, north_m - lag(north_m) OVER f AS ay FROM en WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no)) WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no))", VIEW, _enu("v")))
@@ -409,24 +430,25 @@ def b10_climb(spark, d):
     return observables.propagator(steps, "source", "v", 1.0).select("source", "bin", "n")
 
 
-_CATALOG = "ct AS (SELECT c_custkey AS flight_id, c_mktsegment AS stratum FROM customer)"
+_CATALOG = "ct AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'hang gliders' ELSE 'paragliders' END AS source, c_custkey AS flight_id, c_mktsegment AS stratum FROM customer)"
 
 
-@register("j11_stratum_msd", query("SELECT stratum, minute, count(*) AS n, round(avg(east_m * east_m + north_m * north_m), 1) + 0.0 AS msd FROM pt JOIN ct USING (flight_id) GROUP BY ALL", *_PT, _CATALOG))
+@register("j11_stratum_msd", query("SELECT stratum, minute, count(*) AS n, round(avg(east_m * east_m + north_m * north_m), 1) + 0.0 AS msd FROM pt JOIN ct USING (source, flight_id) GROUP BY ALL", *_PT, _CATALOG))
 def j11(spark, d):
-    """Strata from a catalog by flight, here the customer of the flight's number and the market segment."""
-    catalog = table(spark, d, "customer").select(F.col("c_custkey").alias("flight_id"), F.col("c_mktsegment").alias("stratum"))
+    """Strata from a catalog by source and flight, here the customer of the flight's number and the market segment."""
+    key = F.col("c_custkey")
+    flights = table(spark, d, "customer").select(F.when(key % 10 == 0, "hang gliders").otherwise("paragliders").alias("source"), key.alias("flight_id"), F.col("c_mktsegment").alias("stratum"))
     r2 = F.col("east_m") * F.col("east_m") + F.col("north_m") * F.col("north_m")
-    return _points(spark, d).join(catalog, "flight_id").groupBy("stratum", "minute").agg(F.count("*").alias("n"), F.round(F.avg(r2), 1).alias("msd"))
+    return catalogs.with_stratum(_points(spark, d), flights, "stratum").groupBy("stratum", "minute").agg(F.count("*").alias("n"), F.round(F.avg(r2), 1).alias("msd"))
 
 
-@register("b13_geography", query("SELECT CAST(floor(lat * 10) AS BIGINT) AS cell_lat, CAST(floor(lon * 10) AS BIGINT) AS cell_lon, count(DISTINCT flight_id) AS flights, count(*) AS n, round(avg(east_m * east_m + north_m * north_m), 1) + 0.0 AS msd FROM en GROUP BY 1, 2", VIEW, _enu("v")))
+@register("b13_geography", query("SELECT CAST(floor(lat * 10) AS BIGINT) AS cell_lat, CAST(floor(lon * 10) AS BIGINT) AS cell_lon, count(DISTINCT (source, flight_id)) AS flights, count(*) AS n, round(avg(east_m * east_m + north_m * north_m), 1) + 0.0 AS msd FROM en GROUP BY 1, 2", VIEW, _enu("v")))
 def b13_geography(spark, d):
     """Cells of a tenth of a degree."""
     cell = lambda c: F.floor(F.col(c) * 10).cast("bigint")
     points = resample.with_enu(view(spark, d)).withColumns({"cell_lat": cell("lat"), "cell_lon": cell("lon")})
     r2 = F.col("east_m") * F.col("east_m") + F.col("north_m") * F.col("north_m")
-    return points.groupBy("cell_lat", "cell_lon").agg(F.count_distinct("flight_id").alias("flights"), F.count("*").alias("n"), F.round(F.avg(r2), 1).alias("msd"))
+    return points.groupBy("cell_lat", "cell_lon").agg(F.count_distinct("source", "flight_id").alias("flights"), F.count("*").alias("n"), F.round(F.avg(r2), 1).alias("msd"))
 
 
 @register("b4_propagator", query(f"SELECT minute, bin, n, {r('n / (sum(n) OVER (PARTITION BY minute) * 500.0)', 'density')} FROM (SELECT minute, CAST(floor(north_m / 500 + 0.5) AS BIGINT) AS bin, count(*) AS n FROM pt GROUP BY 1, 2)", *_PT))
@@ -449,9 +471,11 @@ def b12(spark, d):
     return observables.isotropy(_points(spark, d), "minute")
 
 
-@register("b12_ks", query(f"SELECT {r('max(abs(a / ta - b / tb))', 'ks')} FROM (SELECT sum(sum(CASE WHEN valid THEN 1 ELSE 0 END)) OVER (ORDER BY g) AS a, sum(sum(CASE WHEN valid THEN 0 ELSE 1 END)) OVER (ORDER BY g) AS b, sum(sum(CASE WHEN valid THEN 1 ELSE 0 END)) OVER () AS ta, sum(sum(CASE WHEN valid THEN 0 ELSE 1 END)) OVER () AS tb FROM (SELECT valid, baro_alt AS g FROM v) GROUP BY g)", VIEW))
+@register("b12_ks", query(f"SELECT minute, CAST(max(ta) AS BIGINT) AS n, {r('max(abs(a / ta - b / tb))', 'ks')} FROM (SELECT minute, sum(a) OVER z AS a, sum(b) OVER z AS b, sum(a) OVER y AS ta, sum(b) OVER y AS tb FROM ug WINDOW z AS (PARTITION BY minute ORDER BY v), y AS (PARTITION BY minute)) GROUP BY minute", *_PT, "uv AS (SELECT minute, round(east_m, 3) + 0.0 AS v, 1 AS a, 0 AS b FROM pt UNION ALL SELECT minute, round(north_m, 3) + 0.0, 0, 1 FROM pt), ug AS (SELECT minute, v, sum(a) AS a, sum(b) AS b FROM uv GROUP BY ALL)"))
 def b12_ks(spark, d):
-    return observables.ks_distance(view(spark, d).select("valid", "baro_alt"), "baro_alt", F.col("valid"))
+    """East against north at each minute, in whole millimetres."""
+    points = _points(spark, d).withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("east_m", "north_m")})
+    return observables.isotropy_ks(points, "minute")
 
 
 @register("b13_stratum_msd", query("SELECT source, minute, count(*) AS n, round(avg(east_m * east_m + north_m * north_m), 1) + 0.0 AS msd FROM pt GROUP BY ALL", *_PT))
@@ -465,8 +489,6 @@ _PH = "p1 AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_i
 
 def _phases(spark, d):
     e = table(spark, d, "events")
-    from pyspark.sql import Window
-
     rows = e.withColumn("fix_no", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e9)))
     return observables.phase_runs(rows, "event_type", ["user_id"])
 
@@ -486,8 +508,6 @@ _KIN = "k1 AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION
 
 @register("b15_kinematics", query(f"SELECT phase, count(*) AS n, {r('avg(dt)', 'duration_s')}, {_R3('avg(sqrt(d0 * d0 + d1 * d1) / dt)', 'v_xy_mps')}, {r('avg(d2 / dt)', 'v_z_mps')} FROM k4 WHERE run > 1 AND run < last AND dt > 0 GROUP BY phase", VIEW, _enu("v"), _KIN))
 def b15_kinematics(spark, d):
-    from pyspark.sql import Window
-
     kinds = table(spark, d, "events").select(F.col("user_id").alias("flight_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("fix_no"), F.col("event_type").alias("kind"))
     rows = resample.with_enu(view(spark, d)).join(kinds, ["flight_id", "fix_no"])
     found = observables.phase_kinematics(rows, "kind", alt="gnss_alt")
@@ -513,11 +533,59 @@ def b14(spark, d):
     return observables.segment_phases(rows, np.array([0.5, 0.5]), move, emit).select("source", "flight_id", "fix_no", "symbol", "phase")
 
 
+@register("t15_witness", query(f"SELECT source, flight_id, CAST(run AS BIGINT) AS run, n, {r('span_s')}, span_s >= 60 AS witness FROM (SELECT source, flight_id, run, count(*) AS n, max(t) - min(t) AS span_s FROM (SELECT *, sum(nw) OVER (PARTITION BY source, flight_id ORDER BY fix_no) AS run FROM (SELECT *, CASE WHEN lat = lag(lat) OVER f AND lon = lag(lon) OVER f THEN 0 ELSE 1 END AS nw FROM hd WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no))) GROUP BY source, flight_id, run HAVING count(*) > 1)", VIEW, MERGED, _HELD))
+def t15(spark, d):
+    runs = clean.identical_runs(_held(spark, d))
+    return runs.select("source", "flight_id", "run", "n", "span_s", (F.col("span_s") >= LIMITS.fix_level.frozen_tau_s).alias("witness"))
+
+
+def _phase_rows(spark, d):
+    placed = resample.with_segments(resample.with_enu(clean.altitude_source(clean.merge_duplicates(sound_view(spark, d)).drop("n_merged"), SOUND)), SOUND)
+    return written(phases.features(resample.native_grid(placed), half_s=60.0, turn_rad_s=0.005))
+
+
+@register("b14_training")
+def b14_training(spark, d):
+    """The likelihoods of each iteration, and the probabilities of the trained model."""
+    model, history = phases.train(written(phases.sequences(_phase_rows(spark, d))), iterations=8)
+    rows = [("likelihood", "training" if part == 1 else "held out", str(h[0]), h[part]) for h in history for part in (1, 2)]
+    return spark.createDataFrame(rows + phases.as_table(model), "part string, from string, to string, value double")
+
+
+@register("b14_trained_phases")
+def b14_trained(spark, d):
+    rows = _phase_rows(spark, d)
+    model, _ = phases.train(written(phases.sequences(rows)), iterations=8)
+    return phases.with_phases(rows, model).select(*resample.SEGMENT, "k", "symbol", "phase")
+
+
+def _cleaned(spark, d):
+    return clean_tracks(sound_view(spark, d), SOUND)
+
+
 @register("cleaning_pipeline")
 def pipeline_flights(spark, d):
-    return clean_tracks(view(spark, d), LIMITS).flights
+    return _cleaned(spark, d).flights
 
 
 @register("cleaning_segments")
 def pipeline_segments(spark, d):
-    return clean_tracks(view(spark, d), LIMITS).segments
+    return _cleaned(spark, d).segments
+
+
+@register("cleaning_fixes")
+def pipeline_fixes(spark, d):
+    """The smoothed fixes, to the millimetre and the millimetre a second."""
+    fixes = _cleaned(spark, d).fixes
+    return fixes.withColumns({c: F.round(c, 3) for c, kind in fixes.dtypes if kind == "double"})
+
+
+@register("k9_store")
+def k9(spark, d):
+    """The flights of the stored archive with what their stored fixes and segments add up to."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.write_store(spark, store.stored_tables(_cleaned(spark, d), SOUND), root, buckets=8, parts=4)
+    kept = store.open_store(spark, root)
+    fixes = kept.read("fixes").groupBy(*store.KEYS).agg(F.count("*").alias("n_fix"), F.max("t").alias("t_last"))
+    segments = kept.read("segments").groupBy(*store.KEYS).agg(F.count("*").alias("n_segments"), F.sum(F.col("passes").cast("bigint")).alias("n_passing"))
+    return kept.read("flights_meta").join(fixes, store.KEYS, "left").join(segments, store.KEYS, "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantrail.functions import records
+from vantrail.functions import naming, records
 
 FIX_COLUMNS = ["source", "flight_id", "fix_no", "t", "lat", "lon", "valid", "baro_alt", "gnss_alt"]
 
@@ -26,10 +26,9 @@ def list_tracks(spark: SparkSession, root: str, glob: str = "*.igc") -> DataFram
 
 
 def read_track_lines(spark: SparkSession, root: str, source: str, glob: str = "*.igc") -> DataFrame:
-    """(source, flight_id, line_no, line) of all track files below a root; the flight is the file's stem."""
+    """(source, flight_id, line_no, line) of all track files below a root; the flight is the id in the file's name, as catalogs have it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return files.select(F.lit(source).alias("source"), stem.alias("flight_id"), F.posexplode(records.file_lines(F.col("content"))).alias("line_no", "line"))
+    return files.select(F.lit(source).alias("source"), naming.flight_of(F.element_at(F.split("path", "/"), -1)).alias("flight_id"), F.posexplode(records.file_lines(F.col("content"))).alias("line_no", "line"))
 
 
 def parse_records(lines: DataFrame, clamp: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vantrail.functions import records
+from vantrail.functions import naming, records
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -14,8 +14,7 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 def track_lines_stream(spark: SparkSession, root: str, source: str, glob: str = "*.igc", max_files: int = 1000) -> DataFrame:
     """Lines of files as they land; the checkpoint remembers which were taken, so a restart goes on where it stopped."""
     files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(root)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return files.select(F.lit(source).alias("source"), stem.alias("flight_id"), F.posexplode(records.file_lines(F.col("content"))).alias("line_no", "line"))
+    return files.select(F.lit(source).alias("source"), naming.flight_of(F.element_at(F.split("path", "/"), -1)).alias("flight_id"), F.posexplode(records.file_lines(F.col("content"))).alias("line_no", "line"))
 
 
 def land(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
