@@ -186,3 +186,148 @@ def test_landed_files_meet_their_catalog(spark, tmp_path):
     stats = catalog.with_stratum(census.track_stats(fixes), flights, "flight_type").collect()
     assert {(r.source, r.flight_id, r.flight_type, r.n_fix) for r in stats} == {("paragliders", "12", "triangle", 2), ("hang gliders", "12", "distance", 2)}
     assert {r.flight_id for r in census.representative(census.track_stats(fixes)).collect()} == {"12"}
+
+
+# ---------------------------------------------------------------- durations and intervals
+def brute_law(values, least=10):
+    """(x_min, alpha, ks, rate, ratio) over every distinct value as the lower cut."""
+    best = None
+    for cut in sorted(set(values))[:-1]:
+        tail = sorted(v for v in values if v >= cut)
+        if len(tail) < least:
+            continue
+        alpha = 1 + len(tail) / sum(math.log(v / cut) for v in tail)
+        ks = 0.0
+        for v in set(tail):
+            law = 1 - (v / cut) ** (1 - alpha)
+            ks = max(ks, abs(sum(x <= v for x in tail) / len(tail) - law), abs(sum(x < v for x in tail) / len(tail) - law))
+        if best is None or ks < best[2] - 1e-12:
+            rate = len(tail) / sum(v - cut for v in tail)
+            power = sum(math.log((alpha - 1) / cut) - alpha * math.log(v / cut) for v in tail)
+            best = cut, alpha, ks, rate, power - sum(math.log(rate) - rate * (v - cut) for v in tail)
+    return best
+
+
+def test_duration_laws(spark):
+    from vantrail.operators.durations import duration_laws
+
+    rng = np.random.default_rng(3)
+    climb = 20 + rng.exponential(120, 700).round()
+    search = (10 * (1 - rng.random(900)) ** (-1 / 1.4)).round(1)
+    rows = [("climb", float(x), False) for x in climb] + [("search", float(x), False) for x in search] + [("climb", 9.0, True)] * 7 + [("short", 1.0, False)] * 30 + [("cut", 5.0, True)] + [("search", 0.0, None)]
+    got = {r.phase: r for r in duration_laws(spark.createDataFrame(rows, "phase string, duration_s double, censored boolean").repartition(3), cuts=2000).collect()}
+    for name, values in (("climb", climb), ("search", search)):
+        cut, alpha, ks, rate, ratio = brute_law(values.tolist())
+        r = got[name]
+        assert (r.x_min, r.n) == (cut, len(values)) and (r.alpha, r.ks, r.rate, r.ratio) == pytest.approx((alpha, ks, rate, ratio), rel=1e-7)
+    assert got["search"].z > 2 and got["search"].alpha == pytest.approx(2.4, abs=0.2) and got["climb"].censored_share == pytest.approx(7 / 707)
+    assert (got["short"].n, got["short"].x_min, got["cut"].n, got["cut"].censored_share) == (30, None, 0, 1.0)
+    few = {r.phase: r for r in duration_laws(spark.createDataFrame(rows, "phase string, duration_s double, censored boolean")).collect()}
+    assert few["search"].alpha == pytest.approx(got["search"].alpha, abs=0.2)
+
+
+def test_intervals_and_sensitivity(spark):
+    from vantrail.operators.durations import merged_intervals, sensitivity, without_intervals
+
+    rng = np.random.default_rng(7)
+    suspects = [("p", f, float(a), float(a + rng.integers(0, 9))) for f in range(4) for a in rng.integers(0, 80, 6)]
+    runs = [("p", f, "wait" if i % 2 else "glide", 9.0 * i, 9.0 * i + 8, i == 0) for f in range(5) for i in range(10)]
+    s = spark.createDataFrame(suspects, "source string, flight_id long, t0 double, t1 double")
+    r = spark.createDataFrame(runs, "source string, flight_id long, phase string, t0 double, t1 double, censored boolean")
+    cover = lambda f: {x / 10 for _, g, a, b in suspects if g == f for x in range(int(10 * a), int(10 * b))}
+    merged = merged_intervals(s).collect()
+    for f in range(4):
+        own = sorted((x.t0, x.t1) for x in merged if x.flight_id == f)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:])) and sum(b - a for a, b in own) == pytest.approx(len(cover(f)) / 10)
+    want = {}
+    for x in without_intervals(r, s).collect():
+        inside = len({c for c in cover(x.flight_id) if x.t0 <= c < x.t1}) / 10
+        assert x.covered_s == pytest.approx(inside) and x.touched == any(g == x.flight_id and a < x.t1 and x.t0 < b for _, g, a, b in suspects)
+        if not x.censored:
+            for variant, left in (("all", 8.0), ("without", None if x.touched else 8.0), ("subtracted", 8 - inside if not x.touched or inside < 8 else None)):
+                want.setdefault((x.phase, variant), []).append(left)
+    got = {(x.phase, x.variant): (x.n, x.total_s) for x in sensitivity(r, s).collect()}
+    assert got == {k: (sum(x is not None for x in v), pytest.approx(sum(x or 0 for x in v))) for k, v in want.items()}
+
+
+def test_geometry_of_a_circle_and_a_line(spark):
+    from vantrail.operators.geometry import run_geometry
+
+    rows = [("p", 1, k, float(k), 10.0 * k, 5.0, 1000.0 - k, "glide") for k in range(5)]
+    for k in range(60):
+        a = 2 * math.pi * k / 24
+        rows.append(("p", 1, 10 + k, 10.0 + k, 300 + 80 * math.cos(a), -50 + 80 * math.sin(a), 900 + 2.0 * k, "climb"))
+    rows += [("p", 1, 100 + k, 100.0 + k, float(3 * k), float(4 * k), 800.0, "glide") for k in range(4)] + [("p", 1, 200, 200.0, 0.0, 0.0, 1.0, "rest")]
+    df = spark.createDataFrame(rows, "source string, flight_id long, fix_no int, t double, east_m double, north_m double, alt double, phase string")
+    glide, climb, line, rest = run_geometry(df, "phase").orderBy("run").collect()
+    assert climb.radius_m == pytest.approx(80) and climb.circle_rms_m == pytest.approx(0, abs=1e-4) and climb.period_s == pytest.approx(24 * 59 / 58, rel=1e-9)
+    assert climb.turned_rad == pytest.approx(2 * math.pi * 58 / 24) and climb.climb_mps == pytest.approx(2) and not climb.censored
+    assert line.radius_m is None and line.tortuosity == pytest.approx(1) and line.period_s is None and line.net_m == pytest.approx(15)
+    assert glide.censored and rest.censored and rest.radius_m is None and rest.tortuosity is None
+    noisy = np.random.default_rng(1).normal(0, 2, (60, 2))
+    shaken = [(*r[:4], r[4] + float(noisy[r[2] - 10][0]), r[5] + float(noisy[r[2] - 10][1]), *r[6:]) for r in rows if r[-1] == "climb"]
+    found = run_geometry(spark.createDataFrame(shaken, df.schema), "phase").first()
+    assert found.radius_m == pytest.approx(80, abs=2) and found.circle_rms_m == pytest.approx(2, abs=0.6)
+
+
+def test_collapse_finds_the_exponent(spark):
+    from vantrail.operators.collapse import collapse
+
+    rng = np.random.default_rng(11)
+    for h in (0.5, 0.8):
+        rows = [(t, float(x)) for t in (1, 2, 4, 8, 16, 32) for x in rng.normal(0, 1000 * t**h, 6000)] + [(0, 5.0), (3, None)]
+        got = collapse(spark.createDataFrame(rows, "t int, x double"), "t", "x", 20.0, [0.1 * i for i in range(1, 13)]).collect()
+        assert [round(r.h, 1) for r in got if r.best] == [h] and all(r.times == 6 for r in got)
+
+
+# ---------------------------------------------------------------- near-identical tracks
+def slow_frechet(a, b):
+    c = np.full((len(a), len(b)), np.inf)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            before = 0.0 if i == j == 0 else min(c[i - 1, j] if i else np.inf, c[i - 1, j - 1] if i and j else np.inf, c[i, j - 1] if j else np.inf)
+            c[i, j] = max(np.hypot(*(a[i] - b[j])), before)
+    return c[-1, -1]
+
+
+def test_frechet_decides_as_the_whole_table():
+    from vantrail.operators.duplicates import frechet
+
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        a = rng.normal(size=(rng.integers(1, 9), 2)).cumsum(axis=0)
+        b = a if rng.random() < 0.6 else rng.normal(size=(rng.integers(1, 9), 2)).cumsum(axis=0)
+        b = b[np.sort(rng.integers(0, len(b), rng.integers(1, 10)))] + rng.normal(size=2) * 0.2
+        want, got = slow_frechet(a, b), frechet(a, b, 1.5)
+        assert (got is None) == (want > 1.5) and (got is None or got == pytest.approx(want))
+
+
+def test_near_tracks_are_those_of_all_pairs(spark):
+    from vantrail.operators.duplicates import near_tracks, track_shapes
+    from vantrail.plans.track_queries import copied
+
+    fixes = copied(spark, "/root/testdata/sf0.001")
+    fixes = fixes.unionByName(fixes.where("flight_id = 13").withColumn("flight_id", F.lit(99).cast("long")))
+    pairs, members = near_tracks(fixes, metres=150.0, step_s=20.0)
+    shapes = {(r.source, r.flight_id): np.array(r["shape"]) for r in track_shapes(fixes, 20.0).collect()}
+    classes = {}
+    for key in sorted(shapes):
+        classes.setdefault(shapes[key].tobytes(), []).append(key)
+    assert {(r.source, r.flight_id): (tuple(r["class"]), r["size"]) for r in members.collect()} == {k: (own[0], len(own)) for own in classes.values() for k in own}
+    assert max(map(len, classes.values())) == 3  # a flight that was uploaded again as it was, twice
+    heads = sorted(own[0] for own in classes.values())
+    want = {}
+    for i, a in enumerate(heads):
+        for b in heads[i + 1 :]:
+            d = slow_frechet(shapes[a], shapes[b])
+            if d <= 150:
+                want[a, b] = pytest.approx(d)
+    assert {(tuple(r.class_a), tuple(r.class_b)): r.frechet_m for r in pairs.collect()} == want and len(want) >= 2
+
+
+def test_near_tracks_of_nothing(spark):
+    from vantrail.operators.duplicates import near_tracks
+    from vantrail.plans.track_queries import view
+
+    pairs, members = near_tracks(view(spark, "/root/testdata/sf0.001").where("false"))
+    assert pairs.count() == 0 and members.count() == 0

@@ -9,7 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vantrail.operators import catalog as catalogs
-from vantrail.operators import census, clean, lags, observables, phases, resample, spectral
+from vantrail.operators import census, clean, durations, geometry, lags, observables, phases, resample, spectral
+from vantrail.operators.collapse import collapse
+from vantrail.operators.duplicates import near_tracks
 from vantrail.plans import store
 from vantrail.plans.cleaning import clean_tracks
 from vantrail.plans.queries import LIMITS, SOUND, merged, register, sound_view, statistics, table, view
@@ -508,8 +510,7 @@ _KIN = "k1 AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION
 
 @register("b15_kinematics", query(f"SELECT phase, count(*) AS n, {r('avg(dt)', 'duration_s')}, {_R3('avg(sqrt(d0 * d0 + d1 * d1) / dt)', 'v_xy_mps')}, {r('avg(d2 / dt)', 'v_z_mps')} FROM k4 WHERE run > 1 AND run < last AND dt > 0 GROUP BY phase", VIEW, _enu("v"), _KIN))
 def b15_kinematics(spark, d):
-    kinds = table(spark, d, "events").select(F.col("user_id").alias("flight_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("fix_no"), F.col("event_type").alias("kind"))
-    rows = resample.with_enu(view(spark, d)).join(kinds, ["flight_id", "fix_no"])
+    rows = _kinds(spark, d, resample.with_enu(view(spark, d)))
     found = observables.phase_kinematics(rows, "kind", alt="gnss_alt")
     return found.withColumn("v_xy_mps", F.round("v_xy_mps", 3))
 
@@ -519,6 +520,96 @@ def b16_step_wait(spark, d):
     return observables.step_wait_correlation(_phases(spark, d), "click", ["user_id"])
 
 
+_LAWS = """dr AS (SELECT phase, run = 1 OR run = max(run) OVER (PARTITION BY user_id) AS c, CAST(t1 - t0 AS DOUBLE) AS x FROM pr),
+sh AS (SELECT phase, avg(CASE WHEN c THEN 1.0::DOUBLE ELSE 0.0 END) AS censored_share, count(CASE WHEN NOT c AND x > 0 THEN 1 END) AS n FROM dr GROUP BY phase),
+ct AS (SELECT phase, x, count(*) AS n FROM dr WHERE NOT c AND x > 0 GROUP BY ALL),
+rk AS (SELECT *, sum(n) OVER (PARTITION BY phase ORDER BY x) AS upto, row_number() OVER (PARTITION BY phase ORDER BY x) AS i, count(*) OVER (PARTITION BY phase) AS m FROM ct),
+tr AS (SELECT a.phase, a.x AS x_min, any_value(a.upto - a.n) AS below, CAST(sum(b.n) AS BIGINT) AS n_tail, 1 + sum(b.n) / sum(b.n * ln(b.x / a.x)) AS alpha, sum(b.n) / sum(b.n * (b.x - a.x)) AS rate FROM rk a JOIN rk b ON a.phase = b.phase AND b.x >= a.x WHERE (a.i - 1) % CAST(ceil(a.m / 64.0) AS BIGINT) = 0 AND a.i < a.m GROUP BY a.phase, a.x HAVING sum(b.n) >= 10),
+mt AS (SELECT tr.*, b.n, abs((b.upto - below) / n_tail - (1 - pow(b.x / x_min, 1 - alpha))) AS g1, abs((b.upto - below - b.n) / n_tail - (1 - pow(b.x / x_min, 1 - alpha))) AS g2, ln((alpha - 1) / x_min) - alpha * ln(b.x / x_min) - ln(rate) + rate * (b.x - x_min) AS d FROM tr JOIN rk b ON tr.phase = b.phase AND b.x >= x_min),
+ft AS (SELECT phase, x_min, n_tail, alpha, rate, max(greatest(g1, g2)) AS ks, sum(n * d) AS ratio, sum(n * d * d) AS squares FROM mt GROUP BY ALL),
+bs AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY round(ks, 12), x_min) AS k FROM ft)"""
+
+
+@register("b15_duration_laws", query(f"SELECT sh.phase, n, {r('censored_share')}, {r('x_min')}, n_tail, {r('alpha')}, {r('ks')}, {r('rate')}, {r('ratio')}, {r('CASE WHEN squares - ratio * ratio / n_tail > 0 THEN ratio / sqrt(squares - ratio * ratio / n_tail) END', 'z')} FROM sh LEFT JOIN (SELECT * FROM bs WHERE k = 1) b USING (phase)", _PH, _LAWS))
+def b15_laws(spark, d):
+    return durations.duration_laws(_phases(spark, d).withColumn("duration_s", (F.col("t1") - F.col("t0")).cast("double")))
+
+
+def _kinds(spark, d, rows):
+    """``rows`` with the kind of their event."""
+    events = table(spark, d, "events")
+    kinds = events.select(F.col("user_id").alias("flight_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("fix_no"), F.col("event_type").alias("kind"))
+    return rows.join(kinds, ["flight_id", "fix_no"])
+
+
+_KRUNS = "kr AS (SELECT source, flight_id, run, any_value(event_type) AS phase, min(t) AS t0, max(t) AS t1, run = 1 OR run = max(run) OVER (PARTITION BY source, flight_id) AS c FROM (SELECT *, sum(nw) OVER (PARTITION BY source, flight_id ORDER BY fix_no) AS run FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY source, flight_id ORDER BY fix_no) THEN 0 ELSE 1 END AS nw FROM v)) GROUP BY source, flight_id, run)"
+_SUSPECT = """su AS (SELECT source, flight_id, t0, t1 FROM (SELECT source, flight_id, rs, min(tb) AS t0, max(t) AS t1, max(baro_alt) - min(baro_alt) AS ar FROM q3 WHERE slow GROUP BY ALL) WHERE ar <= 3000),
+s1 AS (SELECT *, CASE WHEN t0 <= max(t1) OVER (PARTITION BY source, flight_id ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM su),
+s2 AS (SELECT *, sum(fresh) OVER (PARTITION BY source, flight_id ORDER BY t0, t1 ROWS UNBOUNDED PRECEDING) AS island FROM s1),
+s3 AS (SELECT source, flight_id, min(t0) AS t0, max(t1) AS t1 FROM s2 GROUP BY source, flight_id, island),
+mk AS (SELECT kr.phase, kr.t1 - kr.t0 AS d, coalesce(sum(CASE WHEN s3.t0 IS NOT NULL THEN least(s3.t1, kr.t1) - greatest(s3.t0, kr.t0) END), 0.0) AS cov, count(s3.t0) > 0 AS touched FROM kr LEFT JOIN s3 ON kr.source = s3.source AND kr.flight_id = s3.flight_id AND s3.t0 < kr.t1 AND kr.t0 < s3.t1 WHERE NOT c GROUP BY kr.source, kr.flight_id, kr.run, kr.phase, kr.t0, kr.t1),
+vr AS (SELECT phase, 'all' AS variant, d AS s FROM mk UNION ALL SELECT phase, 'without', CASE WHEN NOT touched THEN d END FROM mk UNION ALL SELECT phase, 'subtracted', CASE WHEN NOT touched OR d - cov > 0 THEN d - cov END FROM mk)"""
+
+
+@register("j12_sensitivity", query(f"SELECT phase, variant, count(s) AS n, {r('avg(s)', 'mean_s')}, {r('coalesce(sum(s), 0.0)', 'total_s')} FROM vr GROUP BY phase, variant", VIEW, STEPS, _RUNS, _KRUNS, _SUSPECT))
+def j12_sensitivity(spark, d):
+    runs = observables.phase_runs(_kinds(spark, d, view(spark, d)), "kind")
+    return durations.sensitivity(runs, clean.interior_ground(view(spark, d), LIMITS).drop("kind"))
+
+
+_GEO = """ge AS (SELECT source, flight_id, fix_no, t, gnss_alt, event_type, round(east_m, 3) + 0.0 AS x, round(north_m, 3) + 0.0 AS y FROM en),
+g1 AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY source, flight_id ORDER BY fix_no) THEN 0 ELSE 1 END AS nw FROM ge),
+g2 AS (SELECT *, sum(nw) OVER (PARTITION BY source, flight_id ORDER BY fix_no) AS run FROM g1),
+g4 AS (SELECT *, x - lag(x) OVER z AS sx, y - lag(y) OVER z AS sy, x - avg(x) OVER (PARTITION BY source, flight_id, run) AS u, y - avg(y) OVER (PARTITION BY source, flight_id, run) AS w FROM g2 WINDOW z AS (PARTITION BY source, flight_id, run ORDER BY fix_no)),
+g5 AS (SELECT *, lag(sx) OVER z AS px, lag(sy) OVER z AS py, u * u + w * w AS q FROM g4 WINDOW z AS (PARTITION BY source, flight_id, run ORDER BY fix_no)),
+g6 AS (SELECT source, flight_id, run, any_value(event_type) AS phase, count(*) AS n, max(t) - min(t) AS duration_s, arg_max(gnss_alt, fix_no) - arg_min(gnss_alt, fix_no) AS gain_m, coalesce(sum(sqrt(sx * sx + sy * sy)), 0.0) AS path_m,
+  sqrt(pow(arg_max(x, fix_no) - arg_min(x, fix_no), 2) + pow(arg_max(y, fix_no) - arg_min(y, fix_no), 2)) AS net_m, coalesce(sum(CASE WHEN px * px + py * py > 0 AND sx * sx + sy * sy > 0 THEN CASE WHEN px * sy - py * sx = 0 AND px * sx + py * sy < 0 THEN pi() ELSE atan2(px * sy - py * sx, px * sx + py * sy) END END), 0.0) AS turned,
+  sum(u * u) AS suu, sum(w * w) AS sww, sum(u * w) AS suw, sum(u * q) AS suq, sum(w * q) AS swq, sum(q) AS sq FROM g5 GROUP BY source, flight_id, run),
+g7 AS (SELECT *, suu * sww - suw * suw AS det, run = 1 OR run = max(run) OVER (PARTITION BY source, flight_id) AS censored FROM g6),
+g8 AS (SELECT *, CASE WHEN n >= 3 AND det > 1e-9 * suu * sww THEN sqrt(pow((suq * sww - swq * suw) / (2 * det), 2) + pow((swq * suu - suq * suw) / (2 * det), 2) + sq / n) END AS radius FROM g7)"""
+
+
+@register("b15_geometry", query(f"SELECT source, flight_id, CAST(run AS BIGINT) AS run, phase, censored, n, duration_s, {r('gain_m')}, {r('CASE WHEN duration_s > 0 THEN gain_m / duration_s END', 'climb_mps')}, {_R3('path_m')}, {_R3('net_m')}, {_R3('CASE WHEN net_m > 0 THEN path_m / net_m END', 'tortuosity')}, {_R3('turned', 'turned_rad')}, {_R3('CASE WHEN duration_s > 0 AND abs(turned) >= 2 * pi() THEN 2 * pi() * duration_s / abs(turned) END', 'period_s')}, {_R3('log10(radius)', 'log_radius')} FROM g8", VIEW, _enu("v"), _GEO))
+def b15_geometry(spark, d):
+    """Positions in whole millimetres; radii, which are huge for nearly straight runs, as logarithms."""
+    rows = resample.with_enu(view(spark, d)).withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("east_m", "north_m")})
+    found = geometry.run_geometry(_kinds(spark, d, rows), "kind", alt="gnss_alt")
+    three = {c: F.round(c, 3) for c in ("path_m", "net_m", "tortuosity", "turned_rad", "period_s")}
+    return found.withColumns(three | {"log_radius": F.round(F.log10("radius_m"), 3)}).drop("radius_m", "circle_rms_m")
+
+
+_HS = [round(0.1 * i, 1) for i in range(1, 16)]
+_COLLAPSE = f"""cc AS (SELECT CAST(minute AS DOUBLE) AS t, floor(north_m / 100 + 0.5) AS i, count(*) AS n FROM pt WHERE minute > 0 GROUP BY ALL),
+c1 AS (SELECT *, i * 100.0::DOUBLE / pow(t, h) AS u, n / sum(n) OVER (PARTITION BY h, t) AS share FROM cc, (SELECT unnest({_HS}::DOUBLE[]) AS h)),
+c2 AS (SELECT h, sqrt(sum(share * u * u) / count(DISTINCT t)) AS rms, count(DISTINCT t) AS times FROM c1 GROUP BY h),
+c3 AS (SELECT h, times, t, floor(u / rms / 0.25 + 0.5) AS bin, sum(share) AS p FROM c1 JOIN c2 USING (h) WHERE abs(u / rms) < 3 GROUP BY ALL),
+c4 AS (SELECT h, times, bin, sum(p) AS s1, sum(p * p) AS s2 FROM c3 GROUP BY ALL),
+c5 AS (SELECT h, times, sum(s2 / times - pow(s1 / times, 2)) / sum(pow(s1 / times, 2)) AS spread FROM c4 GROUP BY ALL)"""
+
+
+@register("b4_collapse", query(f"SELECT h, times, {r('spread')}, row_number() OVER (ORDER BY round(spread, 12), h) = 1 AS best FROM c5", *_PT, _COLLAPSE))
+def b4_collapse(spark, d):
+    return collapse(_points(spark, d), "minute", "north_m", 100.0, _HS)
+
+
+def copied(spark, d):
+    """The view with some of its flights uploaded again under other numbers: shifted by twenty metres, without every fifth fix, or as they are."""
+    v = view(spark, d)
+    way = F.col("flight_id") % 25
+    again = v.where(way.isin(0, 7, 13)).where((way != 7) | (F.col("fix_no") % 5 != 2))
+    again = again.withColumn("lat", F.col("lat") + F.when(way == 0, 1.8e-4).otherwise(0.0)).withColumn("flight_id", F.col("flight_id") + 1_000_000)
+    return v.unionByName(again)
+
+
+@register("b19_near_tracks")
+def b19_near_tracks(spark, d):
+    """Pairs of classes of near tracks, and each class's size."""
+    pairs, members = near_tracks(copied(spark, d), metres=150.0, step_s=10.0)
+    sizes = members.select("class", "size").distinct()
+    both = pairs.join(sizes.select(F.col("class").alias("class_a"), F.col("size").alias("size_a")), "class_a").join(sizes.select(F.col("class").alias("class_b"), F.col("size").alias("size_b")), "class_b")
+    return both.select(F.col("class_a.source").alias("source_a"), F.col("class_a.flight_id").alias("flight_a"), "size_a", F.col("class_b.source").alias("source_b"), F.col("class_b.flight_id").alias("flight_b"), "size_b", F.round("frechet_m", 1).alias("frechet_m"))
+
+
 @register("j12_suspect_overlap", query("SELECT a.source, a.flight_id, a.t0, a.t1, b.t0 AS s0, b.t1 AS s1 FROM (SELECT source, flight_id, min(CASE WHEN mv AND t1 - t0 >= 60 THEN t0 END) AS t0, max(CASE WHEN mv AND t1 - t0 >= 60 THEN t1 END) AS t1 FROM (SELECT source, flight_id, rm, bool_and(moving) AS mv, min(tb) AS t0, max(t) AS t1 FROM q3 GROUP BY ALL) GROUP BY source, flight_id) a JOIN (SELECT source, flight_id, rs, min(tb) AS t0, max(t) AS t1, max(baro_alt) - min(baro_alt) AS ar FROM q3 WHERE slow GROUP BY ALL) b ON a.source = b.source AND a.flight_id = b.flight_id AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE b.ar <= 3000", VIEW, STEPS, _RUNS))
 def j12(spark, d):
     airborne = clean.trim_window(view(spark, d), LIMITS).where("reason IS NULL").select("source", "flight_id", F.col("t_on").alias("t0"), F.col("t_off").alias("t1"))
