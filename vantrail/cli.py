@@ -31,12 +31,28 @@ def build_catalog(spark: SparkSession, archive: Archive, years: list[int]):
     return catalogs.build_catalog(flights, listed, archive.path("raw/tracks"))
 
 
+def checked_files(spark: SparkSession, archive: Archive):
+    """(path, season, kind, category) of every file below the track folder; a null category is a sound track. A file that is listed but can't be
+    read, for its permissions, its checksum or because it is gone, is ``unreadable``, and the others are checked all the same."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    parts = F.split("path", "/")
+    listed = files.load(archive.path("raw/tracks")).select("path", F.element_at(parts, -2).alias("season"), records.entry_kind(F.element_at(parts, -1)).alias("kind"))  # reads no content
+    checked = files.load(archive.path("raw/tracks")).select(F.col("path").alias("read"), records.file_problem(records.file_lines(F.col("content")), F.octet_length("content")).alias("problem"))
+    known = listed.join(checked, F.col("path") == F.col("read"), "left")
+    category = F.when(F.col("kind") != "check", F.col("kind")).when(F.col("read").isNull(), "unreadable").otherwise(F.col("problem"))
+    return known.select("path", "season", "kind", category.alias("category"))
+
+
 def verify(spark: SparkSession, archive: Archive):
     """(path, category) of every file below the track folder that is a problem."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(archive.path("raw/tracks"))
-    kind = records.entry_kind(F.element_at(F.split("path", "/"), -1))
-    category = F.when(kind == "check", records.file_problem(records.file_lines(F.col("content")), F.col("length"))).otherwise(kind)
-    return files.select("path", category.alias("category")).where(F.col("category").isNotNull())
+    return checked_files(spark, archive).select("path", "category").where(F.col("category").isNotNull())
+
+
+def verify_report(files):
+    """(season, n_igc, problems, failures) of checked files, and a row of all with a null season."""
+    failure = F.coalesce(records.is_integrity_failure(F.col("category")), F.lit(False))
+    count = lambda mask: F.count(F.when(mask, 1))
+    return files.rollup("season").agg(count(F.col("kind") == "check").alias("n_igc"), count(F.col("category").isNotNull()).alias("problems"), count(failure).alias("failures"))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,8 +73,10 @@ def main(argv: list[str] | None = None) -> int:
     archived = sources.archived_years(archive.path("raw/xml"))
     years = archived if args.seasons == "all" else naming.parse_seasons(args.seasons, archive.first_season, archive.last_season)
     if args.command == "verify":
-        problems = verify(spark, archive).cache()
-        sources.write_csv(problems, archive.path("logs", "problems"))
+        files = checked_files(spark, archive).cache()
+        problems = files.where(F.col("category").isNotNull())
+        sources.write_failures(problems.select("season", "category", "path"), archive.path("logs", "problems"))
+        verify_report(files).orderBy(F.col("season").asc_nulls_last()).show(200, truncate=False)
         catalogs.problem_counts(problems).show(truncate=False)
         return int(not problems.where(records.is_integrity_failure(F.col("category"))).isEmpty())
     if args.command == "census":

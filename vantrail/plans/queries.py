@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from vantrail.functions import naming, records, stats
 from vantrail.operators import catalog, census, clean, observables
 from vantrail.operators.ranks import exact_quantiles
 from vantrail.plans.sql import STATS, STEPS, VIEW, query, r
+from vantrail.session import shared_dir
+from vantrail.sources import catalog as sources
 from vantrail.sources import tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,6 +519,16 @@ def a3(spark, d):
     return catalog.problem_counts(table(spark, d, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("category")))
 
 
+@register("s10_season_index", query("SELECT season_year, season_year || '-' || (season_year + 1) AS season, 'https://host.invalid/list/' || season_year || '-' || (season_year + 1) AS list_url, 'https://host.invalid/list/' || season_year || '-' || (season_year + 1) || '/xml' AS xml_url, count(*) AS n_flights, CAST(sum(CASE WHEN igc_link <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_with_igc, CAST(sum(CASE WHEN downloaded THEN 1 ELSE 0 END) AS BIGINT) AS n_downloaded FROM c GROUP BY season_year", _CAT))
+def s10(spark, d):
+    """The season index written as CSV and read back by its own reader."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index = catalog.season_index(_catalog(spark, d))
+    url = lambda suffix: naming.season_url("https://host.invalid/list", F.col("season_year"), suffix)
+    sources.write_csv(index.select("season_year", "season", url("").alias("list_url"), url("/xml").alias("xml_url"), "n_flights", "n_with_igc", "n_downloaded"), path)
+    return sources.read_season_index(spark, path)
+
+
 _INDEX = "i AS (SELECT CASE WHEN season_year % 2 = 0 THEN 'even' ELSE 'odd' END AS discipline, season_year, count(*) AS n_flights, sum(CASE WHEN igc_link <> '' THEN 1 ELSE 0 END) AS n_with_igc, sum(CASE WHEN igc_link <> '' AND downloaded THEN 1 ELSE 0 END) AS n_downloaded FROM c GROUP BY ALL)"
 _PCTS = "CAST(sum(n_flights) AS BIGINT) AS n_flights, CAST(sum(n_with_igc) AS BIGINT) AS n_with_igc, CAST(sum(n_downloaded) AS BIGINT) AS n_downloaded"
 

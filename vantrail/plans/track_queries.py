@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vantrail.operators import catalog as catalogs
-from vantrail.operators import census, clean, durations, geometry, lags, observables, phases, resample, spectral
+from vantrail.operators import census, clean, clusters, durations, geometry, lags, observables, phases, resample, spectral
 from vantrail.operators.collapse import collapse
 from vantrail.operators.duplicates import near_tracks
 from vantrail.plans import store
@@ -453,6 +453,26 @@ def b13_geography(spark, d):
     return points.groupBy("cell_lat", "cell_lon").agg(F.count_distinct("source", "flight_id").alias("flights"), F.count("*").alias("n"), F.round(F.avg(r2), 1).alias("msd"))
 
 
+_PLACES = """p0 AS (SELECT source, flight_id, 0 AS seconds, arg_min(lat, (t, fix_no)) AS lat, arg_min(lon, (t, fix_no)) AS lon FROM v WHERE t >= 0 GROUP BY source, flight_id),
+p1 AS (SELECT source, flight_id, 1800 AS seconds, arg_min(lat, (t, fix_no)) AS lat, arg_min(lon, (t, fix_no)) AS lon FROM v WHERE t >= 1800 GROUP BY source, flight_id),
+pl AS (SELECT *, (CAST(floor(lon / 0.005::DOUBLE) AS BIGINT) + 8388608) * 16777216 + CAST(floor(lat / 0.005::DOUBLE) AS BIGINT) + 8388608 AS cell FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1)),
+dn AS (SELECT seconds, cell FROM pl GROUP BY ALL HAVING count(*) >= 2),
+eg AS (SELECT a.seconds, a.cell AS a, b.cell AS b FROM dn a JOIN dn b ON a.seconds = b.seconds AND abs(a.cell // 16777216 - b.cell // 16777216) <= 1 AND abs(a.cell % 16777216 - b.cell % 16777216) <= 1),
+rc AS (SELECT seconds, a, b FROM eg UNION SELECT rc.seconds, rc.a, eg.b FROM rc JOIN eg ON rc.seconds = eg.seconds AND rc.b = eg.a),
+lb AS (SELECT seconds, a AS cell, min(b) AS cluster FROM rc GROUP BY seconds, a)"""
+
+
+@register("b13_clusters", query(f"SELECT seconds, coalesce(cluster, -1) AS cluster, count(*) AS flights, {r('avg(lat)', 'lat')}, {r('avg(lon)', 'lon')} FROM pl LEFT JOIN lb USING (seconds, cell) GROUP BY ALL", VIEW, _PLACES).replace("WITH ", "WITH RECURSIVE ", 1))
+def b13_clusters(spark, d):
+    """Clusters of take-offs and of the places after 1,800 seconds, over cells of half a hundredth of a degree; -1 is all that is in none."""
+
+    def at(seconds):
+        places = clusters.dense_clusters(clusters.places_at(view(spark, d), seconds), "lon", "lat", 0.005, 2)
+        return clusters.cluster_table(places).select(F.lit(seconds).alias("seconds"), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "flights", "lat", "lon")
+
+    return at(0).unionByName(at(1800))
+
+
 @register("b4_propagator", query(f"SELECT minute, bin, n, {r('n / (sum(n) OVER (PARTITION BY minute) * 500.0)', 'density')} FROM (SELECT minute, CAST(floor(north_m / 500 + 0.5) AS BIGINT) AS bin, count(*) AS n FROM pt GROUP BY 1, 2)", *_PT))
 def b4(spark, d):
     return observables.propagator(_points(spark, d), "minute", "north_m", 500.0)
