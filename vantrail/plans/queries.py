@@ -299,9 +299,10 @@ def r6(spark, d):
     return census.speed_by_rate(tracks.with_steps(view(spark, d)), statistics(spark, d))
 
 
-@register("j6_known_else_scan", query("SELECT source, CASE source WHEN 'paragliders' THEN 5 ELSE n_absent END AS n_absent, CASE source WHEN 'paragliders' THEN 9 ELSE n END AS n FROM (SELECT source, CAST(sum(CASE WHEN baro_present_frac < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_absent, count(*) AS n FROM st GROUP BY source)", VIEW, STEPS, STATS))
+@register("j6_known_else_scan", query("SELECT source, CAST(sum(CASE WHEN f < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_absent, count(*) AS n FROM (SELECT source, flight_id, avg(CASE WHEN baro_alt <> 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS f FROM v WHERE source = 'paragliders' AND fix_no <= 20 GROUP BY ALL HAVING count(*) >= 3) GROUP BY source UNION ALL SELECT source, CAST(sum(CASE WHEN baro_present_frac < 0.5 THEN 1 ELSE 0 END) AS BIGINT), count(*) FROM st WHERE source <> 'paragliders' GROUP BY source", VIEW, STEPS, STATS))
 def j6(spark, d):
-    known = spark.createDataFrame([("paragliders", 5, 9)], "source string, n_absent long, n long")
+    """One discipline's counts are known from an earlier look at the first twenty fixes; the other's come from the census."""
+    known = census.baro_absent(view(spark, d).where("source = 'paragliders' and fix_no <= 20"))
     return census.absent_or_known(known, census.baro_absent_census(statistics(spark, d)))
 
 
@@ -355,9 +356,16 @@ savgol.tau_c_vertical_gnss_s 5, savgol.window_min 5, trimming.ground_flatness_m
 _MACRO_ROWS = ", ".join("('{}', {}::DOUBLE)".format(*x.strip().rsplit(" ", 1)) for x in _MACROS.split(","))
 
 
-@register("k7_config_macros", f"SELECT * FROM (VALUES {_MACRO_ROWS}) v(name, value)")
+_COUNTS = ("long_enough", "overlong", "short_path", "overlong_min_h", "overlong_max_h", "overlong_max_path_km", "short_path_median_extent_km")
+
+
+@register("k7_config_macros", query(f"SELECT * FROM (VALUES {_MACRO_ROWS}) v(name, value) UNION ALL SELECT 'census.' || source || '.' || measure AS name, value FROM (UNPIVOT (SELECT source, {', '.join(f'{c}::DOUBLE AS {c}' for c in _COUNTS)} FROM fm) ON {', '.join(_COUNTS)} INTO NAME measure VALUE value)", _MIXED, f"fm AS ({_filter_sql('mx', '57600', '2400', '20')})"))
 def k7(spark, d):
-    return spark.createDataFrame(Thresholds().table(), "name string, value double")
+    """The thresholds as named values, and beside them what the flight-level ones leave of a census."""
+    limits = Thresholds()
+    left = census.filtering_measures(mixed_census(spark, d), limits)
+    named = left.select("source", *[F.col(c).cast("double").alias(c) for c in _COUNTS]).unpivot(["source"], list(_COUNTS), "measure", "value")
+    return spark.createDataFrame(limits.table(), "name string, value double").unionByName(named.select(F.concat_ws(".", F.lit("census"), "source", "measure").alias("name"), "value"))
 
 
 # ---------------------------------------------------------------- parsing and files
