@@ -336,6 +336,35 @@ def test_shrinkage(spark):
     assert h["bad"] < h["tiny"] < h["big"] and abs(h["big"] - 0.9) < abs(h["tiny"] - 0.0) and h["tiny"] < share
 
 
+def shrunk(groups, parents):
+    """Shares of groups {name: (good, n)} shrunk to {name: parent share}, by the moments of the groups."""
+    off = {k: g / n - parents[k] for k, (g, n) in groups.items()}
+    noise = {k: parents[k] * (1 - parents[k]) for k in groups}
+    spread = (sum(n * off[k] ** 2 for k, (_, n) in groups.items()) - sum(noise.values())) / max(1.0, sum(n - 1 for _, n in groups.values()))
+    weight = np.mean(list(noise.values())) / spread - 1 if spread > 0 else quality.MOST_WEIGHT
+    weight = min(max(weight, quality.LEAST_WEIGHT), quality.MOST_WEIGHT)
+    return {k: (g + weight * parents[k]) / (n + weight) for k, (g, n) in groups.items()}
+
+
+def test_quality_posterior_brute(spark):
+    """Every row's posterior from its evidence and from counts of all labels by source and language, in plain numbers."""
+    docs = {r.doc_id: r for r in read_table(spark, DATA, "documents").collect()}
+    labels = {r.doc_id: r.quality for r in read_table(spark, DATA, "labels").collect() if r.quality is not None}
+    paths, hosts = defaultdict(lambda: (0.0, 0)), defaultdict(lambda: (0.0, 0))
+    for i, good in labels.items():
+        for counts, key in ((paths, (docs[i].source, docs[i].lang)), (hosts, docs[i].source)):
+            counts[key] = (counts[key][0] + good, counts[key][1] + 1)
+    share = (sum(labels.values()) + 0.5) / (len(labels) + 1)
+    of_host = shrunk(hosts, dict.fromkeys(hosts, share))
+    of_path = shrunk(paths, {k: of_host[k[0]] for k in paths})
+    for r in queries.op2_quality(spark, DATA).collect():
+        d = docs[r.doc_id]
+        site = of_path.get((d.source, d.lang), of_host.get(d.source, share))
+        assert r.path_share == pytest.approx(site, abs=1e-9) and r.host_share == pytest.approx(of_host.get(d.source, share), abs=1e-9)
+        odds = np.exp(r.evidence) * site / (1 - site)
+        assert r.quality == pytest.approx(odds / (1 + odds), abs=1e-9) and r.kept == (r.quality >= 0.5)
+
+
 def test_quality_odd(spark, odd_docs, no_docs, monkeypatch):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, None), (None, 1), (1, 1)], "doc_id long, quality int")
     host = F.col("source")

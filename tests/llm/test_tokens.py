@@ -114,6 +114,39 @@ def test_sum_of_squares_fills_what_can_be_filled():
         packing.sum_of_squares(np.array([11]), 10)
 
 
+def plain_sum_of_squares(lengths, capacity, thrifty):
+    """The rule as written: of all places for a piece the one with the least sum of N(g)^2 over the open gaps g, then an open sequence
+    before a new one, then the tightest gap; the last opened sequence of a gap is filled first."""
+    gaps, where = [], {}
+    square = lambda g: sum(g.count(x) ** 2 for x in set(g) if 0 < x < capacity)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        s, ways = lengths[i], []
+        for g in sorted({x for x in gaps if x >= s}):
+            after = list(gaps)
+            after[max(j for j, x in enumerate(gaps) if x == g)] = g - s
+            ways.append((square(after), 0, g))
+        if not ways or not thrifty:
+            ways.append((square([*gaps, capacity - s]), 1, capacity))
+        _, fresh, g = min(ways)
+        if fresh:
+            gaps.append(capacity)
+        b = len(gaps) - 1 if fresh else max(j for j, x in enumerate(gaps) if x == g)
+        where[i], gaps[b] = g, gaps[b] - s
+    return where, sorted(gaps)
+
+
+def test_placement_is_the_rule_as_written():
+    rng = random.Random(9)
+    for _ in range(60):
+        capacity = rng.choice([10, 16, 25])
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 40))]
+        for thrifty in (False, True):
+            want, left = plain_sum_of_squares(lengths, capacity, thrifty)
+            where, offset, made = packing._place(np.array(lengths), capacity, thrifty)
+            assert {i: capacity - int(o) for i, o in enumerate(offset)} == want
+            assert sorted(capacity - sum(n for n, w in zip(lengths, where, strict=True) if w == b) for b in range(made)) == left
+
+
 def test_packed_groups_and_real_sequences(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     placed = packing.pack_documents(df, WORD, 512, group_size=50).cache()

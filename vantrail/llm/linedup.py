@@ -16,7 +16,8 @@ frequent letters, which t edits change by twice as much at most, come before eve
 ends and are verified by bit-parallel edit distance within a band of 2 threshold + 1 diagonals: one word of vertical
 differences slides along the diagonal, a few word operations a character.
 
-Scale: copies of a line are one entry before any join; the joins move 64-bit segment and line hashes, no text; texts are
+Scale: copies of a line meet in partial sums where they lie, and up to ``MARKS`` shared keys are broadcast to them, so they are
+one entry before anything is shuffled; beyond that many keys copies are shuffled to them once. The joins move 64-bit segment and line hashes, no text; texts are
 read again only of documents that hold the first copy of a line in question. Everything is DataFrame functions.
 """
 
