@@ -49,6 +49,36 @@ def test_tables_start_anew(texts, monkeypatch):
     assert [counter.count(t) for t in texts[:400]] == [len(x) for x in library(BYTE, texts[:400])]
 
 
+def test_state_maps_compose_anywhere(texts):
+    """Texts cut at any characters, inside words, runs of white space and contractions: the scan of the chunks' maps, however grouped, counts as the
+    library does; walks from a state go on where they stopped."""
+    counter, rng = transducer.token_counter(BYTE), random.Random(7)
+    odd = ["it's we're they'll I'd 'tis ''ve 'r 'v'l 'lla", "a  b   c\n\n d\t\te \n", "'" * 9 + "s", " '", "x'", "x'r", "x'll", "  ", "\n ", "中文'll 中 文１２ ½", "don't\u3000stop  'em", "a" * 50 + "'re" * 3]
+    pool = [t for t in odd + texts if "<|endoftext|>" not in t and len(t) < 3000]
+    want = library(BYTE, pool)
+    for text, ids in zip(pool, want, strict=True):
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(len(text) + 1), min(len(text), rng.randrange(0, 9))))
+            maps = [counter.map(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            assert counter.close(transducer.prefix_scan(maps, counter.compose)[-1]) == len(ids)
+            while len(maps) > 1:
+                i = rng.randrange(len(maps) - 1)
+                maps[i : i + 2] = [counter.compose(maps[i], maps[i + 1])]
+            assert counter.close(maps[0]) == len(ids)
+        state, total = counter.initial, 0
+        for c in text:
+            state, n = counter.walk(state, c)
+            total += n
+        assert total + counter.finish(state) == len(ids)
+
+
+def test_small_chunks_of_whole_texts(texts, monkeypatch):
+    monkeypatch.setattr(transducer, "CHUNK", 11)
+    monkeypatch.setattr(transducer, "SHORT", 0)
+    counter = transducer.token_counter(BYTE)
+    assert [counter.count(t) for t in texts[:700]] == [len(x) for x in library(BYTE, texts[:700])]
+
+
 def test_prefix_scan_is_all_prefixes():
     for n in range(20):
         assert transducer.prefix_scan([str(i) for i in range(n)], lambda a, b: a + b) == ["".join(map(str, range(i + 1))) for i in range(n)]

@@ -8,11 +8,16 @@ behind. These windows are the states, finite in number since tokens are of bound
 to the next window and is annotated with the change in the number of emitted tokens. States and transitions are compiled
 when first met and kept in a table of bounded size, dropped and built anew beyond it.
 
-State maps. A text is cut into chunks. Wherever white space follows other text, every pre-token ends whatever came
-before, so there the state is the initial one. A chunk's map therefore is (head, count, tail): the text before its first
-such place, the tokens between its first and last, and the text after. Maps compose associatively (the tail of one and
-the head of the next are counted together), so the maps of a text's chunks are combined by a parallel prefix scan; a
-chunk without such a place is a map of one open part. The count of a text is its last prefix closed on both sides.
+Splitter. Which bytes form a pre-token is decided by a second automaton over characters, whose state is the class of the run it
+is in, white space of which the last character still waits for what follows, or an apostrophe that may begin a contraction.
+Together with the window of the unfinished pre-token this is the state of the tokenizer between any two characters.
+
+State maps. A text is cut into chunks anywhere. A chunk's map takes the state before it to the state after it and the tokens
+it emits. Wherever white space follows other text, every state goes to the initial one, so a map is its behaviour up to the
+first such place, which is the walk of the characters there from any state, then a count, and the state at its end, which no
+longer depends on what came before. Maps compose: the state at the end of one walks the beginning of the next. So the maps
+of a text's chunks are combined by a parallel prefix scan that begins with the initial state, in which a beginning is walked once a
+level at most; the count of a text is its last prefix, closed. Between the places where the state is known equal pre-tokens are counted once and looked up.
 """
 
 from __future__ import annotations
@@ -34,14 +39,17 @@ from vantrail.llm.tokens import Vocabulary, vocabulary
 
 #: Transitions and counted pre-tokens after which a worker's tables start anew.
 TRANSITIONS, WORDS = 1_500_000, 600_000
-#: Characters of a chunk.
-CHUNK = 1 << 14
+#: Characters of a chunk, and of a text that is one run of pre-tokens and needs no map.
+CHUNK, SHORT = 1 << 14, 512
 _WS = r"\t-\r\x20\x85\xa0  -     　"
 _SYNC = re.compile(rf"(?<=[^{_WS}])[{_WS}]")
 _BIAS = 128
 
 
 class CountTransducer:
+    #: The window in which every pre-token begins.
+    START = (b"", ((0, -1, 0),))
+
     def __init__(self, vocab: Vocabulary):
         self.bpe = RankArrayBPE(vocab)
         raw = {i: b for i, b in token_bytes(vocab.path).items() if i not in vocab.special.values()}
@@ -55,8 +63,7 @@ class CountTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = (b"", ((0, -1, 0),))
-        self.states, self.number, self.step = [start], {start: 0}, {}
+        self.states, self.number, self.step = [self.START], {self.START: 0}, {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the two tokens' bytes encode to just these two."""
@@ -112,31 +119,62 @@ class CountTransducer:
 
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token: the sum of the annotations on its path."""
+        return self._run(0, word)[1]
+
+    def feed(self, window: tuple, text: str) -> tuple[tuple, int]:
+        """The window after some characters of a pre-token, and the sum of the annotations on the way."""
+        number = self.number.get(window)
+        if number is None:
+            number = self.number[window] = len(self.states)
+            self.states.append(window)
+        state, total = self._run(number, text.encode())
+        return self.states[state], total
+
+    def _run(self, state: int, word: bytes) -> tuple[int, int]:
         if len(self.step) > TRANSITIONS:
+            window = self.states[state]
             self._reset()
-        step, state, total = self.step.get, 0, 0
+            state = self.number.setdefault(window, len(self.states))
+            if state:
+                self.states.append(window)
+        step, total = self.step.get, 0
         for byte in word:
             value = step(state << 8 | byte)
             if value is None:
                 value = self._compile(state, byte)
             state = value >> 8
             total += (value & 255) - _BIAS
-        return total
+        return state, total
+
+
+class State(NamedTuple):
+    """Of the tokenizer between two characters: the splitter's mode, the window of the unfinished pre-token, and what waits."""
+
+    mode: str
+    window: tuple
+    waits: str
+
+
+#: Modes: nothing begun; a run of letters, numbers or other characters; white space; an apostrophe, alone or with the letter after it.
+NONE, LETTER, NUMBER, OTHER, SPACE, MARK = "", "L", "N", "O", "S", "'"
+#: The letters that end a contraction at once, and those that need a second one.
+_ONE, _TWO = "stmd", {"r": "e", "v": "e", "l": "l"}
 
 
 class StateMap(NamedTuple):
-    """What a chunk does to the count: ``open`` if it holds no place where the state is known, then only ``head`` is text."""
+    """What a chunk does to a state: walk ``head``; then, unless the whole chunk is head, ``count`` tokens lead to the state ``end``."""
 
-    open: bool
     head: str
     count: int
-    tail: str
+    end: State | None
 
 
 class TokenCounter:
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.transducer = vocab, CountTransducer(vocab)
         self.words: dict[str, int] = {}
+        self.classes: dict[str, str] = {}
+        self.initial = State(NONE, CountTransducer.START, "")
 
     def tokens(self, text: str) -> int:
         """Of a text that begins and ends where the state is the initial one."""
@@ -160,12 +198,77 @@ class TokenCounter:
                 total += sum(map(words.__getitem__, found))
         return total
 
+    def kind(self, c: str) -> str:
+        """The class of a character, as the split puts it together with others."""
+        found = self.classes.get(c)
+        if found is None:
+            alone = lambda before: len(self.vocab.split(before + c)) == 1
+            found = self.classes[c] = LETTER if alone("a") else NUMBER if alone("1") else OTHER if alone("!") else SPACE
+        return found
+
+    def walk(self, state: State, text: str) -> tuple[State, int]:
+        """The state after a text without special strings, and the tokens emitted on the way."""
+        mode, window, waits = state
+        start, feed, total = CountTransducer.START, self.transducer.feed, 0
+
+        def token(word: str) -> int:
+            return self.transducer.count(word.encode())
+
+        for c in text:
+            if mode == MARK:
+                if not waits:
+                    if c in _ONE:
+                        mode, total = NONE, total + token(MARK + c)
+                        continue
+                    if c in _TWO:
+                        waits = c
+                        continue
+                    mode, (window, n) = OTHER, feed(start, MARK)
+                elif c == _TWO[waits]:
+                    mode, waits, total = NONE, "", total + token(MARK + waits + c)
+                    continue
+                else:
+                    total += token(MARK)
+                    mode, (window, n), waits = LETTER, feed(start, waits), ""
+                total += n
+            kind = self.kind(c)
+            if mode == SPACE:
+                if kind == SPACE:
+                    window, n = feed(window, waits)
+                    waits, total = c, total + n
+                    continue
+                if waits == " ":
+                    window, n = feed(start, " ")
+                    mode, waits, total = kind, "", total + n
+                else:
+                    mode, total, waits = NONE, total + token(waits), ""
+            if mode != kind:
+                window = start
+                if c == MARK:
+                    mode = MARK
+                    continue
+                mode = kind
+                if kind == SPACE:
+                    waits = c
+                    continue
+            window, n = feed(window, c)
+            total += n
+        return State(mode, window, waits), total
+
+    def finish(self, state: State) -> int:
+        """Tokens that a state still emits where the text, or all that a pre-token can hold, ends."""
+        if state.mode == MARK:
+            return self.transducer.count(MARK.encode()) + (self.transducer.count(state.waits.encode()) if state.waits else 0)
+        return self.transducer.feed(state.window, state.waits)[1] if state.mode == SPACE else 0
+
     def map(self, chunk: str) -> StateMap:
         first = _SYNC.search(chunk)
         if first is None:
-            return StateMap(True, chunk, 0, "")
+            return StateMap(chunk, 0, None)
         a = first.start()
-        return StateMap(False, chunk[:a], self.tokens(chunk[a : (b := self._last(chunk, a))]), chunk[b:])
+        b = self._last(chunk, a)
+        end, more = self.walk(self.initial, chunk[b:])
+        return StateMap(chunk[:a], self.tokens(chunk[a:b]) + more, end)
 
     @staticmethod
     def _last(chunk: str, first: int) -> int:
@@ -178,22 +281,31 @@ class TokenCounter:
         return at
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        if a.open and b.open:
-            return StateMap(True, a.head + b.head, 0, "")
-        if a.open:
-            return StateMap(False, a.head + b.head, b.count, b.tail)
-        if b.open:
-            return StateMap(False, a.head, a.count, a.tail + b.head)
-        return StateMap(False, a.head, a.count + self.tokens(a.tail + b.head) + b.count, b.tail)
+        """First a, then b."""
+        if a.end is None:
+            return StateMap(a.head + b.head, b.count, b.end)
+        state, walked = self.walk(a.end, b.head)
+        if b.end is None:
+            return StateMap(a.head, a.count + walked, state)
+        return StateMap(a.head, a.count + walked + self.finish(state) + b.count, b.end)
 
     def close(self, m: StateMap) -> int:
-        return self.tokens(m.head) + m.count + self.tokens(m.tail)
+        """Tokens of a text whose map this is."""
+        whole = self.compose(StateMap("", 0, self.initial), m)
+        return whole.count + self.finish(whole.end)
 
     def count(self, text: str) -> int:
-        if len(text) <= CHUNK:
-            return self.close(self.map(text)) if len(text) > 512 else self.tokens(text)
-        maps = [self.map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        return self.close(prefix_scan(maps, self.compose)[-1])
+        if len(text) <= SHORT:
+            return self.tokens(text)
+        total = 0
+        for part in self.vocab.segments(text):
+            if part in self.vocab.special:
+                total += 1
+            else:
+                maps = [self.map(part[i : i + CHUNK]) for i in range(0, len(part), CHUNK)]
+                last = prefix_scan([StateMap("", 0, self.initial), *maps], self.compose)[-1]  # from the initial state, so no prefix is open
+                total += last.count + self.finish(last.end)
+        return total
 
 
 def prefix_scan(items: list, compose: Callable) -> list:
