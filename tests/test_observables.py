@@ -331,3 +331,17 @@ def test_near_tracks_of_nothing(spark):
 
     pairs, members = near_tracks(view(spark, "/root/testdata/sf0.001").where("false"))
     assert pairs.count() == 0 and members.count() == 0
+
+
+def test_glides_and_the_waits_after_them(spark):
+    from vantrail.operators.geometry import anatomy, coupling, glide_wait_pairs
+
+    runs = [(1, "wait", 5.0, 1.0, 2.0, True), (2, "glide", 10.0, 100.0, 110.0, False), (3, "wait", 4.0, 2.0, 6.0, False), (4, "climb", 6.0, 3.0, 30.0, False), (5, "glide", 20.0, 300.0, 310.0, False), (6, "wait", 1.0, 0.0, 0.0, False), (7, "glide", 0.0, 0.0, 0.0, False), (8, "climb", 7.0, 1.0, 9.0, True)]
+    df = spark.createDataFrame([("p", 1, *r) for r in runs] + [("p", 2, 1, "glide", 9.0, 9.0, 9.0, True)], "source string, flight_id long, run long, phase string, duration_s double, net_m double, path_m double, censored boolean")
+    pairs = glide_wait_pairs(df, "glide")
+    assert sorted((r.flight_id, r.run, r.length_m, r.glide_s, r.wait_s) for r in pairs.collect()) == [(1, 2, 100.0, 10.0, 10.0), (1, 5, 300.0, 20.0, 1.0)]  # the last glide's wait is cut off
+    c = coupling(pairs).first()
+    assert (c.n, c.speed_mps, c.speed_spread) == (2, 12.5, 2.5) and c.length_wait == pytest.approx(-1) and c.length_time == pytest.approx(1)
+    own = {(r.flight_id, r.phase): r for r in anatomy(df).collect()}
+    assert own[1, "glide"].n == 3 and own[1, "glide"].time_share == pytest.approx(30 / 53) and own[1, "climb"].way_share == pytest.approx(39 / 467)
+    assert own[2, "glide"].time_share == 1.0 and coupling(pairs.where("false")).first().n == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vantrail import cli
 from vantrail.config import Archive, Thresholds
-from vantrail.operators import clusters, resample
+from vantrail.operators import catalog, clusters, resample
 from vantrail.streaming import assembly, ingest
 
 
@@ -160,9 +160,19 @@ def test_commands(spark, archive, capsys):
     assert spark.read.csv(root.path("catalog", "seasons"), header=True).first().n_downloaded == "2"
     assert cli.main(["--config", config, "status", "--seasons", "2011"]) == 0
     assert "n_missing" in capsys.readouterr().out
+    assert cli.main(["--config", config, "plan", "--limit", "2"]) == 0
+    assert "n_to_download" in capsys.readouterr().out
     (spark.sparkContext._jvm.java.io.File(f"{root.path('raw/tracks')}/2011-2012/2012-05-01_17.igc")).delete()
     assert cli.main(["--config", config, "census"]) == 0
     census = spark.read.parquet(root.path("derived", "census")).collect()
     assert [(r.source, r.flight_id, r.n_fix) for r in census] == [("data", "12", 5)]
     with pytest.raises(FileNotFoundError):
         cli.check_root(Archive("/nowhere/at/all", 2011, 2012))
+
+
+def test_download_plan(spark):
+    rows = [(2011, i, f"https://host.invalid/{i}.igc" if i % 4 else "", i % 3 == 0) for i in range(1, 13)] + [(2012, 20, "x", None), (2012, 21, None, True)]
+    table = spark.createDataFrame(rows, "season_year int, flight_id long, igc_link string, downloaded boolean")
+    plan = lambda limit: {r.season_year: (r.n_to_download, r.n_skipped) for r in catalog.download_plan(table, limit).collect()}
+    assert plan(None) == {2011: (6, 3), 2012: (1, 0), None: (7, 3)}
+    assert plan(4) == {2011: (3, 1), 2012: (1, 0), None: (4, 1)}

@@ -1,4 +1,4 @@
-"""Command line over landed archives: build-catalog, status, verify, census."""
+"""Command line over landed archives: build-catalog, status, plan (what a download would fetch), verify, census."""
 
 from __future__ import annotations
 
@@ -59,9 +59,11 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vantrail", description=__doc__)
     p.add_argument("--config", required=True)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("build-catalog", "status", "verify", "census"):
+    for name in ("build-catalog", "status", "plan", "verify", "census"):
         s = sub.add_parser(name)
         s.add_argument("--seasons", default="all")
+        if name == "plan":
+            s.add_argument("--limit", type=int, help="flights with a track of each season, the first by id")
     return p
 
 
@@ -87,6 +89,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "status":
         catalogs.status(table, F.col("igc_link") != "", F.col("downloaded")).orderBy(F.col("season_year").asc_nulls_last()).show(200, truncate=False)
         return 0
+    if args.command == "plan":
+        catalogs.download_plan(table, args.limit).orderBy(F.col("season_year").asc_nulls_last()).show(200, truncate=False)
+        return 0
     sources.write_csv(table, archive.path("catalog", "flights"))
     sources.write_csv(catalogs.season_index(table), archive.path("catalog", "seasons"))
     return 0

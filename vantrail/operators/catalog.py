@@ -54,6 +54,15 @@ def first_of_each(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__rank") <= n).drop("__rank")
 
 
+def download_plan(catalog: DataFrame, limit: int | None = None, order: str = "flight_id", year: str = "season_year") -> DataFrame:
+    """(season, n_to_download, n_skipped) of the flights with a track, of the first ``limit`` of each season where that is given: those that have not landed
+    and those that have. A row with a null season is the total."""
+    linked = catalog.where(F.coalesce(F.col("igc_link"), F.lit("")) != "")
+    chosen = linked if limit is None else first_of_each(linked, year, order, limit)
+    here = F.coalesce(F.col("downloaded"), F.lit(False))
+    return chosen.rollup(year).agg(F.count(F.when(~here, 1)).alias("n_to_download"), F.count(F.when(here, 1)).alias("n_skipped"))
+
+
 def shared_ids(a: DataFrame, b: DataFrame, key: str = "flight_id") -> DataFrame:
     """Ids that occur in both sources."""
     return a.select(key).intersect(b.select(key))

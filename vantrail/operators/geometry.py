@@ -65,3 +65,32 @@ def run_geometry(rows: DataFrame, phase: str, keys: Sequence[str] = KEYS, order:
         F.when(lasting & (F.abs("turned_rad") >= 2 * pi), 2 * pi * c("duration_s") / F.abs("turned_rad")).alias("period_s"), radius.alias("radius_m"),
         F.sqrt(F.greatest(residual / c("n"), F.lit(0.0)) / (4 * radius * radius)).alias("circle_rms_m"),
     )
+
+
+def glide_wait_pairs(runs: DataFrame, glide: str, keys: Sequence[str] = KEYS, length: str = "net_m") -> DataFrame:
+    """(keys, run, length_m, glide_s, wait_s): each whole glide and the wait after it, the time of all runs up to the next glide. ``runs`` is what
+    ``run_geometry`` gave. A glide or a wait that the flight cuts off gives no pair, and two glides in a row can't be."""
+    w = Window.partitionBy(*keys).orderBy("run")
+    marked = runs.withColumn("is_glide", F.col("phase") == glide)
+    number = F.sum(F.col("is_glide").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    parts = marked.withColumn("part", number).where(F.col("part") > 0)
+    own = lambda c: F.max(F.when(F.col("is_glide"), F.col(c)))
+    waits = F.sum(F.when(~F.col("is_glide"), F.col("duration_s")))
+    found = parts.groupBy(*keys, "part").agg(own("run").alias("run"), own(length).alias("length_m"), own("duration_s").alias("glide_s"), waits.alias("wait_s"), F.max("censored").alias("cut"))
+    return found.where(~F.col("cut") & F.col("wait_s").isNotNull()).select(*keys, "run", "length_m", "glide_s", "wait_s")
+
+
+def coupling(pairs: DataFrame) -> DataFrame:
+    """(n, length_wait, length_time, speed_mps, speed_spread): how glide lengths go with the waits after them and with their own times, and the mean
+    and spread of their speeds. Glides that take no time have no speed."""
+    speed = F.when(F.col("glide_s") > 0, F.col("length_m") / F.col("glide_s"))
+    return pairs.agg(F.count("*").alias("n"), F.corr("length_m", "wait_s").alias("length_wait"), F.corr("length_m", "glide_s").alias("length_time"), F.avg(speed).alias("speed_mps"), F.stddev_pop(speed).alias("speed_spread"))
+
+
+def anatomy(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, phase, n, seconds, metres, time_share, way_share): what each flight is made of. Shares are of the seconds and metres inside runs, null where a
+    flight has none."""
+    found = runs.groupBy(*keys, "phase").agg(F.count("*").alias("n"), F.sum("duration_s").alias("seconds"), F.sum("path_m").alias("metres"))
+    of = Window.partitionBy(*keys)
+    share = lambda c: F.col(c) / F.nullif(F.sum(c).over(of), F.lit(0.0))
+    return found.withColumns({"time_share": share("seconds"), "way_share": share("metres")})

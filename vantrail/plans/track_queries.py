@@ -592,12 +592,31 @@ g8 AS (SELECT *, CASE WHEN n >= 3 AND det > 1e-9 * suu * sww THEN sqrt(pow((suq
 @register("b15_geometry", query(f"SELECT source, flight_id, CAST(run AS BIGINT) AS run, phase, censored, n, duration_s, {r('gain_m')}, {r('CASE WHEN duration_s > 0 THEN gain_m / duration_s END', 'climb_mps')}, {_R3('path_m')}, {_R3('net_m')}, {_R3('CASE WHEN net_m > 0 THEN path_m / net_m END', 'tortuosity')}, {_R3('turned', 'turned_rad')}, {_R3('CASE WHEN duration_s > 0 AND abs(turned) >= 2 * pi() THEN 2 * pi() * duration_s / abs(turned) END', 'period_s')}, {_R3('log10(radius)', 'log_radius')} FROM g8", VIEW, _enu("v"), _GEO))
 def b15_geometry(spark, d):
     """Positions in whole millimetres; radii, which are huge for nearly straight runs, as logarithms."""
-    rows = resample.with_enu(view(spark, d)).withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("east_m", "north_m")})
-    found = geometry.run_geometry(_kinds(spark, d, rows), "kind", alt="gnss_alt")
+    found = _run_rows(spark, d)
     three = {c: F.round(c, 3) for c in ("path_m", "net_m", "tortuosity", "turned_rad", "period_s")}
     return found.withColumns(three | {"log_radius": F.round(F.log10("radius_m"), 3)}).drop("radius_m", "circle_rms_m")
 
 
+def _run_rows(spark, d):
+    rows = resample.with_enu(view(spark, d)).withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("east_m", "north_m")})
+    return geometry.run_geometry(_kinds(spark, d, rows), "kind", alt="gnss_alt")
+
+
+_PAIRS_OF = """gw AS (SELECT * FROM (SELECT *, sum(CASE WHEN phase = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY source, flight_id ORDER BY run) AS part FROM g7) WHERE part > 0),
+gp AS (SELECT source, flight_id, part, max(CASE WHEN phase = 'click' THEN net_m END) AS length_m, max(CASE WHEN phase = 'click' THEN duration_s END) AS glide_s, sum(CASE WHEN phase <> 'click' THEN duration_s END) AS wait_s, bool_or(censored) AS cut FROM gw GROUP BY ALL)"""
+
+
+@register("b16_glide_wait", query(f"SELECT count(*) AS n, {r('corr(length_m, wait_s)', 'length_wait')}, {r('corr(length_m, glide_s)', 'length_time')}, {_R3('avg(v)', 'speed_mps')}, {_R3('stddev_pop(v)', 'speed_spread')} FROM (SELECT *, CASE WHEN glide_s > 0 THEN length_m / glide_s END AS v FROM gp WHERE NOT cut AND wait_s IS NOT NULL)", VIEW, _enu("v"), _GEO, _PAIRS_OF))
+def b16_glide_wait(spark, d):
+    found = geometry.coupling(geometry.glide_wait_pairs(_run_rows(spark, d), "click"))
+    return found.withColumns({c: F.round(c, 3) for c in ("speed_mps", "speed_spread")})
+
+
+@register("b15_anatomy", query(f"SELECT source, flight_id, phase, n, {r('seconds')}, {_R3('metres')}, {r('seconds / nullif(sum(seconds) OVER z, 0)', 'time_share')}, {r('metres / nullif(sum(metres) OVER z, 0)', 'way_share')} FROM (SELECT source, flight_id, phase, count(*) AS n, sum(duration_s) AS seconds, sum(path_m) AS metres FROM g7 GROUP BY ALL) WINDOW z AS (PARTITION BY source, flight_id)", VIEW, _enu("v"), _GEO))
+def b15_anatomy(spark, d):
+    return geometry.anatomy(_run_rows(spark, d)).withColumn("metres", F.round("metres", 3))
+
+
 _HS = [round(0.1 * i, 1) for i in range(1, 16)]
 _COLLAPSE = f"""cc AS (SELECT CAST(minute AS DOUBLE) AS t, floor(north_m / 100 + 0.5) AS i, count(*) AS n FROM pt WHERE minute > 0 GROUP BY ALL),
 c1 AS (SELECT *, i * 100.0::DOUBLE / pow(t, h) AS u, n / sum(n) OVER (PARTITION BY h, t) AS share FROM cc, (SELECT unnest({_HS}::DOUBLE[]) AS h)),
