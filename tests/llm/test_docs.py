@@ -153,6 +153,7 @@ def test_hot_key_slots(spark):
 def test_top_k_brute(spark, monkeypatch):
     monkeypatch.setattr(topk, "PART", 16)
     monkeypatch.setattr(topk, "SMALLEST", 64)
+    monkeypatch.setattr(topk, "TOGETHER", 4)
     rng = np.random.default_rng(9)
     vectors = np.floor(64 * rng.normal(0, 0.2, (300, 8)))
     vectors[100:160] = vectors[0]

@@ -14,7 +14,7 @@ third of all rows costs no more than others.
    until the k-th exact score is above the next bound.
 
 Scale: every approximation is scanned for every query, as exactness asks; ``block`` approximations meet ``asked`` queries in a
-task, and what travels onward is some multiple of k places a query and block. Vectors are compared within one dimension. The edges of the cells are one
+task, so the file is sent once for so many queries, and what travels onward is some multiple of k places a query and block. Vectors are compared within one dimension. The edges of the cells are one
 row of numbers a dimension.
 """
 
@@ -34,6 +34,8 @@ from vantrail.llm.common import checkpointed, workers_import
 STEP = 2
 #: Approximations bounded at once, and the fewest of a block where blocks are made smaller to occupy all cores.
 PART, SMALLEST = 2048, 4096
+#: Queries that a task bounds at once of those that it holds.
+TOGETHER = 4096
 
 
 def finite(vector: str) -> Column:
@@ -87,7 +89,7 @@ def _matrix(column: pa.ChunkedArray, dim: int, kind: type) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "v", key: str = "vec_id", bits: int = 8, block: int = 65_536, asked: int = 4096) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "v", key: str = "vec_id", bits: int = 8, block: int = 65_536, asked: int = 65_536) -> DataFrame:
     """(query_id, rank, key, score): each query row's k largest integer inner products over all rows but its own.
 
     ``vector`` is an array of whole numbers stored as bigint or double, below 2^53. Rows whose vector or key is null take no part. Of a
@@ -134,7 +136,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str =
         ids, places, asking = (x.to_numpy() for x in (own["id"], own["place"], ask["id"]))
         if len(ask) and len(own) and dim:
             cells = np.frombuffer(b"".join(own["cells"].to_pylist()), dtype=np.uint8).reshape(-1, dim)
-            q, at, upper, lower = scan_block(_matrix(ask["v"], dim, np.float64), asking, cells, ids, *edges[dim], k)
+            vectors = _matrix(ask["v"], dim, np.float64)
+            found = [scan_block(vectors[i : i + TOGETHER], asking[i : i + TOGETHER], cells, ids, *edges[dim], k) for i in range(0, len(ask), TOGETHER)]
+            q = np.concatenate([f[0] + i * TOGETHER for i, f in enumerate(found)])
+            at, upper, lower = (np.concatenate([f[j] for f in found]) for j in (1, 2, 3))
         return pa.table({"query_id": pa.array(asking[q], pa.int64()), "place": pa.array(places[at], pa.int64()), "upper": upper, "lower": lower})
 
     passed = side.unionByName(base).groupBy("dim", "qb", "vb").applyInArrow(scan, "query_id long, place long, upper double, lower double")
