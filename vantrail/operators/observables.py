@@ -27,31 +27,6 @@ def msd(points: DataFrame, time: str, east: str = "east_m", north: str = "north_
     return found.withColumn("non_gaussian", F.when(F.col("msd") > 0, F.col("m4") / (2 * F.col("msd") * F.col("msd")) - 1)).drop("m4")
 
 
-def lagged(grid: DataFrame, keys: Sequence[str], lags: Sequence[int], columns: Sequence[str], order: str = "k") -> DataFrame:
-    """Rows (keys, order, lag, columns, columns_later) for each lag on a gapless grid; windows never leave their key."""
-    w = _along(keys, order)
-    wide = grid.withColumns({f"{c}_{k}": F.lead(c, k).over(w) for c in columns for k in lags})
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), *[F.col(f"{c}_{k}").alias(f"{c}_later") for c in columns]) for k in lags])
-    return wide.select(*keys, order, *columns, F.inline(pairs)).where(F.col(f"{columns[0]}_later").isNotNull())
-
-
-def time_averaged_msd(grid: DataFrame, keys: Sequence[str], lags: Sequence[int]) -> DataFrame:
-    """(keys, lag, n, tamsd) of each segment."""
-    pairs = lagged(grid, keys, lags, ["east_m", "north_m"])
-    de, dn = F.col("east_m_later") - F.col("east_m"), F.col("north_m_later") - F.col("north_m")
-    return pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.avg(de * de + dn * dn).alias("tamsd"))
-
-
-def ergodicity_breaking(tamsd: DataFrame) -> DataFrame:
-    """(lag, flights, mean, eb): variance over flights of the time-averaged displacement, by its squared mean."""
-    return tamsd.groupBy("lag").agg(F.count("*").alias("flights"), F.avg("tamsd").alias("mean"), (F.var_pop("tamsd") / (F.avg("tamsd") * F.avg("tamsd"))).alias("eb"))
-
-
-def velocity_autocorrelation(grid: DataFrame, keys: Sequence[str], lags: Sequence[int], vx: str = "vx", vy: str = "vy") -> DataFrame:
-    pairs = lagged(grid, keys, lags, [vx, vy])
-    return pairs.groupBy("lag").agg(F.count("*").alias("n"), F.avg(F.col(vx) * F.col(f"{vx}_later") + F.col(vy) * F.col(f"{vy}_later")).alias("vacf"))
-
-
 def turning_angles(points: DataFrame, keys: Sequence[str] = KEYS, order: str = "fix_no", x: str = "east_m", y: str = "north_m") -> DataFrame:
     """Points with ``turn``, radians between the step that ends and the step that begins here; null next to an end or a standstill."""
     w = _along(keys, order)
