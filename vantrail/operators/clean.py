@@ -165,7 +165,7 @@ def frozen_runs(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     """Fixes with ``frozen``: inside a maximal stretch of small diameter and long span with a witness that the receiver, not the
     aircraft, stood still: a flat barometer between the medians of the stretch's ends, or identical coordinates (without
     a barometer: fixes marked invalid or without altitude, or identical coordinates). Needs alt_source. Only the stretches of fixes
-    that lie in some window of the least span and twice the diameter go through Python, each on its own."""
+    that lie in some window of the least span and twice the diameter, next to a short step, go through Python, each on its own."""
     f = limits.fix_level
     workers_import(fixes.sparkSession)
     w, span = by_flight().orderBy("t"), int(f.frozen_tau_s)
@@ -174,12 +174,16 @@ def frozen_runs(fixes: DataFrame, limits: Thresholds) -> DataFrame:
         extent = great_circle_m(F.min("lat").over(window), F.min("lon").over(window), F.max("lat").over(window), F.max("lon").over(window))
         return extent < 2 * f.frozen_eps_m
 
-    begins = small(w.rangeBetween(0, span)) & (F.max("t").over(by_flight()) - F.col("t") >= f.frozen_tau_s)
-    ends = small(w.rangeBetween(-span, 0)) & (F.col("t") - F.min("t").over(by_flight()) >= f.frozen_tau_s)
-    marked = fixes.withColumns({"begins": begins.cast("int"), "ends": ends.cast("int")})
-    still = (F.max("begins").over(w.rangeBetween(-span, 0)) == 1) | (F.max("ends").over(w.rangeBetween(0, span)) == 1)
+    # a run of some span has more than one fix, so the step that leads on from its first, or to its last, is short
     by_no = by_flight("fix_no")
-    marked = marked.withColumn("still", still).drop("begins", "ends")
+    step = great_circle_m(F.lag("lat").over(by_no), F.lag("lon").over(by_no), F.col("lat"), F.col("lon"))
+    stepped = fixes.withColumn("short", F.coalesce(step < 2 * f.frozen_eps_m, F.lit(False)))
+    leads = F.coalesce(F.lead("short").over(by_no), F.lit(False))
+    begins = leads & small(w.rangeBetween(0, span)) & (F.max("t").over(by_flight()) - F.col("t") >= f.frozen_tau_s)
+    ends = F.col("short") & small(w.rangeBetween(-span, 0)) & (F.col("t") - F.min("t").over(by_flight()) >= f.frozen_tau_s)
+    marked = stepped.withColumns({"begins": begins.cast("int"), "ends": ends.cast("int")})
+    still = (F.max("begins").over(w.rangeBetween(-span, 0)) == 1) | (F.max("ends").over(w.rangeBetween(0, span)) == 1)
+    marked = marked.withColumn("still", still).drop("begins", "ends", "short")
     marked = marked.withColumn("stretch", F.when(F.col("still") == F.lag("still").over(by_no), 0).otherwise(1)).withColumn("stretch", F.sum("stretch").over(by_no.rowsBetween(Window.unboundedPreceding, 0)))
     schema = fixes.withColumn("frozen", F.lit(False)).schema
 

@@ -32,14 +32,14 @@ def clean_tracks(fixes: DataFrame, limits: Thresholds, interpolate: bool = True,
     rule removed or nulled of its airborne fixes. Without ``interpolate`` the fixes of the segments as they are.
 
     A segment has the share of its grid that is interpolated and whether it is cut off at its start and its end by a split, so that a
-    phase there is censored. A flight has its origin, its signal's and its own time and its interval. The cleaned fixes and the
-    placed ones are each written once by ``cut``, since several outputs read them."""
+    phase there is censored. A flight has its origin, its signal's and its own time and its interval. What more than one branch reads,
+    such as the fixes that a rule sends to Python or passes, is written once by ``cut``, or every branch would plan and run all before it."""
     raw = fixes.groupBy(*KEYS).agg(F.count("*").alias("n_raw"))
     fixes = clean.removed(clean.repair_clock(fixes), ~F.col("kept"), "removed_clock").drop("kept")
-    fixes = clean.merge_duplicates(fixes, ("removed_clock",)).drop("n_merged")
+    fixes = cut(clean.merge_duplicates(fixes, ("removed_clock",)).drop("n_merged"))
     fixes = clean.altitude_source(clean.hampel(fixes, limits), limits)
-    fixes = clean.removed(clean.impossible(fixes, limits), F.col("spike"), "removed_spike").drop("spike", "hampel", "resid_m", "mad_m", "n_near", "v_in", "v_out")
-    fixes = clean.removed(clean.remove_blocks(fixes, limits), ~F.col("kept"), "removed_block").drop("kept")
+    fixes = cut(clean.removed(clean.impossible(fixes, limits), F.col("spike"), "removed_spike").drop("spike", "hampel", "resid_m", "mad_m", "n_near", "v_in", "v_out"))
+    fixes = cut(clean.removed(clean.remove_blocks(fixes, limits), ~F.col("kept"), "removed_block").drop("kept"))
     fixes = clean.frozen_runs(fixes, limits)
     after = F.lag("frozen").over(by_flight("fix_no"))
     fixes = fixes.withColumn("split_before", F.col("split_before") | (F.coalesce(after, F.lit(False)) & ~F.col("frozen")))
