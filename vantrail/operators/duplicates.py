@@ -1,18 +1,19 @@
 """Near-identical tracks: one flight that was uploaded twice, perhaps shifted a little, cut in other intervals or begun later by the clock.
 
 Two tracks are near where their discrete Frechet distance on a common time grid is at most ``metres``. Then their first points
-lie within that distance, and so do their northernmost, southernmost, easternmost and westernmost values: cells of that size, with
+lie within that distance, their last ones too, and so do their northernmost, southernmost, easternmost and westernmost values: cells of that size, with
 their neighbours, are blocking keys that lose nothing, and the other extremes are a cheap test before any distance. Equal
-tracks are one candidate, whatever their number. Distances are decided row by row of the coupling, which ends where no point
+tracks are one candidate, whatever their number. Distances are found diagonal by diagonal of the coupling, for many pairs together, which ends where no point
 can be reached any more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,41 +22,62 @@ from vantrail.operators.resample import linear_grid
 from vantrail.session import workers_import, written
 
 KEYS = ["source", "flight_id"]
-
-
-def reachable(a: np.ndarray, b: np.ndarray, metres: float) -> bool:
-    """Whether the discrete Frechet distance of two polylines, a row a point, is at most ``metres``."""
-    before = np.zeros(len(b), dtype=bool)
-    for i, p in enumerate(a):
-        close = ((b - p) ** 2).sum(axis=1) <= metres * metres
-        from_before = before.copy()
-        from_before[1:] |= before[:-1]
-        if i == 0:
-            from_before[0] = True
-        # in a stretch of close points all after the first that is entered from the row before are reached
-        place = np.arange(len(b))
-        entered = np.maximum.accumulate(np.where(close & from_before, place, -1))
-        broken = np.maximum.accumulate(np.where(close, -1, place))
-        before = close & (entered > broken)
-        if not before.any():
-            return False
-    return bool(before[-1])
+#: Pairs whose distances are found together, and how many points they may have in all.
+TOGETHER, POINTS = 256, 1 << 18
+
+
+def frechet_many(pairs: Sequence[tuple[np.ndarray, np.ndarray]], most: float) -> list[float | None]:
+    """The discrete Frechet distance of each pair of polylines, a row a point, where it is at most ``most``. Pairs of about equal lengths are
+    taken together, a diagonal of their tables at a time."""
+    out: list[float | None] = [None] * len(pairs)
+    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda i: tuple(map(len, pairs[i])))
+    while order:
+        take = max(1, min(TOGETHER, POINTS // max(map(len, pairs[order[-1]]))))
+        order, own = order[:-take], order[-take:]
+        for i, d in zip(own, _together([pairs[i] for i in own], (most * (1 + 1e-12)) ** 2), strict=True):
+            out[i] = float(np.sqrt(d)) if np.isfinite(d) else None
+    return out
+
+
+def _together(pairs: list[tuple[np.ndarray, np.ndarray]], most: float) -> np.ndarray:
+    """The squared distances of pairs; infinite where over ``most``. On a diagonal only the places that some pair can still reach are kept,
+    so tables of tracks that stay apart end early, and those of near ones cost their breadth of near points."""
+    n, m = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
+    rows, columns, count = int(n.max()), int(m.max()), len(pairs)
+    a, b = np.full((count, rows, 2), np.inf), np.full((count, columns, 2), -np.inf)  # padding is out of reach
+    for i, (p, q) in enumerate(pairs):
+        a[i, : len(p)], b[i, : len(q)] = p, q
+    b = b[:, ::-1]
+    out = np.full(count, np.inf)
+    # place i + 1 of a diagonal k is the cell of point i of the one and point k - i of the other
+    before, last = np.full((count, rows + 1), np.inf), np.full((count, rows + 1), np.inf)
+    low, high = 0, 0  # the places to look at
+    for k in range(rows + columns - 1):
+        low, high = max(low, k - columns + 1), min(high, k, rows - 1)
+        if low > high:
+            break
+        d = a[:, low : high + 1] - b[:, columns - 1 - k + low : columns - k + high]
+        d = (d * d).sum(axis=2)
+        into = np.minimum(np.minimum(last[:, low + 1 : high + 2], last[:, low : high + 1]), before[:, low : high + 1]) if k else 0.0
+        own = np.maximum(d, into)
+        own[own > most] = np.inf
+        before, last = last, before
+        last[:] = np.inf
+        last[:, low + 1 : high + 2] = own
+        done = n + m - 2 == k
+        out[done] = last[done, n[done]]
+        alive = np.nonzero(np.isfinite(own).any(axis=0))[0]
+        old = np.nonzero(np.isfinite(before[:, 1:]).any(axis=0))[0]
+        reached = [*alive[[0, -1]] + low, *old[[0, -1]]] if len(alive) and len(old) else [*alive[[0, -1]] + low] if len(alive) else [*old[[0, -1]]] if len(old) else []
+        if not reached:
+            break
+        low, high = int(min(reached)), int(max(reached)) + 1
+    return out
 
 
 def frechet(a: np.ndarray, b: np.ndarray, most: float) -> float | None:
-    """The discrete Frechet distance where it is at most ``most``: the least of the distances between points that is enough."""
-    if not len(a) or not len(b) or not reachable(a, b, most * (1 + 1e-12)):
-        return None
-    each = np.sqrt(np.unique(np.concatenate([((b - p) ** 2).sum(axis=1) for p in a])))
-    each = each[each <= most * (1 + 1e-12)]
-    lo, hi = 0, len(each) - 1
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if reachable(a, b, each[mid] * (1 + 1e-12)):
-            hi = mid
-        else:
-            lo = mid + 1
-    return float(each[lo])
+    """The discrete Frechet distance where it is at most ``most``."""
+    return frechet_many([(a, b)], most)[0]
 
 
 def track_shapes(fixes: DataFrame, step_s: float, latitude: float = 45.0) -> DataFrame:
@@ -82,7 +104,8 @@ def near_tracks(fixes: DataFrame, metres: float = 100.0, step_s: float = 10.0, l
     named = shapes.groupBy("signature", "shape").agg(F.min(key).alias("class"), F.count("*").alias("size"))
     named = written(named)
     low, high = lambda i: F.array_min(F.transform("shape", lambda p: p[i])), lambda i: F.array_max(F.transform("shape", lambda p: p[i]))
-    ends = {"x0": F.col("shape")[0][0], "y0": F.col("shape")[0][1], "west": low(0), "east": high(0), "south": low(1), "north": high(1)}
+    last = F.element_at("shape", -1)
+    ends = {"x0": F.col("shape")[0][0], "y0": F.col("shape")[0][1], "x1": last[0], "y1": last[1], "west": low(0), "east": high(0), "south": low(1), "north": high(1)}
     boxes = written(named.select("class", *[c.alias(n) for n, c in ends.items()]))
     cell = lambda c: F.floor(c / metres).cast("bigint")
 
@@ -101,15 +124,22 @@ def near_tracks(fixes: DataFrame, metres: float = 100.0, step_s: float = 10.0, l
     lines = lambda s: named.select(F.col("class").alias(f"class_{s}"), F.col("shape").alias(f"shape_{s}"))
     pairs = written(met).join(lines("a"), "class_a").join(lines("b"), "class_b")
 
-    def distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            d = [frechet(np.array(list(map(tuple, a))), np.array(list(map(tuple, b))), metres) for a, b in zip(f["shape_a"], f["shape_b"], strict=True)]
-            out = pd.DataFrame({"source_a": f["source_a"], "id_a": f["id_a"], "source_b": f["source_b"], "id_b": f["id_b"], "frechet_m": d})
-            yield out[out["frechet_m"].notna()]
+    def lines_of(column: pa.ListArray) -> list[np.ndarray]:
+        points = column.flatten()
+        flat = points.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+        return np.split(flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):  # two tracks a row
+                batch = whole.slice(at, 1024)
+                found = frechet_many(list(zip(lines_of(batch.column("shape_a")), lines_of(batch.column("shape_b")), strict=True)), metres)
+                named = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("source_a", "id_a", "source_b", "id_b")], pa.array(found, pa.float64())], names=["source_a", "id_a", "source_b", "id_b", "frechet_m"])
+                yield named.filter(pa.compute.is_valid(named.column("frechet_m")))
 
     kind = fixes.schema["flight_id"].dataType.simpleString()
     flat = pairs.select(F.col("class_a.source").alias("source_a"), F.col("class_a.flight_id").alias("id_a"), F.col("class_b.source").alias("source_b"), F.col("class_b.flight_id").alias("id_b"), "shape_a", "shape_b")
-    found = flat.mapInPandas(distances, f"source_a string, id_a {kind}, source_b string, id_b {kind}, frechet_m double")
+    found = flat.mapInArrow(distances, f"source_a string, id_a {kind}, source_b string, id_b {kind}, frechet_m double")
     whole = lambda s: F.struct(F.col(f"source_{s}").alias("source"), F.col(f"id_{s}").alias("flight_id")).alias(f"class_{s}")
     members = shapes.select(*KEYS, "signature", "shape").join(named, ["signature", "shape"]).select(*KEYS, "class", "size")
     return found.select(whole("a"), whole("b"), "frechet_m"), members
