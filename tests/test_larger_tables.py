@@ -21,3 +21,18 @@ def test_frechet_of_many_pairs_together_is_that_of_each():
     want = [slow_frechet(a, b) for a, b in pairs[1:]]
     assert got[0] is None and [g is None for g in got[1:]] == [w > 1.5 for w in want]
     assert [g for g in got if g is not None] == pytest.approx([w for w in want if w <= 1.5]) and 50 < sum(g is not None for g in got) < 350
+
+
+# ---------------------------------------------------------------- reversals
+def test_a_reversal_turns_the_way_its_sql_has_it(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id = 542").write.parquet(str(tmp_path / "events.parquet"))  # along a meridian, where only last bits give a side
+    db = duckdb.connect()
+    db.execute("SET timezone = 'UTC'")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(db.execute(oracle_sql()["b8_turning"]).fetchall(), key=lambda r: r[2])
+    got = queries()["b8_turning"](spark, str(tmp_path)).orderBy("fix_no").collect()
+    assert [tuple(r) for r in got] == want and any(r.turn is not None and abs(r.turn) > 3.14 for r in got)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from vantrail.config import Thresholds
-from vantrail.functions.geo import enu, local_en
+from vantrail.functions.geo import enu, local_en, trig
 from vantrail.session import workers_import
 from vantrail.sources.tracks import by_flight
 
@@ -19,13 +20,20 @@ KEYS = ["source", "flight_id"]
 SEGMENT = [*KEYS, "segment_id"]
 
 
-def with_enu(fixes: DataFrame) -> DataFrame:
-    """Fixes with east_m and north_m about the flight's first fix, which lies at exactly (0, 0)."""
+def with_enu(fixes: DataFrame, angles: Callable[[Column], Column] = trig) -> DataFrame:
+    """Fixes with east_m and north_m about the flight's first fix, which lies at exactly (0, 0). ``angles`` gives sines and cosines: ``c_trig``
+    where last bits count."""
+    workers_import(fixes.sparkSession)
     first = lambda c: F.first(c).over(by_flight("fix_no"))
-    e, n = enu(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
+    if angles is not trig:  # once a fix, the origin's among them
+        fixes, own = fixes.withColumns({"phi": angles(F.radians("lat")), "lam": angles(F.radians("lon"))}), lambda c, at: F.col({"lat": "phi", "lon": "lam"}[c] + at)
+        origin = {"lat0": first("lat"), "lon0": first("lon"), "phi0": first("phi"), "lam0": first("lam")}
+    else:
+        own, origin = lambda c, at: trig(F.radians(c + at)), {"lat0": first("lat"), "lon0": first("lon")}
+    e, n = enu(own("lat", ""), own("lon", ""), own("lat", "0"), own("lon", "0"))
     at_origin = (F.col("lat") == F.col("lat0")) & (F.col("lon") == F.col("lon0"))
     zero = lambda c: F.when(at_origin, 0.0).otherwise(c)
-    return fixes.withColumns({"lat0": first("lat"), "lon0": first("lon")}).withColumns({"east_m": zero(e), "north_m": zero(n)}).drop("lat0", "lon0")
+    return fixes.withColumns(origin).withColumns({"east_m": zero(e), "north_m": zero(n)}).drop(*origin, "phi", "lam")
 
 
 def with_local(fixes: DataFrame) -> DataFrame:

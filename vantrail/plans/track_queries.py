@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vantrail.functions.geo import c_trig
 from vantrail.operators import catalog as catalogs
 from vantrail.operators import census, clean, clusters, durations, geometry, lags, observables, phases, resample, spectral
 from vantrail.operators.collapse import collapse
@@ -412,7 +413,8 @@ def b7(spark, d):
 
 @register("b8_turning", query("SELECT source, flight_id, fix_no, CASE WHEN ax * ax + ay * ay > 0 AND bx * bx + byy * byy > 0 THEN round(atan2(ax * byy - ay * bx, ax * bx + ay * byy), 4) + 0.0 END AS turn FROM (SELECT *, lead(ax) OVER f AS bx, lead(ay) OVER f AS byy FROM (SELECT *, east_m - lag(east_m) OVER f AS ax, north_m - lag(north_m) OVER f AS ay FROM en WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no)) WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no))", VIEW, _enu("v")))
 def b8(spark, d):
-    return observables.turning_angles(resample.with_enu(view(spark, d))).select("source", "flight_id", "fix_no", F.round("turn", 4).alias("turn"))
+    """By the C library's sines: last bits decide which way a reversal, half a turn, goes."""
+    return observables.turning_angles(resample.with_enu(view(spark, d), c_trig)).select("source", "flight_id", "fix_no", F.round("turn", 4).alias("turn"))
 
 
 @register("b9_first_passage", query("SELECT source, flight_id, q AS radius, min(CASE WHEN sqrt(east_m * east_m + north_m * north_m) >= q THEN t END) AS t FROM en, (SELECT unnest([500, 1000, 5000, 10000]::DOUBLE[]) AS q) GROUP BY ALL", VIEW, _enu("v")))
