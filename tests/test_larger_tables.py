@@ -36,3 +36,20 @@ def test_a_reversal_turns_the_way_its_sql_has_it(spark, tmp_path):
     want = sorted(db.execute(oracle_sql()["b8_turning"]).fetchall(), key=lambda r: r[2])
     got = queries()["b8_turning"](spark, str(tmp_path)).orderBy("fix_no").collect()
     assert [tuple(r) for r in got] == want and any(r.turn is not None and abs(r.turn) > 3.14 for r in got)
+
+
+# ---------------------------------------------------------------- time scales
+def test_time_scales_take_every_flight(spark, monkeypatch):
+    from vantrail.operators import census, spectral
+    from vantrail.plans import track_queries
+    from vantrail.plans.queries import view
+
+    fixes = view(spark, "/root/testdata/sf0.001")
+    flights = census.track_stats(fixes)
+    near = flights.where("n_fix >= 32 AND abs(dt_s - 10) <= 60").count()
+    take = lambda sample: {r.channel: r.n_flights for r in spectral.timescales(fixes, flights, 10.0, 60.0, sample, nperseg=32, least=32).collect()}
+    assert take(None)["horizontal"] == near > take(1)["horizontal"]
+    asked = {}
+    monkeypatch.setattr(spectral, "timescales", lambda *a, **k: asked.update(k) or spark.createDataFrame([], "channel string, n_flights long, floor double, f_c double, tau double, tau_p90 double"))
+    track_queries.w5(spark, "/root/testdata/sf0.001")
+    assert asked["sample"] is None

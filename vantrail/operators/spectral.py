@@ -108,14 +108,16 @@ def noise_panel(fixes: DataFrame, flights: DataFrame, window_s: float = 1800.0)
     return rows.crossJoin(F.broadcast(mean)).select(*KEYS, "fix_no", (F.col("t") - F.col("t0")).alias("t"), "baro_alt", "gnss_alt", (offset - F.col("mean")).alias("offset_m"))
 
 
-def timescales(fixes: DataFrame, census: DataFrame, cadence: float = 1.0, tolerance: float = 0.25, sample: int = 900, seed: int = 42, nperseg: int = NPERSEG, least: int = NPERSEG) -> DataFrame:
+def timescales(fixes: DataFrame, census: DataFrame, cadence: float = 1.0, tolerance: float = 0.25, sample: int | None = 900, seed: int = 42, nperseg: int = NPERSEG, least: int = NPERSEG) -> DataFrame:
     """(channel, n_flights, floor, f_c, tau, tau_p90): the knee of the median spectrum of each channel, and of its 90th percentile, over a
-    seeded sample of flights a source that sampled near ``cadence``. East and north are one channel; a flight gives the altitude of the
+    seeded sample of flights a source, or all of them where ``sample`` is None, that sampled near ``cadence``. East and north are one channel; a flight gives the altitude of the
     barometer where that is present, and of GNSS else."""
     from pyspark.sql import Window
 
-    drawn = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("flight_id", F.lit(seed)), "flight_id"))
-    chosen = census.withColumn("drawn", drawn).where((F.col("drawn") <= sample) & (F.col("n_fix") >= least) & (F.abs(F.col("dt_s") - cadence) <= tolerance))
+    if sample is not None:
+        drawn = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("flight_id", F.lit(seed)), "flight_id"))
+        census = census.withColumn("drawn", drawn).where(F.col("drawn") <= sample).drop("drawn")
+    chosen = census.where((F.col("n_fix") >= least) & (F.abs(F.col("dt_s") - cadence) <= tolerance))
     rows = fixes.join(chosen.select(*KEYS, (F.col("baro_present_frac") >= 0.5).alias("has_baro")), KEYS)
     of_flight = Window.partitionBy(*KEYS)
     east, north = local_en(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))

@@ -347,7 +347,7 @@ _KNEE = "kn AS (SELECT c.channel, max(n) AS n, max(fl) AS floor, min(CASE WHEN f
 
 @register("w5_timescales", query(f"SELECT channel, n AS n_flights, round(floor, 1) + 0.0 AS floor, {r('f_c')}, {r('1 / f_c', 'tau')}, {r('1 / f_n', 'tau_p90')} FROM kn", VIEW, STEPS, STATS, _LOCAL, _on_grid("lm", "10.0::DOUBLE", False, {"east": "'horizontal'", "north": "'horizontal'", "up": "CASE WHEN b THEN 'vertical_baro' ELSE 'vertical_gnss' END"}), _welch(32, "0.1::DOUBLE", "source, flight_id, channel, part", "wl"), "cv AS (SELECT channel, f / 320.0::DOUBLE AS f, count(DISTINCT (source, flight_id)) AS n, quantile_cont(p, 0.5) AS m50, quantile_cont(p, 0.9) AS m90 FROM wl GROUP BY ALL)", _KNEE))
 def w5(spark, d):
-    found = spectral.timescales(view(spark, d), statistics(spark, d), cadence=10.0, tolerance=60.0, nperseg=32, least=32)
+    found = spectral.timescales(view(spark, d), statistics(spark, d), cadence=10.0, tolerance=60.0, sample=None, nperseg=32, least=32)
     return found.select("channel", "n_flights", F.round("floor", 1).alias("floor"), "f_c", "tau", "tau_p90")
 
 
