@@ -53,3 +53,20 @@ def test_time_scales_take_every_flight(spark, monkeypatch):
     monkeypatch.setattr(spectral, "timescales", lambda *a, **k: asked.update(k) or spark.createDataFrame([], "channel string, n_flights long, floor double, f_c double, tau double, tau_p90 double"))
     track_queries.w5(spark, "/root/testdata/sf0.001")
     assert asked["sample"] is None
+
+
+# ---------------------------------------------------------------- cleaning
+def test_rules_of_a_flight_enter_python_in_batches_of_flights(spark):
+    from vantrail.operators import clean
+    from vantrail.plans.queries import SOUND, sound_view
+
+    fixes = sound_view(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    clocked = clean.repair_clock(fixes)
+    placed = clean.altitude_source(clean.merge_duplicates(fixes).drop("n_merged"), SOUND)
+    for found in (clocked, clean.remove_blocks(placed, SOUND), clean.frozen_runs(placed, SOUND)):
+        assert "FlatMapGroupsInPandas" not in plan(found)  # a frame a flight, milliseconds each
+    kept = {}
+    for r in sorted(clocked.collect(), key=lambda r: (r.source, r.flight_id, r.fix_no)):
+        kept.setdefault((r.source, r.flight_id), []).append((r.t, r.kept))
+    assert all([k for _, k in own] == clean.longest_run(np.array([t for t, _ in own])).tolist() for own in kept.values()) and any(not k for own in kept.values() for _, k in own)

@@ -4,11 +4,13 @@ settled over which window it is counted."""
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from vantrail.config import Thresholds
 from vantrail.functions.geo import EARTH_RADIUS_M, great_circle_m
@@ -18,6 +20,23 @@ from vantrail.sources.tracks import by_flight, with_steps
 KEYS = ["source", "flight_id"]
 
 
+def with_marks(rows: DataFrame, keys: Sequence[str], reads: Sequence[str], names: Sequence[str], find: Callable[..., Sequence[np.ndarray]]) -> DataFrame:
+    """``rows`` with a flag a name: the masks that ``find`` gives for the columns ``reads`` of a group, in order of its fixes. A group is a row of
+    arrays on its way, so that a batch of many small ones enters Python at once; what is not read stays outside."""
+    workers_import(rows.sparkSession)
+    own = ["fix_no", *[c for c in rows.columns if c not in keys and c != "fix_no"]]
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("rows"))
+
+    @pandas_udf("array<int>")
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([sum(mask.astype(np.int32) << i for i, mask in enumerate(find(*group))) for group in zip(*columns, strict=True)], dtype=object)
+
+    marks = run(*[F.col(f"rows.{c}") for c in reads])
+    flag = lambda m, i: (m.bitwiseAND(F.lit(1 << i)) != 0).alias(names[i])
+    both = F.zip_with("rows", "marks", lambda r, m: F.struct(*[r[c].alias(c) for c in own], *[flag(m, i) for i in range(len(names))]))
+    return whole.withColumn("marks", marks).select(*keys, F.inline(both)).select(*rows.columns, *names)
+
+
 def altitude_source(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     """Fixes with alt_source, one a flight, and alt: the barometer where it is present and its range is wide enough, else GNSS."""
     a = limits.alt_channel
@@ -39,16 +58,9 @@ def merge_duplicates(fixes: DataFrame, counters: tuple[str, ...] = ()) -> DataFr
 def repair_clock(fixes: DataFrame) -> DataFrame:
     """Fixes with ``kept``: false for those outside a longest non-decreasing run of times. Only flights with a backward step go through
     Python, each with its own few thousand numbers; all others pass."""
-    workers_import(fixes.sparkSession)
     w = by_flight("fix_no")
     marked = fixes.withColumn("back", (F.col("t") < F.lag("t").over(w)).cast("int")).withColumn("back", F.coalesce(F.max("back").over(by_flight()), F.lit(0)))
-    schema = fixes.withColumn("kept", F.lit(True)).schema
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fix_no", kind="stable")
-        return group.assign(kept=longest_run(group["t"].to_numpy()))
-
-    bad = marked.where("back = 1").drop("back").groupBy(*KEYS).applyInPandas(keep, schema)
+    bad = with_marks(marked.where("back = 1").drop("back"), KEYS, ["t"], ["kept"], lambda t: [longest_run(t)])
     return marked.where("back = 0").drop("back").withColumn("kept", F.lit(True)).unionByName(bad)
 
 
@@ -117,19 +129,12 @@ def remove_blocks(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     """Fixes with ``kept`` and ``split_before``: a burst of impossible fixes goes as the smallest block whose ends join at a possible
     speed; where no block that lasts up to block_max_s does, the track is split and nothing goes. Flights without an
     impossible step do not enter Python."""
-    workers_import(fixes.sparkSession)
     steps = with_steps(fixes)
     fast = F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.col("dt") > speed_bound(limits)), F.lit(False))
     marked = steps.withColumn("fast", F.max(fast.cast("int")).over(by_flight())).drop("dt", "step_m", "dz")
-    out = fixes.withColumns({"kept": F.lit(True), "split_before": F.lit(False)})
-    bounds = limits.fix_level.max_horizontal_speed_mps
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fix_no", kind="stable")
-        keep, split = smallest_blocks(group["t"].to_numpy(), group["lat"].to_numpy(), group["lon"].to_numpy(), bounds.get(group["source"].iloc[0], np.inf), limits.fix_level.block_max_s)
-        return group.assign(kept=keep, split_before=split)
-
-    bad = marked.where("fast = 1").drop("fast").groupBy(*KEYS).applyInPandas(scan, out.schema)
+    longest = limits.fix_level.block_max_s
+    bounded = marked.where("fast = 1").drop("fast").withColumn("bound", speed_bound(limits))
+    bad = with_marks(bounded, KEYS, ["t", "lat", "lon", "bound"], ["kept", "split_before"], lambda t, lat, lon, bound: smallest_blocks(t, lat, lon, bound[0], longest)).drop("bound")
     clean = marked.where("fast = 0").drop("fast").withColumns({"kept": F.lit(True), "split_before": F.lit(False)})
     return clean.unionByName(bad)
 
@@ -167,7 +172,6 @@ def frozen_runs(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     a barometer: fixes marked invalid or without altitude, or identical coordinates). Needs alt_source. Only the stretches of fixes
     that lie in some window of the least span and twice the diameter, next to a short step, go through Python, each on its own."""
     f = limits.fix_level
-    workers_import(fixes.sparkSession)
     w, span = by_flight().orderBy("t"), int(f.frozen_tau_s)
 
     def small(window: Window) -> Column:
@@ -185,16 +189,15 @@ def frozen_runs(fixes: DataFrame, limits: Thresholds) -> DataFrame:
     still = (F.max("begins").over(w.rangeBetween(-span, 0)) == 1) | (F.max("ends").over(w.rangeBetween(0, span)) == 1)
     marked = marked.withColumn("still", still).drop("begins", "ends", "short")
     marked = marked.withColumn("stretch", F.when(F.col("still") == F.lag("still").over(by_no), 0).otherwise(1)).withColumn("stretch", F.sum("stretch").over(by_no.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = fixes.withColumn("frozen", F.lit(False)).schema
+    diameter, least, flat = f.frozen_eps_m, f.frozen_tau_s, f.frozen_delta_z_m
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop(columns="stretch").sort_values("fix_no", kind="stable")
-        baro = group["baro_alt"].to_numpy() if group["alt_source"].iloc[0] == "baro" else None
-        bad = (~group["valid"] | (group["gnss_alt"] == 0)).to_numpy()
-        return group.assign(frozen=frozen_mask(group["t"].to_numpy(), group["lat"].to_numpy(), group["lon"].to_numpy(), baro, bad, f.frozen_eps_m, f.frozen_tau_s, f.frozen_delta_z_m))
+    def scan(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, baro: np.ndarray, has_baro: np.ndarray, bad: np.ndarray) -> list[np.ndarray]:
+        return [frozen_mask(t, lat, lon, baro if has_baro[0] else None, bad, diameter, least, flat)]
 
     moving = marked.where("not still").drop("still", "stretch").withColumn("frozen", F.lit(False))
-    return moving.unionByName(marked.where("still").drop("still").groupBy(*KEYS, "stretch").applyInPandas(scan, schema))
+    seen = marked.where("still").drop("still").withColumns({"has_baro": F.col("alt_source") == "baro", "bad": ~F.col("valid") | (F.col("gnss_alt") == 0)})
+    held = with_marks(seen, [*KEYS, "stretch"], ["t", "lat", "lon", "baro_alt", "has_baro", "bad"], ["frozen"], scan)
+    return moving.unionByName(held.select(*moving.columns))
 
 
 def _last_within(lat: np.ndarray, lon: np.ndarray, i: int, diameter: float) -> int:

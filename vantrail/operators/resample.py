@@ -152,6 +152,11 @@ def savgol_weights(window: int, order: int, at: int, derivative: int) -> tuple[f
     return tuple(float(v) for v in np.linalg.pinv(powers)[derivative] * [1, 1, 2][derivative])
 
 
+@lru_cache(maxsize=4096)
+def _weights(window: int, order: int, at: int, derivative: int) -> np.ndarray:
+    return np.array(savgol_weights(window, order, at, derivative))
+
+
 def savgol5(grid: DataFrame, value: str, keys: list[str], step: Column, order: str = "k") -> DataFrame:
     """Position, velocity and acceleration by a five-point cubic; near the ends of a segment the cubic of its first or last window is
     evaluated off its centre. Segments below five points have nulls."""
@@ -188,10 +193,10 @@ def savgol(values: np.ndarray, dt: float, window: int, order: int = 3) -> np.nda
     half = window // 2
     blocks = np.lib.stride_tricks.sliding_window_view(values, window)
     for d in range(3):
-        out[d, half : len(values) - half] = blocks @ np.array(savgol_weights(window, order, half, d))
+        out[d, half : len(values) - half] = blocks @ _weights(window, order, half, d)
         for j in range(half):
-            out[d, j] = values[:window] @ np.array(savgol_weights(window, order, j, d))
-            out[d, len(values) - 1 - j] = values[-window:] @ np.array(savgol_weights(window, order, window - 1 - j, d))
+            out[d, j] = values[:window] @ _weights(window, order, j, d)
+            out[d, len(values) - 1 - j] = values[-window:] @ _weights(window, order, window - 1 - j, d)
         out[d] /= dt**d
     return out
 
@@ -201,7 +206,7 @@ def savgol_column(values: Column, dt: Column, window: Column, order: int = 3) ->
 
     @pandas_udf("array<array<double>>")
     def run(series: pd.Series, step: pd.Series, width: pd.Series) -> pd.Series:
-        return pd.Series([[list(map(float, row)) for row in savgol(np.asarray(v, dtype=float), float(d), int(w), order)] for v, d, w in zip(series, step, width, strict=True)])
+        return pd.Series([list(savgol(np.asarray(v, dtype=float), float(d), int(w), order)) for v, d, w in zip(series, step, width, strict=True)])
 
     return run(values, dt, window)
 
@@ -223,8 +228,8 @@ def smooth(grid: DataFrame, limits: Thresholds, values: tuple[str, ...] = ("east
     others = [c for c in grid.columns if c not in SEGMENT and c not in ("k", *flight)]
     rows = grid.groupBy(*SEGMENT).agg(*[F.max(c).alias(c) for c in flight], F.array_sort(F.collect_list(F.struct("k", *others))).alias("rows"))
     rows = rows.withColumns({f"{v}_all": savgol_column(F.col(f"rows.{v}"), F.col("dt_s"), window(v), s.polyorder) for v in values})
-    rows = rows.select(*SEGMENT, *flight, *[f"{v}_all" for v in values], F.posexplode("rows").alias("i", "row"))
-    at = lambda v, d: F.get(F.get(F.col(f"{v}_all"), F.lit(d)), F.col("i"))
-    smoothed = [F.when(~F.isnan(at(v, d)), at(v, d)).alias(f"{v}_{name}") for v in values for d, name in enumerate(("pos", "vel", "acc"))]
-    kept = [F.col(c) if c in flight else F.col(f"row.{c}").alias(c) for c in grid.columns if c not in SEGMENT]
+    names = {f"{v}_{name}": F.get(F.col(f"{v}_all"), F.lit(d)) for v in values for d, name in enumerate(("pos", "vel", "acc"))}
+    rows = rows.withColumns(names).select(*SEGMENT, *flight, F.inline(F.arrays_zip("rows", *names)))  # no point carries its segment's arrays
+    smoothed = [F.when(~F.isnan(n), F.col(n)).alias(n) for n in names]
+    kept = [F.col(c) if c in flight else F.col(f"rows.{c}").alias(c) for c in grid.columns if c not in SEGMENT]
     return rows.select(*SEGMENT, *kept, *smoothed)

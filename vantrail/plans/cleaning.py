@@ -45,13 +45,13 @@ def clean_tracks(fixes: DataFrame, limits: Thresholds, interpolate: bool = True,
     fixes = fixes.withColumn("split_before", F.col("split_before") | (F.coalesce(after, F.lit(False)) & ~F.col("frozen")))
     fixes = clean.removed(fixes, F.col("frozen"), "removed_frozen").drop("frozen")
     fixes = cut(clean.altitude_outliers(clean.bad_altitudes(fixes, limits), limits))
-    window = clean.trim_window(fixes, limits)
+    window = cut(clean.trim_window(fixes, limits))
     ground = clean.interior_ground(fixes, limits).where("kind = 'ground'").groupBy(*KEYS).agg(F.collect_list(F.struct("t0", "t1")).alias("ground"))
     fixes = fixes.join(window, KEYS).join(ground, KEYS, "left").where(F.col("reason").isNull() & F.col("t").between(F.col("t_on"), F.col("t_off")))
     fixes = clean.airborne_counts(fixes, COUNTERS)
     inside = F.coalesce(F.exists("ground", lambda g: (F.col("t") > g["t0"]) & (F.col("t") < g["t1"])), F.lit(False))
     landed = F.coalesce(F.exists("ground", lambda g: F.col("t") == g["t1"]), F.lit(False))
-    fixes = fixes.withColumn("split_before", F.col("split_before") | landed).where(~inside).drop("ground", "t_on", "t_off", "reason")
+    fixes = cut(fixes.withColumn("split_before", F.col("split_before") | landed).where(~inside).drop("ground", "t_on", "t_off", "reason"))
     w = by_flight("fix_no")
     step = great_circle_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     flights = fixes.withColumn("step", step).groupBy(*KEYS).agg(F.count("*").alias("n_clean"), (F.max("t") - F.min("t")).alias("duration_s"), (F.sum("step") / 1000).alias("path_km"), (F.max("alt") - F.min("alt")).alias("alt_range_m"), F.first("alt_source").alias("alt_source"), F.min_by(F.struct("lat", "lon", "alt"), "fix_no").alias("origin"), *[F.first(c).alias(c) for c in ("n_airborne", *COUNTERS, "nulled_alt")])
@@ -59,7 +59,7 @@ def clean_tracks(fixes: DataFrame, limits: Thresholds, interpolate: bool = True,
     short = census.flight_reason(F.col("duration_s"), F.col("path_km"), F.col("alt_range_m"), limits)
     changed = sum((F.col(c) for c in COUNTERS), F.col("nulled_alt"))
     rebuilt = F.when(~clean.removal_passes(changed, F.col("n_airborne"), limits), "removed_fraction")
-    flights = flights.withColumn("reason", F.coalesce("reason", rebuilt, short))
+    flights = cut(flights.withColumn("reason", F.coalesce("reason", rebuilt, short)))
     kept = fixes.join(flights.where(F.col("reason").isNull()).select(*KEYS), KEYS, "left_semi")
     placed = cut(resample.with_segments(resample.with_enu(kept), limits, "split_before"))
     segments = resample.segment_table(placed, limits)
