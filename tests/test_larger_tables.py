@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 # ---------------------------------------------------------------- near-identical tracks
@@ -70,3 +71,25 @@ def test_rules_of_a_flight_enter_python_in_batches_of_flights(spark):
     for r in sorted(clocked.collect(), key=lambda r: (r.source, r.flight_id, r.fix_no)):
         kept.setdefault((r.source, r.flight_id), []).append((r.t, r.kept))
     assert all([k for _, k in own] == clean.longest_run(np.array([t for t, _ in own])).tolist() for own in kept.values()) and any(not k for own in kept.values() for _, k in own)
+
+
+# ---------------------------------------------------------------- quantiles of a few large groups
+def test_values_of_a_group_are_not_gathered_in_one_task(spark):
+    from vantrail.operators.ranks import exact_quantiles, running_sums
+
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the planner does not know that they are few
+    counts = spark.range(4000).select(F.lit("one").alias("g"), (F.col("id") * 7 % 4001).cast("double").alias("v"), (F.col("id") % 3 + 1).alias("n"))
+    ranked = running_sums(counts, "v", ["n"], ["g"])
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert "BroadcastHashJoin [g#" in plan  # splitters meet values where they lie
+    upto = 0
+    for r in sorted(ranked.collect(), key=lambda r: r.v):
+        upto += r.n
+        assert r.n_upto == upto
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 31 % 1009).cast("double").alias("v"))
+    got = {r.g: (r.n, r.xs) for r in exact_quantiles(rows, "v", [0.1, 0.5], ["g"]).collect()}
+    for g in range(3):
+        own = [i * 31 % 1009 for i in range(g, 3000, 3)]
+        assert got[g][0] == 1000 and got[g][1] == pytest.approx(np.quantile(own, [0.1, 0.5]).tolist())

@@ -12,16 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantrail.session import written
+
 #: Ranges of a group.
 PARTS = 128
+#: Splitters are looked up by every so many first.
+STRIDE = 12
 
 
 def running_sums(counts: DataFrame, value: str, sums: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """``counts``, one row a group and value, with {sum}_upto, the sum over values up to the row's own, and {sum}_all, over the group."""
+    """``counts``, one row a group and value, with {sum}_upto, the sum over values up to the row's own, and {sum}_all, over the group. Groups are
+    those of a report: their splitters, a kilobyte a group, are broadcast, since by key the values of a group would meet in one task. The
+    counts are written first, or each of the three passes over them would count anew."""
+    counts = written(counts)
     at = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
     cuts = counts.groupBy(*groups).agg(F.percentile_approx(value, at).alias("cuts"))
-    ranged = counts.join(cuts, list(groups)) if groups else counts.crossJoin(F.broadcast(cuts))  # without groups one row; the planner weighs a row a group
-    ranged = ranged.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    ranged = counts.join(F.broadcast(cuts), list(groups)) if groups else counts.crossJoin(F.broadcast(cuts))  # without groups one row; the planner weighs a row a group
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    coarse = F.array(*[F.get("cuts", F.lit(i)) for i in range(STRIDE - 1, PARTS - 1, STRIDE)])
+    ranged = ranged.withColumn("coarse", below(coarse)).withColumn("range", STRIDE * F.col("coarse") + below(F.slice("cuts", STRIDE * F.col("coarse") + 1, STRIDE))).drop("cuts", "coarse")
     whole = ranged.groupBy(*groups, "range").agg(*[F.sum(s).alias(f"{s}_of") for s in sums])
     by_range = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))  # PARTS rows a group
     before = by_range.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
