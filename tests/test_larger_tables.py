@@ -93,3 +93,15 @@ def test_values_of_a_group_are_not_gathered_in_one_task(spark):
     for g in range(3):
         own = [i * 31 % 1009 for i in range(g, 3000, 3)]
         assert got[g][0] == 1000 and got[g][1] == pytest.approx(np.quantile(own, [0.1, 0.5]).tolist())
+
+
+# ---------------------------------------------------------------- memory of a task
+def test_tasks_grow_in_number_and_not_in_rows(spark):
+    from vantrail.session import dealt
+
+    rows = spark.range(9000).select((F.col("id") % 500).alias("flight"), "id")
+    out = dealt(rows, "flight", rows=1000)
+    sizes = out.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.collect_set("flight").alias("own")).collect()
+    assert out.rdd.getNumPartitions() == 9 and sum(r.n for r in sizes) == 9000 and max(r.n for r in sizes) < 2000
+    assert sum(len(r.own) for r in sizes) == 500  # a flight is in one task
+    assert dealt(rows.where("false"), "flight").count() == 0

@@ -17,7 +17,7 @@ from vantrail.plans import store
 from vantrail.plans.cleaning import clean_tracks
 from vantrail.plans.queries import LIMITS, SOUND, merged, register, sound_view, statistics, table, view
 from vantrail.plans.sql import MERGED, R, STATS, STEPS, VIEW, distance, query, r
-from vantrail.session import shared_dir, written
+from vantrail.session import dealt, shared_dir, written
 from vantrail.sources import tracks
 
 _MS = f"""
@@ -109,7 +109,8 @@ _HELD = "hd AS (SELECT * REPLACE (CASE WHEN fix_no BETWEEN 20 AND 26 THEN 45.1 E
 
 @register("t13_frozen_run")
 def t13(spark, d):
-    return clean.frozen_runs(clean.altitude_source(_held(spark, d), LIMITS), LIMITS).select("source", "flight_id", "fix_no", "frozen")
+    held = dealt(_held(spark, d), "source", "flight_id")  # its windows sort many times in one task
+    return clean.frozen_runs(clean.altitude_source(held, LIMITS), LIMITS).select("source", "flight_id", "fix_no", "frozen")
 
 
 @register("t14_identical_runs", query(f"SELECT source, flight_id, CAST(run AS BIGINT) AS run, min(fix_no) AS first_fix, count(*) AS n, {r('max(t) - min(t)', 'span_s')}, {r('min(baro_alt)', 'baro_min')}, {r('max(baro_alt)', 'baro_max')} FROM (SELECT *, sum(nw) OVER (PARTITION BY source, flight_id ORDER BY fix_no) AS run FROM (SELECT *, CASE WHEN lat = lag(lat) OVER f AND lon = lag(lon) OVER f THEN 0 ELSE 1 END AS nw FROM hd WINDOW f AS (PARTITION BY source, flight_id ORDER BY fix_no))) GROUP BY source, flight_id, run HAVING count(*) > 1", VIEW, MERGED, _HELD))

@@ -36,6 +36,17 @@ def written(table: DataFrame) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+#: Rows that a task of ``dealt`` rows holds, whatever the size of the table.
+TASK_ROWS = 1 << 17
+
+
+def dealt(table: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """``table`` written and dealt by ``keys`` into as many tasks as it has times ``rows`` rows: windows and sorts by these keys (and more) follow
+    without another shuffle, and what a task sorts does not grow with the table. Rows of a key stay together."""
+    table = written(table)
+    return table.repartition(max(1, -(-table.count() // rows)), *keys)
+
+
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package also where the driver found it through sys.path only."""
     env = spark.sparkContext.environment
