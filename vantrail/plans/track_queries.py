@@ -673,7 +673,8 @@ def t15(spark, d):
 
 
 def _phase_rows(spark, d):
-    placed = resample.with_segments(resample.with_enu(clean.altitude_source(clean.merge_duplicates(sound_view(spark, d)).drop("n_merged"), SOUND)), SOUND)
+    fixes = dealt(clean.merge_duplicates(sound_view(spark, d)).drop("n_merged"), "source", "flight_id")
+    placed = resample.with_segments(resample.with_enu(clean.altitude_source(fixes, SOUND)), SOUND)
     return written(phases.features(resample.native_grid(placed), half_s=60.0, turn_rad_s=0.005))
 
 
