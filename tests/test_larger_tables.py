@@ -105,3 +105,22 @@ def test_tasks_grow_in_number_and_not_in_rows(spark):
     assert out.rdd.getNumPartitions() == 9 and sum(r.n for r in sizes) == 9000 and max(r.n for r in sizes) < 2000
     assert sum(len(r.own) for r in sizes) == 500  # a flight is in one task
     assert dealt(rows.where("false"), "flight").count() == 0
+
+
+def test_quantiles_where_each_evaluation_has_other_splitters(spark, monkeypatch):
+    import random
+
+    from vantrail.operators import ranks
+
+    drawn = F.udf(lambda n: sorted(random.uniform(0, 1000) for _ in range(n)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(ranks.F, "percentile_approx", lambda value, at: drawn(F.max(F.lit(ranks.PARTS - 1))))  # as a sketch that merges in another order
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+        found = {r.g: (r.n, r.xs) for r in ranks.exact_quantiles(rows, "v", [0.1, 0.5, 0.9], ["g"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    for g in (0, 1):
+        n, xs = found[g]
+        assert n == 500 and xs == [float(x) for x in np.quantile(np.arange(g, 1000, 2.0), [0.1, 0.5, 0.9])]

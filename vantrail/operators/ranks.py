@@ -2,7 +2,8 @@
 
 Values are counted first, so what follows sees distinct values. Splitters from a quantile sketch of bounded size cut each group
 into ``PARTS`` ranges of about as many distinct values; sums a range give each range's start, and running sums inside a
-range the rest.
+range the rest. A sketch depends on the order of what it merges, so the splitters are written once: two evaluations could
+place a value in two ranges.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ STRIDE = 12
 def running_sums(counts: DataFrame, value: str, sums: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """``counts``, one row a group and value, with {sum}_upto, the sum over values up to the row's own, and {sum}_all, over the group. Groups are
     those of a report: their splitters, a kilobyte a group, are broadcast, since by key the values of a group would meet in one task. The
-    counts are written first, or each of the three passes over them would count anew."""
+    counts are written first, or each of the three passes over them would count anew, and so are the splitters, which no second evaluation need repeat."""
     counts = written(counts)
     at = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
-    cuts = counts.groupBy(*groups).agg(F.percentile_approx(value, at).alias("cuts"))
+    cuts = written(counts.groupBy(*groups).agg(F.percentile_approx(value, at).alias("cuts")))
     ranged = counts.join(F.broadcast(cuts), list(groups)) if groups else counts.crossJoin(F.broadcast(cuts))  # without groups one row; the planner weighs a row a group
     below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
     coarse = F.array(*[F.get("cuts", F.lit(i)) for i in range(STRIDE - 1, PARTS - 1, STRIDE)])

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from vantrail.functions.geo import local_en
 from vantrail.operators.ranks import exact_quantiles
 from vantrail.operators.resample import KEYS, linear_grid
-from vantrail.session import workers_import
+from vantrail.session import workers_import, written
 
 #: Samples of a segment, the band whose median is the noise floor, and the factor over it at the knee.
 NPERSEG, FLOOR_BAND, KNEE_FACTOR = 256, (0.35, 0.5), 3.0
@@ -125,9 +125,9 @@ def timescales(fixes: DataFrame, census: DataFrame, cadence: float = 1.0, tolera
     spectra = channel_spectra(rows, {c: F.col(c) for c in ("east", "north", "up")}, F.lit(cadence), nperseg, False)
     spectra = spectra.join(chosen.select(*KEYS, "baro_present_frac"), KEYS)
     vertical = F.when(F.col("baro_present_frac") >= 0.5, "vertical_baro").otherwise("vertical_gnss")
-    spectra = spectra.withColumn("channel", F.when(F.col("channel") == "up", vertical).otherwise("horizontal"))
+    spectra = written(spectra.withColumn("channel", F.when(F.col("channel") == "up", vertical).otherwise("horizontal")))
     counts = spectra.groupBy("channel").agg(F.count_distinct(*KEYS).alias("n_flights"))
-    curve = ensemble(spectra, nperseg // 2 + 1, "pxx", [0.5, 0.9], ["channel"]).withColumn("f", F.col("k") / (nperseg * cadence))
+    curve = written(ensemble(spectra, nperseg // 2 + 1, "pxx", [0.5, 0.9], ["channel"]).withColumn("f", F.col("k") / (nperseg * cadence)))
     band = (FLOOR_BAND[0] / cadence, FLOOR_BAND[1] / cadence)
     middle = knee(curve, "f", "q_50", "channel", band=band)
     noisy = knee(curve, "f", "q_90", "channel", band=band).select("channel", F.col("tau").alias("tau_p90"))
