@@ -39,6 +39,27 @@ def test_a_reversal_turns_the_way_its_sql_has_it(spark, tmp_path):
     assert [tuple(r) for r in got] == want and any(r.turn is not None and abs(r.turn) > 3.14 for r in got)
 
 
+def test_near_tracks_in_parts_without_a_broadcast(spark, monkeypatch):
+    from vantrail.operators import duplicates
+    from vantrail.plans.track_queries import copied
+
+    fixes = copied(spark, "/root/testdata/sf0.001")
+    fixes = fixes.unionByName(fixes.where("flight_id % 3 = 0").withColumns({"flight_id": F.col("flight_id") + 5000, "lat": F.col("lat") + 1e-4}))
+    plans, write = [], duplicates.written
+    plan_of = lambda table: table._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(duplicates, "written", lambda table: plans.append(plan_of(table)) or write(table))
+    found = {}
+    for tracks in (2, 1000):  # in a part
+        monkeypatch.setattr(duplicates, "PART_TRACKS", tracks, raising=False)
+        pairs, members = duplicates.near_tracks(fixes, metres=150.0, step_s=20.0)
+        plans += [plan_of(pairs), plan_of(members)]
+        rows = [(tuple(r.class_a), tuple(r.class_b), r.frechet_m) for r in pairs.collect()]
+        assert len({r[:2] for r in rows}) == len(rows) and all(r[0] < r[1] for r in rows)
+        found[tracks] = sorted(rows)
+    assert found[2] == found[1000] and len(found[2]) >= 4
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
 # ---------------------------------------------------------------- time scales
 def test_time_scales_take_every_flight(spark, monkeypatch):
     from vantrail.operators import census, spectral
